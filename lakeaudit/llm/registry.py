@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import line_quality, mixing
+from lakeaudit.llm import language_id, line_quality, mixing, quality_classifier
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op6_line_quality": line_quality.op6_line_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
