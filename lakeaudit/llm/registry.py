@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import language_id, line_quality, mixing, quality_classifier
+from lakeaudit.llm import language_id, line_quality, mixing, quality_classifier, secret_links
 
 
 def queries() -> dict:
     return {
+        "op1_secret_links": secret_links.op1_secret_links,
         "op2_language_id": language_id.op2_language_id,
         "op6_line_quality": line_quality.op6_line_quality,
         "op9_mix_sources": mixing.op9_mix_sources,
