@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import language_id, line_quality, mixing, packing, quality_classifier, secret_links
+from lakeaudit.llm import language_id, line_quality, max_score, mixing, packing, quality_classifier, secret_links
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op6_line_quality": line_quality.op6_line_quality,
         "op7_pack_sequences": packing.op7_pack_sequences,
+        "op8_max_score": max_score.op8_max_score,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_max_score": max_score.OP8_SQL}
