@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import jaccard_join, language_id, line_quality, max_score, mixing, packing, quality_classifier, secret_links
+from lakeaudit.llm import html_cut, jaccard_join, language_id, line_quality, max_score, mixing, packing, quality_classifier, secret_links
 
 
 def queries() -> dict:
     return {
         "op1_secret_links": secret_links.op1_secret_links,
         "op2_language_id": language_id.op2_language_id,
+        "op3_html_cut": html_cut.op3_html_cut,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op6_line_quality": line_quality.op6_line_quality,
         "op7_pack_sequences": packing.op7_pack_sequences,
