@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import html_cut, jaccard_join, language_id, line_quality, max_score, mixing, packing, quality_classifier, secret_links
+from lakeaudit.llm import html_cut, jaccard_join, language_id, license_scan, line_quality, max_score, mixing, packing, quality_classifier, secret_links
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_html_cut": html_cut.op3_html_cut,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_line_quality": line_quality.op6_line_quality,
         "op7_pack_sequences": packing.op7_pack_sequences,
         "op8_max_score": max_score.op8_max_score,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_max_score": max_score.OP8_SQL}
+    return {"op5_license_scan": license_scan.OP5_SQL, "op8_max_score": max_score.OP8_SQL}
