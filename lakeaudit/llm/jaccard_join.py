@@ -257,6 +257,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("rid", "id", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component_id"), (alone | (F.col("rid") == F.col("best.rid"))).alias("stays"))
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, all columns, but of each component of near copies one: the row of its smallest id."""
+    own = numbered(docs)
+    gone = jaccard_join(own, **how).where(~F.col("stays")).select("rid")
+    return own.join(gone, "rid", "left_anti").select(*docs.columns)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return jaccard_join(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -14,8 +14,12 @@ empty table gives no rows. A document of size 0 has nothing taken.
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,7 @@ from lakeaudit.llm.spark import by_slice, cut, table
 from lakeaudit.llm.words import count_words
 
 GOLDEN = 0.6180339887498949
+WORD = re.compile("[^\x20\x09-\x0D]+")
 CELLS = 4096  #: cells of [0, 1) for the join of points with the sources' intervals
 
 
@@ -129,6 +134,40 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     return out.withColumn("taken", F.col("first_pass") + F.col("second_pass")).drop("row", "key", "bucket"), plan
 
 
+def first_words(text: str, n: int) -> str:
+    """The text to the end of its n-th word."""
+    end = 0
+    for m in islice(WORD.finditer(text), n):
+        end = m.end()
+    return text[:end]
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix as rows of docs, all columns: a row for each time that a document is taken, n_chars (where it is there) of what is taken."""
+    own = docs.withColumn("rid", F.monotonically_increasing_id())
+    taken, _ = mix(own.select("rid", "doc_id", "source", "text"), **how)
+    passes = taken.select("rid", "size", F.explode(F.array("first_pass", "second_pass")).alias("words")).where(F.col("words") > 0)
+    each = own.join(passes, "rid").drop("rid")
+    at, names = docs.columns.index("text"), docs.columns
+    chars = names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches):
+        for batch in batches:
+            size, words = (batch.column(len(names) + k).to_numpy() for k in (0, 1))
+            cols = [batch.column(k) for k in range(len(names))]
+            if len(part := np.flatnonzero(words < size)):
+                texts = cols[at].to_pylist()
+                for k in part.tolist():
+                    texts[k] = first_words(texts[k], int(words[k]))
+                cols[at] = pa.array(texts, cols[at].type)
+                if chars is not None:
+                    whole = pa.array(words == size)
+                    cols[chars] = pc.if_else(whole, cols[chars], pc.utf8_length(cols[at]).cast(cols[chars].type))
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return each.select(*names, "size", "words").mapInArrow(run, docs.schema)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")

@@ -148,5 +148,21 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str =
     return x.select(*out, "x").mapInArrow(judge, ", ".join([*(f"`{c}` {kinds[c]}" for c in out), "score double, predicted int"]))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held: int = 1, shrink: float = 0.1, ridge: float = 1e-3, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is least or more.
+
+    Texts are read twice, once for the fit and once for the scores: neither texts nor statistics are shuffled or kept.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("labelled_id"), F.col(label_col).alias("label"))
+    x = vectors(docs.where(remainder(id_col, folds) != held), [id_col], text_col)
+    model = fit(x.join(known, F.col(id_col) == F.col("labelled_id")), shrink, ridge)
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(model.score(features(batch.column(at))) >= least))
+
+    return docs.mapInArrow(by_slice(run, text_col), docs.schema)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])

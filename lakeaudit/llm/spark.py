@@ -17,15 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir, and read it from there: lost executors recompute nothing before it.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share.
 
-    The folder must be shared by all executors. Only where a session names none, as in tests on one machine,
-    a temporary folder is set.
+    Only where a session names none, as in tests on one machine, a temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder, and read it from there: lost executors recompute nothing before it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
