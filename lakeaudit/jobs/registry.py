@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lakeaudit.jobs import queries_scan
+from lakeaudit.jobs.register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "queries_scan"]

@@ -1,0 +1,214 @@
+"""Rule scans over text: which rules apply, their matches and places, filters over hits, redaction, fingerprints.
+
+Rules are a small table, kept as a list on the driver and compiled once per task; files are never joined with rules. A
+match is its group 1 where that took part, else the whole. Offsets and columns are bytes, lines and columns from 1.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lakeaudit.functions import text as T
+
+
+@dataclass(frozen=True)
+class Rule:
+    rule_id: str
+    pattern: str
+    severity: str
+    category: str = "source"
+    languages: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = ()
+    cwe: str | None = None
+    excluded: str | None = None  #: matches that this pattern finds are known to be false
+    min_entropy: float | None = None
+    supersedes: tuple[str, ...] = field(default=())
+
+
+#: The rules in the syntax that Java, Python and RE2 share.
+RULES = (
+    Rule("hardcoded-token", r'(?:token|secret|api_key|password)\s*=\s*"([^"\n]{8,})"', "critical", "secrets", cwe="CWE-798", min_entropy=2.5, supersedes=("assigned-string",)),
+    Rule("assigned-string", r'[a-z_]+\s*=\s*"([^"\n]+)"', "info", "source"),
+    Rule("email-address", r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[a-z]", "low", "source", excluded=r"@example\.org$"),
+    Rule("literal-address", r"(?:^|[^0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", "medium", "source", languages=("python", "javascript"), cwe="CWE-1188", excluded=r"^127\."),
+    Rule("long-number", r"[0-9]{13,16}", "high", "source", extensions=(".py", ".go"), cwe="CWE-359"),
+)
+
+
+def rule_table(spark, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    rows = [(r.rule_id, r.category, r.severity, r.cwe, list(r.languages), list(r.extensions), r.pattern, r.min_entropy) for r in rules]
+    return spark.createDataFrame(rows, "rule_id string, category string, severity string, cwe string, languages array<string>, extensions array<string>, pattern string, min_entropy double")
+
+
+def validate_rules(rules: DataFrame, most: int = 10_000) -> DataFrame:
+    """rule_id, problem: repeated or blank ids, blank patterns, unknown severities; ``*`` for a table of too many."""
+    twice = rules.groupBy("rule_id").count().where(F.col("count") > 1).select("rule_id", F.lit("repeated id").alias("problem"))
+    blank = rules.where(F.coalesce(F.trim("rule_id"), F.lit("")) == "").select("rule_id", F.lit("blank id").alias("problem"))
+    empty = rules.where(F.coalesce(F.col("pattern"), F.lit("")) == "").select("rule_id", F.lit("blank pattern").alias("problem"))
+    odd = rules.where(~F.lower("severity").isin(*T.POLICY_RANK)).select("rule_id", F.lit("unknown severity").alias("problem"))
+    many = rules.groupBy().count().where(F.col("count") > most).select(F.lit("*").alias("rule_id"), F.lit("too many rules").alias("problem"))
+    return twice.unionByName(blank).unionByName(empty).unionByName(odd).unionByName(many)
+
+
+def applies(rule: Rule, language: Column, path: Column) -> Column:
+    out = F.lit(True)
+    if rule.languages:
+        out &= language.isin(*rule.languages)
+    if rule.extensions:
+        out &= F.lower(path).rlike("(?:" + "|".join(map(re.escape, rule.extensions)) + ")$")
+    return out
+
+
+def applicable_rules(corpus: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, rule_id: which rules read which files, for planning and coverage."""
+    chosen = F.array_compact(F.array(*(F.when(applies(r, F.col("language"), F.col("path")), F.lit(r.rule_id)) for r in rules)))
+    return corpus.select("project_id", "path", F.explode(chosen).alias("rule_id"))
+
+
+def _numbered(rule_id: str):
+    return lambda m, i: F.struct(F.lit(rule_id).alias("rule_id"), (i + 1).alias("nth"), m.alias("match_text"))
+
+
+def match_texts(corpus: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """project_id, path, rule_id, nth, match_text by built-ins alone, for rules whose match is one group or the whole."""
+    found = []
+    for r in rules:
+        group = min(1, re.compile(r.pattern).groups)
+        hits = F.when(applies(r, F.col("language"), F.col("path")), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+        found.append(F.transform(hits, _numbered(r.rule_id)))
+    return corpus.select("project_id", "path", F.explode(F.concat(*found)).alias("hit")).select("project_id", "path", "hit.*")
+
+
+def scan_rules(corpus: DataFrame, rules: tuple[Rule, ...] = RULES, context: int = 2) -> DataFrame:
+    """Hits with places: project_id, path, language, category, rule_id, severity, cwe, offset, line, col, match_text, context."""
+    names = ["project_id", "path", "language", "category", "rule_id", "severity", "cwe", "offset", "line", "col", "match_text", "context"]
+    kinds = {c: t for c, t in corpus.dtypes if c in ("project_id", "path", "language")}
+
+    def run(batches):
+        compiled = [(r, re.compile(r.pattern, re.A), tuple(e.lower() for e in r.extensions)) for r in rules]
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for project, path, language, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                rows = None
+                for r, pattern, endings in compiled:
+                    if r.languages and language not in r.languages or endings and not (path or "").lower().endswith(endings):
+                        continue
+                    for m in pattern.finditer(content or ""):
+                        k = 1 if pattern.groups and m[1] is not None else 0
+                        start = m.start(k)
+                        rows = rows or content.split("\n")
+                        line = content.count("\n", 0, start)
+                        col = len(content[content.rfind("\n", 0, start) + 1 : start].encode())
+                        around = "\n".join(f"{i + 1:>5} │ {rows[i]}" for i in range(max(0, line - context), min(len(rows), line + context + 1)))
+                        for c, v in zip(cols, (project, path, language, r.category, r.rule_id, r.severity, r.cwe, len(content[:start].encode()), line + 1, col + 1, m[k], around), strict=True):
+                            c.append(v)
+            types = [batch.column(0).type, *[pa.string()] * 6, *[pa.int64()] * 3, pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    schema = f"project_id {kinds['project_id']}, path string, language string, category string, rule_id string, severity string, cwe string, offset long, line long, col long, match_text string, context string"
+    return corpus.select("project_id", "path", "language", "content").mapInArrow(run, schema)
+
+
+def drop_excluded(hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Hits but those whose text is a known false match of their rule."""
+    known = F.lit(False)
+    for r in rules:
+        if r.excluded:
+            known |= (F.col("rule_id") == r.rule_id) & F.col("match_text").rlike(r.excluded)
+    return hits.where(~known)
+
+
+def drop_superseded(hits: DataFrame, rules: tuple[Rule, ...] = RULES, at: str = "offset") -> DataFrame:
+    """Hits but those of a broad rule where the precise rule has a hit at the same place of the file."""
+    pairs = [(broad, r.rule_id) for r in rules for broad in r.supersedes]
+    precise = hits.where(F.col("rule_id").isin(*{p for _, p in pairs}))
+    broad = F.explode(F.array_compact(F.array(*(F.when(F.col("rule_id") == p, F.lit(b)) for b, p in pairs))))
+    return hits.join(precise.select("project_id", "path", at, broad.alias("rule_id")).distinct(), ["project_id", "path", at, "rule_id"], "left_anti")
+
+
+def secret_values(hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Hits of secret rules with entropy: those under their rule's floor and placeholders go."""
+    floors = {r.rule_id: r.min_entropy for r in rules if r.category == "secrets"}
+    floor = F.lit(None).cast("double")
+    for name, low in floors.items():
+        floor = F.when(F.col("rule_id") == name, F.lit(low).cast("double")).otherwise(floor)
+    own = hits.where(F.col("rule_id").isin(*floors)).withColumn("entropy", F.round(T.shannon_entropy(F.col("match_text")), 6))
+    return own.where((floor.isNull() | (F.col("entropy") >= floor)) & ~T.is_placeholder(F.col("match_text")))
+
+
+def redact(hits: DataFrame, columns: tuple[str, ...] = ("match_text", "context"), most: int = 240) -> DataFrame:
+    """Every secret value of the file is replaced in these columns, longer values first; match_text is cut at most characters.
+
+    A file's values are gathered, so they should be capped first (cap_per_file).
+    """
+    values = hits.where(F.col("category") == "secrets").groupBy("project_id", "path").agg(F.collect_set("match_text").alias("values"))
+    longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
+    x = hits.join(values, ["project_id", "path"], "left").withColumn("values", F.array_sort(F.coalesce("values", F.array().cast("array<string>")), longest))
+    for c in columns:
+        x = x.withColumn(c, F.aggregate("values", F.col(c), lambda acc, v: F.replace(acc, v, F.lit("[redacted]"))))
+    if "match_text" in columns:
+        x = x.withColumn("match_text", F.substring("match_text", 1, most))
+    return x.drop("values")
+
+
+def with_scope(hits: DataFrame) -> DataFrame:
+    decided = T.classify_path(F.col("path"))
+    return hits.withColumn("decided", decided).withColumn("scope", F.col("decided.scope")).withColumn("scope_reason", F.col("decided.reason")).drop("decided")
+
+
+def fingerprint(findings: DataFrame, run: list[str], order: list[str], version: int = 1) -> DataFrame:
+    """findings with fingerprint: the base hash, and ``:n`` after it from its second occurrence in a run on."""
+    base = T.fingerprint_base(version, F.col("category"), F.col("rule_id"), F.col("path"), F.col("context"))
+    nth = F.row_number().over(Window.partitionBy(*run, "base").orderBy(*order)) - 1
+    x = findings.withColumn("base", base).withColumn("nth", nth)
+    return x.withColumn("fingerprint", F.when(F.col("nth") == 0, F.col("base")).otherwise(F.concat_ws(":", "base", "nth"))).drop("base", "nth")
+
+
+def scan_distinct_content(corpus: DataFrame, scan) -> DataFrame:
+    """scan (DataFrame to DataFrame, by path) over one file of each content; its rows for every file that has it."""
+    hashed = corpus.withColumn("content_sha256", F.sha2("content", 256))
+    one = hashed.groupBy("content_sha256", "language").agg(F.min(F.struct("path", "project_id", "content")).alias("x"))
+    hits = scan(one.select("x.project_id", F.concat_ws("|", "content_sha256", "language").alias("path"), "language", "x.content")).withColumnRenamed("path", "key").drop("project_id", "language")
+    files = hashed.select("project_id", "path", "language", F.concat_ws("|", "content_sha256", "language").alias("key"))
+    return files.join(hits, "key").drop("key")
+
+
+def dedupe_revisions(findings: DataFrame, order: list[str]) -> DataFrame:
+    """The first of each (project, rule, path, match) over revisions."""
+    w = Window.partitionBy("project_id", "rule_id", "path", "match_text").orderBy(*order)
+    return findings.withColumn("nth", F.row_number().over(w)).where(F.col("nth") == 1).drop("nth")
+
+
+def cap_per_file(hits: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Hits of files with limit or fewer, and (project_id, path, found) of the files with more, which yield none."""
+    per = hits.groupBy("project_id", "path").agg(F.count("*").alias("found"))
+    over = per.where(F.col("found") > limit)
+    return hits.join(over, ["project_id", "path"], "left_anti"), over
+
+
+def apply_budget(blobs: DataFrame, project: str, order: list[str], size: str, max_blobs: int, max_bytes: int) -> DataFrame:
+    """blobs in order, as far as neither their number nor their bytes pass the budget; truncated tells whether some were left out."""
+    w = Window.partitionBy(project).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = blobs.withColumn("nth", F.count("*").over(w)).withColumn("bytes", F.sum(size).over(w))
+    inside = (F.col("nth") <= max_blobs) & (F.col("bytes") <= max_bytes)
+    x = x.withColumn("inside", inside).withColumn("truncated", F.max((~F.col("inside")).cast("int")).over(Window.partitionBy(project)) == 1)
+    return x.where("inside").drop("inside", "nth")
+
+
+def findings_of(corpus: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The whole scan: hits without false and superseded ones, with scope and fingerprint."""
+    hits = drop_superseded(drop_excluded(scan_rules(corpus, rules), rules), rules)
+    return fingerprint(with_scope(hits), ["project_id"], ["path", "line", "col", "rule_id"])
+
+
+def scan_summary(hits: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts by severity (info is what is left) and the map of rules fired, per keys."""
+    level = T.rank("severity", T.SOURCE_RANK, 1)
+    per = hits.groupBy(*keys).agg(F.count("*").alias("total"), *(F.count_if(level == n).alias(name) for name, n in {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}.items()), F.count_if(F.col("category") == "secrets").alias("secrets"))
+    fired = hits.groupBy(*keys, "rule_id").count().groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "count")))).alias("rules_fired"))
+    return per.join(fired, keys)
