@@ -164,9 +164,9 @@ def with_scope(hits: DataFrame) -> DataFrame:
 def fingerprint(findings: DataFrame, run: list[str], order: list[str], version: int = 1) -> DataFrame:
     """findings with fingerprint: the base hash, and ``:n`` after it from its second occurrence in a run on."""
     base = T.fingerprint_base(version, F.col("category"), F.col("rule_id"), F.col("path"), F.col("context"))
-    nth = F.row_number().over(Window.partitionBy(*run, "base").orderBy(*order)) - 1
-    x = findings.withColumn("base", base).withColumn("nth", nth)
-    return x.withColumn("fingerprint", F.when(F.col("nth") == 0, F.col("base")).otherwise(F.concat_ws(":", "base", "nth"))).drop("base", "nth")
+    nth = F.row_number().over(Window.partitionBy(*run, "_base").orderBy(*order)) - 1
+    x = findings.withColumn("_base", base).withColumn("_nth", nth)
+    return x.withColumn("fingerprint", F.when(F.col("_nth") == 0, F.col("_base")).otherwise(F.concat_ws(":", "_base", "_nth"))).drop("_base", "_nth")
 
 
 def scan_distinct_content(corpus: DataFrame, scan) -> DataFrame:
