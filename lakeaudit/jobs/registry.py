@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeaudit.jobs import queries_advisories, queries_lifecycle, queries_scan
+from lakeaudit.jobs import queries_advisories, queries_composition, queries_lifecycle, queries_scan
 from lakeaudit.jobs.register import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "queries_advisories", "queries_lifecycle", "queries_scan"]
+__all__ = ["ORACLES", "QUERIES", "queries_advisories", "queries_composition", "queries_lifecycle", "queries_scan"]
