@@ -6,12 +6,22 @@ rows. ``oracle(query, *views)`` puts the views that a query names before it.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DIRS = ("src", "tests", "vendor", "docs", "fixtures", "workflows", "dist", "lib")
 LANGUAGES = {"en": ("python", ".py"), "fr": ("javascript", ".js"), "de": ("java", ".java"), "es": ("go", ".go")}
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the session's shared checkpoint folder and read it there; a temporary folder only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
@@ -43,7 +53,10 @@ def oracle(query: str, *names: str) -> str:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_id, path, language, content of each document as a source file."""
-    d = table(spark, sf_dir, "documents")
+    return corpus_of(table(spark, sf_dir, "documents"))
+
+
+def corpus_of(d: DataFrame) -> DataFrame:
     pick = lambda k, other: F.coalesce(F.create_map(*(F.lit(x) for lang, v in LANGUAGES.items() for x in (lang, v[k])))[F.col("lang")], F.lit(other))
     folder = F.element_at(F.array(*map(F.lit, DIRS)), (F.col("doc_id") % 8 + 1).cast("int"))
     return d.select(F.col("source").alias("project_id"), F.concat("source", F.lit("/"), folder, F.lit("/"), F.col("doc_id").cast("string"), pick(1, ".txt")).alias("path"), pick(0, "text").alias("language"), F.coalesce("text", F.lit("")).alias("content"))
