@@ -9,8 +9,8 @@ set aside. Rarity is one global order, from counts over all documents: shingles
 last. Any order gives the same links; this one keeps short lists short.
 
 1. The short lists are merged in Spark: a sort-merge join by shingle and a count by pair.
-2. Pairs with enough occurrences probe the set-aside lists: a binary search of one document's shingles in the other's
-   sorted set, in chunks, which ends when the required overlap is out of reach.
+2. Pairs with enough occurrences, and whose parity bits leave a link possible, probe the set-aside lists: a binary
+   search of one document's shingles in the other's sorted set, in chunks, which ends when the overlap is out of reach.
 3. A list of more than ``longest`` documents, which only a large group of near copies has under this order, is never
    paired off. Its documents are first probed against one of them, the hub. Those linked with it are connected already;
    the others are compared, in pairs of bounded blocks, with each other and with the linked ones. A block gives back a
@@ -37,6 +37,7 @@ from lakeaudit.llm.secret_links import numbered
 from lakeaudit.llm.spark import by_slice, cut, table
 
 HINTS = 500_000  #: common shingles that are broadcast for the order, the most counted first
+BROADCAST_IDS = 1_000_000
 BLOCK_SHINGLES = 1 << 18
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
@@ -107,40 +108,64 @@ def short_lists(docs: DataFrame, size: int, division: Division, hints: tuple[np.
     return docs.select("rid", "id", "text").mapInArrow(by_slice(make), f"rid long, id {id_type}, n long, s1 long, s2 long, short array<long>")
 
 
+def parity(keys: np.ndarray) -> np.ndarray:
+    """One bit for each of 2 ** k residues, 64 or as many as keys: whether an odd number of keys falls there."""
+    bits = max(64, 1 << max(0, len(keys) - 1).bit_length())
+    return np.packbits(np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
+    """rid, n, shingles (sorted) and their parity bits."""
+
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, bounds = shingle_sets(batch.column(1), size)
-        return pa.RecordBatch.from_arrays([batch.column(0), _lists(sets, bounds)], ["rid", "shingles"])
+        bits = [parity(sets[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        odd = _lists(np.concatenate([*bits, np.zeros(0, np.int64)]), np.concatenate([[0], np.cumsum([len(b) for b in bits], dtype=np.int64)]))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), _lists(sets, bounds), odd], ["rid", "n", "shingles", "odd"])
+
+    return docs.select("rid", "text").mapInArrow(by_slice(make), "rid long, n long, shingles array<long>, odd array<long>")
+
+
+def required(a: int, b: int, percent: int) -> int:
+    """The overlap that links sets of these sizes."""
+    return -(-percent * (a + b) // (100 + percent))
+
 
-    return docs.select("rid", "text").mapInArrow(by_slice(make), "rid long, shingles array<long>")
+def may_link(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
+    """Whether parity bits leave a link possible: each differing bit stands for a shingle that one set lacks."""
+    while len(a) > len(b):
+        a = a.reshape(2, -1)
+        a = a[0] ^ a[1]
+    while len(b) > len(a):
+        b = b.reshape(2, -1)
+        b = b[0] ^ b[1]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= n_a + n_b - 2 * required(n_a, n_b, percent)
 
 
 def probe(a: np.ndarray, b: np.ndarray, percent: int, chunk: int = 512) -> bool:
     """Whether two sorted sets overlap enough: binary searches of a's shingles in b, until that is out of reach."""
-    required = -(-percent * (len(a) + len(b)) // (100 + percent))
-    found = 0
+    least, found = required(len(a), len(b), percent), 0
     for lo in range(0, len(a), chunk):
         part = a[lo : lo + chunk]
         at = np.searchsorted(b, part)
         found += int((b[np.minimum(at, len(b) - 1)] == part).sum())
-        if found + len(a) - lo - len(part) < required:
+        if found + len(a) - lo - len(part) < least:
             return False
-    return found >= required
+    return found >= least
 
 
-def probe_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Run at once, in small Arrow batches, as sets may be long."""
+def _pairs_where(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) whose rows of sets pass test(values, n, values, n). Run at once, in small Arrow batches, as sets may be long."""
 
     def run(batches):
         for batch in batches:
-            x, y = (batch.column(i).combine_chunks() if isinstance(batch.column(i), pa.ChunkedArray) else batch.column(i) for i in (2, 3))
-            xv, yv = (c.values.to_numpy(zero_copy_only=False).view(np.uint64) for c in (x, y))
-            xo, yo = x.offsets.to_numpy(), y.offsets.to_numpy()
-            ok = [probe(xv[xo[i] : xo[i + 1]], yv[yo[i] : yo[i + 1]], percent) for i in range(len(x))]
+            (xv, xo), (yv, yo) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(4), batch.column(5)))
+            m, n = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = [test(xv[xo[i] : xo[i + 1]], m[i], yv[yo[i] : yo[i + 1]], n[i]) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    left, right = (sets.select(F.col("rid").alias(k), F.col("shingles").alias(f"{k}_shingles")) for k in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_shingles", "b_shingles")
+    left, right = (sets.select(F.col("rid").alias(k), F.col("n").alias(f"n_{k}"), F.col(column).alias(f"{k}_values")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "a_values", "b_values")
     conf, key = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     rows = conf.get(key)
     conf.set(key, "64")
@@ -150,6 +175,17 @@ def probe_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         conf.set(key, rows)
 
 
+def probe_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link: parity bits rule most others out before whole sets are brought together."""
+    near = _pairs_where(pairs, sets, "odd", lambda a, m, b, n: may_link(a, m, b, n, percent))
+    return _pairs_where(near, sets, "shingles", lambda a, m, b, n: probe(a.view(np.uint64), b.view(np.uint64), percent))
+
+
+def rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """df's rows whose rid is in ids (distinct): by a broadcast where ids are few, as counted, else by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", "left_semi")
+
+
 def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     """Of the links between n nodes, enough to connect what they connect."""
     root, out = list(range(n)), []
@@ -227,12 +263,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes = cut(rows.where(F.col("n") > 0).groupBy(*key).agg(F.min("rid").alias("rep"), F.min(name).alias("name"), F.count("*").alias("copies")))
     reps = classes.select(F.col("rep").alias("rid"))
     # Common shingles, as counted over every class's rarest by hash; the order they give is only a hint.
-    counted = rows.join(reps, "rid", "left_semi").select(F.explode("short").alias("shingle")).groupBy("shingle").count().where(F.col("count") > common)
+    counted = rows_of(rows, reps).select(F.explode("short").alias("shingle")).groupBy("shingle").count().where(F.col("count") > common)
     hints = counted.orderBy(F.desc("count"), "shingle").limit(HINTS).toPandas()
     tokens = hints["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    postings = short_lists(own, size, division, (tokens[order], hints["count"].to_numpy()[order])).select("rid", "n", "short").join(reps, "rid", "left_semi")
-    postings = cut(postings.select(F.explode("short").alias("shingle"), "rid", F.col("n").cast("int").alias("n")))
+    short = short_lists(own, size, division, (tokens[order], hints["count"].to_numpy()[order])).select("rid", "n", "short")
+    postings = cut(rows_of(short, reps)).select(F.explode("short").alias("shingle"), "rid", F.col("n").cast("int").alias("n"))
     per_list = postings.groupBy("shingle").agg(F.count("*").alias("m"), F.min("rid").alias("hub")).where(F.col("m") > 1)
     shared = cut(postings.join(per_list, "shingle"))
     short = shared.where(F.col("m") <= longest).select("shingle", "rid", "n")
@@ -243,8 +279,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # A pair that shares both short and long lists may have too few short ones: it counts as a pair of the hub's group.
     stars = groups.where(F.col("rid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rid").alias("b"))
     pairs = cut(pairs.unionByName(stars).distinct())
-    wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-    sets = cut(whole_sets(own.select("rid", "text").join(wanted, "rid", "left_semi"), size))
+    wanted = cut(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct())
+    sets = cut(whole_sets(rows_of(own.select("rid", "text"), wanted), size))
     links = probe_pairs(pairs, sets, percent)
     if not groups.isEmpty():
         links = links.unionByName(long_list_links(groups, sets, links, percent))
