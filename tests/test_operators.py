@@ -1,0 +1,176 @@
+"""Rules that the registered queries' data doesn't reach: paths, entropies, licences, ranges, readers, writers, streams."""
+
+import hashlib
+import json
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakeaudit.functions import licenses as N
+from lakeaudit.functions import text as T
+from lakeaudit.functions import versions as V
+from lakeaudit.operators import advisories as D
+from lakeaudit.operators import lifecycle as L
+from lakeaudit.operators import quality as Q
+from lakeaudit.operators import scan as S
+from lakeaudit.operators import templates as M
+from lakeaudit.sinks import reports as R
+from lakeaudit.sources import readers
+from lakeaudit.streaming import audit as U
+
+PATHS = [
+    ("src/app.py", "production"), ("node_modules/x/test/a.js", "vendored"), ("tests/fixtures/a.py", "fixture"), ("pkg/a_test.go", "test"), ("web/app.spec.ts", "test"), ("dist/app.min.js", "generated"), ("build/a.c", "generated"),
+    ("docs/readme.md", "documentation"), ("test/nginx.conf", "infrastructure"), ("k8s/app.yaml", "infrastructure"), ("app/config.yml", "production"), (".github/workflows/ci.yml", "infrastructure"), ("deploy/my-service.yml", "infrastructure"),
+    ("infra/main.tf", "infrastructure"), ("../x.py", "unknown"), ("", "unknown"), ("a\\tests\\b.py", "test"), ("tests", "production"), (".gitlab-ci.yml", "production"),
+]
+
+
+def test_classify_path(spark):
+    rows = spark.createDataFrame(PATHS, "p string, want string").select("p", "want", T.classify_path(F.col("p"))["scope"].alias("got")).collect()
+    assert {r.p: r.got for r in rows if r.p != ".gitlab-ci.yml"} == {p: w for p, w in PATHS if p != ".gitlab-ci.yml"}
+
+
+def test_entropy_and_placeholders(spark):
+    texts = ["abcdefghijklmnopqrstuvwxyz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "", "aaaa"]
+    got = [r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.shannon_entropy(F.col("t")).alias("e")).collect()]
+    assert got[0] == pytest.approx(4.70044, abs=1e-4) and got[1] > 4 and got[2:] == [0.0, 0.0]
+    flags = spark.createDataFrame([("changeme",), ("yourpassword123",), ("correcthorsebatterystaple",)], "t string").select(T.is_placeholder(F.col("t")).alias("p")).collect()
+    assert [r.p for r in flags] == [True, True, False]
+
+
+def test_fingerprint_bytes(spark):
+    fields = ["1", "source", "räl", "a/b.py", "x = 1\ny"]
+    raw = b"".join(struct.pack(">Q", len(f.encode())) + f.encode() for f in fields)
+    df = spark.createDataFrame([("source", "räl", "a\\b.py", "   12 │   x = 1  \r\n   13 │ y\r\n")], "category string, rule_id string, path string, context string")
+    got = df.select(T.fingerprint_base(1, F.col("category"), F.col("rule_id"), F.col("path"), F.col("context")).alias("f")).first().f
+    assert got == hashlib.sha256(raw).hexdigest()
+
+
+def test_scan_places_are_bytes(spark):
+    text = 'é\nü password = "Zx9!Zx9!aa"\nlast'
+    corpus = spark.createDataFrame([("p", "src/a.py", "python", text)], "project_id string, path string, language string, content string")
+    hits = {r.rule_id: r for r in S.drop_superseded(S.scan_rules(corpus)).collect()}
+    h = hits["hardcoded-token"]
+    assert h.match_text == "Zx9!Zx9!aa" and h.line == 2 and h.offset == len('é\nü password = "'.encode()) and h.col == len('ü password = "'.encode()) + 1
+    assert "assigned-string" not in hits and "    2 │ ü password" in h.context
+    assert S.validate_rules(S.rule_table(spark)).count() == 0
+    assert {r.problem for r in S.validate_rules(S.rule_table(spark, (S.RULES[0], S.RULES[0], S.Rule("", "", "odd")))).collect()} == {"repeated id", "blank id", "blank pattern", "unknown severity"}
+
+
+@pytest.mark.parametrize(
+    ("text", "category", "complete", "verdict"),
+    [
+        ("MIT", "permissive", True, "allow"), ("MIT OR GPL-3.0-only", "permissive", True, "allow"), ("MIT AND GPL-3.0", "strong-copyleft", True, "deny"), ("MIT/Apache-2.0", "permissive", True, "allow"), ("(MIT OR X) AND MPL-2.0", "weak-copyleft", False, "warn"),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", "weak-copyleft", True, "deny"), ("Nonesuch", "unknown", False, "warn"), ("MIT AND", "unknown", False, "warn"), (None, None, False, "warn"), ("AGPL-3.0-only OR MIT", "permissive", True, "allow"),
+    ],
+)
+def test_licenses(text, category, complete, verdict):
+    tree = N.parse(text)
+    assert N.category(tree) == category and N.complete(tree) == complete
+    assert N.verdict(tree, {"deny": ["strong-copyleft", "gpl-2.0-only"], "warn": ["weak-copyleft"], "unknown": "warn"}) == verdict
+
+
+def test_match_advisories_keeps_undetermined(spark):
+    deps = spark.createDataFrame([("Debian:12", "x", "1.0-1", "registry", False), ("npm", "Y", "odd!", "registry", False), ("npm", "y", "1.5.0", "git", False), ("PyPI", "A_b", "1.0", None, None)], "ecosystem string, name string, version string, source string, local_workspace boolean")
+    e = [("0", None, None, None), (None, "2.0", None, None)]
+    adv = spark.createDataFrame(
+        [("D1", "Debian", "x", None, [], [("ECOSYSTEM", e)]), ("N1", "npm", "y", None, [], [("SEMVER", [("0.5.0", None, None, None)]), ("GIT", [("0", None, None, None)])]), ("P1", "PyPI", "a-B", None, ["1.0"], []), ("P2", "PyPI", "a.b", "2024", ["1.0"], []), ("D2", "Debian:11", "x", None, [], [("ECOSYSTEM", e)])],
+        "id string, ecosystem string, package string, withdrawn string, versions array<string>, ranges array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>>>",
+    )
+    got = {(r.advisory_id, r.verdict) for r in D.match_advisories(deps, adv).collect()}
+    assert got == {("D1", "affected"), ("N1", "undetermined"), ("P1", "affected")}
+
+
+def test_version_satisfies(spark):
+    df = spark.createDataFrame([("1.2.3",), ("2.0.0",), ("0.3.1",), ("x",)], "v string")
+    ok = lambda c: [r.ok for r in df.select(V.version_satisfies(F.col("v"), c).alias("ok")).collect()]
+    assert ok("^1.2") == [True, False, False, None] and ok("~0.3.0") == [False, False, True, None] and ok("<1 || >=2, !=2.1") == [False, True, True, None] and ok("*") == [True, True, True, None]
+    with pytest.raises(ValueError):
+        ok(">>1")
+
+
+def test_compare_runs_needs_coverage(spark):
+    f = spark.createDataFrame([(1, 1, "a", "r", "low", "source", "x.py"), (1, 1, "b", "r", "low", "source", "y.py"), (1, 1, "c", "r", "low", "source", "z.py"), (2, 1, "a", "r", "low", "source", "x.py"), (2, 1, "d", "r", "low", "source", "x.py")], "run_id long, fingerprint_version int, fingerprint string, rule_id string, severity string, category string, path string")
+    pairs = spark.createDataFrame([(2, 1)], "run_id long, baseline_run_id long")
+    cov = spark.createDataFrame([(2, "y.py", "source")], "run_id long, path string, family string")
+    assert {r.fingerprint: r.diff_status for r in L.compare_runs(pairs, f, cov).collect()} == {"a": "unchanged", "d": "new", "b": "resolved", "c": "notEvaluated"}
+
+
+def test_paths_stop_at_cycles(spark):
+    e = spark.createDataFrame([("p", "a", "b"), ("p", "b", "a"), ("p", "b", "c"), ("p", "a", "c")], "project string, parent string, child string")
+    got = {(r.node, "/".join(r.chain)) for r in Q.dependency_paths(e, spark.createDataFrame([("p", "a")], "project string, node string"), lambda d: d).collect()}
+    assert got == {("a", "a"), ("b", "a/b"), ("c", "a/c"), ("c", "a/b/c")}
+
+
+def test_utf16_strings(spark):
+    raw = b"\x01plain text\x00\x02" + "wide".encode("utf-16-le") + b"\xff"
+    df = spark.createDataFrame([(1, bytearray(raw))], "id int, content binary")
+    assert M.extract_strings(df, "id").first().strings == "plain text\nwide"
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("x = 1\n")
+    (tmp_path / "src/b.bin").write_bytes(b"\x00\x01")
+    (tmp_path / "src/c.txt").write_bytes(b"ok \xff")
+    got = {r.path.rsplit("/", 1)[1]: r for r in readers.read_corpus(spark, str(tmp_path / "src"), "p").collect()}
+    assert set(got) == {"a.py", "c.txt"} and got["a.py"].language == "python" and got["c.txt"].content == "ok �"
+    (tmp_path / "adv").mkdir()
+    (tmp_path / "adv/A-1.json").write_text(json.dumps({"id": "A-1", "modified": "2024-01-01T00:00:00Z", "affected": [{"package": {"ecosystem": "npm", "name": "x"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "0"}, {"fixed": "2.0.0"}]}]}]}))
+    a = readers.read_advisories(spark, str(tmp_path / "adv")).collect()
+    assert len(a) == 1 and a[0].ranges[0].events[1].fixed == "2.0.0"
+    (tmp_path / "kev.json").write_text(json.dumps({"vulnerabilities": [{"cveID": " cve-2020-1 ", "knownRansomwareCampaignUse": "Known"}, {"cveID": "CVE-2020-2", "knownRansomwareCampaignUse": "Unknown", "cwes": ["CWE-1"]}]}))
+    assert {(r.cve, r.ransomware, len(r.cwes)) for r in readers.read_kev(spark, str(tmp_path / "kev.json")).collect()} == {("CVE-2020-1", True, 0), ("CVE-2020-2", False, 1)}
+    (tmp_path / "epss.json").write_text(json.dumps({"data": [{"cve": "CVE-1", "epss": "0.5"}, {"cve": "CVE-2", "epss": None}]}))
+    assert [(r.cve, r.epss, r.epss_percentile) for r in readers.read_epss(spark, str(tmp_path / "epss.json")).collect()] == [("CVE-1", 0.5, 0.0)]
+    (tmp_path / "x.csv").write_text("id,file,codes\n1,a,CVE-2021-1234;CVE-2021-99999\n2,cve-2021-1234,\n")
+    assert {r.cve for r in readers.read_exploit_index(spark, str(tmp_path / "x.csv")).collect()} == {"CVE-2021-1234", "CVE-2021-99999"}
+
+
+def test_lockfiles_and_packages(spark):
+    rows = [
+        ("a/package-lock.json", json.dumps({"packages": {"": {"version": "1"}, "node_modules/@s/x": {"version": "1.0.0"}, "node_modules/l": {"link": True}}})),
+        ("b/package-lock.json", json.dumps({"dependencies": {"p": {"version": "1", "dependencies": {"q": {"version": "git+ssh://x"}}}}})),
+        ("Pipfile.lock", json.dumps({"default": {"flask": {"version": "==2.0"}}})), ("composer.lock", json.dumps({"packages": [{"name": "v/p", "version": "1.1"}]})),
+        ("packages.lock.json", json.dumps({"dependencies": {"net6": {"Json": {"type": "Direct", "resolved": "13.0"}, "own": {"type": "Project"}}}})),
+        ("Cargo.lock", '[[package]]\nname = "serde"\nversion = "1.0"\nsource = "registry+x"\n\n[[package]]\nname = "me"\nversion = "0.1"\n'), ("requirements-dev.txt", "Django==4.2 ; x\n# c\nnope>=1\n"), ("gradle.lockfile", "# c\norg.a:b:1.2=compile\nempty=\n"),
+        ("var/lib/dpkg/status", "Package: a\nStatus: install ok installed\nVersion: 1\nSource: src (2)\n\nPackage: b\nStatus: deinstall ok config-files\nVersion: 1\n"), ("lib/apk/db/installed", "P:musl\nV:1.2\no:musl\n\n"),
+    ]
+    corpus = spark.createDataFrame(rows, "path string, content string")
+    got = {(r.ecosystem, r.name, r.version, r.source) for r in readers.inventory_from_lockfiles(corpus).collect()}
+    assert got == {("npm", "@s/x", "1.0.0", "registry"), ("npm", "p", "1", "registry"), ("npm", "q", "git+ssh://x", "git"), ("PyPI", "flask", "2.0", "registry"), ("Packagist", "v/p", "1.1", "registry"), ("NuGet", "Json", "13.0", "registry"), ("crates.io", "serde", "1.0", "registry"), ("crates.io", "me", "0.1", "local"), ("PyPI", "Django", "4.2", "registry"), ("Maven", "org.a:b", "1.2", "registry")}
+    assert {(r.ecosystem, r.name, r.version, r.source_name) for r in readers.inventory_from_os_packages(corpus).collect()} == {("Debian", "a", "1", "src"), ("Alpine", "musl", "1.2", "musl")}
+
+
+def test_sbom_claims_and_releases(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"metadata": {"component": {"bom-ref": "r", "name": "Root", "version": "1"}}, "components": [{"bom-ref": "a", "name": "A", "version": "1", "purl": "pkg:a@1", "components": [{"bom-ref": "b", "name": "B", "version": "2"}]}, {"bom-ref": "b", "name": "C"}], "dependencies": [{"ref": "a", "dependsOn": ["r"]}, {"ref": "b", "dependsOn": ["a"]}]}))
+    got = {(r.name, r.key, tuple(r.depends_on or ())) for r in readers.read_sbom(spark, str(tmp_path / "s.json")).collect()}
+    assert got == {("Root", "root\x001", ()), ("A", "pkg:a@1", ("r",)), ("B", "b\x002", ()), ("C", "c\x00", ())}
+    (tmp_path / "v.json").write_text(json.dumps({"statements": [{"vulnerability": {"name": "CVE-1"}, "products": [{"@id": "pkg:a@1"}], "status": "not_affected"}, {"vulnerability": {"name": "CVE-2"}, "products": [{"@id": "pkg:a@1"}], "status": "not_affected", "justification": "x"}]}))
+    assert {(r.vulnerability_id, r.mapped) for r in readers.read_claims(spark, str(tmp_path / "v.json")).collect()} == {("CVE-1", False), ("CVE-2", True)}
+    (tmp_path / "r.json").write_text(json.dumps({"packageKey": {"system": "npm", "name": "x"}, "versions": [{"versionKey": {"version": "1.0"}, "publishedAt": "2024-01-01T00:00:00Z", "isDefault": True}, {"versionKey": {"version": "0.9"}, "publishedAt": "soon"}]}))
+    assert {(r.version, r.published_at is None, r.is_default) for r in readers.read_release_index(spark, str(tmp_path / "r.json")).collect()} == {("1.0", False, True), ("0.9", True, False)}
+
+
+def test_write_run_replaces_one_run(spark, tmp_path):
+    df = spark.createDataFrame([("p", 1, "a"), ("p", 2, "b")], "project_id string, run_id int, x string")
+    R.write_run(df, str(tmp_path / "f"))
+    R.write_run(spark.createDataFrame([("p", 2, "c")], df.schema), str(tmp_path / "f"))
+    assert {(r.run_id, r.x) for r in spark.read.parquet(str(tmp_path / "f")).collect()} == {(1, "a"), (2, "c")}
+
+
+def test_ticket_csv_and_stream_monitor(spark, tmp_path):
+    f = spark.createDataFrame([("r", "a,b.py", 3, "high", "source")], "rule_id string, path string, line int, severity string, category string")
+    R.write_ticket_csv(f, "github", str(tmp_path / "t"))
+    body = b"".join(p.read_bytes() for p in (tmp_path / "t/rows").glob("part-*"))
+    assert body == b'"r in a,b.py","a,b.py:3",priority:high\r\n'
+    inv = spark.createDataFrame([(1, "npm", "x", "1.0.0", "registry", False)], "run_id long, ecosystem string, name string, version string, source string, local_workspace boolean")
+    schema = "id string, ecosystem string, package string, withdrawn string, aliases array<string>, versions array<string>, ranges array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>>>"
+    spark.createDataFrame([("A", "npm", "x", None, ["CVE-1"], ["1.0.0"], [])], schema).write.parquet(str(tmp_path / "adv"))
+    out = str(tmp_path / "out")
+    spark.createDataFrame([], "run_id long, ecosystem string, name string, version string, reported_id string").write.parquet(out)
+    write = lambda d: d.select("run_id", "ecosystem", "name", "version", F.col("advisory_id").alias("reported_id")).write.mode("append").parquet(out)
+    for k in range(2):
+        U.stream_monitor(spark.readStream.schema(schema).parquet(str(tmp_path / "adv")), inv, lambda: spark.read.parquet(out), write, str(tmp_path / f"c{k}")).awaitTermination()
+    assert spark.read.parquet(out).count() == 1
