@@ -8,7 +8,7 @@ vectors whose sum and what bounds remain can still compete. The shards' best are
 Queries are dealt to blocks and vectors to shards, both of bounded size; a task gets one block and one shard. So every
 query meets every vector, and no task or broadcast grows with the data.
 
-Components become floor(1024 * x), x as double, held within +-2**30. Vectors null, empty or holding a null or non-finite
+Components become floor(1024 * x), x as double, held within +-2**28, so that sums of 64 products and more fit in 64 bits. Vectors null, empty or holding a null or non-finite
 component, and rows without an id, take no part. A shorter vector counts as 0 where it ends. Rows with the query's own
 id are no candidates of it; other repeated rows are candidates each on their own, and a repeated query row is a query
 of its own.
@@ -26,6 +26,7 @@ from lakeaudit.llm.spark import table
 
 EXACT = 2.0**53
 CHUNK = 1024
+LIMIT = 1 << 28
 
 
 def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,8 +45,7 @@ def max_score(query: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     terms = np.argsort(-np.abs(bound).mean(0), kind="stable")
     query, x, bound = np.ascontiguousarray(query[:, terms]), np.ascontiguousarray(x[:, terms]), bound[:, terms]
     rest = np.concatenate([np.cumsum(bound[:, ::-1], axis=1)[:, ::-1], np.zeros((len(query), 1), bound.dtype)], axis=1)
-    least = np.iinfo(np.int64).min // 4
-    floor = np.full(len(query), least, np.float64)
+    floor = np.full(len(query), np.iinfo(np.int64).min // 4, x.dtype)
     got = (np.zeros(0, np.int64), np.zeros(0, x.dtype), np.zeros(0, np.int64))
     for a in range(0, len(x), CHUNK):
         part, own = x[a : a + CHUNK], ids[a : a + CHUNK]
@@ -84,7 +84,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """query_id, rank (from 1), id, score for every row of which is_query holds."""
     whole = vectors.where(F.col(id_col).isNotNull() & (F.size(vec_col) > 0))
     whole = whole.where(~F.exists(vec_col, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))))
-    limit = F.lit(float(1 << 30))
+    limit = F.lit(float(LIMIT))
     whole = whole.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.least(limit, F.greatest(-limit, F.floor(x.cast("double") * scale).cast("double"))).cast("long")).alias("v"), is_query.alias("asks"))
     counts = whole.agg(F.count("*"), F.count_if("asks")).first()
     shards, blocks = max(1, -(-counts[0] // shard_rows)), max(1, -(-counts[1] // block_rows))
