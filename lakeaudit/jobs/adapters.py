@@ -45,6 +45,8 @@ def oracle(query: str, *names: str) -> str:
     for n in names:
         need(n)
     own = query.strip()
+    if not order:
+        return own
     ctes = ", ".join(f"{n} AS ({VIEWS[n][0]})" for n in order)
     if own[:5].upper() == "WITH ":
         return f"WITH {ctes}, {own[5:]}"

@@ -156,3 +156,15 @@ def finding_blobs(spark, sf_dir) -> DataFrame:
     links = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("finding_id"), F.col("l_partkey").alias("blob_id"))
     blobs = A.table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("blob_id"), F.col("p_name").alias("blob"))
     return L.finding_blobs(findings, links, blobs).select("finding_id", "blob_id", "blob")
+
+
+_SUPPRESSED = [(1, "rule-1", "src/**", "suppressed"), (2, "rule-1", "f1?.py", "accepted"), (3, "rule-2", "/other/*.py", "suppressed"), (4, "rule-3", "*.py", "falsePositive")]
+
+
+@query("apply_finding_policy", A.oracle("""SELECT run_id, number, path, coalesce(l.state, e.state, CASE WHEN rule_id = 'rule-1' AND regexp_matches(path, '/f1.\\.py$') THEN 'accepted' WHEN rule_id = 'rule-1' THEN 'suppressed' WHEN rule_id = 'rule-3' THEN 'falsePositive' END, 'candidate') AS state, CASE WHEN l.state IS NOT NULL THEN 'local' WHEN e.state IS NOT NULL OR rule_id IN ('rule-1', 'rule-3') THEN 'projectPolicy' END AS origin FROM findings JOIN runs USING (run_id)
+  LEFT JOIN (SELECT c_custkey AS project_id, 'fp' || (c_custkey % 23) AS fingerprint, 'confirmed' AS state FROM customer WHERE c_custkey % 2 = 0) l USING (project_id, fingerprint) LEFT JOIN (SELECT 'fp' || (s_suppkey % 9) AS fingerprint, arg_min('state' || (s_suppkey % 5), s_suppkey) AS state FROM supplier WHERE s_suppkey % 4 <> 0 GROUP BY 1) e USING (fingerprint)""", "findings", "runs"))
+def apply_finding_policy(spark, sf_dir) -> DataFrame:
+    f = A.findings(spark, sf_dir).join(A.runs(spark, sf_dir).select("run_id", "project_id"), "run_id")
+    reviews = A.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey AS project_id", "concat('fp', c_custkey % 23) AS fingerprint", "'confirmed' AS state")
+    entries = A.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS position", "concat('fp', s_suppkey % 9) AS fingerprint", "concat('state', s_suppkey % 5) AS state", "CASE WHEN s_suppkey % 4 = 0 THEN timestamp '2020-01-01' END AS expires_at")
+    return L.apply_finding_policy(f, reviews, entries, _SUPPRESSED, F.lit("2024-01-01").cast("timestamp")).select("run_id", "number", "path", "state", "origin")

@@ -163,3 +163,36 @@ def reconcile_ids(expected: DataFrame, observed: DataFrame, key: str = "id") ->
 def finding_blobs(findings: DataFrame, links: DataFrame, blobs: DataFrame) -> DataFrame:
     """Each finding's linked blobs; a link whose blob is missing keeps a null one."""
     return findings.join(links, "finding_id").join(blobs, "blob_id", "left")
+
+
+def glob_regex(pattern: str) -> str:
+    """A gitignore-style pattern as a regular expression over whole paths: one with an inner slash starts at the root, ``**`` crosses folders, a folder holds what is under it."""
+    body = pattern.strip("/")
+    out, i = "", 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            c = body[i]
+            out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r".+()[]{}^$|\\" else c
+            i += 1
+    start = "^" if pattern.startswith("/") or "/" in pattern.rstrip("/") else "(?:^|.*/)"
+    return f"{start}{out}(?:/.*)?$"
+
+
+def apply_finding_policy(findings: DataFrame, reviews: DataFrame, entries: DataFrame, suppressions: list[tuple[int, str, str, str]], now: Column) -> DataFrame:
+    """findings with state and origin: the local active review, else the first unexpired entry of the fingerprint, else the last suppression of the rule whose pattern finds the path, else candidate.
+
+    reviews: project_id, fingerprint, state (local and active). entries: position, fingerprint, state, expires_at.
+    suppressions: position, rule_id, path pattern, state; unexpired ones, as the policy file lists them.
+    """
+    live = entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    first = live.groupBy("fingerprint").agg(F.min_by("state", "position").alias("_entry"))
+    last = F.lit(None).cast("string")
+    for _, rule, pattern, state in sorted(suppressions):
+        last = F.when((F.col("rule_id") == rule) & F.col("path").rlike(glob_regex(pattern)), state).otherwise(last)
+    x = findings.join(reviews.select("project_id", "fingerprint", F.col("state").alias("_local")), ["project_id", "fingerprint"], "left").join(first, "fingerprint", "left").withColumn("_last", last)
+    origin = F.when(F.col("_local").isNotNull(), "local").when(F.coalesce("_entry", "_last").isNotNull(), "projectPolicy")
+    return x.withColumn("state", F.coalesce("_local", "_entry", "_last", F.lit("candidate"))).withColumn("origin", origin).drop("_local", "_entry", "_last")
