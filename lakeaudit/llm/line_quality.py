@@ -4,7 +4,7 @@ A line fails as
 - repeat: it has a word and equals an earlier line of its document;
 - markup: more than max_symbols of its characters are one of ``#*$%&|<>``;
 - shouting: at least 4 words, most of whose letters are capitals, or most of whose ends are exclamation marks;
-- navigation: 3 or more vertical bars or bullets, or no final punctuation on a line of at most 3 words that
+- navigation: 3 or more vertical bars, or no final punctuation on a line of at most 3 words that
   stands beside another such line;
 - boilerplate: it holds a stock phrase and has at most 40 words.
 A document is kept if the base rules pass and the lines that stay hold at least min_left of its words.
@@ -36,7 +36,7 @@ def _table(chars: bytes) -> np.ndarray:
     return out
 
 
-_SYMBOL, _FINAL, _BAR = _table(SYMBOLS), _table(FINAL), _table(b"|\x95")
+_SYMBOL, _FINAL, _BAR = _table(SYMBOLS), _table(FINAL), _table(b"|")
 _CAPITAL, _LETTER = _table(bytes(range(65, 91))), _table(bytes([*range(65, 91), *range(97, 123)]))
 
 
@@ -115,3 +115,25 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_STOCK = " OR ".join(f"contains(low, '{p.decode()}')" for p in PHRASES)
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, ws, len(ws) AS n_words FROM (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS ws FROM d)),
+runs AS (SELECT doc_id, unnest(range(1, n_words - 6)) AS i, ws FROM w WHERE n_words >= 8),
+keyed AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS run FROM runs),
+hit AS (SELECT doc_id, i FROM keyed QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM hit, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS n FROM d WHERE text <> ''),
+l1 AS (SELECT doc_id, line, k, regexp_extract_all(line, '{_WORDS}') AS ws, length(line) + CASE WHEN k < n THEN 1 ELSE 0 END AS chars, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+  len(ws) AS nw, len(regexp_extract_all(line, '[A-Za-z]')) AS letters, len(regexp_extract_all(line, '[A-Z]')) AS capitals, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|]')) AS bars FROM l0),
+l2 AS (SELECT *, nw BETWEEN 1 AND 3 AND NOT contains('.!?:;"'')]}}', right(ws[nw], 1)) AS short, nw > 0 AND row_number() OVER (PARTITION BY doc_id, line, nw > 0 ORDER BY k) > 1 AS dup FROM l1),
+l3 AS (SELECT *, short AND (coalesce(lag(short) OVER (PARTITION BY doc_id ORDER BY k), FALSE) OR coalesce(lead(short) OVER (PARTITION BY doc_id ORDER BY k), FALSE)) AS beside FROM l2),
+l4 AS (SELECT doc_id, nw, dup, dup OR symbols > 0.1 * greatest(chars, 1) OR (nw >= 4 AND (2 * capitals > letters OR 2 * len(list_filter(ws, lambda x: ends_with(x, '!'))) > nw)) OR bars >= 3 OR beside OR (nw <= 40 AND ({_STOCK})) AS failed FROM l3 WHERE nw > 0 OR line <> '' OR chars > 0),
+lines AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, sum(nw) FILTER (NOT failed) AS n_left, count(*) FILTER (failed) AS n_failed FROM l4 GROUP BY doc_id),
+x AS (SELECT doc_id, n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_left, 0) AS n_words_left, coalesce(n_failed, 0) AS n_failed_lines FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words_left >= 0.5 * n_words AS kept, n_words_left, n_failed_lines FROM x
+"""

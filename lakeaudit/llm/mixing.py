@@ -171,3 +171,22 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_WEIGHT = "CASE (rank % 3) WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END"
+OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s0 AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+s1 AS (SELECT *, CAST({_WEIGHT} AS DOUBLE) AS weight, CAST(2.0 AS DOUBLE) * source_size AS bound, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS total FROM s0),
+s2 AS (SELECT *, (total - coalesce(sum(bound) OVER (ORDER BY bound / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY bound / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s1),
+s3 AS (SELECT *, (SELECT arg_min(lv, (bound / weight, rank)) FROM s2 WHERE bound > lv * weight) AS level FROM s2),
+s AS (SELECT source, rank, source_size, least(bound, coalesce(level * weight, bound)) AS target FROM s3),
+n AS (SELECT greatest(1, least(4096, CAST(floor(sum(target) / (4096 * count(*))) AS BIGINT))) AS block, sum(target) AS total, count(*) AS k FROM s),
+reach AS (SELECT rank, coalesce(lag(hi) OVER (ORDER BY rank), 0) AS lo, CASE WHEN lead(rank) OVER (ORDER BY rank) IS NULL THEN 1.0 ELSE hi END AS hi FROM (SELECT rank, sum(target) OVER (ORDER BY rank) / sum(target) OVER () AS hi FROM s)),
+slots AS (SELECT i, i * {GOLDEN} - floor(i * {GOLDEN}) AS u FROM (SELECT unnest(range(CAST(floor(total / block) AS BIGINT) + 64 + k)) AS i FROM n)),
+per AS (SELECT rank, count(*) AS slots FROM slots JOIN reach ON u >= lo AND u < hi GROUP BY rank),
+goal AS (SELECT s.*, least(CAST(round(target) AS BIGINT), CASE WHEN source_size = 0 THEN 0 ELSE (slots // CAST(ceil(source_size / block) AS BIGINT)) * source_size + least(source_size, (slots % CAST(ceil(source_size / block) AS BIGINT)) * block) END) AS got FROM s JOIN per USING (rank), n),
+p AS (SELECT d.*, g.source_size, g.target, g.got, coalesce(sum(size) OVER (PARTITION BY g.rank ORDER BY CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 7) AS BIGINT) % greatest(1, c // 2000), md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source, (SELECT count(*) AS c FROM d))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(greatest(0, least(size, least(got, source_size) - pos)) + greatest(0, least(size, got - source_size - pos)) AS BIGINT) AS taken FROM p
+"""
