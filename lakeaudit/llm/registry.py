@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.OP5_SQL, "op6_line_quality": line_quality.OP6_SQL, "op8_max_score": max_score.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL}
+    return {"op1_secret_links": secret_links.OP1_SQL, "op5_license_scan": license_scan.OP5_SQL, "op6_line_quality": line_quality.OP6_SQL, "op8_max_score": max_score.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL}

@@ -145,3 +145,24 @@ def op1_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < BASE)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _spans_sql(kind: int, pattern: str, keep: str) -> str:
+    """Spans of a pattern's leftmost matches: what lies between them gives their places."""
+    text, gaps = "regexp_extract_all(text, $p${0}$p$)", "list_transform(regexp_split_to_array(text, $p${0}$p$), lambda x: length(x))"
+    return f"""SELECT doc_id, {kind} AS kind, list_sum(g[:i]) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) AS s, m[i] AS hit FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, {text.format(pattern)} AS m, {gaps.format(pattern)} AS g FROM d)) WHERE {keep}"""
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+strong AS ({_spans_sql(0, "(?i)" + ASSIGN.pattern, "length(regexp_extract(m[i], $p$(?i)" + ASSIGN.pattern + "$p$, 2)) >= 8")} UNION ALL {_spans_sql(1, ACCESS.pattern, "TRUE")} UNION ALL {_spans_sql(2, HEX.pattern, "TRUE")}),
+loose AS ({_spans_sql(3, KEY.pattern[KEY.pattern.index(")") + 1:], "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[A-Z]')")} UNION ALL {_spans_sql(4, "(?i)" + IDENT.pattern, "TRUE")} UNION ALL {_spans_sql(5, ENDPOINT.pattern, "TRUE")}),
+st AS (SELECT doc_id, kind, s, s + length(hit) AS e FROM strong),
+wk AS (SELECT doc_id, kind, s, s + length(hit) AS e FROM loose w WHERE NOT EXISTS (FROM st WHERE st.doc_id = w.doc_id AND st.s < w.s + length(hit) AND st.e > w.s)),
+breaks AS (SELECT doc_id, s + length(hit) AS at_end FROM ({_spans_sql(9, BLANK.pattern, "TRUE")})),
+parts AS (SELECT *, (SELECT count(*) FROM breaks b WHERE b.doc_id = x.doc_id AND at_end <= s) AS scope, CASE WHEN kind IN (1, 4) THEN 'i' WHEN kind = 5 THEN 'e' ELSE 's' END AS role, row_number() OVER () AS id FROM (FROM st UNION ALL FROM wk) x),
+near AS (SELECT a.id, bool_or(b.role = 'i') AS ni, bool_or(b.role = 's') AS ns, bool_or(b.role = 'e') AS ne FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND a.scope = b.scope AND a.id <> b.id AND greatest(b.s - a.e, a.s - b.e) <= 200 GROUP BY a.id),
+kept AS (SELECT doc_id, kind, s, ['assign', 'access', 'hex', 'key', 'ident', 'endpoint'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS span FROM parts LEFT JOIN near USING (id) WHERE kind < 3 OR (kind = 3 AND (ni OR ne)) OR (kind = 4 AND ns) OR (kind = 5 AND ni AND ns)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans FROM kept GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
