@@ -11,31 +11,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeaudit.llm import jaccard_join, mixing, packing, quality_classifier, secret_links
-from lakeaudit.llm.spark import shared_folder, table
+from lakeaudit.llm.spark import shared_folder, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the n-gram Jaccard join links stays."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reported secrets and credential parts are replaced in the texts; no document goes."""
+    small_batches(spark)
     return secret_links.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document, cut where a source's target ends."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents and their places in sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

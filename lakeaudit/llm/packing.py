@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from lakeaudit.llm.spark import cut, slices, table
 
 END = 2
 STORE_WORDS = 2_000_000  #: distinct strings that a worker keeps encoded
+SLICE = 2 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP = np.zeros(256, bool)
@@ -53,7 +55,7 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def find(self, keys: np.ndarray, text_of) -> np.ndarray:
@@ -65,10 +67,13 @@ class Store:
         known[known] = self.keys[place[known]] == keys[known]
         new = np.flatnonzero(~known)
         if len(new):
-            got = [x.ids for x in self.tokenizer.encode_batch([text_of(i) for i in new], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))])
+            size, ids = np.zeros(len(new), np.int32), array("I")
+            for lo in range(0, len(new), 2048):  # an encoding is far larger than its ids
+                for k, x in enumerate(self.tokenizer.encode_batch([text_of(i) for i in new[lo : lo + 2048]], add_special_tokens=False), lo):
+                    size[k] = len(x.ids)
+                    ids.extend(x.ids)
+            at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
+            self.ids = np.concatenate([self.ids, np.frombuffer(ids, np.uint32)])
             into = np.searchsorted(self.keys, keys[new])
             self.keys, self.at, self.size = (np.insert(a, into, b) for a, b in ((self.keys, keys[new]), (self.at, at), (self.size, size)))
             place = np.searchsorted(self.keys, keys)
@@ -99,7 +104,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     keys, first, inverse = np.unique(W.segment_hash(data, starts, _SPACE), return_index=True, return_inverse=True)
     raw = data.tobytes()
     place = store.find(keys, lambda i: raw[starts[first[i]] : ends[first[i]]].decode())[inverse]
-    size = store.size[place]
+    size = store.size[place].astype(np.int64)
     doc = w.doc[word]
     # One id more at the end of each text.
     in_doc = np.bincount(doc, weights=size, minlength=len(offsets) - 1).astype(np.int64) + 1
@@ -118,7 +123,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int,
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 ids, bounds = token_ids(part.column(2), path)
                 total = np.diff(bounds)
                 n = -(-total // length)
