@@ -295,9 +295,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, but of each component of near copies one: the row of its smallest id."""
-    own = numbered(docs)
-    gone = jaccard_join(own, **how).where(~F.col("stays")).select("rid")
-    return own.join(gone, "rid", "left_anti").select(*docs.columns)
+    own = docs.withColumn("_rid", F.monotonically_increasing_id())
+    gone = jaccard_join(own.select(F.col("_rid").alias("rid"), "doc_id", "text"), **how).where(~F.col("stays")).select(F.col("rid").alias("_rid"))
+    return own.join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

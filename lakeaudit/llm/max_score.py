@@ -92,17 +92,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     numbered = whole.withColumn("row", row)
     key = F.xxhash64("row")
     x = numbered.select("id", "v", F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = numbered.where("asks").select("id", "v", "row", F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    q = numbered.where("asks").select(F.col("id").alias("q_id"), F.col("v").alias("q_v"), "row", F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["row", "query_id", "id", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4, names)
-        width = max(_width(left.column("v")), _width(right.column("v")))
-        queries, own = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
+        width = max(_width(left.column("q_v")), _width(right.column("v")))
+        queries, own = _matrix(left.column("q_v"), width), _matrix(right.column("v"), width)
         if float(np.abs(queries).max()) * float(np.abs(own).max()) * width < EXACT / 4:
             queries, own = queries.astype(np.float64), own.astype(np.float64)
-        query_ids = left.column("id").to_numpy()
+        query_ids = left.column("q_id").to_numpy()
         at, score, ids = max_score(queries, query_ids, own, right.column("id").to_numpy(), k)
         return pa.table([left.column("row").to_numpy()[at], query_ids[at], ids, score.astype(np.int64)], names)
 

@@ -123,18 +123,18 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]", reach: int = 200) -> DataFrame:
     """docs with every reported span of text replaced by mark, and n_chars (where it is there) counted anew."""
-    own = numbered(docs)
-    hits = secrets(own, "rid", "text", reach).where(F.size("spans") > 0).drop("id")
-    joined = own.join(hits, "rid", "left")
+    own = docs.withColumn("_rid", F.monotonically_increasing_id())
+    hits = secrets(own.select(F.col("_rid").alias("rid"), "text"), "rid", "text", reach).where(F.size("spans") > 0)
+    joined = own.join(hits.select(F.col("rid").alias("_rid"), F.col("spans").alias("_spans")), "_rid", "left")
     # Spans are cut from the left: acc holds the text so far and the end of the last span; overlapping ones give one mark.
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
         F.struct(F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at"))
     )
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
+    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return out.select(*docs.columns)
 
 

@@ -239,3 +239,16 @@ def test_pipeline(spark):
         if name == "secrets":
             assert out.count() == docs.count() and out.where(F.col("text").rlike('token = "[0-9a-f]{32}')).count() == 0
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_clashing_columns(spark):
+    from lakeaudit.llm import secret_links
+
+    names = ("rid", "size", "words", "spans", "rank", "row", "start", "n", "id", "label", "short", "at")
+    data = [(1, "a b c d e f g h i j", "s"), (2, "A b c d e f g h i j", "s"), (3, "token=abcdefgh1", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in names})
+    for f in (jaccard_join.keep_one, secret_links.redact, mixing.mixed_documents):
+        out = f(docs)
+        assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in names)
+    assert packing.pack(docs).count() == 3 and mixing.mix(docs)[0].count() == 3
+    assert max_score.top_k(docs.withColumn("embedding", F.array(F.lit(1.0))), F.col("doc_id") == 1, id_col="doc_id").count() == 2
