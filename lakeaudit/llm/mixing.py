@@ -14,6 +14,7 @@ empty table gives no rows. A document of size 0 has nothing taken.
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import islice
 
@@ -103,17 +104,16 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, block: int)
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), slots_per_source: int = 4096, max_block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """The documents with what the mix takes of each, and the schedule (slot, rank, block, epoch, words).
 
-    docs: doc_id, source, text and any other columns, which the first result keeps, without the text. taken: words the
-    mix takes; first_pass, second_pass: from its start, in each round of the stream, unless the stream's first words
+    docs: doc_id, source, text and, if the rows have numbers, rid; other columns aren't read. taken: words the mix takes; first_pass, second_pass: from its start, in each round of the stream, unless the stream's first words
     began before it (they don't: each round begins at the stream's start).
     """
     spark = docs.sparkSession
-    sized = cut(sizes(docs))
+    sized = cut(sizes(docs.select(*(c for c in ("rid", "doc_id", "source", "text") if c in docs.columns))))
     sources = cut(targets(sized, share, most, weights))
     n_docs, (total, n_sources) = sized.count(), sources.agg(F.sum("target"), F.count("*")).first()
     block = int(min(max_block, max(1, (total or 0) // (slots_per_source * max(1, n_sources)))))
     n_slots = int((total or 0) // block) + 64 + n_sources
-    placed = streams(sized, sources, max(1, n_docs // 2000))
+    placed = streams(sized, sources, max(1, math.isqrt(n_docs)))  # about as many buckets as rows in one
     # A block's words: the block size, but for the last of a round and the last before the target.
     shape = sources.select("rank", F.col("source_size").alias("length"), F.round("target").cast("long").alias("goal"), F.ceil(F.col("source_size") / block).alias("n_blocks"))
     plan = schedule(spark, sources, n_slots, block).join(F.broadcast(shape), "rank").where(F.col("n_blocks") > 0)
@@ -144,10 +144,10 @@ def first_words(text: str, n: int) -> str:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as rows of docs, all columns: a row for each time that a document is taken, n_chars (where it is there) of what is taken."""
-    own = docs.withColumn("rid", F.monotonically_increasing_id())
-    taken, _ = mix(own.select("rid", "doc_id", "source", "text"), **how)
-    passes = taken.select("rid", "size", F.explode(F.array("first_pass", "second_pass")).alias("words")).where(F.col("words") > 0)
-    each = own.join(passes, "rid").drop("rid")
+    own = docs.withColumn("_rid", F.monotonically_increasing_id())
+    taken, _ = mix(own.select(F.col("_rid").alias("rid"), "doc_id", "source", "text"), **how)
+    passes = taken.select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.explode(F.array("first_pass", "second_pass")).alias("_words")).where(F.col("_words") > 0)
+    each = own.join(passes, "_rid")
     at, names = docs.columns.index("text"), docs.columns
     chars = names.index("n_chars") if "n_chars" in names else None
 
@@ -165,7 +165,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
                     cols[chars] = pc.if_else(whole, cols[chars], pc.utf8_length(cols[at]).cast(cols[chars].type))
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return each.select(*names, "size", "words").mapInArrow(run, docs.schema)
+    return each.select(*names, "_size", "_words").mapInArrow(run, docs.schema)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +186,7 @@ reach AS (SELECT rank, coalesce(lag(hi) OVER (ORDER BY rank), 0) AS lo, CASE WHE
 slots AS (SELECT i, i * {GOLDEN} - floor(i * {GOLDEN}) AS u FROM (SELECT unnest(range(CAST(floor(total / block) AS BIGINT) + 64 + k)) AS i FROM n)),
 per AS (SELECT rank, count(*) AS slots FROM slots JOIN reach ON u >= lo AND u < hi GROUP BY rank),
 goal AS (SELECT s.*, least(CAST(round(target) AS BIGINT), CASE WHEN source_size = 0 THEN 0 ELSE (slots // CAST(ceil(source_size / block) AS BIGINT)) * source_size + least(source_size, (slots % CAST(ceil(source_size / block) AS BIGINT)) * block) END) AS got FROM s JOIN per USING (rank), n),
-p AS (SELECT d.*, g.source_size, g.target, g.got, coalesce(sum(size) OVER (PARTITION BY g.rank ORDER BY CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 7) AS BIGINT) % greatest(1, c // 2000), md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+p AS (SELECT d.*, g.source_size, g.target, g.got, coalesce(sum(size) OVER (PARTITION BY g.rank ORDER BY CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 7) AS BIGINT) % greatest(1, CAST(floor(sqrt(c)) AS BIGINT)), md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source, (SELECT count(*) AS c FROM d))
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(greatest(0, least(size, least(got, source_size) - pos)) + greatest(0, least(size, got - source_size - pos)) AS BIGINT) AS taken FROM p
 """
