@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links stays."""
+    """One document of each group that the Jaccard join of 5-word shingles links at 0.8 stays."""
     small_batches(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, size=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,6 +241,30 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
 
 
+def test_pipeline_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    texts = near_copies(r, 8, 3, 100, 2) + near_copies(r, 4, 3, 60, 3)
+    for n in (8, 12, 15, 30):  # a paragraph appended to 100 words
+        base = [f"a{r.randint(0, 9999)}" for _ in range(100)]
+        texts += [" ".join(base), " ".join(base + [f"b{r.randint(0, 9999)}" for _ in range(n)])]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    near, strict, root = 0, [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                near += 10 * len(strict[i] & strict[j]) < 9 * len(strict[i] | strict[j])
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert near > 5
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert {x.doc_id for x in corpus_pipeline.near_copies(spark, docs, SF).collect()} == {i for i in range(len(texts)) if root[i] == i}
+
+
 def test_clashing_columns(spark):
     from lakeaudit.llm import secret_links
 
