@@ -3,7 +3,9 @@
 Slot i of the mix takes the point frac(i * golden ratio), which falls to a source through the cumulative targets.
 Each source's documents, in an order shuffled by md5, lie end to end and are cut into blocks of equal size; the
 k-th slot of a source takes its k-th block, twice round the stream at most, until the source's target is met. So any
-stretch of slots holds the sources near their shares, and a document is taken at most twice.
+stretch of slots holds the sources near their shares, and a document is taken at most twice. Slots that a source lacks
+after the schedule (its share is less than a slot, or blocks are cut at the end of a round) follow it, so every source
+meets its target to the word.
 
 Running sums never put one source in one task: documents and slots are dealt to buckets, the buckets' totals give
 each bucket its offset, and a window runs inside a bucket.
@@ -101,6 +103,18 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, block: int)
     return _running(slots, ["rank"], "run", ["slot"], "one", "k").select("slot", "rank", "k")
 
 
+def completed(plan: DataFrame, shape: DataFrame, n_slots: int, block: int) -> DataFrame:
+    """plan with the slots, after its n_slots, that sources lack of the blocks up to their goals."""
+    rounds = F.floor(F.col("goal") / F.greatest("length", F.lit(1)))
+    needed = rounds * F.col("n_blocks") + F.ceil((F.col("goal") - rounds * F.col("length")) / block)
+    held = plan.groupBy("rank").agg(F.count("*").alias("held"))
+    lack = shape.join(held, "rank", "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("needed", needed).where((F.col("length") > 0) & (F.col("needed") > F.col("held")))
+    # A row per source at most: the window is small.
+    before = F.coalesce(F.sum(F.col("needed") - F.col("held")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lack = lack.withColumn("from", F.lit(n_slots) + before).select("rank", "held", "from", F.explode(F.sequence("held", F.col("needed") - 1)).alias("k"))
+    return plan.unionByName(lack.select((F.col("from") + F.col("k") - F.col("held")).alias("slot"), "rank", "k"))
+
+
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), slots_per_source: int = 4096, max_block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """The documents with what the mix takes of each, and the schedule (slot, rank, block, epoch, words).
 
@@ -116,7 +130,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     placed = streams(sized, sources, max(1, math.isqrt(n_docs)))  # about as many buckets as rows in one
     # A block's words: the block size, but for the last of a round and the last before the target.
     shape = sources.select("rank", F.col("source_size").alias("length"), F.round("target").cast("long").alias("goal"), F.ceil(F.col("source_size") / block).alias("n_blocks"))
-    plan = schedule(spark, sources, n_slots, block).join(F.broadcast(shape), "rank").where(F.col("n_blocks") > 0)
+    plan = completed(cut(schedule(spark, sources, n_slots, block)), shape, n_slots, block).join(F.broadcast(shape), "rank").where(F.col("n_blocks") > 0)
     plan = plan.withColumn("epoch", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("block", F.col("k") % F.col("n_blocks"))
     start = F.col("epoch") * F.col("length") + F.col("block") * block
     words = F.least(F.lit(block), F.col("length") - F.col("block") * block, F.col("goal") - start)

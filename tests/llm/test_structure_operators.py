@@ -223,6 +223,16 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs.limit(0))[0].count() == 0
 
 
+def test_mix_meets_small_targets(spark):
+    data = [(i, "w " * 1000, "en", "a", 0) for i in range(300)] + [(1000 + i, "w " * 10, "en", "b", 0) for i in range(100)] + [(2000 + i, "w " * 999, "en", "c", 0) for i in range(40)] + [(3000, "", "en", "d", 0)]
+    docs = spark.createDataFrame(data, DOCS)
+    taken, plan = mixing.mix(docs, slots_per_source=1)
+    got = {x.source: x for x in taken.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert plan.agg(F.max("words")).first()[0] == 4096 and got["b"].target == 2000
+    assert {s: x.taken for s, x in got.items()} == {s: round(x.target) for s, x in got.items()}
+    assert plan.groupBy("slot").count().where("count > 1").count() == 0 and plan.agg(F.sum("words")).first()[0] == sum(x.taken for x in got.values())
+
+
 @needs_tables
 def test_pipeline(spark):
     import corpus_pipeline
