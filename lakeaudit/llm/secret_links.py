@@ -22,6 +22,8 @@ Repeated rows, and rows with equal or null ids, are scanned each on their own.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,18 +54,16 @@ def parts(text: str) -> list[tuple[int, int, int, int]]:
     weak += [(5, *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
     if not strong and len(weak) < 2:
         return []  # nothing is linked with itself
-    found, end = [], 0
+    found = []
     by_start = sorted([(s, e, k) for k, s, e in strong] + [(s, e, k) for k, s, e in weak])
     covered = sorted((s, e) for _, s, e in strong)
+    starts, furthest = [s for s, _ in covered], list(accumulate((e for _, e in covered), max, initial=0))
     breaks = [m.end() for m in BLANK.finditer(text)]
-    scope, at = 0, 0
+    scope = 0
     for s, e, k in by_start:
-        while at < len(covered) and covered[at][0] < e:
-            end = max(end, covered[at][1])
-            at += 1
         while scope < len(breaks) and breaks[scope] <= s:
             scope += 1
-        if k < BASE or end <= s:
+        if k < BASE or furthest[bisect_left(starts, e)] <= s:  # the furthest end of strong parts that start before e
             found.append((scope, k, s, e))
     return found
 

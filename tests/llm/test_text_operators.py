@@ -108,6 +108,20 @@ def test_secrets_and_links(spark):
     assert "key:" in got[texts.index(f"é user=bob {key} https://h.example/x")] and got[texts.index(f"{key} alone")] == ""
 
 
+def test_weak_parts_inside_weak_ones(spark):
+    import duckdb
+
+    texts = ["https://host/?user=admin&token=abcdefgh12", "see https://h.example/client_id=abc/x?api_key=0123456789 now", "user=bob https://h/?login=ann&a=1&token=abcdefgh12&user=eve", "https://h/?token=abcdefgh12&user=admin"]
+    sql = duckdb.connect()
+    sql.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    sql.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    names = [d[0] for d in sql.execute(secret_links.OP1_SQL).description]
+    want = {x[names.index("doc_id")]: x[names.index("spans")] for x in sql.fetchall()}
+    got = linked(spark, texts)
+    assert got == want and "ident:14:24" in got[0]
+    assert secret_links.redact(spark.createDataFrame(rows(texts[:1]), DOCS)).first().text == "https://host/?[REDACTED]&[REDACTED]"
+
+
 def test_redaction(spark):
     hx = "0123456789abcdef" * 2
     texts = [f'a token = "{hx}" b', "clean", None, f"é{hx}x {hx}"]
