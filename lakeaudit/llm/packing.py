@@ -166,6 +166,13 @@ def first_fit_decreasing(size: np.ndarray, room: int) -> tuple[np.ndarray, np.nd
     return bins, offset
 
 
+def place(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+    """The places of a group's pieces, whatever order they come in: a task that is run again gives the same."""
+    pdf = pdf.sort_values(["length", "row", "start"], ascending=[False, True, True])
+    bins, offset = first_fit_decreasing(pdf["length"].to_numpy(), length)
+    return pdf[["row", "start"]].assign(sequence_id=((pdf["group"].to_numpy() << 24) + bins) * 2, offset=offset)
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = 4096, group_pieces: int = 16_384, with_ids: bool = False) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     cut_up = cut(pieces(docs, id_col, text_col, path or tokenizer_path(), length, with_ids))
@@ -174,14 +181,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     n_groups = max(1, round(rest.count() / group_pieces))
     rest = rest.withColumn("group", F.pmod(F.xxhash64("row", "start"), F.lit(n_groups)))
     out = [c for c in cut_up.columns if c != "row"]
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        bins, offset = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        return pdf[["row", "start"]].assign(sequence_id=((pdf["group"].to_numpy() << 24) + bins) * 2, offset=offset)
-
     # Only lengths go through the groups, and ids of any type join back by row.
-    placed = rest.select("row", "start", "length", "group").groupBy("group").applyInPandas(place, "row long, start long, sequence_id long, offset long")
-    joined = rest.drop("group").join(placed, ["row", "start"])
+    placed = rest.select("row", "start", "length", "group").groupBy("group").applyInPandas(lambda pdf: place(pdf, length), "row long, start long, sequence_id long, offset long")
+    joined = rest.drop("group").join(cut(placed), ["row", "start"])
     # Even numbers are for the groups' sequences, odd ones for pieces that fill one.
     own = full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return joined.select(*out, "sequence_id", "offset").unionByName(own.select(*out, "sequence_id", "offset"))

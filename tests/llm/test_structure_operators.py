@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,14 @@ def test_first_fit_decreasing_is_first_fit():
     assert {i: (b, o) for i, (b, o) in enumerate(zip(bins, offset, strict=True))} == want
 
 
+def test_places_do_not_hang_on_order():
+    r = np.random.default_rng(5)
+    group = pd.DataFrame({"row": r.permutation(400) // 2, "start": np.tile([0, 64], 200), "length": r.integers(1, 9, 400), "group": 3}).drop_duplicates(["row", "start"])
+    want = packing.place(group, 64).sort_values(["row", "start"]).to_numpy().tolist()
+    for seed in range(5):
+        assert packing.place(group.sample(frac=1, random_state=seed), 64).sort_values(["row", "start"]).to_numpy().tolist() == want
+
+
 def test_pack_round_trip(spark):
     from tokenizers import Tokenizer
 
