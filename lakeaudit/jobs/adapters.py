@@ -14,11 +14,17 @@ from pyspark.sql import functions as F
 DIRS = ("src", "tests", "vendor", "docs", "fixtures", "workflows", "dist", "lib")
 LANGUAGES = {"en": ("python", ".py"), "fr": ("javascript", ".js"), "de": ("java", ".java"), "es": ("go", ".go")}
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder and read it there; a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; a temporary folder only where none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the session's shared checkpoint folder and read it there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

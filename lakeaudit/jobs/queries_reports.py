@@ -61,11 +61,18 @@ def code_quality(spark, sf_dir) -> DataFrame:
 
 
 def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows that a stream gives until its input ends."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The rows that a stream gives until its input ends, by way of the shared folder: none pass through the driver."""
+    spark, folder, batches = stream.sparkSession, f"{A.shared_folder(stream.sparkSession)}/drained-{uuid.uuid4().hex}", []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{n}")  # a batch that runs again replaces itself
+        batches.append(n)
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    # In complete mode each batch holds all rows so far.
+    wanted = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/rows/{n}" for n in wanted)) if wanted else spark.createDataFrame([], stream.schema)
 
 
 def _stream(spark, sf_dir, name: str) -> DataFrame:

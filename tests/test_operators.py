@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import struct
 
 import pytest
@@ -174,3 +175,14 @@ def test_ticket_csv_and_stream_monitor(spark, tmp_path):
     for k in range(2):
         U.stream_monitor(spark.readStream.schema(schema).parquet(str(tmp_path / "adv")), inv, lambda: spark.read.parquet(out), write, str(tmp_path / f"c{k}")).awaitTermination()
     assert spark.read.parquet(out).count() == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["stream_scan", "stream_new_findings", "windowed_counts"])
+def test_streams_drain_to_files(spark, name):
+    from lakeaudit.jobs import queries_reports
+
+    out = getattr(queries_reports, name)(spark, "/root/testdata/sf0.001")
+    files = out.inputFiles()
+    assert files and all("/drained-" in f and f.endswith(".parquet") for f in files) and out.count() > 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("drained")]
