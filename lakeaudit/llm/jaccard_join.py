@@ -13,8 +13,8 @@ last. Any order gives the same links; this one keeps short lists short.
    search of one document's shingles in the other's sorted set, in chunks, which ends when the overlap is out of reach.
 3. A list of more than ``longest`` documents, which only a large group of near copies has under this order, is never
    paired off. Its documents are first probed against one of them, the hub. Those linked with it are connected already;
-   the others are compared, in pairs of bounded blocks, with each other and with the linked ones. A block gives back a
-   forest of its links.
+   the others are compared, in pairs of blocks bounded in rows and shingles, with each other and with the linked ones.
+   A block gives back a forest of its links.
 
 So links between different sets are found all; the result has what they connect. Shingles are compared by 64-bit
 hashes, sets by a 128-bit sum over them.
@@ -34,11 +34,12 @@ from pyspark.sql import functions as F
 from lakeaudit.llm import words as W
 from lakeaudit.llm.components import components
 from lakeaudit.llm.secret_links import numbered
-from lakeaudit.llm.spark import by_slice, cut, table
+from lakeaudit.llm.spark import by_slice, cut, give_back, small_batches, table
 
 HINTS = 500_000  #: common shingles that are broadcast for the order, the most counted first
 BROADCAST_IDS = 1_000_000
 BLOCK_SHINGLES = 1 << 18
+BLOCK_ROWS = 2048
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -186,26 +187,12 @@ def rows_of(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", "left_semi")
 
 
-def forest(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links between n nodes, enough to connect what they connect."""
-    root, out = list(range(n)), []
+def block_links(asks: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int, width: int = 1024) -> list[tuple[int, int]]:
+    """A forest of the links between the rows that ask and all rows of a block; overlaps are counted list by list.
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        a, b = top(i), top(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out
-
-
-def block_links(asks: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int, width: int = 4096) -> list[tuple[int, int]]:
-    """A forest of the links between the rows that ask and all rows of a block; overlaps are counted list by list."""
+    Counts stay below 2 ** 24, so float32 holds them exactly. Memory goes with the square of the rows, which
+    BLOCK_ROWS bounds.
+    """
     row = np.repeat(np.arange(len(sizes)), sizes)
     _, token, count = np.unique(tokens, return_inverse=True, return_counts=True)
     common = np.cumsum(count > 1) - 1
@@ -213,24 +200,30 @@ def block_links(asks: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent
     row, token = row[keep], common[token[keep]]
     order = np.argsort(token, kind="stable")
     row, token = row[order], token[order]
-    overlap = np.zeros((int(asks.sum()), len(sizes)), np.float32)
+    own = np.flatnonzero(asks)
+    overlap = np.zeros((len(own), len(sizes)), np.float32)
+    lists = np.zeros((len(sizes), width), np.float32)
     for lo in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         a, b = np.searchsorted(token, [lo, lo + width])
-        lists = np.zeros((len(sizes), width), np.float32)
+        lists[:] = 0
         lists[row[a:b], token[a:b] - lo] = 1
-        overlap += lists[asks] @ lists.T
-    own = np.flatnonzero(asks)
-    union = sizes[own][:, None] + sizes[None, :] - overlap
-    i, j = np.nonzero(100 * overlap.astype(np.float64) >= percent * union)
-    i = own[i]
-    return forest(len(sizes), i[i != j], j[i != j])
+        overlap += lists[own] @ lists.T
+    label, found = np.arange(len(sizes)), []
+    for k, i in enumerate(own.tolist()):
+        near = np.flatnonzero(overlap[k] * (100 + percent) >= percent * (sizes[i] + sizes))
+        groups, first = np.unique(label[near], return_index=True)
+        for g, j in zip(groups.tolist(), near[first].tolist(), strict=True):
+            if g != label[i]:
+                found.append((i, j))
+                label[label == g] = label[i]
+    return found
 
 
 def long_list_links(groups: DataFrame, sets: DataFrame, hub_links: DataFrame, percent: int) -> DataFrame:
     """groups: hub, rid, n. Links of rows that their hub isn't linked with, as a, b."""
     linked = hub_links.select(F.col("a").alias("hub"), F.col("b").alias("rid"), F.lit(True).alias("linked"))
     own = groups.where(F.col("rid") != F.col("hub")).join(linked, ["hub", "rid"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    blocks = lambda linked: F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("linked") == linked, F.col("n"))) / BLOCK_SHINGLES))
+    blocks = lambda linked: F.greatest(F.ceil(F.sum(F.when(F.col("linked") == linked, F.col("n"))) / BLOCK_SHINGLES), F.ceil(F.count_if(F.col("linked") == linked) / BLOCK_ROWS))
     per = own.groupBy("hub").agg(F.coalesce(blocks(False), F.lit(0)).alias("n_open"), F.coalesce(blocks(True), F.lit(0)).alias("n_linked"), F.count_if(~F.col("linked")).alias("open")).where(F.col("open") > 0)
     own = own.join(per, "hub").withColumn("block", F.pmod(F.xxhash64("rid"), F.when(F.col("linked"), F.col("n_linked")).otherwise(F.col("n_open"))))
     upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
@@ -245,6 +238,7 @@ def long_list_links(groups: DataFrame, sets: DataFrame, hub_links: DataFrame, pe
         shingles = part.column("shingles").combine_chunks()
         found = block_links(asks, np.diff(shingles.offsets.to_numpy()), shingles.flatten().to_numpy(zero_copy_only=False), percent)
         x, y = (np.array([p[k] for p in found], np.int64) for k in (0, 1))
+        give_back()
         return pa.table([rid[x], rid[y]], ["a", "b"])
 
     return dealt.groupBy("task").applyInArrow(run, "a long, b long")
@@ -301,5 +295,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return jaccard_join(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeaudit.llm import words as W
-from lakeaudit.llm.spark import cut, slices, table
+from lakeaudit.llm.spark import cut, give_back, slices, table
 
 END = 2
 STORE_WORDS = 2_000_000  #: distinct strings that a worker keeps encoded
@@ -90,11 +90,12 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     if not (data == 60).any():  # else a special token could come of capitals
         data = W.lower(data)
     w = W.words(data, offsets)
-    stop = np.flatnonzero(_STOP[data])
-    stop = stop[stop > 0]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    stop = np.flatnonzero(_STOP[data] & ~edge[:-1])  # a text's first byte starts a word, whatever the text before ends in
     two = (data[np.maximum(stop - 2, 0)] == 0xC3) & (data[stop - 1] >= 0x80) & ((data[stop - 1] & 0x5F) != 0x17) & (stop > 1)
     stop = stop[_LETTER[data[stop - 1]] | two]
-    starts = np.sort(np.concatenate([w.starts, stop]), kind="stable")  # two sorted runs without a common place
+    starts = np.sort(np.concatenate([w.starts, stop]), kind="stable")  # a stop after a letter of its text never starts a word
     if not len(starts):
         n = len(offsets) - 1
         return np.full(n, END, np.uint32), np.arange(n + 1)
@@ -121,7 +122,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int,
     id_type = docs.schema[id_col].dataType
     names = ["row", id_col, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
 
-    def run(batches):
+    def cut_up(batches):
         for batch in batches:
             for part in slices(batch, text_col, SLICE):
                 ids, bounds = token_ids(part.column(2), path)
@@ -139,6 +140,12 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, length: int,
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
+    def run(batches):
+        try:
+            yield from cut_up(batches)
+        finally:
+            give_back()
+
     kinds = f"row long, `{id_col}` {id_type.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), id_col, text_col)
     return numbered.mapInArrow(run, kinds)

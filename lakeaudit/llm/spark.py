@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,11 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, which all executors share.
 
-    Only where a session names none, as in tests on one machine, a temporary folder is set.
+    Where a session on one machine names none, as in tests, a temporary folder is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -39,6 +45,14 @@ def small_batches(spark: SparkSession, most: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batch in runs of about limit bytes of a string column."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -56,8 +70,11 @@ def by_slice(f: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text"
     """A function for mapInArrow that applies f to each slice."""
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, column, limit):
-                yield f(part)
+        try:
+            for batch in batches:
+                for part in slices(batch, column, limit):
+                    yield f(part)
+        finally:
+            give_back()
 
     return run

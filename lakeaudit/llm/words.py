@@ -16,12 +16,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240131)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
 _BLOCK = 1 << 12
-_LOW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(_BLOCK - 1, _BASE, np.uint64)]), dtype=np.uint64)
-with np.errstate(over="ignore"):
-    _STEP = _LOW[-1] * _BASE
+_LOW = _rng.integers(1, 2**64, _BLOCK, dtype=np.uint64, endpoint=False) | np.uint64(1)  # a weight of its own for each place
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -48,7 +45,11 @@ def lower(data: np.ndarray) -> np.ndarray:
 
 
 def segment_hash(data: np.ndarray, starts: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-    """A hash of the bytes from each start to the next one, without those that skip marks at their end."""
+    """A hash of the bytes from each start to the next one, without those that skip marks at their end.
+
+    It is a multilinear hash: a random number for each byte value times a random weight for each place, summed modulo
+    2 ** 64. Unlike powers of one base, such weights have no pattern that some pairs of strings cancel.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
     out, table = [], _BYTE.copy()
@@ -60,10 +61,11 @@ def segment_hash(data: np.ndarray, starts: np.ndarray, skip: np.ndarray | None =
         lo, hi = int(starts[a]), int(starts[b]) if b < len(starts) else len(data)
         own = starts[a:b] - lo
         at = np.arange(hi - lo) - np.repeat(own, np.diff(np.append(own, hi - lo)))
-        values = table[data[lo:hi]] * _LOW[at & (_BLOCK - 1)]
+        weight = _LOW[at & (_BLOCK - 1)]
         if len(at) and at.max() >= _BLOCK:
-            far = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(at.max()) // _BLOCK, _STEP, np.uint64)]), dtype=np.uint64)
-            values *= far[at // _BLOCK]
+            far = np.flatnonzero(at >= _BLOCK)
+            weight[far] = mix(at[far].astype(np.uint64) * _LOW[0] + _LOW[1]) | np.uint64(1)
+        values = table[data[lo:hi]] * weight
         out.append(np.add.reduceat(values, own))
     return mix(np.concatenate(out))
 
@@ -102,7 +104,7 @@ def window_hash(h: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(size):
-        out = out * _BASE + h[k : k + n]
+        out += h[k : k + n] * _LOW[k & (_BLOCK - 1)]
     return mix(out)
 
 

@@ -50,13 +50,13 @@ def test_main_text(spark):
     assert html_cut.extract(df.limit(0), ["page_id"]).count() == 0
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()
 
 
-def plain_components(texts):
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+def plain_components(texts, size=3, percent=90):
+    sets, root = [shingles(t, size) for t in texts], list(range(len(texts)))
 
     def top(i):
         while root[i] != i:
@@ -66,7 +66,7 @@ def plain_components(texts):
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
-            if a and sets[j] and 100 * both >= 90 * (len(a) + len(sets[j]) - both):
+            if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 x, y = top(i), top(j)
                 root[max(x, y)] = min(x, y)
     return [len(s) for s in sets], [top(i) for i in range(len(texts))]
@@ -116,6 +116,39 @@ def test_parity_never_rules_out_a_link():
             assert not link or jaccard_join.may_link(jaccard_join.parity(a), len(a), jaccard_join.parity(b), len(b), 90)
 
 
+def test_block_links_are_whole():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        base = np.unique(r.integers(0, 400, 60))
+        sets = [np.unique(np.append(r.permutation(base)[: len(base) - r.integers(0, 9)], r.integers(400, 900, r.integers(0, 5)))) for _ in range(40)] + [np.unique(r.integers(0, 900, 30)) for _ in range(10)]
+        asks = r.random(len(sets)) < 0.6
+        found = jaccard_join.block_links(asks, np.array([len(s) for s in sets]), np.concatenate(sets), 90)
+        links = [(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and asks[i] and 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 90 * (len(sets[i]) + len(sets[j]) - both)]
+        assert set(found) <= set(links) and len(found) < len(sets)
+        joined = lambda pairs: sorted(map(sorted, _groups(len(sets), pairs)))
+        assert joined(found) == joined(links)
+
+
+def _groups(n, pairs):
+    group = {i: {i} for i in range(n)}
+    for i, j in pairs:
+        if group[i] is not group[j]:
+            both = group[i] | group[j]
+            for k in both:
+                group[k] = both
+    return {id(g): g for g in group.values()}.values()
+
+
+def test_large_group_of_short_near_copies(spark):
+    r, words = np.random.default_rng(4), [f"w{i}" for i in range(12)]
+    places = r.integers(0, 13, 20_000)
+    texts = [" ".join([*words[:k], f"x{i}", *words[k:]]) for i, k in enumerate(places.tolist())]
+    docs = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    got = jaccard_join.jaccard_join(numbered(docs), percent=80).select("id", "component_id").toPandas().sort_values("id")
+    ends = np.isin(places, (0, 12))  # only a word put in at an end leaves 10 of 12 shingles
+    assert (got["component_id"].to_numpy() == np.where(ends, np.flatnonzero(ends)[0], np.arange(len(texts)))).all()
+
+
 def test_components_of_chain_and_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 501)]
     got = {x.node: x.label for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -180,6 +213,20 @@ def test_pack_round_trip(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_ids_of_whole_batches():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, path, r = Tokenizer.from_file(packing.tokenizer_path()), packing.tokenizer_path(), random.Random(11)
+    cases = [["one two", ".net core", "A full stop. Here."], ["Plain sentence. Two."], ["End. Fine.", "ab", ".net core"], ["é", ".x", "a.", ",", "", "!", None, "b?c"]]
+    for _ in range(400):
+        cases.append(["".join(r.choice([".", ",", ";", ":", "!", "?", " ", "\n", "a", "B", "é", "×", "1", "'s", "-", "ü.", "ß", "word"]) for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 60))])
+    for texts in cases:
+        ids, bounds = packing.token_ids(pa.array(texts, pa.string()), path)
+        want = [e.ids + [packing.END] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e7])
 def test_max_score(spark, scale):
     r = random.Random(6)
@@ -253,7 +300,7 @@ def test_pipeline(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns, name
         if name == "near_copies":
-            _, want = plain_components([r.text for r in docs.orderBy("doc_id").collect()])
+            _, want = plain_components([r.text for r in docs.orderBy("doc_id").collect()], 5, 80)
             assert out.count() == len(set(want))
         if name == "secrets":
             assert out.count() == docs.count() and out.where(F.col("text").rlike('token = "[0-9a-f]{32}')).count() == 0

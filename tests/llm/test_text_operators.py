@@ -65,6 +65,18 @@ def test_hashes_tell_words_apart():
     assert list(W.count_words(pa.array([None, "", " a  b "]).cast(pa.string()))) == [0, 0, 2]
 
 
+def test_hashes_tell_patterned_words_apart():
+    turn, other = [0], [1]
+    while len(turn) < 16_384:
+        turn, other = turn + [1 - x for x in turn], other + [1 - x for x in other]
+    words = ["".join("ab"[x] for x in y[:n]) for y in (turn, other) for n in (8, 4096, 16_384)]
+    data, offsets = W.flat(pa.array(words))
+    h = W.word_hash(data, W.words(data, offsets))
+    assert len(set(h.tolist())) == len(words)
+    runs = [h[np.array(x)] for x in (turn[:2048], other[:2048])]
+    assert W.window_hash(runs[0], 2048)[0] != W.window_hash(runs[1], 2048)[0]
+
+
 def plain_base(text):
     text = text or ""
     spans = [(m.start(), 0, m.end()) for m in secret_links.ASSIGN.finditer(text) if len(m[2]) >= 8]
