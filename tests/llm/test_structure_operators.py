@@ -43,13 +43,70 @@ def test_main_text(spark):
         f"<html><head><title>T</title><script>var a='<p>no</p>';</script></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies.</div><article><h1>Head &amp; line</h1><p>{body}<p>Short&nbsp;<b>one</b><br>more</article><section id=comments><p>Great article, I liked it. Thanks a lot.</p></section><footer>c</footer></body></html>",
         f"<div><p>{body}</p><p>Tiny.</p><p>{body}</p></div><form><label>Name</label><input><button>Send</button></form><!-- <p>x</p> -->", "", None, "<nav><a>Only</a><a>links</a></nav>", "plain <unclosed",
     ]
-    df = spark.createDataFrame([(i, None if i == 1 else "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    df = spark.createDataFrame([(i, None if i == 1 else "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("text", "n_chars", "n_moved")})
     got = {r.page_id: r for r in html_cut.extract(df, ["page_id", "url"]).collect()}
     assert got[0].text == f"Head & line {body} Short one more" and got[1].text == f"{body} Tiny. {body}"
     assert [got[i].text for i in (2, 3, 4)] == ["", "", ""] and got[0].n_chars == len(got[0].text) and len(got) == 6
     assert html_cut.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+PROSE = "A first long paragraph of plain text. It has two sentences, and words enough."
+MORE = "Another paragraph follows the first, with some more to say. It ends here."
+ARTICLE = f"<h1>My title here</h1><p>{PROSE}</p><p>Tiny.</p><p>{MORE}</p><p><a href=z>A link alone</a></p><p>{PROSE}</p>"
+WANT = f"My title here {PROSE} Tiny. {MORE} A link alone {PROSE}"
+MENU = "<ul class=menu><li><a href=x>Home</a><li><a href=y>News</a><li>About</ul>"
+COMMENTS = "".join(f"<div class=x{i}><b>Bob</b><p>Great article, I liked it. Thanks a lot.</p></div>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"{MENU}<div class=zz>{ARTICLE}</div><div class=discussion>{COMMENTS}</div>",
+        f"<div class=q1>{MENU}</div><div class=q2>{ARTICLE}</div><div class=q3><h3>Comments</h3>{COMMENTS}</div><div class=q4>Copyright 2024 Foo. All rights reserved.</div>",
+        f"{MENU}<div class=share-story>{ARTICLE}</div><div class=share><a>FB</a> <a>TW</a></div>",
+        f"<article><div class=post-header><h1>My title here</h1></div>{ARTICLE.split('</h1>')[1]}<aside><p>{MORE}</p></aside><div class=comments>{COMMENTS}</div></article><footer>x. y.</footer>",
+        f"<header><h1>Site</h1>{MENU}</header><div id=page class='wrap has-sidebar'>{ARTICLE}</div><div class=sidebar><h3>Popular</h3><p>{MORE}</p></div>",
+        f"<main><article>{ARTICLE}</article><section class=related><h2>Related</h2><ul><li><a>{MORE}</a></ul></section></main><div id=cookie-notice>We use cookies here. Do you mind? <button>OK</button></div>",
+        f"<div class=comments-enabled><noscript>Turn it on. It is good.</noscript>{ARTICLE}</div><form>Mail <input></form>",
+    ],
+)
+def test_main_text_of_varied_pages(page):
+    assert html_cut.main_text(page)[0] == WANT
+
+
+def test_smoothness_decides():
+    page = f"{MENU}<div class=zz>{ARTICLE}</div>"
+    nodes, found = html_cut.blocks(page)
+    odds = html_cut.log_odds(nodes, found)
+    alone = " ".join(b.text for b, z in zip(found, odds, strict=True) if z > 0)
+    assert alone != WANT and "A link alone" not in alone and html_cut.main_text(page)[0] == WANT and html_cut.main_text(page)[2] > 0
+
+
+def test_bad_markup_takes_linear_time():
+    import time
+
+    n = 100_000
+    pages = ['<a "' * n, '<a x="' * n, "<div>" * n + "</x>" * n + "</div>" * n, "<!--" * n, "<script>" * n, "</p" * n, "<li>" * n, "<a" + " " * n, "<" * n, "&amp" * n, f"<p>{PROSE}" * 2000]
+    began = time.perf_counter()
+    for page in pages:
+        html_cut.main_text(page)
+    assert time.perf_counter() - began < 60
+    assert html_cut.main_text("a < b and <unclosed")[0] in ("", "a < b and")
+    long = "A sentence of it. " * 50_000
+    assert html_cut.main_text(f"<p>{long}</p>")[0] == long.strip()
+
+
+@needs_tables
+def test_main_text_is_the_article_of_the_tables():
+    import html
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{SF}/pages.parquet").to_pylist():
+        inner = re.search("<article>(.*?)</article>", page["html"], re.S)[1]
+        assert html_cut.main_text(page["html"])[0] == " ".join(html.unescape(re.sub("<[^>]*>", " ", inner)).split())
+
+
 def shingles(text, size=3):
     w = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()
