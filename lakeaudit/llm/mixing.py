@@ -26,12 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.spark import by_slice, cut, table
+from lakeaudit.llm.spark import by_slice, cut, few, running, table
 from lakeaudit.llm.words import count_words
 
 GOLDEN = 0.6180339887498949
 WORD = re.compile("[^\x20\x09-\x0D]+")
-CELLS = 4096  #: cells of [0, 1) for the join of points with the sources' intervals
 
 
 def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -46,28 +45,26 @@ def sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(*rest, text_col).mapInArrow(by_slice(count, text_col), ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "size long"]))
 
 
-def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0)) -> DataFrame:
+def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), per: int = 100_000) -> DataFrame:
     """A row per source: source, rank (from 0), source_size, target.
 
     target = min(most * size, level * weight), where the level makes the targets add up to share of all sizes: what a
-    full source can't take is reshared by weight. The table has a row per source, so its windows are small.
+    full source can't take is reshared by weight. Sources may be as many as domains, so none of the running sums over
+    them is one task.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    of = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
+    n, total = of.agg(F.count("*"), F.sum("source_size")).first()
+    of = running(of, [F.col("source").asc_nulls_last()], {}, n, per).withColumnRenamed("position", "rank")
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    per = per.withColumn("rank", F.row_number().over(by_name) - 1)
-    per = per.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
-    everything = Window.partitionBy(F.lit(0))
-    per = per.withColumn("bound", F.col("source_size") * F.lit(float(most))).withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
+    of = of.withColumn("weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("bound", F.col("source_size") * F.lit(float(most)))
+    of = cut(of.withColumn("ratio", F.col("bound") / F.col("weight")))
     # Sources fill up in order of bound / weight; the level is set by those that are not full.
-    order = Window.orderBy((F.col("bound") / F.col("weight")).asc(), "rank")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    full = F.col("bound") <= F.col("level") * F.col("weight")
-    first_open = F.min(F.when(~full, F.struct((F.col("bound") / F.col("weight")).alias("ratio"), "rank", "level"))).over(everything)
-    per = per.withColumn("level", first_open["level"])
-    per = per.withColumn("target", F.least("bound", F.coalesce(F.col("level") * F.col("weight"), F.col("bound"))))
-    return per.select("source", "rank", "source_size", "target")
+    every = of.agg(F.sum("weight")).first()[0]
+    filled = running(of, ["ratio", "rank"], {"full_bound": "bound", "full_weight": "weight"}, n, per)
+    filled = filled.withColumn("level", (F.lit(float(total or 0)) * F.lit(float(share)) - F.col("full_bound")) / (F.lit(every) - F.col("full_weight")))
+    first_open = filled.where(F.col("bound") > F.col("level") * F.col("weight")).agg(F.min(F.struct("ratio", "rank", "level"))).first()[0]
+    level = F.lit(first_open["level"] if first_open else None).cast("double")
+    return of.select("source", "rank", "source_size", F.least("bound", F.coalesce(level * F.col("weight"), F.col("bound"))).alias("target"))
 
 
 def _running(df: DataFrame, keys: list[str], bucket: str, order: list, size: str, out: str) -> DataFrame:
@@ -79,58 +76,61 @@ def _running(df: DataFrame, keys: list[str], bucket: str, order: list, size: str
     return df.withColumn("inside", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(offsets, [*keys, bucket]).withColumn(out, F.col("from") + F.col("inside")).drop("inside", "from")
 
 
-def streams(sized: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
+def streams(sized: DataFrame, sources: DataFrame, n_sources: int, buckets: int) -> DataFrame:
     """sized with rank and at: the words of its source's stream before the document, in the shuffled order."""
-    x = sized.join(F.broadcast(sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    x = sized.join(few(sources, n_sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     x = x.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % buckets)
     return _running(x, ["rank"], "bucket", ["key", "doc_id", "size"], "size", "at")
 
 
-def schedule(spark: SparkSession, sources: DataFrame, n_slots: int, block: int) -> DataFrame:
+def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, n_slots: int, per: int = 100_000) -> DataFrame:
     """The mix in order: slot, rank of its source, k (the source's k-th slot, from 0).
 
-    Each point is joined with the interval of cumulative targets that holds it by cells, not by a cross join.
+    Each point is joined with the interval of cumulative targets that holds it by cells, not by a cross join. Points
+    fall evenly, and there are cells enough that few intervals meet in one.
     """
-    order = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.sum("target").over(order) / F.sum("target").over(Window.partitionBy(F.lit(0)))
-    reach = sources.withColumn("hi", top).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0.0)))
-    reach = reach.withColumn("hi", F.when(F.lead("rank").over(Window.orderBy("rank")).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
-    reach = reach.select("rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.col("hi") * CELLS))).alias("cell"))
+    cells = 4 * max(1024, n_sources)
+    whole = sources.agg(F.sum("target")).first()[0] or 1.0
+    reach = running(sources, ["rank"], {"lo": "target"}, n_sources, per).withColumn("hi", F.when(F.col("rank") == n_sources - 1, 1.0).otherwise((F.col("lo") + F.col("target")) / whole)).withColumn("lo", F.col("lo") / whole)
+    reach = reach.select("rank", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))).alias("cell"))
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN)).alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS))
-    slots = slots.join(F.broadcast(reach), "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "rank")
+    slots = slots.withColumn("cell", F.floor(F.col("u") * cells))
+    slots = slots.join(few(reach, n_sources + cells), "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "rank")
     slots = slots.withColumn("run", F.floor(F.col("slot") / 65536)).withColumn("one", F.lit(1))
     return _running(slots, ["rank"], "run", ["slot"], "one", "k").select("slot", "rank", "k")
 
 
-def completed(plan: DataFrame, shape: DataFrame, n_slots: int, block: int) -> DataFrame:
+def completed(plan: DataFrame, shape: DataFrame, n_sources: int, n_slots: int, block: int, per: int = 100_000) -> DataFrame:
     """plan with the slots, after its n_slots, that sources lack of the blocks up to their goals."""
     rounds = F.floor(F.col("goal") / F.greatest("length", F.lit(1)))
     needed = rounds * F.col("n_blocks") + F.ceil((F.col("goal") - rounds * F.col("length")) / block)
     held = plan.groupBy("rank").agg(F.count("*").alias("held"))
     lack = shape.join(held, "rank", "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("needed", needed).where((F.col("length") > 0) & (F.col("needed") > F.col("held")))
-    # A row per source at most: the window is small.
-    before = F.coalesce(F.sum(F.col("needed") - F.col("held")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lack = lack.withColumn("from", F.lit(n_slots) + before).select("rank", "held", "from", F.explode(F.sequence("held", F.col("needed") - 1)).alias("k"))
+    lack = cut(lack.withColumn("lacking", F.col("needed") - F.col("held")))
+    lack = running(lack, ["rank"], {"before": "lacking"}, n_sources, per)
+    lack = lack.select("rank", "held", (F.lit(n_slots) + F.col("before")).alias("from"), F.explode(F.sequence("held", F.col("needed") - 1)).alias("k"))
     return plan.unionByName(lack.select((F.col("from") + F.col("k") - F.col("held")).alias("slot"), "rank", "k"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), slots_per_source: int = 4096, max_block: int = 4096) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), slots_per_source: int = 4096, slots_per_doc: int = 4, max_block: int = 4096, per: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """The documents with what the mix takes of each, and the schedule (slot, rank, block, epoch, words).
 
-    docs: doc_id, source, text and, if the rows have numbers, rid; other columns aren't read. taken: words the mix takes; first_pass, second_pass: from its start, in each round of the stream, unless the stream's first words
-    began before it (they don't: each round begins at the stream's start).
+    docs: doc_id, source, text and, if the rows have numbers, rid; other columns aren't read. taken: words the mix
+    takes; first_pass, second_pass: from its start, in each round of its source's stream. A block holds so many words
+    that there are about slots_per_source slots for each source, slots_per_doc for each document where sources are many,
+    and max_block words at most.
     """
     spark = docs.sparkSession
     sized = cut(sizes(docs.select(*(c for c in ("rid", "doc_id", "source", "text") if c in docs.columns))))
-    sources = cut(targets(sized, share, most, weights))
+    sources = cut(targets(sized, share, most, weights, per))
     n_docs, (total, n_sources) = sized.count(), sources.agg(F.sum("target"), F.count("*")).first()
-    block = int(min(max_block, max(1, (total or 0) // (slots_per_source * max(1, n_sources)))))
+    slots = min(slots_per_source * max(1, n_sources), max(slots_per_source, slots_per_doc * n_docs))
+    block = int(min(max_block, max(1, (total or 0) // slots)))
     n_slots = int((total or 0) // block) + 64 + n_sources
-    placed = streams(sized, sources, max(1, math.isqrt(n_docs)))  # about as many buckets as rows in one
+    placed = streams(sized, sources, n_sources, max(1, math.isqrt(n_docs)))  # about as many buckets as rows in one
     # A block's words: the block size, but for the last of a round and the last before the target.
     shape = sources.select("rank", F.col("source_size").alias("length"), F.round("target").cast("long").alias("goal"), F.ceil(F.col("source_size") / block).alias("n_blocks"))
-    plan = completed(cut(schedule(spark, sources, n_slots, block)), shape, n_slots, block).join(F.broadcast(shape), "rank").where(F.col("n_blocks") > 0)
+    plan = completed(cut(schedule(spark, sources, n_sources, n_slots, per)), shape, n_sources, n_slots, block, per).join(few(shape, n_sources), "rank").where(F.col("n_blocks") > 0)
     plan = plan.withColumn("epoch", F.floor(F.col("k") / F.col("n_blocks"))).withColumn("block", F.col("k") % F.col("n_blocks"))
     start = F.col("epoch") * F.col("length") + F.col("block") * block
     words = F.least(F.lit(block), F.col("length") - F.col("block") * block, F.col("goal") - start)
@@ -189,17 +189,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WEIGHT = "CASE (rank % 3) WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END"
 OP9_SQL = f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 s0 AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 s1 AS (SELECT *, CAST({_WEIGHT} AS DOUBLE) AS weight, CAST(2.0 AS DOUBLE) * source_size AS bound, CAST(1.5 AS DOUBLE) * sum(source_size) OVER () AS total FROM s0),
 s2 AS (SELECT *, (total - coalesce(sum(bound) OVER (ORDER BY bound / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY bound / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM s1),
 s3 AS (SELECT *, (SELECT arg_min(lv, (bound / weight, rank)) FROM s2 WHERE bound > lv * weight) AS level FROM s2),
 s AS (SELECT source, rank, source_size, least(bound, coalesce(level * weight, bound)) AS target FROM s3),
-n AS (SELECT greatest(1, least(4096, CAST(floor(sum(target) / (4096 * count(*))) AS BIGINT))) AS block, sum(target) AS total, count(*) AS k FROM s),
-reach AS (SELECT rank, coalesce(lag(hi) OVER (ORDER BY rank), 0) AS lo, CASE WHEN lead(rank) OVER (ORDER BY rank) IS NULL THEN 1.0 ELSE hi END AS hi FROM (SELECT rank, sum(target) OVER (ORDER BY rank) / sum(target) OVER () AS hi FROM s)),
-slots AS (SELECT i, i * {GOLDEN} - floor(i * {GOLDEN}) AS u FROM (SELECT unnest(range(CAST(floor(total / block) AS BIGINT) + 64 + k)) AS i FROM n)),
-per AS (SELECT rank, count(*) AS slots FROM slots JOIN reach ON u >= lo AND u < hi GROUP BY rank),
-goal AS (SELECT s.*, least(CAST(round(target) AS BIGINT), CASE WHEN source_size = 0 THEN 0 ELSE (slots // CAST(ceil(source_size / block) AS BIGINT)) * source_size + least(source_size, (slots % CAST(ceil(source_size / block) AS BIGINT)) * block) END) AS got FROM s JOIN per USING (rank), n),
+goal AS (SELECT *, CAST(round(target) AS BIGINT) AS got FROM s),
 p AS (SELECT d.*, g.source_size, g.target, g.got, coalesce(sum(size) OVER (PARTITION BY g.rank ORDER BY CAST('0x' || substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 7) AS BIGINT) % greatest(1, CAST(floor(sqrt(c)) AS BIGINT)), md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source, (SELECT count(*) AS c FROM d))
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target, CAST(greatest(0, least(size, least(got, source_size) - pos)) + greatest(0, least(size, got - source_size - pos)) AS BIGINT) AS taken FROM p

@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Text bytes that a task holds as numpy arrays at once; a longer document is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -40,6 +41,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df for a join: by a broadcast where its n rows, as counted, are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def running(df: DataFrame, order: list, sums: dict[str, str], n: int, per: int = 100_000) -> DataFrame:
+    """df's n rows with position (from 0) and, for each name in sums, the sum of its column over the rows before.
+
+    A window never holds more than about per rows, but for a row per partition: the rows are dealt by ranges of the
+    order, which is written to the checkpoint folder, and each partition's totals give the next one's offsets.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(before(w)), F.lit(0))
+    if n <= per:
+        w = Window.orderBy(*order)
+        return df.select("*", (F.row_number().over(w) - 1).cast("long").alias("position"), *(so_far(c, w).alias(out) for out, c in sums.items()))
+    x = cut(df.repartitionByRange(-(-n // per), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    along, inside = Window.orderBy("_part"), Window.partitionBy("_part").orderBy("_at")
+    totals = x.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_{out}") for out, c in sums.items()))
+    offsets = totals.select("_part", so_far("_n", along).alias("_n"), *(so_far(f"_{out}", along).alias(f"_{out}") for out in sums))
+    x = x.join(few(offsets, -(-n // per)), "_part")
+    return x.select(*df.columns, (F.col("_n") + F.row_number().over(inside) - 1).alias("position"), *((F.col(f"_{out}") + so_far(c, inside)).alias(out) for out, c in sums.items()))
+
+
 def small_batches(spark: SparkSession, most: str = "8m") -> None:
     """Let Arrow hand texts to Python in batches of most bytes: workers of several stages then fit beside the JVM."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

@@ -284,21 +284,30 @@ def test_ids_of_whole_batches():
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e7])
+@pytest.mark.parametrize("scale", [1.0, 2e4, 2e5])
 def test_max_score(spark, scale):
     r = random.Random(6)
     vecs = [(i, [r.gauss(0, 1) * scale for _ in range(12)]) for i in range(300)] + [(300 + i, [0.25] * 12) for i in range(40)]
-    vecs += [(900, None), (901, []), (902, [float("nan")] * 12), (903, [None] + [1.0] * 11), (904, [float("inf")] * 12), (905, [1.0] * 5), (None, [9.0] * 12), (7, vecs[7][1])]
+    vecs += [(900, None), (901, []), (902, [float("nan")] * 12), (903, [None] + [1.0] * 11), (904, [float("inf")] * 12), (905, [1.0] * 5), (950, []), (None, [9.0] * 12), (7, vecs[7][1])]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumn("row", F.lit(1))
     got = defaultdict(list)
     for x in max_score.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=64, block_rows=3).collect():
         got[x.query_id].append((x["rank"], x.vec_id, x.score))
-    ok = [(i, [int(max(-max_score.LIMIT, min(max_score.LIMIT, np.floor(1024 * x)))) for x in v]) for i, v in vecs if i is not None and v and None not in v and np.isfinite(v).all()]
+    ok = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vecs if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     for i, v in ok:
         if i % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i)[:10]
             assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert set(got) == {i for i, _ in ok if i % 50 == 0}
+    assert set(got) == {i for i, _ in ok if i % 50 == 0} and 950 in got
+    assert max_score.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_scores_are_not_clamped(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2e6]), (2, [1e6]), (3, [3e11]), (4, [-3e11])], "vec_id long, embedding array<double>")
+    got = [(x.vec_id, x.score) for x in max_score.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(3, 2**20 * 3 * 10**11), (1, 2**20 * 2 * 10**6), (2, 2**20 * 10**6), (4, -(2**20) * 3 * 10**11)]
+    with pytest.raises(Exception, match="64 bits"):
+        max_score.top_k(df, F.col("vec_id") == 3).collect()
 
 
 def test_mix_meets_targets(spark):
@@ -346,6 +355,34 @@ def test_mix_meets_small_targets(spark):
     assert plan.groupBy("slot").count().where("count > 1").count() == 0 and plan.agg(F.sum("words")).first()[0] == sum(x.taken for x in got.values())
 
 
+def test_mix_of_one_huge_and_many_tiny_sources(spark):
+    data = [(i, "w " * 40, "en", "big", 0) for i in range(3000)] + [(9000 + i, "w " * 20, "en", f"tiny{i}", 0) for i in range(5)] + [(9100, "w", "en", None, 0)]
+    docs = spark.createDataFrame(data, DOCS)
+    taken, plan = mixing.mix(docs)
+    rows = sorted((x.doc_id, x.source or "", x.target, x.taken) for x in taken.collect())
+    got = defaultdict(int)
+    for _, source, _, n in rows:
+        got[source] += n
+    assert {s: got[s] for s in got} == {s: round(t) for _, s, t, _ in rows} and all(got[f"tiny{i}"] == 40 for i in range(5)) and got[""] == 2
+    # The same by windows over a few sources at a time.
+    again, plan_again = mixing.mix(docs, per=2)
+    assert sorted((x.doc_id, x.source or "", x.target, x.taken) for x in again.collect()) == rows
+    assert plan_again.count() == plan.count()
+
+
+def test_running_sums_by_ranges(spark):
+    from lakeaudit.llm.spark import running
+
+    df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k long, v long")
+    for per in (10, 1000):
+        got = sorted(tuple(x) for x in running(df, [F.col("k").desc()], {"before": "v"}, 101, per).collect())
+        rows, total = [], 0
+        for at, (k, v) in enumerate(sorted(((i * 7 % 101, i) for i in range(101)), reverse=True)):
+            rows.append((k, v, at, total))
+            total += v
+        assert got == sorted(rows)
+
+
 @needs_tables
 def test_pipeline(spark):
     import corpus_pipeline
