@@ -8,7 +8,9 @@ depends on the three bytes before it alone, and the costs of every context kept
 code length names the language; the score is its share when 2 ** -length is made to add up to one over the languages.
 
 Training reads a bounded sample of labelled rows (docs_per_lang of each language, chosen by a hash of the id) and counts
-byte runs in Spark. What reaches the driver is the counts of runs of four bytes seen min_count times or more.
+byte runs in Spark. What reaches the driver is the counts of the sample's distinct runs of four bytes; every one counts,
+and every context is kept. The counts (MOST_RUNS) and the costs that are broadcast (MOST_BYTES) are checked: a sample of
+so many languages that they don't fit is an error that asks for fewer docs_per_lang, never a model with parts left out.
 
 A null text, or one without a letter, is ``und`` with score 0. Null labels teach nothing; a null id counts as the
 empty text where its remainder is taken. Repeated rows are predicted each on their own. Without any labelled row every
@@ -30,6 +32,8 @@ from lakeaudit.llm import words as W
 from lakeaudit.llm.spark import by_slice, table
 
 ORDER = 3
+MOST_RUNS = 8_000_000  #: distinct runs that the driver takes
+MOST_BYTES = 1 << 30  #: of the broadcast costs
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PIECE = 1 << 20  #: bytes that are scored at once
@@ -56,8 +60,8 @@ def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, starts
 
 
-def byte_runs(labelled: DataFrame, lang_col: str, text_col: str, min_count: int) -> pd.DataFrame:
-    """lang, run (four bytes as a number), n: the runs seen min_count times or more."""
+def byte_runs(labelled: DataFrame, lang_col: str, text_col: str) -> pd.DataFrame:
+    """lang, run (four bytes as a number), n: every run of the texts."""
 
     def count(batches):
         for batch in batches:
@@ -74,11 +78,14 @@ def byte_runs(labelled: DataFrame, lang_col: str, text_col: str, min_count: int)
                 yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys >> 32)), pa.array(keys & 0xFFFFFFFF), pa.array(n)], ["lang", "run", "n"])
 
     got = labelled.select(lang_col, text_col).mapInArrow(count, "lang string, run long, n long")
-    return got.groupBy("lang", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).toPandas()
+    runs = got.groupBy("lang", "run").agg(F.sum("n").alias("n")).limit(MOST_RUNS + 1).toPandas()
+    if len(runs) > MOST_RUNS:
+        raise ValueError(f"the sample has more than {MOST_RUNS} byte runs: take fewer docs_per_lang")
+    return runs
 
 
-def build(runs: pd.DataFrame, max_cells: int) -> Model:
-    """The trees of all languages over one set of contexts: every one of order 0 to 2, and the most frequent of order 3 as far as max_cells costs go."""
+def build(runs: pd.DataFrame) -> Model:
+    """The trees of all languages over one set of contexts, those of any language."""
     langs = sorted(runs["lang"].unique())
     code = runs["run"].to_numpy(np.int64)
     parts = [(code >> s) & 255 for s in (24, 16, 8, 0)]
@@ -90,10 +97,8 @@ def build(runs: pd.DataFrame, max_cells: int) -> Model:
     lang, n = runs["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), runs["n"].to_numpy(np.float64)
     codes = [np.zeros(len(runs), np.int64), c, b * size + c, (a * size + b) * size + c]
     kept = [np.unique(x) for x in codes]
-    room = max(0, max_cells // (size * len(langs)) - sum(len(x) for x in kept[:-1]))
-    if len(kept[-1]) > room:
-        weight = np.bincount(np.searchsorted(kept[-1], codes[-1]), weights=n)
-        kept[-1] = np.sort(kept[-1][np.argsort(-weight, kind="stable")[:room]])
+    if 4 * size * (len(langs) * sum(map(len, kept)) + size * size) > MOST_BYTES:
+        raise ValueError(f"the costs take more than {MOST_BYTES} bytes: take fewer docs_per_lang")
     base = np.cumsum([0, *map(len, kept)])
     cost = np.empty((base[-1], size, len(langs)), np.float32)
     for k, _ in enumerate(langs):
@@ -146,15 +151,15 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, min_count: int, max_cells: int) -> Model | None:
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int) -> Model | None:
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     per = {r[lang_col]: r["n"] for r in labelled.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
     if not per:
         return None
     most = F.create_map(*(F.lit(x) for k, n in per.items() for x in (k, min(1 << 30, docs_per_lang * (1 << 30) // n))))
     chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < most[F.col(lang_col)])
-    runs = byte_runs(chosen, lang_col, text_col, min_count)
-    return build(runs, max_cells) if len(runs) else None
+    runs = byte_runs(chosen, lang_col, text_col)
+    return build(runs) if len(runs) else None
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -180,10 +185,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
     return docs.select(*keep, text_col).mapInArrow(by_slice(judge, text_col), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "lang_pred string, score double"]))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, docs_per_lang: int = 1500, min_count: int = 2, max_cells: int = 10_000_000) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, docs_per_lang: int = 1500) -> DataFrame:
     """Train on the rows whose crc32 remainder isn't 0 and predict every row: id, held_out, lang_pred, score."""
     own = docs.select(id_col, text_col, lang_col).withColumn("held_out", remainder(id_col, folds) == 0)
-    model = train(own.where(~F.col("held_out")), id_col, text_col, lang_col, docs_per_lang, min_count, max_cells)
+    model = train(own.where(~F.col("held_out")), id_col, text_col, lang_col, docs_per_lang)
     return predict(own, model, [id_col, "held_out"], text_col)
 
 

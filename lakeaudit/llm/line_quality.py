@@ -9,7 +9,8 @@ A line fails as
 - boilerplate: it holds a stock phrase and has at most 40 words.
 A document is kept if the base rules pass and the lines that stay hold at least min_left of its words.
 
-A null text is an empty one: no words, so base_failed. Repeated rows are judged each on their own. Columns besides
+Final punctuation counts in any script, stock phrases in English, French, German and Spanish. A null text is an empty one:
+no words, so base_failed. Repeated rows are judged each on their own. Columns besides
 id and text are not read.
 """
 
@@ -23,10 +24,12 @@ from lakeaudit.llm import words as W
 from lakeaudit.llm.spark import by_slice, table
 
 SYMBOLS = b"#*$%&|<>"
-FINAL = b".!?:;\"')]}"
+FINAL = ".!?:;\"')]}…。！？：；”’»›」』）．｡"
+#: Letters of A-Z in either case; other letters as they stand here.
 PHRASES = (
-    b"all rights reserved", b"cookie policy", b"we use cookies", b"privacy policy", b"terms of use", b"terms of service",
-    b"enable javascript", b"lorem ipsum", b"click here", b"sign up for our newsletter", b"subscribe to our", b"skip to content",
+    "all rights reserved", "cookie policy", "we use cookies", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "click here", "sign up for our newsletter", "subscribe to our", "skip to content",
+    "tous droits réservés", "politique de confidentialité", "politique de cookies", "conditions générales", "cliquez ici", "mentions légales", "alle rechte vorbehalten", "wir verwenden cookies", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "zum inhalt springen",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "haga clic aquí", "aviso legal",
 )
 
 
@@ -36,7 +39,13 @@ def _table(chars: bytes) -> np.ndarray:
     return out
 
 
-_SYMBOL, _FINAL, _BAR = _table(SYMBOLS), _table(FINAL), _table(b"|")
+def _code(raw: bytes) -> int:
+    """The last character's bytes as one number."""
+    return int.from_bytes(raw, "big")
+
+
+_SYMBOL, _BAR = _table(SYMBOLS), _table(b"|")
+_FINAL = np.array(sorted(_code(c.encode()) for c in FINAL))
 _CAPITAL, _LETTER = _table(bytes(range(65, 91))), _table(bytes([*range(65, 91), *range(97, 123)]))
 
 
@@ -50,9 +59,13 @@ def failed_lines(data: np.ndarray, w: W.Words, own: W.Lines, line_of_word: np.nd
     letters = count(_LETTER[data])
     bang = np.bincount(line_of_word, weights=data[w.ends - 1] == 33, minlength=n) if len(w.ends) else np.zeros(n)
     shouting = (words_in >= 4) & ((2 * count(_CAPITAL[data]) > letters) | (2 * bang > words_in))
-    last = np.zeros(n, np.uint8)
-    last[line_of_word] = data[w.ends - 1]
-    short = (words_in > 0) & (words_in <= 3) & ~_FINAL[last]
+    # The last character of each line's last word: its last byte, and the bytes before it that belong to it.
+    end = np.ones(n, np.int64)
+    end[line_of_word] = w.ends
+    byte = lambda k: np.where(end > k, data[np.maximum(end - 1 - k, 0)], 0).astype(np.int64) if len(data) else np.zeros(n, np.int64)
+    last, two, three = byte(0), byte(1), byte(2)
+    code = np.where(last < 128, last, np.where(two >= 0xC0, two << 8 | last, three << 16 | two << 8 | last))
+    short = (words_in > 0) & (words_in <= 3) & ~np.isin(code, _FINAL)
     beside = np.zeros(n, bool)
     pair = short[1:] & short[:-1] & (own.doc[1:] == own.doc[:-1])
     beside[1:] |= pair
@@ -60,7 +73,7 @@ def failed_lines(data: np.ndarray, w: W.Words, own: W.Lines, line_of_word: np.nd
     navigation = (count(_BAR[data]) >= 3) | beside
     stock = np.zeros(n, bool)
     small = W.lower(data).tobytes()
-    for phrase in PHRASES:
+    for phrase in map(str.encode, PHRASES):
         at = small.find(phrase)
         while at >= 0:
             line = int(np.searchsorted(own.starts, at, "right")) - 1
@@ -118,7 +131,7 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
-_STOCK = " OR ".join(f"contains(low, '{p.decode()}')" for p in PHRASES)
+_STOCK = " OR ".join(f"contains(low, '{p}')" for p in PHRASES)
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, ws, len(ws) AS n_words FROM (SELECT doc_id, regexp_extract_all(text, '{_WORDS}') AS ws FROM d)),
@@ -129,7 +142,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM hit, (SELECT
 l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k, len(string_split(text, chr(10))) AS n FROM d WHERE text <> ''),
 l1 AS (SELECT doc_id, line, k, regexp_extract_all(line, '{_WORDS}') AS ws, length(line) + CASE WHEN k < n THEN 1 ELSE 0 END AS chars, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
   len(ws) AS nw, len(regexp_extract_all(line, '[A-Za-z]')) AS letters, len(regexp_extract_all(line, '[A-Z]')) AS capitals, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|]')) AS bars FROM l0),
-l2 AS (SELECT *, nw BETWEEN 1 AND 3 AND NOT contains('.!?:;"'')]}}', right(ws[nw], 1)) AS short, nw > 0 AND row_number() OVER (PARTITION BY doc_id, line, nw > 0 ORDER BY k) > 1 AS dup FROM l1),
+l2 AS (SELECT *, nw BETWEEN 1 AND 3 AND NOT contains('{FINAL.replace("'", "''")}', right(ws[nw], 1)) AS short, nw > 0 AND row_number() OVER (PARTITION BY doc_id, line, nw > 0 ORDER BY k) > 1 AS dup FROM l1),
 l3 AS (SELECT *, short AND (coalesce(lag(short) OVER (PARTITION BY doc_id ORDER BY k), FALSE) OR coalesce(lead(short) OVER (PARTITION BY doc_id ORDER BY k), FALSE)) AS beside FROM l2),
 l4 AS (SELECT doc_id, nw, dup, dup OR symbols > 0.1 * greatest(chars, 1) OR (nw >= 4 AND (2 * capitals > letters OR 2 * len(list_filter(ws, lambda x: ends_with(x, '!'))) > nw)) OR bars >= 3 OR beside OR (nw <= 40 AND ({_STOCK})) AS failed FROM l3 WHERE nw > 0 OR line <> '' OR chars > 0),
 lines AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, sum(nw) FILTER (NOT failed) AS n_left, count(*) FILTER (failed) AS n_failed FROM l4 GROUP BY doc_id),

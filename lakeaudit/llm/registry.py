@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lakeaudit.llm import html_cut, jaccard_join, language_id, license_scan, line_quality, max_score, mixing, packing, quality_classifier, secret_links
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_max_score": max_score.op8_max_score,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
-        "pipeline": corpus_pipeline.run,
     }
 
 

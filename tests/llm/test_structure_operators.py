@@ -221,6 +221,68 @@ def test_licenses_inherit(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("GPL-3.0", None), 4: ("GPL-3.0", "a/b/c"), 5: ("Apache-2.0", None), 6: (None, None), 7: (None, None), 8: ("MIT", "a")}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2024 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD_2_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3_TEXT = BSD_2_TEXT + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+LGPL_HEADER = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version."""
+
+
+def test_licenses_of_real_notices(spark):
+    files = [
+        (1, "m/LICENSE.md", MIT_TEXT), (2, "m/src/a.py", "x = 1"), (3, "b/LICENSE-BSD.txt", BSD_2_TEXT), (4, "c/COPYING.LESSER", BSD_3_TEXT), (5, "d/a.c", LGPL_HEADER), (6, "e/a.go", "// SPDX-License-Identifier: MIT OR Apache-2.0\n// Licensed under the GNU General Public License, version 3.\n"),
+        (7, "f/Licence", "// Copyright 2024 Foo Project Authors, All rights reserved\n// Licensed under the Apache License, Version 2.0\n"), (8, "f/unlicensed.txt", "some words"), (9, "g/LICENSED", "Released under the MIT License."), (10, "g/x", "y"), (11, "h/a.txt", "word " * 200_000 + ". Released under the MIT License. " + "word " * 200_000),
+    ]
+    want = {1: ("MIT", None), 2: ("MIT", "m"), 3: ("BSD-2-Clause", None), 4: ("BSD-3-Clause", None), 5: ("LGPL-2.1", None), 6: ("MIT OR Apache-2.0", None), 7: ("Apache-2.0", None), 8: ("Apache-2.0", "f"), 9: ("MIT", None), 10: (None, None), 11: ("MIT", None)}
+    docs = spark.createDataFrame(files, "doc_id long, path string, text string").withColumns({c: F.lit(c) for c in ("rid", "id", "name", "dir", "license", "term", "cosine")})
+    more = spark.range(20_000).selectExpr("id + 1000 AS doc_id", "concat('z/', id) AS path", "concat('plain words of no licence, project ', id, ' rights and all') AS text")
+    for df in (docs, docs.select("doc_id", "path", "text").unionByName(more)):
+        out = license_scan.license_scan(df).where("doc_id < 1000")
+        assert {r.doc_id: (r.license, r.licensed_by) for r in out.collect()} == want
+    assert license_scan.license_scan(docs.limit(0)).count() == 0
+
+
+@needs_tables
+def test_licenses_equal_their_sql(spark):
+    import duckdb
+
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    cur = sql.execute(license_scan.OP5_SQL)
+    names = [d[0] for d in cur.description]
+    want = sorted(str([dict(zip(names, x))[c] for c in sorted(names)]) for x in cur.fetchall())
+    df = license_scan.op5_license_scan(spark, SF)
+    assert sorted(str([r[c] for c in sorted(df.columns)]) for r in df.collect()) == want
+
+
 def test_first_fit_decreasing_is_first_fit():
     r = np.random.default_rng(0)
     size = r.integers(1, 101, 300)
@@ -383,6 +445,16 @@ def test_running_sums_by_ranges(spark):
         assert got == sorted(rows)
 
 
+@needs_tables
+def test_pipeline_stages_of_empty_tables(spark):
+    import corpus_pipeline
+    from lakeaudit.llm.spark import table
+
+    docs = table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
 @needs_tables
 def test_pipeline(spark):
     import corpus_pipeline

@@ -93,14 +93,27 @@ def linked(spark, texts, reach=200):
     return out
 
 
+def plain_parts(text):
+    """The parts as the operator's description states them, each weak part held against each strong one."""
+    strong = [(1, m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    strong += [(2, m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    strong += [(0, m.start(), m.end()) for m in secret_links.ASSIGN.finditer(text) if len(m[2]) >= 8]
+    mixed = lambda x: any(c.isdigit() for c in x) and any("a" <= c <= "z" for c in x) and any("A" <= c <= "Z" for c in x)
+    weak = [(3, m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= 20 and mixed(m[0])]
+    weak += [(4, m.start(), m.end()) for m in secret_links.IDENT.finditer(text)] + [(5, m.start(), m.end()) for m in re.finditer(r"""https?://[^\s"'<>]+""", text)]
+    found = strong + [x for x in weak if not any(y[1] < x[2] and x[1] < y[2] for y in strong)]
+    breaks = [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    return [(sum(e <= s for e in breaks), k, s, e) for k, s, e in found]
+
+
 def plain_linked(text, reach=200):
     """All pairs of parts of a scope."""
-    found = secret_links.parts(text or "")
-    role = {k: name for name, kinds in secret_links.ROLES.items() for k in kinds}
+    found = plain_parts(text or "")
+    role = {0: "secret", 1: "identifier", 2: "secret", 3: "secret", 4: "identifier", 5: "endpoint"}
     keep = []
-    for x in found:
-        near = {role[y[1]] for y in found if y is not x and y[0] == x[0] and max(y[2] - x[3], x[2] - y[3]) <= reach}
-        ok = x[1] < secret_links.BASE or x[1] == 3 and near & {"identifier", "endpoint"} or x[1] == 4 and "secret" in near or x[1] == 5 and {"identifier", "secret"} <= near
+    for i, x in enumerate(found):
+        near = {role[y[1]] for j, y in enumerate(found) if j != i and y[0] == x[0] and max(y[2] - x[3], x[2] - y[3]) <= reach}
+        ok = x[1] < 3 or x[1] == 3 and near & {"identifier", "endpoint"} or x[1] == 4 and "secret" in near or x[1] == 5 and {"identifier", "secret"} <= near
         if ok:
             keep.append((x[2], x[1], x[3]))
     return ",".join(f"{secret_links.KINDS[k]}:{a}:{b}" for a, k, b in sorted(keep))
@@ -111,7 +124,11 @@ def test_secrets_and_links(spark):
     texts = [
         *TEXTS, f'password = "{key}"', "token: x secret: 12345678", 'password:"token":"abcdefghij"', "AKIA" + "A" * 12, "AKIA" + "A" * 11, hx, hx[:-1], f"é user=bob {key} https://h.example/x", f"user=bob\n\n{key}", f"{key} alone",
         f"user=bob {'z ' * 150}{key}", f"KEY {key} https://h/x", "passſword=12345678", "API_KEY='abc/def+1='", f"login: ann https://h/x {hx}", f"{key} " * 50 + "user=x",
+        "https://x.example/?user=bobby&token=abcdefgh1234", f"https://h/?user=ann&key={key}&login=bob&x=1",
     ]
+    r = random.Random(21)
+    bits = ["user=bob", "token=abcdefgh1", key, hx, "https://h.example/a?b=", "AKIA" + "B" * 14, " ", "\n\n", "&", "words in between ", "z" * 150, "login: x", "secret="]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(300)]
     got = linked(spark, texts)
     for i, t in enumerate(texts):
         base = [s for s in got[i].split(",") if s.split(":")[0] in secret_links.KINDS[: secret_links.BASE]]
@@ -166,7 +183,7 @@ def test_language_accuracy_and_folds(spark):
 
 def test_code_lengths_are_a_distribution(spark):
     docs = spark.createDataFrame(langs(60), DOCS)
-    model = language_id.train(docs, "doc_id", "text", "lang", 100, 1, 200_000)
+    model = language_id.train(docs, "doc_id", "text", "lang", 100)
     size = round(len(model.state) ** (1 / 3))
     p = 2.0 ** -model.cost.astype(np.float64).reshape(-1, size, len(model.langs))
     unseen = 256 - (size - 1)
@@ -197,10 +214,88 @@ def test_quality_classifier(spark):
     assert all(x.held_out for x in held) and np.mean([x.predicted == int(x.doc_id % 3 > 0) for x in held]) > 0.97
     kept = quality_classifier.keep_good(docs, labels)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if x.predicted}
+    assert quality_classifier.classify(docs.limit(0), labels, ["doc_id"]).count() == 0 and quality_classifier.keep_good(docs.limit(0), labels.limit(0)).count() == 0
     one = quality_classifier.classify(docs.limit(3), labels.where("quality = 1"), ["doc_id"]).collect()
     assert all(x.predicted == 1 for x in one)
 
 
+def test_scores_are_the_discriminant(spark):
+    """Mahalanobis distances and determinants by plain matrix inverses, from the statistics of the labelled texts."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["good", "Bad!", "x,", "1 2 3", "line\nbreak", "|", "$$", "the", "of"]) for _ in range(r.randint(3, 90))) for _ in range(240)]
+    docs = spark.createDataFrame(rows(texts), DOCS).withColumns({"x": F.lit(1), "held_out": F.lit(2), "label": F.lit(3)})
+    labels = spark.createDataFrame([(i, int("good" in t[: len(t) // 3]), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.score for x in quality_classifier.classify(docs, labels, ["doc_id"], shrink=0.2, ridge=1e-2).collect()}
+    x, y = quality_classifier.features(pa.array(texts)), np.array([int("good" in t[: len(t) // 3]) for t in texts])
+    use = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in range(len(texts))])
+    pooled = sum(np.cov(x[use & (y == k)].T, bias=True) * (use & (y == k)).sum() for k in (0, 1)) / use.sum()
+    density = []
+    for k in (0, 1):
+        own = x[use & (y == k)]
+        cov = 0.8 * np.cov(own.T, bias=True) + 0.2 * pooled
+        cov = 0.8 * cov + 0.2 * np.diag(np.diag(cov)) + 1e-2 * np.eye(len(cov))
+        d = x - own.mean(0)
+        density.append(np.log(len(own)) - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) - 0.5 * np.linalg.slogdet(cov)[1])
+    want = 1 / (1 + np.exp(density[0] - density[1]))
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-8)
+
+
+def test_every_run_counts_for_a_language(spark):
+    """Costs by plain Python: recursive escapes with exclusion over the counts of every run, singletons with them."""
+    docs = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("abcab abd", "p"), ("abce", "p"), ("bcabca!", "q"), ("xyz ab", "q")])]
+    model = language_id.train(spark.createDataFrame(docs, DOCS), "doc_id", "text", "lang", 100)
+    size = round(len(model.state) ** (1 / 3))
+    symbols = [b for b in range(256) if model.symbol[b] < size - 1]
+
+    def table(lang):
+        counts = {}
+        for _, t, own, *_ in docs:
+            if own == lang:
+                raw = b"   " + t.encode()
+                for i in range(3, len(raw)):
+                    for k in range(4):
+                        counts.setdefault(raw[i - k : i], Counter())[raw[i]] += 1
+        return counts
+
+    def chance(counts, context, byte):
+        below = {b: 1 / 256 for b in range(256)}
+        for k in range(4):
+            seen = counts.get(context[3 - k :])
+            if seen:
+                total, kinds = sum(seen.values()), len(seen)
+                free = 1 - sum(below[b] for b in seen)
+                below = {b: seen[b] / (total + kinds) if b in seen else kinds / (total + kinds) * below[b] / free for b in below}
+        return below[byte]
+
+    for j, lang in enumerate(model.langs):
+        counts = table(lang)
+        for context in (b"abc", b"  a", b"zab", b"!!!", b"bca"):
+            a, b, c = (model.symbol[x] for x in context)
+            for byte in (*symbols, 7):
+                got = model.cost[model.state[(a * size + b) * size + c] * size + model.symbol[byte], j]
+                assert abs(got + np.log2(chance(counts, context, byte))) < 1e-3
+    texts = pa.array(["abc", "abc", "x" * 3_000_000])
+    bits = language_id.code_lengths(model, *W.flat(texts))
+    assert (bits[0] == bits[1]).all() and (bits[2] > 1e6).all()
+
+
+def test_too_many_languages_is_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame(langs(30), DOCS)
+    monkeypatch.setattr(language_id, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError, match="docs_per_lang"):
+        language_id.identify(docs)
+    monkeypatch.setattr(language_id, "MOST_RUNS", 10)
+    with pytest.raises(ValueError, match="docs_per_lang"):
+        language_id.identify(docs)
+
+
+def test_final_punctuation_of_any_script(spark):
+    prose = "This is a plain sentence with some words in it and it goes on for a while here. " * 2
+    texts = [prose + "\n短い文。\n次の文。\nUne phrase…\nEt »", prose + "\nHome page\nAbout us\nNews", prose + "\nTOUS droits réservés"]
+    got = {x.doc_id: x.n_failed_lines for x in line_quality.line_quality(spark.createDataFrame(rows(texts), DOCS)).collect()}
+    assert got == {0: 0, 1: 3, 2: 1}
+
+
 @pytest.mark.parametrize("f", [line_quality.line_quality, lambda d: secret_links.secrets(secret_links.numbered(d)), language_id.identify])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], DOCS)).count() == 0
@@ -211,6 +306,10 @@ def test_repeated_rows_and_extra_columns(spark):
     assert len(secret_links.secrets(secret_links.numbered(docs)).collect()) == 3
     assert sorted(r.text for r in secret_links.redact(docs).collect()) == ["[REDACTED]", "[REDACTED]", "x"]
     assert line_quality.line_quality(docs).count() == 3
+    clash = docs.withColumns({c: F.lit("en") for c in ("lang", "held_out", "score", "lang_pred", "run", "n")})
+    assert language_id.identify(clash).count() == 3
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.classify(clash, labels, ["doc_id"]).count() == 3 and quality_classifier.keep_good(clash, labels).columns == clash.columns
 
 
 def test_sha_of_no_spans():
