@@ -15,6 +15,7 @@ MANIFEST_DIRS = ("k8s", "kubernetes", "helm", "charts", "manifests", "infra", "i
 MANIFESTS = "deployment|statefulset|daemonset|service|ingress|pod|job|cronjob|configmap|networkpolicy"
 INFRASTRUCTURE = r"^(nginx\.conf|httpd\.conf|apache2\.conf|dockerfile.*|docker-compose\.ya?ml|\.htaccess|sshd_config|pg_hba\.conf|my\.cnf|.*\.tf|.*\.tfvars)$"
 
+# Severities and their ranks in policies, source findings and reports.
 POLICY_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1}
 SOURCE_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2}
 REPORT_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -35,7 +36,8 @@ def shannon_entropy(col: Column) -> Column:
     """Bits per character of a string: -sum p log2 p; 0 for an empty one."""
     n = F.length(col)
     chars = F.split(col, "")
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
+    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    bits = F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(n > 0, bits).otherwise(0.0)
 
 

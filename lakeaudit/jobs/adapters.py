@@ -6,28 +6,14 @@ rows. ``oracle(query, *views)`` puts the views that a query names before it.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeaudit.functions.session import cut, shared_folder  # noqa: F401  for the queries
+
 DIRS = ("src", "tests", "vendor", "docs", "fixtures", "workflows", "dist", "lib")
 LANGUAGES = {"en": ("python", ".py"), "fr": ("javascript", ".js"), "de": ("java", ".java"), "es": ("go", ".go")}
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a temporary folder only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's shared checkpoint folder and read it there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
@@ -131,13 +117,13 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 view("dependencies", f"SELECT {_DEPS.replace('AS STRING', 'AS VARCHAR')} FROM lineitem")
 
-_ADVISORIES = """concat('ADV-', CAST(p_partkey AS STRING)) AS id, CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' WHEN 2 THEN 'crates.io' ELSE 'Debian' END AS ecosystem, concat(CASE WHEN p_partkey % 4 = 1 THEN 'lib.' ELSE 'lib-' END, CAST(p_partkey % 400 AS STRING)) AS package,
+ADVISORIES = """concat('ADV-', CAST(p_partkey AS STRING)) AS id, CASE p_partkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' WHEN 2 THEN 'crates.io' ELSE 'Debian' END AS ecosystem, concat(CASE WHEN p_partkey % 4 = 1 THEN 'lib.' ELSE 'lib-' END, CAST(p_partkey % 400 AS STRING)) AS package,
     concat('CVE-2024-', CAST(p_partkey % 300 AS STRING)) AS alias, CASE WHEN p_partkey % 31 = 0 THEN '2024-01-01' END AS withdrawn, concat(CAST(p_size % 3 AS STRING), '.0.0') AS introduced, concat(CAST(p_size % 3 + 1 + p_size % 4 AS STRING), '.', CAST(p_size % 10 AS STRING), '.0') AS fixed,
     CASE p_size % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity"""
 
 
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project(spark, sf_dir, "part", _ADVISORIES)
+    return project(spark, sf_dir, "part", ADVISORIES)
 
 
-view("advisories", f"SELECT {_ADVISORIES.replace('AS STRING', 'AS VARCHAR')} FROM part")
+view("advisories", f"SELECT {ADVISORIES.replace('AS STRING', 'AS VARCHAR')} FROM part")

@@ -24,12 +24,15 @@ A.view(
 
 
 def advisories(spark, sf_dir) -> DataFrame:
+    return _ranged(A.advisories(spark, sf_dir))
+
+
+def _ranged(a: DataFrame) -> DataFrame:
     """The advisories with ranges as OSV writes them; an introduced 0.0.0 is written as 0."""
     event = lambda **k: F.struct(*(k.get(n, F.lit(None).cast("string")).alias(n) for n in ("introduced", "fixed", "last_affected", "limit")))
     start = F.when(F.col("introduced") == "0.0.0", "0").otherwise(F.col("introduced"))
     events = F.array(event(introduced=start), event(fixed=F.col("fixed")))
     kind = F.when(F.col("ecosystem") == "npm", "SEMVER").otherwise("ECOSYSTEM")
-    a = A.advisories(spark, sf_dir)
     return a.withColumn("aliases", F.array("alias")).withColumn("versions", F.array().cast("array<string>")).withColumn("ranges", F.array(F.struct(kind.alias("type"), events.alias("events"))))
 
 
@@ -42,9 +45,45 @@ def match_advisories(spark, sf_dir) -> DataFrame:
     return _matches(spark, sf_dir)
 
 
-@query("match_notes", A.oracle("SELECT count(*) AS affected, 0 AS undetermined, '' AS examples FROM matched", "matched"))
+# Versions of every kind: prereleases, and texts that have no place. Their order is that of [major, minor, patch, release or not, candidate].
+_ANY_DEPS = """CASE WHEN o_orderkey % 2 = 0 THEN 'npm' ELSE 'crates.io' END AS ecosystem, concat('lib-', CAST(o_orderkey % 200 AS STRING)) AS name, CASE WHEN o_custkey % 7 = 0 THEN concat('nightly-', CAST(o_custkey % 3 AS STRING)) WHEN o_custkey % 3 = 0 THEN concat(CAST(o_custkey % 7 AS STRING), '.', CAST(o_custkey % 10 AS STRING), '.0-rc.', CAST(o_custkey % 13 AS STRING)) ELSE concat(CAST(o_custkey % 7 AS STRING), '.', CAST(o_custkey % 10 AS STRING), '.0') END AS version"""
+_ANY_FIXED = "CASE WHEN p_partkey % 11 = 0 THEN 'soon' WHEN p_size % 3 = 0 THEN concat(fixed, '-rc.', CAST(p_partkey % 13 AS STRING)) ELSE fixed END"
+A.view("any_deps", f"SELECT DISTINCT {_ANY_DEPS.replace('AS STRING', 'AS VARCHAR')}, CASE WHEN o_custkey % 7 <> 0 THEN [o_custkey % 7, o_custkey % 10, 0, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 END, CASE WHEN o_custkey % 3 = 0 THEN o_custkey % 13 ELSE 0 END] END AS place FROM orders")
+A.view(
+    "any_advisories",
+    f"SELECT a.*, {_ANY_FIXED.replace('AS STRING', 'AS VARCHAR')} AS any_fixed, list_concat({_P('introduced')}, CAST([1, 0] AS BIGINT[])) AS low, CASE WHEN p_partkey % 11 <> 0 THEN list_concat({_P('fixed')}, CAST([CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END, CASE WHEN p_size % 3 = 0 THEN p_partkey % 13 ELSE 0 END] AS BIGINT[])) END AS high FROM advisories a JOIN part ON id = 'ADV-' || p_partkey",
+    "advisories",
+)
+A.view(
+    "any_matched",
+    """SELECT DISTINCT d.ecosystem, d.name, d.version, a.id AS advisory_id, CASE WHEN d.place IS NULL OR a.high IS NULL THEN 'undetermined' ELSE 'affected' END AS verdict FROM any_deps d JOIN any_advisories a ON a.ecosystem = d.ecosystem AND a.package = d.name
+  WHERE a.withdrawn IS NULL AND (d.place IS NULL OR a.high IS NULL OR ((introduced = '0.0.0' OR d.place >= a.low) AND d.place < a.high))""",
+    "any_deps", "any_advisories",
+)
+
+
+def any_advisories(spark, sf_dir) -> DataFrame:
+    """The advisories, some fixed by a prerelease and some by a version without a place."""
+    own = A.project(spark, sf_dir, "part", f"*, {A.ADVISORIES}").withColumn("fixed", F.expr(_ANY_FIXED))
+    return _ranged(own)
+
+
+def _any_deps(spark, sf_dir) -> DataFrame:
+    return A.project(spark, sf_dir, "orders", _ANY_DEPS).withColumns({"source": F.lit(None).cast("string"), "local_workspace": F.lit(False)})
+
+
+@query("match_any_versions", A.oracle("SELECT * FROM any_matched", "any_matched"))
+def match_any_versions(spark, sf_dir) -> DataFrame:
+    return D.match_advisories(_any_deps(spark, sf_dir), any_advisories(spark, sf_dir))
+
+
+@query("match_notes", A.oracle("""SELECT count(*) FILTER (verdict = 'affected') AS affected, count(*) FILTER (verdict = 'undetermined') AS undetermined, array_to_string(list(DISTINCT ecosystem || '/' || name || '@' || version ORDER BY ecosystem || '/' || name || '@' || version) FILTER (verdict = 'undetermined')[:5], ',') AS examples,
+  (SELECT count(*) FROM any_advisories a WHERE withdrawn IS NOT NULL AND EXISTS (FROM any_deps d WHERE d.ecosystem = a.ecosystem AND d.name = a.package)) AS withdrawn, (SELECT count(*) FROM any_advisories a WHERE withdrawn IS NULL AND CAST(substr(id, 5) AS BIGINT) % 6 = 0 AND EXISTS (FROM any_deps d WHERE d.ecosystem = a.ecosystem AND d.name = a.package)) AS git_ranges FROM any_matched""", "any_matched"))
 def match_notes(spark, sf_dir) -> DataFrame:
-    return D.match_notes(_matches(spark, sf_dir))
+    deps, adv = _any_deps(spark, sf_dir), any_advisories(spark, sf_dir)
+    git = F.when(F.substring("id", 5, 20).cast("long") % 6 == 0, F.array(F.struct(F.lit("GIT").alias("type"), F.col("ranges")[0]["events"].alias("events"))))
+    adv = adv.withColumn("ranges", F.concat("ranges", F.coalesce(git, F.slice("ranges", 1, 0))))
+    return D.match_notes(D.match_advisories(deps, adv)).join(F.broadcast(D.skipped_evidence(deps, adv)))
 
 
 @query("range_verdict", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 10 = 0 THEN 'undetermined' WHEN CAST(l_quantity AS INT) < 20 AND CAST(l_quantity AS INT) >= l_linenumber THEN 'affected' ELSE 'not_affected' END AS verdict FROM lineitem")
@@ -97,8 +136,8 @@ def dedupe_dependencies(spark, sf_dir) -> DataFrame:
 def _feeds(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = A.table(spark, sf_dir, "customer")
     cve = F.concat(F.lit("CVE-2024-"), (F.col("c_custkey") % 1000 + 1000).cast("string"))
-    kev = c.where("c_custkey % 7 = 0").select(cve.alias("cve"), (F.col("c_custkey") % 2 == 0).alias("ransomware")).groupBy("cve").agg(F.max("ransomware").alias("ransomware"))
-    epss = c.where("c_custkey % 3 = 0").select(cve.alias("cve"), (F.col("c_acctbal") / 10000).alias("epss")).groupBy("cve").agg(F.max("epss").alias("epss"))
+    kev = c.where("c_custkey % 7 = 0").select(cve.alias("cve"), (F.col("c_custkey") % 2 == 0).alias("ransomware"))
+    epss = c.where("c_custkey % 3 = 0").select(cve.alias("cve"), (F.col("c_acctbal") / 10000).alias("epss"))
     return kev, epss, c.where("c_custkey % 11 = 0").select(cve.alias("cve"))
 
 
@@ -125,11 +164,14 @@ def usage_index(spark, sf_dir) -> DataFrame:
     return D.usage_index(A.corpus(spark, sf_dir), _USAGE)
 
 
-@query("direct_usage", A.oracle(f"SELECT s.n_name AS name, s.ecosystem, CASE WHEN s.ecosystem = 'Go' THEN NULL ELSE EXISTS (SELECT 1 FROM corpus WHERE project_id = 'src1' AND list_contains(regexp_extract_all(content, '{_USAGE['npm']}', 1), s.n_name)) END AS used FROM (SELECT lower(substr('the then that this thing there', 1 + 5 * (n_nationkey % 5), 4)) AS n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'Go' ELSE 'npm' END AS ecosystem FROM nation) s", "corpus"))
+_IMPORTED = "concat('th', substr(p_name, 1, 2)) AS name, CASE WHEN p_partkey % 5 = 0 THEN 'Go' ELSE 'npm' END AS ecosystem, concat('src', CAST(p_partkey % 20 AS STRING)) AS project_id, p_partkey AS vuln_id"
+
+
+@query("direct_usage", A.oracle(f"WITH used AS (SELECT DISTINCT project_id, unnest(list_distinct(regexp_extract_all(content, '{_USAGE['npm']}', 1))) AS name FROM corpus) SELECT vuln_id, v.ecosystem, CASE WHEN v.ecosystem = 'Go' THEN NULL ELSE u.name IS NOT NULL END AS used FROM (SELECT {_IMPORTED.replace('AS STRING', 'AS VARCHAR')} FROM part UNION ALL SELECT 'the', 'npm', source, doc_id FROM documents UNION ALL SELECT 'zzzz', 'npm', source, -doc_id FROM documents) v LEFT JOIN used u USING (project_id, name)", "corpus"))
 def direct_usage(spark, sf_dir) -> DataFrame:
-    name = F.lower(F.substring(F.lit("the then that this thing there"), 1 + 5 * (F.col("n_nationkey") % 5), F.lit(4)))
-    vulns = A.table(spark, sf_dir, "nation").select(name.alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "Go").otherwise("npm").alias("ecosystem"), F.lit("src1").alias("project_id"))
-    return D.direct_usage(vulns, D.usage_index(A.corpus(spark, sf_dir), _USAGE), ["npm", "PyPI"]).select("name", "ecosystem", "used")
+    docs = A.table(spark, sf_dir, "documents")
+    asked = A.project(spark, sf_dir, "part", _IMPORTED).unionByName(docs.selectExpr("'the' AS name", "'npm' AS ecosystem", "source AS project_id", "doc_id AS vuln_id")).unionByName(docs.selectExpr("'zzzz' AS name", "'npm' AS ecosystem", "source AS project_id", "-doc_id AS vuln_id"))
+    return D.direct_usage(asked, D.usage_index(A.corpus(spark, sf_dir), _USAGE), ["npm", "PyPI"]).select("vuln_id", "ecosystem", "used")
 
 
 @query("referenced_functions", A.oracle("SELECT DISTINCT project_id, fn AS function FROM corpus, (SELECT unnest(['thtion', 'ereaho', 'ndthing', 'zzzz']) AS fn) WHERE contains(content, fn)", "corpus"))
@@ -170,27 +212,56 @@ def new_advisories_vs_baseline(spark, sf_dir) -> DataFrame:
 A.view("reported", "SELECT DISTINCT run_id, ecosystem, name, version, 'CVE-2024-' || (run_id % 300) AS reported_id FROM dependencies", "dependencies")
 
 
-@query("monitor", A.oracle(f"""SELECT DISTINCT d.run_id, m.* FROM (SELECT * FROM dependencies WHERE run_id % 4 = 0) d JOIN matched m USING (ecosystem, name, version) JOIN advisories a ON a.id = m.advisory_id WHERE NOT EXISTS (FROM reported r WHERE r.run_id = d.run_id AND r.ecosystem = m.ecosystem AND r.name = m.name AND r.version = m.version AND r.reported_id IN (m.advisory_id, a.alias))""", "matched", "reported"))
+A.view("unreported", """SELECT DISTINCT d.run_id, m.* FROM dependencies d JOIN matched m USING (ecosystem, name, version) JOIN advisories a ON a.id = m.advisory_id WHERE NOT EXISTS (FROM reported r WHERE r.run_id = d.run_id AND r.ecosystem = m.ecosystem AND r.name = m.name AND r.version = m.version AND r.reported_id IN (m.advisory_id, a.alias))""", "matched", "reported")
+
+
+def _reported(spark, sf_dir) -> DataFrame:
+    return A.dependencies(spark, sf_dir).select("run_id", *D.TRIPLE, F.concat(F.lit("CVE-2024-"), (F.col("run_id") % 300).cast("string")).alias("reported_id")).distinct()
+
+
+@query("monitor", A.oracle("SELECT * FROM unreported", "unreported"))
 def monitor(spark, sf_dir) -> DataFrame:
-    deps = A.dependencies(spark, sf_dir)
-    reported = deps.select("run_id", *D.TRIPLE, F.concat(F.lit("CVE-2024-"), (F.col("run_id") % 300).cast("string")).alias("reported_id")).distinct()
-    matches = D.match_advisories(deps, advisories(spark, sf_dir))
-    quarter = deps.where("run_id % 4 = 0").select("run_id", *D.TRIPLE).distinct().join(matches.select(*D.TRIPLE).distinct(), D.TRIPLE, "left_semi").withColumns({"source": F.lit("registry"), "local_workspace": F.lit(False)})
-    return D.monitor(quarter, advisories(spark, sf_dir), reported)
+    return D.monitor(A.dependencies(spark, sf_dir), advisories(spark, sf_dir), _reported(spark, sf_dir))
+
 
+@query("monitor_runs", A.oracle(f"""SELECT run_id, components, coalesce(affected, 0) AS affected, 0 AS undetermined, coverage_error FROM (SELECT run_id, count(DISTINCT (ecosystem, name, version)) AS components, min(ecosystem) FILTER (split_part(ecosystem, ':', 1) = 'crates.io') AS coverage_error FROM dependencies WHERE {_QUERYABLE} GROUP BY run_id)
+  LEFT JOIN (SELECT run_id, count(*) AS affected FROM unreported WHERE ecosystem <> 'crates.io' GROUP BY run_id) USING (run_id)""", "unreported", "dependencies"))
+def monitor_runs(spark, sf_dir) -> DataFrame:
+    deps, adv = A.dependencies(spark, sf_dir), advisories(spark, sf_dir).where("ecosystem <> 'crates.io'")
+    return D.monitor_runs(deps, adv, D.monitor(deps, adv, _reported(spark, sf_dir)))
 
-A.view("releases", "SELECT 'npm' AS ecosystem, 'lib-' || (p_partkey % 200) AS name, (p_size % 8) || '.' || (p_partkey % 10) || '.0' AS version, TIMESTAMP '2020-01-01' + to_days(CAST(p_partkey % 1000 AS INT)) AS published_at, p_size % 5 = 0 AS is_default, p_size % 11 = 0 AS deprecated FROM part")
+
+# Releases in npm's and PyPI's orders, with prereleases, epochs and texts that have no place; the oracle orders them by the numbers they are made of.
+_RELEASES = """CASE WHEN p_partkey % 3 = 0 THEN 'PyPI' ELSE 'npm' END AS ecosystem, CASE WHEN p_partkey % 3 = 0 THEN concat('Lib_', CAST((p_partkey * 4 + 1) % 200 AS STRING)) ELSE concat('lib-', CAST(p_partkey % 200 AS STRING)) END AS name,
+    CASE WHEN p_partkey % 37 = 0 THEN concat('nightly-', CAST(p_size AS STRING)) WHEN p_partkey % 3 = 0 THEN concat(CASE WHEN p_partkey % 7 = 0 THEN '1!' ELSE '' END, CAST(p_size % 8 AS STRING), '.', CAST(p_partkey % 10 AS STRING), '.0', CASE WHEN p_size % 4 = 0 THEN concat('rc', CAST(p_partkey % 13 AS STRING)) ELSE '' END) ELSE concat(CAST(p_size % 8 AS STRING), '.', CAST(p_partkey % 10 AS STRING), '.0', CASE WHEN p_size % 4 = 0 THEN concat('-rc.', CAST(p_partkey % 13 AS STRING)) ELSE '' END) END AS version,
+    p_size % 5 = 0 AS is_default, p_size % 11 = 0 AS deprecated"""
+A.view(
+    "releases",
+    f"SELECT {_RELEASES.replace('AS STRING', 'AS VARCHAR')}, TIMESTAMP '2020-01-01' + to_days(CAST(p_partkey % 1000 AS INT)) AS published_at, CASE WHEN p_partkey % 37 <> 0 THEN [CASE WHEN p_partkey % 3 = 0 AND p_partkey % 7 = 0 THEN 1 ELSE 0 END, p_size % 8, p_partkey % 10, 0, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END, CASE WHEN p_size % 4 = 0 THEN p_partkey % 13 ELSE 0 END] END AS place, CASE WHEN p_partkey % 37 <> 0 AND NOT (p_partkey % 3 = 0 AND (p_partkey % 7 = 0)) THEN p_size % 8 END AS major FROM part",
+)
+_INSTALLED = "CASE WHEN s_suppkey % 3 = 0 THEN 'PyPI' ELSE 'npm' END AS ecosystem, CASE WHEN s_suppkey % 3 = 0 THEN concat('Lib_', CAST((s_suppkey * 4 + 1) % 200 AS STRING)) ELSE concat('lib-', CAST(s_suppkey % 200 AS STRING)) END AS name, CASE WHEN s_suppkey % 5 = 0 THEN 'main' WHEN s_suppkey % 3 = 0 THEN concat('1!', CAST(s_suppkey % 8 AS STRING), '.1.0rc', CAST(s_suppkey % 9 AS STRING)) ELSE concat(CAST(s_suppkey % 8 AS STRING), '.1.0-rc.', CAST(s_suppkey % 9 AS STRING)) END AS version"
+A.view(
+    "placed",
+    f"""SELECT DISTINCT ecosystem, name, version, [0, {_P('version')}[1], {_P('version')}[2], 0, 1, 0] AS place, {_P('version')}[1] AS major FROM dependencies
+  UNION ALL SELECT DISTINCT {_INSTALLED.replace('AS STRING', 'AS VARCHAR')}, CASE WHEN s_suppkey % 5 <> 0 THEN [CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END, s_suppkey % 8, 1, 0, 0, s_suppkey % 9] END, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 3 <> 0 THEN s_suppkey % 8 END FROM supplier""",
+    "dependencies",
+)
+A.view(
+    "released",
+    """SELECT d.ecosystem, d.name, d.version, e.published_at, e.deprecated, p.default_version, p.newest_at, CASE WHEN d.place IS NOT NULL THEN (SELECT count(*) FROM releases r WHERE r.ecosystem = d.ecosystem AND r.name = d.name AND r.place > d.place) END AS newer, greatest(0, p.default_major - d.major) + CASE WHEN d.major IS NULL THEN NULL ELSE 0 END + CASE WHEN p.default_major IS NULL THEN NULL ELSE 0 END AS majors_behind FROM placed d
+  LEFT JOIN (SELECT ecosystem, name, version, min(published_at) AS published_at, max(deprecated) AS deprecated FROM releases GROUP BY ALL) e USING (ecosystem, name, version) LEFT JOIN (SELECT ecosystem, name, max(version) FILTER (is_default) AS default_version, arg_max(major, version) FILTER (is_default AND major IS NOT NULL AND version = dv) AS default_major, max(published_at) AS newest_at FROM (SELECT *, max(version) FILTER (is_default) OVER (PARTITION BY ecosystem, name) AS dv FROM releases) GROUP BY ALL) p USING (ecosystem, name)""",
+    "placed", "releases",
+)
 
 
 def releases(spark, sf_dir) -> DataFrame:
-    return A.table(spark, sf_dir, "part").selectExpr("'npm' AS ecosystem", "concat('lib-', p_partkey % 200) AS name", "concat(p_size % 8, '.', p_partkey % 10, '.0') AS version", "timestamp '2020-01-01' + make_dt_interval(cast(p_partkey % 1000 as int)) AS published_at", "p_size % 5 = 0 AS is_default", "p_size % 11 = 0 AS deprecated")
+    return A.project(spark, sf_dir, "part", f"{_RELEASES}, timestamp '2020-01-01' + make_dt_interval(cast(p_partkey % 1000 as int)) AS published_at")
 
 
-@query("release_facts", A.oracle(f"""SELECT d.ecosystem, d.name, d.version, e.published_at, e.deprecated, p.default_version, p.newest_at, coalesce((SELECT count(*) FROM releases r WHERE r.ecosystem = d.ecosystem AND r.name = d.name AND {_P('r.version')} > {_P('d.version')}), 0) AS newer, greatest(0, p.latest_major - {_P('d.version')}[1]) AS majors_behind FROM triples d
-  LEFT JOIN (SELECT ecosystem, name, version, min(published_at) AS published_at, max(deprecated) AS deprecated FROM releases GROUP BY ALL) e USING (ecosystem, name, version) LEFT JOIN (SELECT ecosystem, name, max(version) FILTER (is_default) AS default_version, max(published_at) AS newest_at, max({_P('version')}[1]) AS latest_major FROM releases GROUP BY ALL) p USING (ecosystem, name)""".replace("greatest(0, p.latest_major", "greatest(CASE WHEN p.latest_major IS NOT NULL THEN 0 END, p.latest_major"), "triples", "releases"))
+@query("release_facts", A.oracle("SELECT * FROM released", "released"))
 def release_facts(spark, sf_dir) -> DataFrame:
-    out = D.release_facts(D.queryable(A.dependencies(spark, sf_dir)), releases(spark, sf_dir))
-    return out.withColumn("majors_behind", F.when(F.col("newest_at").isNotNull(), F.col("majors_behind")))
+    own = A.dependencies(spark, sf_dir).select(*D.TRIPLE).unionByName(A.project(spark, sf_dir, "supplier", _INSTALLED))
+    return D.release_facts(own, releases(spark, sf_dir))
 
 
 @query("os_advisory_keys", "SELECT s_suppkey, CASE WHEN d = 'Debian' THEN 'src-' || (s_suppkey % 9) ELSE s_name END AS filed_name, unnest(CASE WHEN d = 'Red Hat' THEN ['Red Hat:9:appstream', 'Red Hat:9:baseos'] ELSE [d || ':9'] END) AS ecosystem FROM (SELECT *, CASE s_suppkey % 3 WHEN 0 THEN 'Debian' WHEN 1 THEN 'Alpine' ELSE 'Red Hat' END AS d FROM supplier)")
@@ -206,10 +277,12 @@ def advisory_policy_inputs(spark, sf_dir) -> DataFrame:
     return out.groupBy("run_id", *D.TRIPLE, "lockfile").agg(F.count("*").alias("n"), F.first(F.array_join("advisories", ",")).alias("advisories"))
 
 
-@query("upgrade_groups", A.oracle(f"""WITH v AS (SELECT m.ecosystem, m.name, m.version, m.advisory_id, a.introduced, a.fixed FROM matched m JOIN advisories a ON a.id = m.advisory_id),
-  f AS (SELECT DISTINCT ecosystem, name, version, fixed FROM v WHERE {_P('fixed')} > {_P('version')}), ok AS (SELECT * FROM f WHERE NOT EXISTS (FROM v WHERE v.ecosystem = f.ecosystem AND v.name = f.name AND v.version = f.version AND {_P('f.fixed')} >= {_P('v.introduced')} AND {_P('f.fixed')} < {_P('v.fixed')})),
-  best AS (SELECT ecosystem, name, version, arg_min(fixed, {_P('fixed')}) AS candidate FROM ok GROUP BY ALL)
-  SELECT ecosystem, name, version, advisories, candidate, CASE WHEN candidate IS NULL THEN NULL WHEN {_P('candidate')}[1] <> {_P('version')}[1] THEN 'major' WHEN {_P('candidate')}[2] <> {_P('version')}[2] THEN 'minor' WHEN {_P('candidate')}[3] <> {_P('version')}[3] THEN 'patch' ELSE 'unknown' END AS change FROM (SELECT ecosystem, name, version, count(DISTINCT advisory_id) AS advisories FROM v GROUP BY ALL) LEFT JOIN best USING (ecosystem, name, version)""", "matched"))
+@query("upgrade_groups", A.oracle(f"""WITH v AS (SELECT m.*, a.low, a.high, a.introduced, a.any_fixed FROM any_matched m JOIN any_advisories a ON a.id = m.advisory_id),
+  g AS (SELECT ecosystem, name, version, count(*) AS advisories, bool_and(verdict = 'affected') AS certain FROM v GROUP BY ALL), f AS (SELECT DISTINCT v.ecosystem, v.name, v.version, v.any_fixed AS fix, v.high AS fix_place FROM v JOIN any_deps d USING (ecosystem, name, version) WHERE v.high > d.place),
+  ok AS (SELECT f.* FROM f JOIN g USING (ecosystem, name, version) WHERE certain AND NOT EXISTS (FROM v WHERE v.ecosystem = f.ecosystem AND v.name = f.name AND v.version = f.version AND (v.introduced = '0.0.0' OR f.fix_place >= v.low) AND f.fix_place < v.high)),
+  best AS (SELECT ecosystem, name, version, arg_min(fix, fix_place) AS candidate, min(fix_place) AS place FROM ok GROUP BY ALL)
+  SELECT ecosystem, name, version, advisories, candidate, CASE WHEN candidate IS NULL THEN NULL WHEN b.place[1] <> d.place[1] THEN 'major' WHEN b.place[2] <> d.place[2] THEN 'minor' ELSE 'patch' END AS change FROM g LEFT JOIN best b USING (ecosystem, name, version) JOIN any_deps d USING (ecosystem, name, version)""", "any_matched"))
 def upgrade_groups(spark, sf_dir) -> DataFrame:
-    adv = advisories(spark, sf_dir).select(F.col("id").alias("advisory_id"), "fixed", F.to_json(F.col("ranges")[0]["events"]).alias("events"))
-    return D.upgrade_groups(_matches(spark, sf_dir).join(adv, "advisory_id").withColumn("lockfile", F.lit("l"))).drop("lockfile")
+    adv = any_advisories(spark, sf_dir)
+    met = D.match_advisories(_any_deps(spark, sf_dir), adv).join(adv.select(F.col("id").alias("advisory_id"), "ranges"), "advisory_id")
+    return D.upgrade_groups(met.withColumn("lockfile", F.lit("l"))).drop("lockfile")

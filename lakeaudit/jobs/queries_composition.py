@@ -26,7 +26,7 @@ A.view(
 A.view("occurrence_vulns", "SELECT project_id, ecosystem, name, version, advisory_id, lockfile = 'lock0' AS dismissed, severity FROM (SELECT DISTINCT project_id, ecosystem, name, version, lockfile FROM dependencies) JOIN matched USING (ecosystem, name, version) JOIN advisories ON id = advisory_id", "dependencies", "matched")
 _R = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
 A.view("vuln_components", f"SELECT project_id, ecosystem, name, version, count(*) FILTER (NOT dismissed) AS open, count(*) FILTER (dismissed) AS dismissed, max(rank) FILTER (NOT dismissed) AS worst_rank FROM (SELECT project_id, ecosystem, name, version, advisory_id, bool_and(dismissed) AS dismissed, max({_R}) AS rank FROM occurrence_vulns GROUP BY ALL) GROUP BY ALL", "occurrence_vulns")
-A.view("facts", f"SELECT t.ecosystem, t.name, t.version, e.published_at, e.deprecated, greatest(0, p.m - CAST(split_part(t.version, '.', 1) AS INT)) AS majors_behind FROM (SELECT DISTINCT ecosystem, name, version FROM dependencies) t JOIN (SELECT ecosystem, name, max(CAST(split_part(version, '.', 1) AS INT)) AS m FROM releases GROUP BY ALL) p USING (ecosystem, name) LEFT JOIN (SELECT ecosystem, name, version, min(published_at) AS published_at, max(deprecated) AS deprecated FROM releases GROUP BY ALL) e USING (ecosystem, name, version)", "dependencies", "releases")
+A.view("facts", "SELECT ecosystem, name, version, published_at, deprecated, majors_behind FROM released WHERE newest_at IS NOT NULL", "released")
 A.view("full_components", "SELECT c.*, v.open, v.worst_rank, f.published_at, f.deprecated, f.majors_behind FROM components c LEFT JOIN vuln_components v USING (project_id, ecosystem, name, version) LEFT JOIN facts f USING (ecosystem, name, version)", "components", "vuln_components", "facts")
 A.view("policy_entries", "SELECT s_suppkey AS position, CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem, CASE WHEN s_suppkey % 2 = 0 THEN 'lib-' || (s_suppkey * 4 % 200) ELSE 'LIB.' || ((s_suppkey * 4 + 1) % 200) END AS package, CASE WHEN s_suppkey % 3 = 0 THEN 'rejected' ELSE 'approved' END AS decision, CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2020-01-01' END AS expires_at FROM supplier")
 _DAYS = f"CASE WHEN TIMESTAMP '{NOW}' >= published_at THEN floor(epoch(TIMESTAMP '{NOW}' - published_at) / 86400) END"
@@ -62,10 +62,8 @@ def _entries(spark, sf_dir) -> DataFrame:
     return A.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS position", "CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem", "CASE WHEN s_suppkey % 2 = 0 THEN concat('lib-', s_suppkey * 4 % 200) ELSE concat('LIB.', (s_suppkey * 4 + 1) % 200) END AS package", "CASE WHEN s_suppkey % 3 = 0 THEN 'rejected' ELSE 'approved' END AS decision", "CASE WHEN s_suppkey % 5 = 0 THEN timestamp '2020-01-01' END AS expires_at")
 
 
-def _judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    full = _full(spark, sf_dir)
-    violations = C.evaluate_policy(full, POLICY, _entries(spark, sf_dir), F.lit(NOW).cast("timestamp"))
-    return C.composition_report(full, violations), violations
+def _judged(spark, sf_dir) -> DataFrame:
+    return C.judge(_full(spark, sf_dir), POLICY, _entries(spark, sf_dir), F.lit(NOW).cast("timestamp"))
 
 
 @query("assess_license", A.oracle(f"SELECT license, {_CATEGORY} AS category, CASE WHEN license IS NOT NULL THEN TRUE END AS complete, count(*) AS n FROM dependencies GROUP BY ALL", "dependencies"))
@@ -90,18 +88,23 @@ def component_advisories(spark, sf_dir) -> DataFrame:
 
 @query("evaluate_policy", A.oracle("SELECT * FROM violations", "violations"))
 def evaluate_policy(spark, sf_dir) -> DataFrame:
-    return _judged(spark, sf_dir)[1]
+    return C.evaluate_policy(_full(spark, sf_dir), POLICY, _entries(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+
+
+@query("unknown_facts", A.oracle("SELECT project_id, ecosystem, name, version, fact FROM (SELECT *, unnest(['license', 'deprecated', 'age', 'majors']) AS fact, unnest([license IS NULL, deprecated IS NULL, published_at IS NULL, majors_behind IS NULL]) AS open FROM (SELECT * EXCLUDE (open) FROM full_components)) WHERE open", "full_components"))
+def unknown_facts(spark, sf_dir) -> DataFrame:
+    return C.unknown_facts(_full(spark, sf_dir), POLICY)
 
 
 @query("composition_report", A.oracle("SELECT project_id, ecosystem, name, version, category, worst_rank, verdict FROM report", "report"))
 def composition_report(spark, sf_dir) -> DataFrame:
-    return _judged(spark, sf_dir)[0].select(*C.COMPONENT, "category", "worst_rank", "verdict")
+    return _judged(spark, sf_dir).select(*C.COMPONENT, "category", "worst_rank", "verdict")
 
 
 @query("composition_summary", A.oracle("""SELECT r.project_id, count(*) AS components, count(*) FILTER (license IS NULL) AS undeclared, count(*) FILTER (direct) AS direct, count(*) FILTER (direct IS NULL) AS direct_unknown, count(*) FILTER (coalesce(open, 0) > 0) AS vulnerable, count(*) FILTER (coalesce(deprecated, FALSE)) AS deprecated,
   any_value(coalesce(v.deny, 0)) AS deny, any_value(coalesce(v.warn, 0)) AS warn, any_value(coalesce(v.waived, 0)) AS waived FROM report r LEFT JOIN (SELECT project_id, count(*) FILTER (NOT waived AND action = 'deny') AS deny, count(*) FILTER (NOT waived AND action = 'warn') AS warn, count(*) FILTER (waived) AS waived FROM violations GROUP BY ALL) v USING (project_id) GROUP BY r.project_id""", "report"))
 def composition_summary(spark, sf_dir) -> DataFrame:
-    return C.composition_summary(*_judged(spark, sf_dir))
+    return C.composition_summary(_judged(spark, sf_dir))
 
 
 @query("license_categories", A.oracle("SELECT project_id, coalesce(category, 'undeclared') AS category, count(*) AS components FROM components GROUP BY ALL", "components"))
@@ -111,13 +114,13 @@ def license_categories(spark, sf_dir) -> DataFrame:
 
 @query("portfolio_summary", A.oracle("SELECT project_id, count(*) FILTER (verdict = 'deny') AS deny, count(*) FILTER (verdict = 'warn') AS warn, count(*) FILTER (verdict = 'allow') AS allow, (SELECT count(DISTINCT (ecosystem, name, version)) FROM report) AS distinct_components, CASE WHEN count(*) FILTER (verdict = 'deny') > 0 THEN 'fail' WHEN count(*) FILTER (verdict = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS status FROM report GROUP BY project_id", "report"))
 def portfolio_summary(spark, sf_dir) -> DataFrame:
-    return C.portfolio_summary(_judged(spark, sf_dir)[0])
+    return C.portfolio_summary(_judged(spark, sf_dir))
 
 
 @query("portfolio_components", A.oracle("""SELECT ecosystem, name, versions, projects, most_used, licenses, worst_level, worst_rank FROM (SELECT ecosystem, name, count(DISTINCT project_id) AS projects, coalesce(array_to_string(list(DISTINCT license ORDER BY license), ';'), '') AS licenses, max(level) AS worst_level, max(worst_rank) AS worst_rank FROM report GROUP BY ALL)
   JOIN (SELECT ecosystem, name, count(*) AS versions, arg_max(version, (n, version)) AS most_used FROM (SELECT ecosystem, name, version, count(DISTINCT project_id) AS n FROM report GROUP BY ALL) GROUP BY ALL) USING (ecosystem, name)""", "report"))
 def portfolio_components(spark, sf_dir) -> DataFrame:
-    return C.portfolio_components(_judged(spark, sf_dir)[0])
+    return C.portfolio_components(_judged(spark, sf_dir))
 
 
 @query("portfolio_history", A.oracle("SELECT run_id, completed_at, coalesce(deny, 0) AS deny, coalesce(warn, 0) AS warn, coalesce(allow, 0) AS allow FROM (SELECT run_id, completed_at FROM runs WHERE status = 'completed' AND project_id = 7 ORDER BY completed_at DESC, run_id DESC LIMIT 100) LEFT JOIN (SELECT run_id, count(*) FILTER (a = 'deny') AS deny, count(*) FILTER (a = 'warn') AS warn, count(*) FILTER (a = 'allow') AS allow FROM (SELECT run_id, " + _ACTION + " AS a FROM dependencies) GROUP BY run_id) USING (run_id)", "runs", "dependencies"))
@@ -141,7 +144,7 @@ def rank_components(spark, sf_dir) -> DataFrame:
     return C.rank_components(C.component_advisories(_vulns(spark, sf_dir)), 200).select(*C.COMPONENT, "open", "worst_rank")
 
 
-@query("notices", A.oracle("SELECT CASE WHEN registry THEN coalesce(license, '(undeclared)') ELSE '(local)' END AS license, count(*) AS components, coalesce(array_to_string(list(DISTINCT CASE WHEN registry THEN name || '@' || version END ORDER BY CASE WHEN registry THEN name || '@' || version END), ','), '') AS names FROM components GROUP BY 1", "components"))
+@query("notices", A.oracle("SELECT CASE WHEN registry THEN coalesce(license, '(undeclared)') ELSE '(local)' END AS license, CASE WHEN registry THEN name || '@' || version END AS listed, count(*) AS components FROM components GROUP BY 1, 2", "components"))
 def notices(spark, sf_dir) -> DataFrame:
     return C.notices(C.merge_components(A.dependencies(spark, sf_dir)))
 

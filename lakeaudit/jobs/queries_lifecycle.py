@@ -116,6 +116,12 @@ def findings_page(spark, sf_dir) -> DataFrame:
     return L.findings_page(A.findings(spark, sf_dir), "severity", 200, 100, "medium", "secrets", "F1").select("run_id", "number", "severity", "path", "line")
 
 
+@query("page_totals", A.oracle("SELECT count(*) AS total, count(*) FILTER (severity = 'high' AND rule_id <> 'rule-1' AND path IN ('src/f1.py', 'src/f2.py') AND contains(lower(rule_id || chr(10) || fingerprint), '2')) AS filtered FROM findings", "findings"))
+def page_totals(spark, sf_dir) -> DataFrame:
+    f = A.findings(spark, sf_dir).withColumns({"scope": F.when(F.col("rule_id") == "rule-1", "test").otherwise("production")})
+    return L.page_totals(f, severity="High", scopes=("production",), paths=("src/f1.py", "src/f2.py"), text="2", fields=("rule_id", "fingerprint"))
+
+
 @query("keyset_page", A.oracle("SELECT run_id, number, severity FROM findings WHERE (run_id, number) > (5000, 2) ORDER BY run_id, number LIMIT 100", "findings"))
 def keyset_page(spark, sf_dir) -> DataFrame:
     return L.keyset_page(A.findings(spark, sf_dir), (5000, 2), ["run_id", "number"], 100).select("run_id", "number", "severity")

@@ -64,9 +64,9 @@ def _assessed(spark, sf_dir) -> DataFrame:
     return Q.compliance_assess(controls, A.corpus(spark, sf_dir))
 
 
-@query("compliance_assess", A.oracle(_COMPLY + " SELECT control_id, groups, matched, CASE WHEN manual THEN 'manualReview' WHEN matched = groups THEN 'supported' WHEN matched > 0 THEN 'partial' ELSE 'gap' END AS status FROM assessed", "corpus"))
+@query("compliance_assess", A.oracle(_COMPLY + " SELECT control_id, groups, matched, CASE WHEN manual THEN 'manualReview' WHEN matched = groups THEN 'supported' WHEN matched > 0 THEN 'partial' ELSE 'gap' END AS status, nullif(evidence, '') AS evidence FROM assessed", "corpus"))
 def compliance_assess(spark, sf_dir) -> DataFrame:
-    return _assessed(spark, sf_dir).select("control_id", "groups", "matched", "status")
+    return _assessed(spark, sf_dir).select("control_id", "groups", "matched", "status", "evidence")
 
 
 @query("compliance_summary", A.oracle(_COMPLY + ", s AS (SELECT CASE WHEN manual THEN 'manualReview' WHEN matched = groups THEN 'supported' WHEN matched > 0 THEN 'partial' ELSE 'gap' END AS status FROM assessed) SELECT supported, partial, gap, manual, least(100, floor((100 * supported + 50 * partial) / (supported + partial + gap))) AS score FROM (SELECT count(*) FILTER (status = 'supported') AS supported, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'gap') AS gap, count(*) FILTER (status = 'manualReview') AS manual FROM s)", "corpus"))
@@ -74,15 +74,16 @@ def compliance_summary(spark, sf_dir) -> DataFrame:
     return Q.compliance_summary(_assessed(spark, sf_dir))
 
 
-A.view("dep_edges", "SELECT DISTINCT l_suppkey % 20 AS project, l_partkey % 40 AS parent, (l_partkey * 7 + l_linenumber) % 40 AS child FROM lineitem WHERE l_partkey % 40 <> (l_partkey * 7 + l_linenumber) % 40 AND l_linenumber <= 2 AND l_quantity > 40")
+A.view("dep_edges", "SELECT DISTINCT l_orderkey AS project, l_linenumber AS parent, l_linenumber + 1 + l_partkey % 2 AS child FROM lineitem")
 
 
-@query("dependency_paths", A.oracle("""WITH RECURSIVE walk AS (SELECT DISTINCT project, CAST(0 AS BIGINT) AS node, 0 AS depth, [CAST(0 AS BIGINT)] AS chain FROM dep_edges UNION ALL SELECT w.project, e.child, w.depth + 1, list_append(w.chain, e.child) FROM walk w JOIN dep_edges e ON e.project = w.project AND e.parent = w.node WHERE NOT list_contains(w.chain, e.child) AND w.depth < 3)
+@query("dependency_paths", A.oracle("""WITH RECURSIVE walk AS (SELECT project, CAST(min(parent) AS BIGINT) AS node, 0 AS depth, [CAST(min(parent) AS BIGINT)] AS chain FROM dep_edges GROUP BY project UNION ALL SELECT w.project, CAST(e.child AS BIGINT), w.depth + 1, list_append(w.chain, CAST(e.child AS BIGINT)) FROM walk w JOIN dep_edges e ON e.project = w.project AND e.parent = w.node WHERE NOT list_contains(w.chain, e.child))
   SELECT project, node, depth, array_to_string(chain, '/') AS chain FROM walk""", "dep_edges").replace("WITH dep_edges", "WITH RECURSIVE dep_edges", 1).replace(", RECURSIVE walk", ", walk"))
 def dependency_paths(spark, sf_dir) -> DataFrame:
-    edges = A.table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 AND l_quantity > 40").selectExpr("l_suppkey % 20 AS project", "l_partkey % 40 AS parent", "(l_partkey * 7 + l_linenumber) % 40 AS child").where("parent <> child").distinct()
-    roots = edges.select("project").distinct().withColumn("node", F.lit(0).cast("long"))
-    return Q.dependency_paths(edges, roots, A.cut, max_depth=3, max_paths=1_000_000).select("project", "node", "depth", F.array_join(F.col("chain").cast("array<string>"), "/").alias("chain"))
+    """Every line item is an edge of its order's graph, from its line to one of the next two; the order's first line is the root."""
+    edges = A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS project", "bigint(l_linenumber) AS parent", "l_linenumber + 1 + l_partkey % 2 AS child").distinct()
+    roots = edges.groupBy("project").agg(F.min("parent").alias("node"))
+    return Q.dependency_paths(edges, roots, A.cut, max_paths=1_000_000).select("project", "node", "depth", F.array_join(F.col("chain").cast("array<string>"), "/").alias("chain"))
 
 
 TEMPLATES = [

@@ -15,9 +15,9 @@ from lakeaudit.sinks import reports as R
 from lakeaudit.streaming import audit as U
 
 
-@query("export_sarif", A.oracle("SELECT run_id, count(*) AS results FROM findings WHERE run_id % 10 = 0 GROUP BY run_id", "findings"))
+@query("export_sarif", A.oracle("SELECT run_id, count(*) AS results FROM findings GROUP BY run_id", "findings"))
 def export_sarif(spark, sf_dir) -> DataFrame:
-    docs = R.export_sarif(A.findings(spark, sf_dir).where("run_id % 10 = 0"), "lakeaudit")
+    docs = R.export_sarif(A.findings(spark, sf_dir), "lakeaudit")
     return docs.select("run_id", F.size(F.from_json("document", "runs array<struct<results:array<struct<ruleId:string>>>>")["runs"][0]["results"]).cast("long").alias("results"))
 
 
@@ -49,9 +49,9 @@ def openvex_statements(spark, sf_dir) -> DataFrame:
     return R.openvex_statements(v, decisions, ["advisory_id"]).select("advisory_id", "status", "note")
 
 
-@query("ticket_csv", A.oracle("""SELECT concat_ws(',', rule_id || ' in ' || path, path || ':' || line, CASE severity WHEN 'critical' THEN 'Highest' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' WHEN 'low' THEN 'Low' ELSE 'Lowest' END, '"' || category || ',""x""' || '"') AS line FROM findings WHERE run_id % 50 = 0""", "findings"))
+@query("ticket_csv", A.oracle("""SELECT concat_ws(',', rule_id || ' in ' || path, path || ':' || line, CASE severity WHEN 'critical' THEN 'Highest' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' WHEN 'low' THEN 'Low' ELSE 'Lowest' END, '"' || category || ',""x""' || '"') AS line FROM findings""", "findings"))
 def ticket_csv(spark, sf_dir) -> DataFrame:
-    f = A.findings(spark, sf_dir).where("run_id % 50 = 0").withColumn("category", F.concat("category", F.lit(',"x"')))
+    f = A.findings(spark, sf_dir).withColumn("category", F.concat("category", F.lit(',"x"')))
     return R.ticket_lines(f, "jira")
 
 

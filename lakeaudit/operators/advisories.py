@@ -12,7 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from lakeaudit.functions import versions as V
 
@@ -51,9 +51,8 @@ def queryable(deps: DataFrame) -> DataFrame:
 
 
 def with_verdict(rows: DataFrame, version: str) -> DataFrame:
-    """rows (family, events and a version column) with verdict, decided once for each distinct input."""
-    decided = rows.select(F.col("family").alias("_f"), F.col(version).alias("_v"), F.col("events").alias("_e")).distinct().withColumn("verdict", range_verdict("_f", "_v", "_e"))
-    return rows.join(decided, F.col("family").eqNullSafe(F.col("_f")) & (F.col(version) == F.col("_v")) & (F.col("events") == F.col("_e"))).drop("_f", "_v", "_e")
+    """rows (family, events and a version column) with verdict. Events and version keys are parsed once per worker."""
+    return rows.withColumn("verdict", range_verdict("family", F.col(version), "events"))
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -78,7 +77,17 @@ def match_notes(matches: DataFrame, examples: int = 5) -> DataFrame:
     """Counts of verdicts, and the first undetermined packages in order."""
     open_ = F.col("verdict") == V.UNDETERMINED
     label = F.concat_ws("@", F.concat_ws("/", "ecosystem", "name"), "version")
-    return matches.agg(F.count_if(~open_).alias("affected"), F.count_if(open_).alias("undetermined"), F.array_join(F.slice(F.array_sort(F.collect_set(F.when(open_, label))), 1, examples), ",").alias("examples"))
+    first = matches.where(open_).select(label.alias("label")).distinct().orderBy("label").limit(examples)
+    counts = matches.agg(F.count_if(~open_).alias("affected"), F.count_if(open_).alias("undetermined"))
+    return counts.join(F.broadcast(first.agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("examples"))))  # one row each
+
+
+def skipped_evidence(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """withdrawn, git_ranges: withdrawn advisories of packages that the inventory has, and GIT ranges that its matching skips."""
+    own = queryable(deps).select(V.normalize_package(F.col("ecosystem"), F.col("name")).alias("pkg"), base_ecosystem(F.col("ecosystem")).alias("base")).distinct()
+    adv = advisories.select("id", V.normalize_package(F.col("ecosystem"), F.col("package")).alias("pkg"), base_ecosystem(F.col("ecosystem")).alias("base"), "withdrawn", "ranges").join(own, ["pkg", "base"], "left_semi")
+    git = F.size(F.filter("ranges", lambda r: r["type"] == "GIT"))
+    return adv.agg(F.countDistinct(F.when(F.col("withdrawn").isNotNull(), F.col("id"))).alias("withdrawn"), F.coalesce(F.sum(F.when(F.col("withdrawn").isNull(), git)), F.lit(0)).alias("git_ranges"))
 
 
 def missing_coverage(deps: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -98,8 +107,14 @@ def first_cve(id_col: Column, aliases: Column) -> Column:
 
 
 def enrich_exploit(vulns: DataFrame, kev: DataFrame, epss: DataFrame, poc: DataFrame) -> DataFrame:
-    """vulns (id, aliases) with known_exploited, ransomware, epss, epss_percentile, public_exploit by their first CVE; absent is false or null."""
+    """vulns (id, aliases) with known_exploited, ransomware, epss, epss_percentile, public_exploit by their first CVE; absent is false or null.
+
+    A CVE that a feed repeats counts once: ransomware if any row says so, and the row of the highest epss.
+    """
     v = vulns.withColumn("cve", first_cve(F.col("id"), F.col("aliases")))
+    kev = kev.groupBy("cve").agg(F.bool_or("ransomware").alias("ransomware"))
+    scores = [c for c in epss.columns if c != "cve"]
+    epss = epss.groupBy("cve").agg(F.max(F.struct(*scores)).alias("_e")).select("cve", *(F.col(f"_e.{c}").alias(c) for c in scores))
     x = v.join(kev.select("cve", F.lit(True).alias("known_exploited"), "ransomware"), "cve", "left").join(epss, "cve", "left").join(poc.select("cve", F.lit(True).alias("public_exploit")).distinct(), "cve", "left")
     return x.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("known_exploited", "ransomware", "public_exploit")})
 
@@ -176,30 +191,59 @@ def new_advisories_vs_baseline(vulns: DataFrame, baseline: DataFrame) -> DataFra
 def monitor(inventories: DataFrame, advisories: DataFrame, reported: DataFrame) -> DataFrame:
     """run_id, triple, advisory_id, verdict: matches of stored inventories whose id and aliases were all unreported for the run's component.
 
-    reported: run_id, ecosystem, name, version, reported_id. advisories also has aliases.
+    reported: run_id, ecosystem, name, version, reported_id. advisories also has aliases. Matches are made once for each
+    distinct package version and meet the runs' components once; one join tells which of their ids were reported.
     """
     matches = match_advisories(inventories, advisories)
-    ids = advisories.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("aliases"))).alias("aliases"))
-    met = inventories.select("run_id", *TRIPLE).distinct().join(matches, TRIPLE).join(ids.withColumnRenamed("id", "advisory_id"), "advisory_id")
-    known = met.select("run_id", *TRIPLE, "advisory_id", F.explode(F.array_union(F.array("advisory_id"), "aliases")).alias("reported_id")).join(reported, ["run_id", *TRIPLE, "reported_id"], "left_semi")
-    return met.drop("aliases").join(known, ["run_id", *TRIPLE, "advisory_id"], "left_anti")
+    aliases = advisories.select(F.col("id").alias("advisory_id"), F.explode("aliases").alias("alias"))
+    ids = aliases.groupBy("advisory_id").agg(F.collect_set("alias").alias("aliases"))
+    known_by = matches.join(ids, "advisory_id", "left").select(*TRIPLE, "advisory_id", "verdict", F.array_union(F.array("advisory_id"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("ids"))
+    met = inventories.select("run_id", *TRIPLE).distinct().join(known_by, TRIPLE).select("run_id", *TRIPLE, "advisory_id", "verdict", F.explode("ids").alias("reported_id"))
+    told = met.join(reported.select("run_id", *TRIPLE, "reported_id", F.lit(True).alias("_told")).distinct(), ["run_id", *TRIPLE, "reported_id"], "left")
+    return told.groupBy("run_id", *TRIPLE, "advisory_id", "verdict").agg(F.count("_told").alias("_told")).where(F.col("_told") == 0).drop("_told")
+
+
+def monitor_runs(inventories: DataFrame, advisories: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each run of the inventories: components, affected, undetermined (of what monitor found) and coverage_error.
+
+    coverage_error: the first ecosystem, in order, that the run asks for and the database has nothing of. Its counts then say nothing.
+    """
+    per = queryable(inventories).groupBy("run_id").agg(F.countDistinct(*TRIPLE).alias("components"))
+    counts = found.groupBy("run_id").agg(F.count_if(F.col("verdict") == V.AFFECTED).alias("affected"), F.count_if(F.col("verdict") == V.UNDETERMINED).alias("undetermined"))
+    lacking = queryable(inventories).select("run_id", "ecosystem").distinct().join(missing_coverage(inventories, advisories), "ecosystem", "left_semi").groupBy("run_id").agg(F.min("ecosystem").alias("coverage_error"))
+    return per.join(counts, "run_id", "left").join(lacking, "run_id", "left").fillna(0, ["affected", "undetermined"])
+
+
+def _newer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The installed versions of one package with the number of its releases above each; null where a version has no place."""
+    ranks = V.rank_versions(V.family_of("ECOSYSTEM", pdf["ecosystem"].iloc[0]), pdf["version"].tolist())
+    place = pdf["version"].map(ranks)
+    total = pdf[place.notna()].groupby(place[place.notna()])["releases"].sum().sort_index()
+    above = total.sum() - total.cumsum()
+    out = pdf[["ecosystem", "name", "version"]].assign(newer=place.map(above).astype("Int64"))
+    return out[pdf["installed"]]
 
 
 def release_facts(deps: DataFrame, releases: DataFrame) -> DataFrame:
     """Per distinct triple: its release's date and deprecation, the default version, the newest date, releases above it, majors behind.
 
-    releases: ecosystem, name, version, published_at, is_default, deprecated. A package's versions are ranked among themselves.
+    releases: ecosystem, name, version, published_at, is_default, deprecated. Versions are ordered by their ecosystem's
+    family; newer is null where the installed one has no place there, majors_behind where it or the default has no leading
+    major. Of several defaults the greatest text counts. Go's leading v doesn't matter for which release is the installed one.
+
+    The distinct versions of one package are ranked together, however many rows name them.
     """
+    go = lambda e, v: F.when(F.col(e) == "Go", F.regexp_replace(v, "^v+", "")).otherwise(F.col(v))
     own = deps.select(*TRIPLE).distinct()
-    rel = releases.withColumn("p", V.numeric_parts(F.col("version"))).withColumn("place", F.struct(*(F.col("p")[i].alias(f"p{i}") for i in range(3)))).drop("p")
-    per = rel.groupBy("ecosystem", "name").agg(F.max("published_at").alias("newest_at"), F.max(F.when(F.col("is_default"), F.col("version"))).alias("default_version"), F.max("place.p0").alias("latest_major"))
-    at = V.numeric_parts(F.col("version"))
-    mine = own.withColumn("p", at).withColumn("own_place", F.struct(*(F.col("p")[i].alias(f"p{i}") for i in range(3)))).drop("p")
-    above = mine.join(rel.select("ecosystem", "name", "place"), ["ecosystem", "name"]).groupBy(*TRIPLE).agg(F.count_if(F.col("place") > F.col("own_place")).alias("newer"))
-    exact = rel.groupBy(*TRIPLE).agg(F.min("published_at").alias("published_at"), F.max("deprecated").alias("deprecated"))
-    out = mine.join(above, TRIPLE, "left").join(exact, TRIPLE, "left").join(per, ["ecosystem", "name"], "left")
-    behind = F.greatest(F.lit(0).cast("long"), F.col("latest_major") - F.col("own_place.p0"))
-    return out.select(*TRIPLE, "published_at", "deprecated", "default_version", "newest_at", F.coalesce("newer", F.lit(0)).alias("newer"), behind.alias("majors_behind"))
+    versions = own.withColumns({"installed": F.lit(True), "releases": F.lit(0).cast("long")}).unionByName(releases.groupBy(*TRIPLE).agg(F.count("*").alias("releases")).withColumn("installed", F.lit(False)))
+    versions = versions.groupBy(*TRIPLE).agg(F.bool_or("installed").alias("installed"), F.sum("releases").alias("releases"))
+    ranked = versions.groupBy("ecosystem", "name").applyInPandas(_newer, "ecosystem string, name string, version string, newer long")
+    per = releases.groupBy("ecosystem", "name").agg(F.max("published_at").alias("newest_at"), F.max(F.when(F.col("is_default"), F.col("version"))).alias("default_version"))
+    exact = releases.groupBy("ecosystem", "name", go("ecosystem", "version").alias("_v")).agg(F.min("published_at").alias("published_at"), F.max("deprecated").alias("deprecated"))
+    out = ranked.withColumn("_v", go("ecosystem", "version")).join(exact, ["ecosystem", "name", "_v"], "left").join(per, ["ecosystem", "name"], "left")
+    behind = F.greatest(F.lit(0).cast("long"), V.leading_major(F.col("default_version")) - V.leading_major(F.col("version")))
+    known = V.leading_major(F.col("default_version")).isNotNull() & V.leading_major(F.col("version")).isNotNull()
+    return out.select(*TRIPLE, "published_at", "deprecated", "default_version", "newest_at", "newer", F.when(known, behind).alias("majors_behind"))
 
 
 def os_advisory_keys(packages: DataFrame, streams: dict[str, list[str]], by_source: list[str]) -> DataFrame:
@@ -218,20 +262,20 @@ def advisory_policy_inputs(deps: DataFrame, vulns: DataFrame) -> DataFrame:
     return deps.where(~F.coalesce("local_workspace", F.lit(False))).join(per, keys, "left").withColumn("advisories", F.coalesce("advisories", F.array().cast("array<string>")))
 
 
+@F.pandas_udf(StructType().add("candidate", "string").add("change", "string"))
+def _upgrade(ecosystem: pd.Series, version: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+    found = [V.lowest_fix(e, v, [_events(x) for x in own]) for e, v, own in zip(ecosystem, version, ranges, strict=True)]
+    return pd.DataFrame({"candidate": found, "change": [V.first_change(v, f) if f else None for v, f in zip(version, found, strict=True)]}, dtype=object)
+
+
 def upgrade_groups(vulns: DataFrame) -> DataFrame:
-    """triple, lockfile, advisories, candidate, change: the lowest fixed version above the installed one that no advisory of the group affects.
+    """The groups' keys, advisories, candidate, change: the lowest fixed version above the installed one that no advisory of the group affects.
 
-    vulns: triple, lockfile, advisory_id, fixed, events (JSON of the range). A fix that any advisory leaves undetermined is
-    no candidate. A group whose version has no place in its family has none.
+    vulns: triple, lockfile, advisory_id, ranges (type, events), and install_path, workspace, entry_point where they are known.
+    Order and verdicts are the ecosystem's. A fix that any advisory leaves undetermined is no candidate; a group whose version
+    has no place, or that an advisory doesn't affect for certain, has none. The advisories of one package version are held together.
     """
-    keys = [*TRIPLE, "lockfile"]
-    family = V.ecosystem_family(F.col("ecosystem"))
-    size = vulns.groupBy(*keys).agg(F.countDistinct("advisory_id").alias("advisories"))
-    fixes = vulns.where(F.col("fixed").isNotNull()).select(*keys, F.col("fixed").alias("fix")).distinct().withColumn("family", family)
-    fixes = fixes.where(V.compare_versions("family", "fix", "version") == 1)
-    tried = fixes.join(vulns.select(*keys, "advisory_id", "events"), keys)
-    clean = with_verdict(tried, "fix").groupBy(*keys, "fix").agg(F.bool_and(F.col("verdict") == V.NOT_AFFECTED).alias("clean")).where("clean")
-    p = V.numeric_parts(F.col("fix"))
-    best = clean.groupBy(*keys).agg(F.min(F.struct(p[0].alias("a"), p[1].alias("b"), p[2].alias("c"), "fix")).alias("x")).select(*keys, F.col("x.fix").alias("candidate"))
-    out = size.join(best, keys, "left")
-    return out.withColumn("change", F.when(F.col("candidate").isNotNull(), V.classify_change(F.col("version"), F.col("candidate"))))
+    keys = [*TRIPLE, "lockfile", *(c for c in ("install_path", "workspace", "entry_point") if c in vulns.columns)]
+    per = vulns.groupBy(*keys, "advisory_id").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    groups = per.groupBy(*keys).agg(F.count("*").alias("advisories"), F.array_sort(F.collect_list(F.to_json("ranges"))).alias("_ranges"))
+    return groups.withColumn("_x", _upgrade("ecosystem", "version", "_ranges")).select(*keys, "advisories", "_x.candidate", "_x.change")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions import licenses as N
 from lakeaudit.functions import text as T
+from lakeaudit.functions.session import cut
 from lakeaudit.functions.versions import same_package_key
 
 COMPONENT = ["project_id", "ecosystem", "name", "version"]
@@ -66,12 +67,12 @@ def _steps(value: Column, steps: tuple[int, int] | None) -> Column:
     return F.when(value > steps[1], "deny").when(value > steps[0], "warn")
 
 
-def evaluate_policy(components: DataFrame, policy: Policy, entries: DataFrame, now: Column) -> DataFrame:
-    """component, kind, action, waived: violations by licence, vulnerability, operation and rejection.
+def judge(components: DataFrame, policy: Policy, entries: DataFrame, now: Column) -> DataFrame:
+    """components with violations (an array of kind, action, waived) and verdict: the harshest action that isn't waived, else allow.
 
     components also has license_action, worst_rank, deprecated, published_at, majors_behind. entries: position, ecosystem,
     package, decision (approved or rejected), expires_at; the last unexpired one of a package holds. Approval waives licence
-    and operational violations.
+    and operational violations. A component is judged in its own row, so reports and summaries read one pass.
     """
     live = entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select(F.col("ecosystem").alias("e_eco"), same_package_key(F.col("ecosystem"), F.col("package")).alias("e_pkg"), "position", "decision")
     last = live.groupBy("e_eco", "e_pkg").agg(F.max_by("decision", "position").alias("decision"))
@@ -87,28 +88,37 @@ def evaluate_policy(components: DataFrame, policy: Policy, entries: DataFrame, n
         row("rejected", F.when(F.col("decision") == "rejected", "deny"), False), row("license", F.when(F.col("license_action") != "allow", F.col("license_action")), True),
         row("vulnerability", vulnerable, False), row("operational", F.when(operational == 2, "deny").when(operational == 1, "warn"), True),
     )
-    return x.select(*COMPONENT, F.explode(F.filter(found, lambda v: v["action"].isNotNull())).alias("v")).select(*COMPONENT, "v.*")
+    x = x.withColumn("violations", F.filter(found, lambda v: v["action"].isNotNull())).drop("decision")
+    open_ = lambda action: F.exists("violations", lambda v: ~v["waived"] & (v["action"] == action))
+    return x.withColumn("verdict", F.when(open_("deny"), "deny").when(open_("warn"), "warn").otherwise("allow"))
 
 
-def _level(action: Column) -> Column:
-    return F.when(action == "deny", 2).when(action == "warn", 1).otherwise(0)
+def evaluate_policy(components: DataFrame, policy: Policy, entries: DataFrame, now: Column) -> DataFrame:
+    """component, kind, action, waived: violations by licence, vulnerability, operation and rejection."""
+    return judge(components, policy, entries, now).select(*COMPONENT, F.explode("violations").alias("v")).select(*COMPONENT, "v.*")
+
+
+def unknown_facts(components: DataFrame, policy: Policy) -> DataFrame:
+    """component, fact: what the policy asks about and the component has no answer to, which is no pass: license, deprecated, age, majors."""
+    asked = [F.when(F.col("license").isNull(), "license")]
+    asked += [F.when(F.col("deprecated").isNull(), "deprecated")] if policy.deprecated else []
+    asked += [F.when(F.col("published_at").isNull(), "age")] if policy.max_age_days else []
+    asked += [F.when(F.col("majors_behind").isNull(), "majors")] if policy.max_majors_behind else []
+    return components.select(*COMPONENT, F.explode(F.array_compact(F.array(*asked))).alias("fact"))
 
 
-def composition_report(components: DataFrame, violations: DataFrame) -> DataFrame:
-    """components with verdict: the harshest action that isn't waived, else allow."""
-    worst = violations.where(~F.col("waived")).groupBy(*COMPONENT).agg(F.max(_level(F.col("action"))).alias("_w"))
-    x = components.join(worst, COMPONENT, "left")
-    return x.withColumn("verdict", F.when(F.col("_w") == 2, "deny").when(F.col("_w") == 1, "warn").otherwise("allow")).drop("_w")
+def _level(action: Column) -> Column:
+    return F.when(action == "deny", 2).when(action == "warn", 1).otherwise(0)
 
 
-def composition_summary(report: DataFrame, violations: DataFrame) -> DataFrame:
-    """Per project: components, undeclared, direct, unknown direct, vulnerable, deprecated, deny, warn, waived."""
-    per = report.groupBy("project_id").agg(
+def composition_summary(report: DataFrame) -> DataFrame:
+    """Per project, from judged components: components, undeclared, direct, unknown direct, vulnerable, deprecated, deny, warn, waived."""
+    held = lambda test: F.sum(F.size(F.filter("violations", test))).cast("long")
+    return report.groupBy("project_id").agg(
         F.count("*").alias("components"), F.count_if(F.col("license").isNull()).alias("undeclared"), F.count_if(F.col("direct")).alias("direct"), F.count_if(F.col("direct").isNull()).alias("direct_unknown"),
         F.count_if(F.coalesce("open", F.lit(0)) > 0).alias("vulnerable"), F.count_if(F.coalesce("deprecated", F.lit(False))).alias("deprecated"),
+        held(lambda v: ~v["waived"] & (v["action"] == "deny")).alias("deny"), held(lambda v: ~v["waived"] & (v["action"] == "warn")).alias("warn"), held(lambda v: v["waived"]).alias("waived"),
     )
-    v = violations.groupBy("project_id").agg(F.count_if(~F.col("waived") & (F.col("action") == "deny")).alias("deny"), F.count_if(~F.col("waived") & (F.col("action") == "warn")).alias("warn"), F.count_if("waived").alias("waived"))
-    return per.join(v, "project_id", "left").fillna(0, ["deny", "warn", "waived"])
 
 
 def license_categories(report: DataFrame) -> DataFrame:
@@ -116,15 +126,20 @@ def license_categories(report: DataFrame) -> DataFrame:
 
 
 def portfolio_summary(report: DataFrame) -> DataFrame:
-    """A row per project with counts by verdict, its status, and the portfolio's number of distinct components."""
+    """A row per project with counts by verdict, its status, and the portfolio's number of distinct components.
+
+    The report is made once: its keys and verdicts are written to the shared folder, and both counts read them.
+    """
+    report = cut(report.select(*COMPONENT, "verdict"))
     per = report.groupBy("project_id").agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in ("deny", "warn", "allow")))
-    total = report.agg(F.countDistinct("ecosystem", "name", "version").alias("distinct_components"))
+    total = report.select("ecosystem", "name", "version").distinct().agg(F.count("*").alias("distinct_components"))
     out = per.join(F.broadcast(total))  # one row
     return out.withColumn("status", F.when(F.col("deny") > 0, "fail").when(F.col("warn") > 0, "warn").otherwise("pass"))
 
 
 def portfolio_components(report: DataFrame) -> DataFrame:
     """Per (ecosystem, name): versions, projects (counts, not lists), licences, worst verdict and severity rank."""
+    report = cut(report.select(*COMPONENT, "license", "verdict", "worst_rank"))
     versions = report.groupBy("ecosystem", "name", "version").agg(F.countDistinct("project_id").alias("projects"))
     most = versions.groupBy("ecosystem", "name").agg(F.count("*").alias("versions"), F.max(F.struct("projects", "version")).alias("_m"))
     per = report.groupBy("ecosystem", "name").agg(F.countDistinct("project_id").alias("projects"), F.array_join(F.array_sort(F.collect_set("license")), ";").alias("licenses"), F.max(_level(F.col("verdict"))).alias("worst_level"), F.max("worst_rank").alias("worst_rank"))
@@ -159,10 +174,13 @@ def rank_components(components: DataFrame, limit: int) -> DataFrame:
 
 
 def notices(report: DataFrame) -> DataFrame:
-    """Registry components by licence with their names; local ones only counted."""
+    """license, listed, components: a row per registry component of each licence, once, and one without a name for local ones, which are only counted.
+
+    Written sorted by licence and name it is the notice file; no licence's names are gathered in a row.
+    """
     label = F.when(F.col("registry"), F.coalesce("license", F.lit("(undeclared)"))).otherwise("(local)")
     listed = F.when(F.col("registry"), F.concat_ws("@", "name", "version"))
-    return report.groupBy(label.alias("license")).agg(F.count("*").alias("components"), F.array_join(F.array_sort(F.collect_set(listed)), ",").alias("names"))
+    return report.groupBy(label.alias("license"), listed.alias("listed")).agg(F.count("*").alias("components"))
 
 
 def nvd_severity(cves: DataFrame) -> DataFrame:

@@ -25,12 +25,18 @@ def latest_run_per_target(runs: DataFrame, target: str = "project_id", updated:
 
 def latest_compatible_baseline(runs: DataFrame) -> DataFrame:
     """run_id, baseline_run_id: for each run, the latest completed one of its project and fingerprint version that had
-    finished before it started and shares a scanner family (an as-of join). Joined by family, so only runs that share one meet.
+    finished before it started and shares a scanner family (an as-of join).
+
+    Starts and ends of a (project, fingerprint version, family) are put in order of time, and each start takes the latest
+    end before it: a sort, not pairs of runs. A start comes before an end of the same time, as a baseline must be earlier.
     """
-    one = lambda prefix, *cols: runs.select(F.explode("families").alias("family"), "project_id", "fingerprint_version", *(F.col(c).alias(f"{prefix}{c}") for c in cols), *([F.col("status")] if prefix else []))
-    current, before = one("", "run_id", "started_at"), one("b_", "run_id", "completed_at").where(F.col("status") == "completed").drop("status")
-    met = current.join(before, ["family", "project_id", "fingerprint_version"]).where(F.col("b_completed_at") < F.col("started_at"))
-    return met.groupBy("run_id").agg(F.max(F.struct("b_completed_at", "b_run_id")).alias("x")).select("run_id", F.col("x.b_run_id").alias("baseline_run_id"))
+    own = runs.select(F.explode("families").alias("family"), "project_id", "fingerprint_version", "run_id", "started_at", "completed_at", "status")
+    keys, end = ["project_id", "fingerprint_version", "family"], own.select(F.struct("completed_at", "run_id").alias("end")).schema["end"].dataType
+    starts = own.select(*keys, F.col("started_at").alias("at"), F.lit(0).alias("kind"), "run_id", F.lit(None).cast(end).alias("end"))
+    ends = own.where(F.col("status") == "completed").select(*keys, F.col("completed_at").alias("at"), F.lit(1).alias("kind"), "run_id", F.struct("completed_at", "run_id").alias("end"))
+    so_far = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(ends).withColumn("last", F.max("end").over(so_far)).where((F.col("kind") == 0) & F.col("last").isNotNull())
+    return met.groupBy("run_id").agg(F.max("last").alias("x")).select("run_id", F.col("x.run_id").alias("baseline_run_id"))
 
 
 def compare_runs(pairs: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -98,18 +104,34 @@ def view_diff_counts(projection: DataFrame, run: str = "run_id") -> DataFrame:
     return projection.cube(run, "view", "diff_status").agg(F.count("*").alias("n")).where(F.col(run).isNotNull())
 
 
-def findings_page(findings: DataFrame, sort: str, offset: int, limit: int, severity_at_least: str | None = None, category: str | None = None, text: str | None = None, fields: tuple[str, ...] = ("rule_id", "path")) -> DataFrame:
-    """A page of the filtered findings. An offset is a sort of all before it: use keyset_page for deep pages."""
+def page_filter(findings: DataFrame, severity_at_least: str | None = None, category: str | None = None, text: str | None = None, fields: tuple[str, ...] = ("rule_id", "path"), severity: str | None = None, view: str | None = None, new_only: bool = False, scopes: tuple[str, ...] = (), languages: tuple[str, ...] = (), paths: tuple[str, ...] = ()) -> DataFrame:
+    """The findings that a page shows: by least or exact severity, category, view, diff status, scope, language, path set and a text in any of fields."""
     x = findings
     if severity_at_least:
         x = x.where(T.rank("severity", T.SOURCE_RANK, 1) >= T.SOURCE_RANK.get(severity_at_least, 1))
-    if category:
-        x = x.where(F.col("category") == category)
+    if severity:
+        x = x.where(F.lower("severity") == severity.lower())
+    if new_only:
+        x = x.where(F.col("diff_status") == "new")
+    for column, wanted in (("category", (category,) if category else ()), ("view", (view,) if view else ()), ("scope", scopes), ("language", languages), ("path", paths)):
+        if wanted:
+            x = x.where(F.col(column).isin(*wanted))
     if text:
         x = x.where(F.lower(F.concat_ws("\n", *fields)).contains(text.lower()))
+    return x
+
+
+def findings_page(findings: DataFrame, sort: str, offset: int, limit: int, severity_at_least: str | None = None, category: str | None = None, text: str | None = None, fields: tuple[str, ...] = ("rule_id", "path"), **more) -> DataFrame:
+    """A page of the filtered findings. An offset is a sort of all before it: use keyset_page for deep pages."""
+    x = page_filter(findings, severity_at_least, category, text, fields, **more)
     return x.orderBy(*page_order(sort)).offset(offset).limit(limit)
 
 
+def page_totals(findings: DataFrame, **filters) -> DataFrame:
+    """total, filtered: how many findings there are, and how many the filters leave."""
+    return findings.agg(F.count("*").alias("total")).join(F.broadcast(page_filter(findings, **filters).agg(F.count("*").alias("filtered"))))  # one row each
+
+
 def page_order(sort: str) -> list[Column]:
     worst = F.desc(T.rank("severity", T.SOURCE_RANK, 1))
     ties = [F.asc("path"), F.asc("line"), F.asc("run_id"), F.asc("number")]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_GROUPS = 10_000  #: of a compliance profile's pattern groups, which are broadcast
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.round(F.when(b != 0, a / b), 6)
@@ -63,17 +65,21 @@ def compare_quality(current: DataFrame, baseline: DataFrame, most_lost: float) -
 
 
 def compliance_assess(controls: DataFrame, files: DataFrame, evidence: int = 5) -> DataFrame:
-    """Per control: groups, matched, status and the first evidence paths.
+    """Per control: groups, matched, status and the first evidence paths, each from the controls' own groups.
 
     controls: control_id, file_groups (arrays of patterns as regular expressions), manual. A group is matched by any file
     that one of its patterns finds; distinct paths are tested once. A manual control is manualReview.
     """
     each = controls.select("control_id", F.posexplode("file_groups").alias("group", "patterns"))
     paths = files.select("path").distinct()
-    # The patterns of a profile are few, so each path is tested against all of them as it streams by.
+    # The patterns of a profile are few, as counted, so each path is tested against all of them as it streams by.
+    if each.count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of patterns: assess the controls in parts")
     met = paths.join(F.broadcast(each), F.exists("patterns", lambda p: F.rlike(F.col("path"), p)))
-    per = met.groupBy("control_id", "group").agg(F.slice(F.array_sort(F.collect_set("path")), 1, evidence).alias("paths"))
-    done = per.groupBy("control_id").agg(F.count("*").alias("matched"), F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("paths")))), 1, evidence), ",").alias("evidence"))
+    # A control's first paths are kept by each task before they are brought together.
+    first = met.select("control_id", "path").distinct().withColumn("n", F.row_number().over(Window.partitionBy("control_id").orderBy("path"))).where(F.col("n") <= evidence)
+    shown = first.groupBy("control_id").agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("evidence"))
+    done = met.groupBy("control_id").agg(F.countDistinct("group").alias("matched")).join(shown, "control_id")
     out = controls.select("control_id", F.size("file_groups").alias("groups"), "manual").join(done, "control_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
     status = F.when(F.col("manual"), "manualReview").when(F.col("matched") == F.col("groups"), "supported").when(F.col("matched") > 0, "partial").otherwise("gap")
     return out.withColumn("status", status)
@@ -93,8 +99,6 @@ def dependency_paths(edges: DataFrame, roots: DataFrame, checkpoint, max_depth:
     edges: project, parent, child. roots: project, node. A level joins the frontier with the edges; a node that has its
     paths takes no longer ones. checkpoint cuts the lineage every few levels.
     """
-    from pyspark.sql import Window
-
     frontier = roots.select("project", "node", F.lit(0).alias("depth"), F.array("node").alias("chain")).distinct()
     found, out = frontier, edges.select("project", F.col("parent").alias("node"), "child")
     for depth in range(1, max_depth + 1):

@@ -7,7 +7,11 @@ match is its group 1 where that took part, else the whole. Offsets and columns a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import accumulate
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,16 +32,42 @@ class Rule:
     excluded: str | None = None  #: matches that this pattern finds are known to be false
     min_entropy: float | None = None
     supersedes: tuple[str, ...] = field(default=())
+    literals: tuple[str, ...] = ()  #: a content without any of them has no match
 
 
-#: The rules in the syntax that Java, Python and RE2 share.
+_SECRET = {"severity": "critical", "category": "secrets", "cwe": "CWE-798"}
+#: The rules in the syntax that Java, Python and RE2 share. Prefixes and lengths of the issuers' published token formats.
 RULES = (
-    Rule("hardcoded-token", r'(?:token|secret|api_key|password)\s*=\s*"([^"\n]{8,})"', "critical", "secrets", cwe="CWE-798", min_entropy=2.5, supersedes=("assigned-string",)),
-    Rule("assigned-string", r'[a-z_]+\s*=\s*"([^"\n]+)"', "info", "source"),
-    Rule("email-address", r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[a-z]", "low", "source", excluded=r"@example\.org$"),
+    Rule("hardcoded-token", r'(?:token|secret|api_key|password)\s*=\s*"([^"\n]{8,})"', "critical", "secrets", cwe="CWE-798", min_entropy=2.5, supersedes=("assigned-string",), literals=('"',)),
+    Rule("assigned-string", r'[a-z_]+\s*=\s*"([^"\n]+)"', "info", "source", literals=('"',)),
+    Rule("email-address", r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[a-z]", "low", "source", excluded=r"@example\.org$", literals=("@",)),
     Rule("literal-address", r"(?:^|[^0-9.])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", "medium", "source", languages=("python", "javascript"), cwe="CWE-1188", excluded=r"^127\."),
     Rule("long-number", r"[0-9]{13,16}", "high", "source", extensions=(".py", ".go"), cwe="CWE-359"),
+    Rule("cloud-access-key", r"A(?:KIA|SIA)[A-Z0-9]{16}", literals=("AKIA", "ASIA"), **_SECRET),
+    Rule("private-key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", literals=("PRIVATE KEY-----",), **_SECRET),
+    Rule("github-token", r"gh[oprsu]_[A-Za-z0-9]{36}", literals=("gho_", "ghp_", "ghr_", "ghs_", "ghu_"), **_SECRET),
+    Rule("gitlab-token", r"glpat-[A-Za-z0-9_-]{20}", literals=("glpat-",), **_SECRET),
+    Rule("slack-token", r"xox[abprs]-[0-9A-Za-z-]{10,}", literals=("xox",), **_SECRET),
+    Rule("google-api-key", r"AIza[0-9A-Za-z_-]{35}", literals=("AIza",), **_SECRET),
+    Rule("stripe-key", r"[rs]k_live_[0-9A-Za-z]{24,}", literals=("k_live_",), **_SECRET),
+    Rule("npm-token", r"npm_[A-Za-z0-9]{36}", literals=("npm_",), **_SECRET),
+    Rule("pypi-token", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}", literals=("pypi-AgEIcHlwaS5vcmc",), **_SECRET),
+    Rule("sendgrid-key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}", literals=("SG.",), **_SECRET),
+    Rule("huggingface-token", r"hf_[A-Za-z]{34}", literals=("hf_",), **_SECRET),
+    Rule("figma-token", r"figd_[A-Za-z0-9_-]{40}", literals=("figd_",), **_SECRET),
+    Rule("grafana-token", r"glsa_[A-Za-z0-9]{32}_[0-9a-f]{8}", literals=("glsa_",), **_SECRET),
+    Rule("linear-key", r"lin_api_[A-Za-z0-9]{40}", literals=("lin_api_",), **_SECRET),
+    Rule("newrelic-key", r"NRAK-[A-Z0-9]{27}", literals=("NRAK-",), **_SECRET),
+    Rule("postman-key", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}", literals=("PMAK-",), **_SECRET),
+    Rule("square-token", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,43}", literals=("sq0",), **_SECRET),
+    Rule("shopify-token", r"shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", literals=("shpat_", "shpca_", "shppa_", "shpss_"), **_SECRET),
+    Rule("digitalocean-token", r"do[por]_v1_[0-9a-f]{64}", literals=("_v1_",), **_SECRET),
+    Rule("telegram-token", r"(?:^|[^0-9])([0-9]{8,10}:AA[A-Za-z0-9_-]{33})", literals=(":AA",), **_SECRET),
+    Rule("web-token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", literals=("eyJ",), **(_SECRET | {"severity": "high"})),
+    Rule("storage-account-key", r"AccountKey=([A-Za-z0-9+/]{86}==)", literals=("AccountKey=",), **_SECRET),
+    Rule("url-password", r"[a-z][a-z0-9+.-]*://[^\s:/@]{1,64}:([^\s:/@]{4,64})@", literals=("://",), **(_SECRET | {"severity": "high"})),
 )
+SECRET_RULES = tuple(r for r in RULES if r.category == "secrets")
 
 
 def rule_table(spark, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -75,15 +105,44 @@ def _numbered(rule_id: str):
 
 
 def match_texts(corpus: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """project_id, path, rule_id, nth, match_text by built-ins alone, for rules whose match is one group or the whole."""
+    """project_id, path, rule_id, nth, match_text by built-ins alone, for rules whose match is one group or the whole.
+
+    A pattern runs only over contents that hold one of its rule's literals.
+    """
     found = []
     for r in rules:
-        group = min(1, re.compile(r.pattern).groups)
-        hits = F.when(applies(r, F.col("language"), F.col("path")), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
+        group, wanted = min(1, re.compile(r.pattern).groups), applies(r, F.col("language"), F.col("path"))
+        if r.literals:
+            wanted &= reduce(or_, (F.contains("content", F.lit(x)) for x in r.literals))
+        hits = F.when(wanted, F.regexp_extract_all("content", F.lit(r.pattern), F.lit(group))).otherwise(F.array().cast("array<string>"))
         found.append(F.transform(hits, _numbered(r.rule_id)))
     return corpus.select("project_id", "path", F.explode(F.concat(*found)).alias("hit")).select("project_id", "path", "hit.*")
 
 
+class Places:
+    """Byte offsets, lines and columns of a content's places, from tables made once for it."""
+
+    def __init__(self, content: str):
+        self.content, self.plain = content, content.isascii()
+        self.starts = [0, *(m.end() for m in re.finditer("\n", content))]
+        self.bytes = None if self.plain else [0, *accumulate(len(content[a:b].encode()) for a, b in zip(self.starts, [*self.starts[1:], len(content)], strict=True))]
+
+    def at(self, place: int) -> tuple[int, int, int]:
+        """offset (from 0), line and column (from 1)."""
+        line = bisect_right(self.starts, place) - 1
+        start = self.starts[line]
+        if self.plain:
+            return place, line + 1, place - start + 1
+        column = len(self.content[start:place].encode())
+        return self.bytes[line] + column, line + 1, column + 1
+
+    def around(self, line: int, context: int) -> str:
+        """The numbered lines about a line (from 1)."""
+        lo, hi = max(1, line - context), min(len(self.starts), line + context)
+        end = lambda i: self.starts[i] - 1 if i < len(self.starts) else len(self.content)
+        return "\n".join(f"{i:>5} │ {self.content[self.starts[i - 1] : end(i)]}" for i in range(lo, hi + 1))
+
+
 def scan_rules(corpus: DataFrame, rules: tuple[Rule, ...] = RULES, context: int = 2) -> DataFrame:
     """Hits with places: project_id, path, language, category, rule_id, severity, cwe, offset, line, col, match_text, context."""
     names = ["project_id", "path", "language", "category", "rule_id", "severity", "cwe", "offset", "line", "col", "match_text", "context"]
@@ -94,18 +153,15 @@ def scan_rules(corpus: DataFrame, rules: tuple[Rule, ...] = RULES, context: int
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             for project, path, language, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                rows = None
+                places = None
                 for r, pattern, endings in compiled:
-                    if r.languages and language not in r.languages or endings and not (path or "").lower().endswith(endings):
+                    if not content or r.languages and language not in r.languages or endings and not (path or "").lower().endswith(endings) or r.literals and not any(x in content for x in r.literals):
                         continue
-                    for m in pattern.finditer(content or ""):
+                    for m in pattern.finditer(content):
                         k = 1 if pattern.groups and m[1] is not None else 0
-                        start = m.start(k)
-                        rows = rows or content.split("\n")
-                        line = content.count("\n", 0, start)
-                        col = len(content[content.rfind("\n", 0, start) + 1 : start].encode())
-                        around = "\n".join(f"{i + 1:>5} │ {rows[i]}" for i in range(max(0, line - context), min(len(rows), line + context + 1)))
-                        for c, v in zip(cols, (project, path, language, r.category, r.rule_id, r.severity, r.cwe, len(content[:start].encode()), line + 1, col + 1, m[k], around), strict=True):
+                        places = places or Places(content)
+                        offset, line, col = places.at(m.start(k))
+                        for c, v in zip(cols, (project, path, language, r.category, r.rule_id, r.severity, r.cwe, offset, line, col, m[k], places.around(line, context)), strict=True):
                             c.append(v)
             types = [batch.column(0).type, *[pa.string()] * 6, *[pa.int64()] * 3, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
@@ -124,11 +180,13 @@ def drop_excluded(hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 
 def drop_superseded(hits: DataFrame, rules: tuple[Rule, ...] = RULES, at: str = "offset") -> DataFrame:
-    """Hits but those of a broad rule where the precise rule has a hit at the same place of the file."""
-    pairs = [(broad, r.rule_id) for r in rules for broad in r.supersedes]
-    precise = hits.where(F.col("rule_id").isin(*{p for _, p in pairs}))
-    broad = F.explode(F.array_compact(F.array(*(F.when(F.col("rule_id") == p, F.lit(b)) for b, p in pairs))))
-    return hits.join(precise.select("project_id", "path", at, broad.alias("rule_id")).distinct(), ["project_id", "path", at, "rule_id"], "left_anti")
+    """Hits but those of a broad rule where the precise rule has a hit at the same place of the file. The scan is read once."""
+    there = Window.partitionBy("project_id", "path", at)
+    gone = F.lit(False)
+    for r in rules:
+        for broad in r.supersedes:
+            gone |= (F.col("rule_id") == broad) & F.max(F.col("rule_id") == r.rule_id).over(there)
+    return hits.withColumn("_gone", gone).where(~F.col("_gone")).drop("_gone")
 
 
 def secret_values(hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -144,9 +202,12 @@ def secret_values(hits: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 def redact(hits: DataFrame, columns: tuple[str, ...] = ("match_text", "context"), most: int = 240) -> DataFrame:
     """Every secret value of the file is replaced in these columns, longer values first; match_text is cut at most characters.
 
-    A file's values are gathered, so they should be capped first (cap_per_file).
+    A value of several lines is also replaced line by line, as a context may show only some of them. A file's values are
+    gathered, so they should be capped first (cap_per_file).
     """
-    values = hits.where(F.col("category") == "secrets").groupBy("project_id", "path").agg(F.collect_set("match_text").alias("values"))
+    lines = F.filter(F.transform(F.split("match_text", "\r?\n"), F.trim), lambda x: F.length(x) >= 4)
+    each = F.explode(F.when(F.contains("match_text", F.lit("\n")), F.array_union(F.array("match_text"), lines)).otherwise(F.array("match_text")))
+    values = hits.where(F.col("category") == "secrets").select("project_id", "path", each.alias("value")).groupBy("project_id", "path").agg(F.collect_set("value").alias("values"))
     longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
     x = hits.join(values, ["project_id", "path"], "left").withColumn("values", F.array_sort(F.coalesce("values", F.array().cast("array<string>")), longest))
     for c in columns:
