@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.jobs import adapters as A
+from lakeaudit.jobs import queries_advisories as QA
 from lakeaudit.jobs import queries_scan  # noqa: F401  its views
 from lakeaudit.jobs.register import query
 from lakeaudit.operators import scan as S
@@ -55,9 +56,9 @@ def ticket_csv(spark, sf_dir) -> DataFrame:
     return R.ticket_lines(f, "jira")
 
 
-@query("code_quality", A.oracle("SELECT sha256(rule_id || chr(1) || path || chr(1) || line || chr(1) || fingerprint) IS NOT NULL AS ok, CASE severity WHEN 'critical' THEN 'blocker' WHEN 'high' THEN 'critical' WHEN 'medium' THEN 'major' WHEN 'low' THEN 'minor' ELSE 'info' END AS severity, path, line, rule_id AS check_name FROM findings", "findings"))
+@query("code_quality", A.oracle("SELECT sha256(rule_id || chr(0) || path || chr(0) || line || chr(0) || fingerprint || chr(0)) AS fingerprint, CASE severity WHEN 'critical' THEN 'blocker' WHEN 'high' THEN 'critical' WHEN 'medium' THEN 'major' WHEN 'low' THEN 'minor' ELSE 'info' END AS severity, path, line, rule_id AS check_name FROM findings", "findings"))
 def code_quality(spark, sf_dir) -> DataFrame:
-    return R.code_quality(A.findings(spark, sf_dir)).select((F.length("fingerprint") == 64).alias("ok"), "severity", "path", "line", "check_name")
+    return R.code_quality(A.findings(spark, sf_dir))
 
 
 def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -85,10 +86,23 @@ def stream_scan(spark, sf_dir) -> DataFrame:
     return _drain(U.stream_scan(files).select("rule_id", "severity")).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query("stream_new_findings", "SELECT count(DISTINCT (user_id, event_type)) AS keys FROM events")
+@query("stream_new_findings", "SELECT count(DISTINCT (user_id, event_type)) AS keys, count(DISTINCT (user_id, event_type)) AS rows FROM events")
 def stream_new_findings(spark, sf_dir) -> DataFrame:
     events = _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("project_id"), F.col("event_type").alias("fingerprint"))
-    return _drain(U.stream_new_findings(events, "ts", "3650 days")).agg(F.countDistinct("project_id", "fingerprint").alias("keys"))
+    return _drain(U.stream_new_findings(events, "ts", "3650 days")).agg(F.countDistinct("project_id", "fingerprint").alias("keys"), F.count("*").alias("rows"))
+
+
+@query("stream_monitor", A.oracle("SELECT run_id, ecosystem, name, version, advisory_id FROM unreported", "unreported"))
+def stream_monitor(spark, sf_dir) -> DataFrame:
+    """The advisories as a stream, whose matches are appended to what was reported; run twice, the second run adds nothing."""
+    folder = f"{A.shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
+    columns = ["run_id", "ecosystem", "name", "version", "reported_id"]
+    QA._reported(spark, sf_dir).select(*columns, F.lit(False).alias("new")).write.parquet(f"{folder}/reported")
+    own = _stream(spark, sf_dir, "part").selectExpr("*", *A._split(A.ADVISORIES))
+    for k in range(2):
+        write = lambda d: d.select(*columns[:-1], F.col("advisory_id").alias("reported_id"), F.lit(True).alias("new")).write.mode("append").parquet(f"{folder}/reported")
+        U.stream_monitor(QA._ranged(own), A.dependencies(spark, sf_dir), lambda: spark.read.parquet(f"{folder}/reported"), write, f"{folder}/state{k}").awaitTermination()
+    return spark.read.parquet(f"{folder}/reported").where("new").select("run_id", "ecosystem", "name", "version", F.col("reported_id").alias("advisory_id"))
 
 
 @query("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2000-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

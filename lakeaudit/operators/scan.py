@@ -205,7 +205,7 @@ def redact(hits: DataFrame, columns: tuple[str, ...] = ("match_text", "context")
     A value of several lines is also replaced line by line, as a context may show only some of them. A file's values are
     gathered, so they should be capped first (cap_per_file).
     """
-    lines = F.filter(F.transform(F.split("match_text", "\r?\n"), F.trim), lambda x: F.length(x) >= 4)
+    lines = F.filter(F.transform(F.split("match_text", "\r?\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 4)
     each = F.explode(F.when(F.contains("match_text", F.lit("\n")), F.array_union(F.array("match_text"), lines)).otherwise(F.array("match_text")))
     values = hits.where(F.col("category") == "secrets").select("project_id", "path", each.alias("value")).groupBy("project_id", "path").agg(F.collect_set("value").alias("values"))
     longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)

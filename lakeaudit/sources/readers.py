@@ -1,11 +1,12 @@
 """Readers: corpora of files, advisory and exploit feeds, release indexes, lockfiles, package databases, SBOMs, claims.
 
-Schemas are declared; nothing is inferred. A feed that is malformed fails rather than losing records.
+Schemas are declared; nothing is inferred. A feed that is malformed fails rather than losing records; of many files, a broken one is a row that says so.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,11 +91,12 @@ def inventory_from_os_packages(corpus: DataFrame) -> DataFrame:
 
 
 def inventory_from_lockfiles(corpus: DataFrame) -> DataFrame:
-    """path, ecosystem, name, version, source of the lockfiles that a corpus holds, by file name."""
+    """path, ecosystem, name, version, source of the lockfiles that a corpus holds, by file name. A broken one has no rows (broken_lockfiles)."""
+    corpus = corpus.where(F.substring_index("path", "/", -1).rlike(r"^(?:package-lock\.json|Pipfile\.lock|composer\.lock|packages\.lock\.json|Cargo\.lock|requirements.*\.txt|gradle\.lockfile)$"))
     name = F.substring_index("path", "/", -1)
     pick = lambda n: corpus.where(name.rlike(n))
     entry = lambda df, eco, key, value, ver, src=None: df.select("path", F.lit(eco).alias("ecosystem"), key.alias("name"), ver.alias("version"), (src if src is not None else F.lit("registry")).alias("source"))
-    parsed = lambda df, schema: df.select("path", F.from_json("content", schema, {"mode": "FAILFAST"}).alias("j"))
+    parsed = lambda df, schema: df.select("path", F.from_json("content", schema).alias("j"))
 
     npm = parsed(pick("^package-lock.json$"), "packages map<string,struct<version:string,link:boolean,resolved:string>>").select("path", F.explode("j.packages").alias("k", "v")).where(F.contains("k", F.lit("node_modules/")) & ~F.coalesce("v.link", F.lit(False)))
     git = F.when(F.col("v.resolved").rlike("^git"), "git").otherwise("registry")
@@ -126,8 +128,11 @@ def _npm_v1(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                doc = json.loads(content or "{}")
-                stack = [] if "packages" in doc else [doc.get("dependencies") or {}]
+                try:
+                    doc = json.loads(content or "{}")
+                except ValueError:
+                    continue  # broken_lockfiles tells of it
+                stack = [] if not isinstance(doc, dict) or "packages" in doc else [doc.get("dependencies") or {}]
                 while stack:
                     for name, d in stack.pop().items():
                         version = str(d.get("version") or "")
@@ -138,39 +143,137 @@ def _npm_v1(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(walk, "path string, ecosystem string, name string, version string, source string")
 
 
-_COMPONENT = "`bom-ref`:string,name:string,version:string,purl:string"
+def _texts(value) -> str | None:
+    return value if isinstance(value, str) and value.strip() else None
 
 
-def read_sbom(spark: SparkSession, path: str, depth: int = 3) -> DataFrame:
-    """document, ref, key, name, version, purl, depends_on of CycloneDX files: nested components to a depth, the root with them.
+def _listed(value) -> list:
+    return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
-    The key is the purl, else lower name and version. A reference that two components share makes its relations unusable.
+
+def _cyclonedx(doc: dict):
+    """(ref, name, version, purl, depends_on) of the root and of components nested to any depth."""
+    depends: dict[str, set] = {}
+    for d in _listed(doc.get("dependencies")):
+        depends.setdefault(d.get("ref"), set()).update(x for x in d.get("dependsOn") or [] if isinstance(x, str))
+    root = (doc.get("metadata") or {}).get("component")
+    stack = [_listed(doc.get("components")), [root] if isinstance(root, dict) else []]
+    while stack:
+        for c in stack.pop():
+            yield _texts(c.get("bom-ref")), _texts(c.get("name")), _texts(c.get("version")), _texts(c.get("purl")), depends.get(c.get("bom-ref"))
+            stack.append(_listed(c.get("components")))
+
+
+def _spdx(doc: dict):
+    """The same of an SPDX document's packages: DEPENDS_ON, and DEPENDENCY_OF turned round."""
+    depends: dict[str, set] = {}
+    for r in _listed(doc.get("relationships")):
+        a, b = r.get("spdxElementId"), r.get("relatedSpdxElement")
+        if r.get("relationshipType") == "DEPENDENCY_OF":
+            a, b = b, a
+        elif r.get("relationshipType") != "DEPENDS_ON":
+            continue
+        depends.setdefault(a, set()).add(b)
+    for x in _listed(doc.get("packages")):
+        purl = next((r.get("referenceLocator") for r in _listed(x.get("externalRefs")) if r.get("referenceType") == "purl"), None)
+        yield _texts(x.get("SPDXID")), _texts(x.get("name")), _texts(x.get("versionInfo")), _texts(purl), depends.get(x.get("SPDXID"))
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """document (its place) and content, a row per file."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("content"))
+
+
+SBOM = "document string, format string, ref string, name string, version string, purl string, depends_on array<string>, error string"
+
+
+def read_sbom(spark: SparkSession, path: str) -> DataFrame:
+    """document, format, ref, key, name, version, purl, depends_on, error of CycloneDX and SPDX files.
+
+    The key is the purl, else lower name and version. A reference that two components share makes its relations unusable, so
+    it has none. A file of another form, or that is no JSON, is a row with an error and nothing else; the others are read.
     """
-    nested = f"struct<{_COMPONENT}>"
-    for _ in range(depth):
-        nested = f"struct<{_COMPONENT},components:array<{nested}>>"
-    raw = spark.read.schema(f"metadata struct<component:struct<{_COMPONENT}>>, components array<{nested}>, dependencies array<struct<ref:string,dependsOn:array<string>>>").option("multiLine", "true").option("mode", "FAILFAST").json(path).withColumn("document", F.input_file_name())
-    own = lambda c: F.struct(*(F.col(f"{c}.`{n}`").alias(n) for n in ("bom-ref", "name", "version", "purl")))
-    level = raw.select("document", F.explode("components").alias("c"))
-    rows = raw.where(F.col("metadata.component").isNotNull()).select("document", own("metadata.component").alias("x")).unionByName(level.select("document", own("c").alias("x")))
-    for _ in range(depth):
-        level = level.select("document", F.explode("c.components").alias("c"))
-        rows = rows.unionByName(level.select("document", own("c").alias("x")))
-    rows = rows.select("document", F.col("x.bom-ref").alias("ref"), "x.name", "x.version", "x.purl")
+
+    def walk(batches):
+        for batch in batches:
+            rows = []
+            for document, content in zip(batch["document"], batch["content"], strict=True):
+                try:
+                    doc = json.loads(content or "")
+                except ValueError:
+                    doc = None
+                kind = "cyclonedx" if isinstance(doc, dict) and ("components" in doc or doc.get("bomFormat") == "CycloneDX") else "spdx" if isinstance(doc, dict) and isinstance(doc.get("packages"), list) else None
+                if kind is None:
+                    rows.append((document, None, None, None, None, None, None, "no JSON" if doc is None else "neither CycloneDX nor SPDX"))
+                    continue
+                found = list(_cyclonedx(doc) if kind == "cyclonedx" else _spdx(doc))
+                times = Counter(x[0] for x in found)
+                rows += [(document, kind, ref, name, version, purl, sorted(d) if d and times[ref] == 1 else None, None if name else "no name") for ref, name, version, purl, d in found]
+            yield pd.DataFrame(rows, columns=["document", "format", "ref", "name", "version", "purl", "depends_on", "error"])
+
     key = F.coalesce("purl", F.concat(F.lower("name"), F.lit("\x00"), F.lower(F.coalesce("version", F.lit("")))))
-    unique = rows.groupBy("document", "ref").count().where((F.col("count") == 1) & F.col("ref").isNotNull()).drop("count")
-    deps = raw.select("document", F.explode("dependencies").alias("d")).select("document", F.col("d.ref").alias("ref"), F.array_sort(F.coalesce("d.dependsOn", F.array().cast("array<string>"))).alias("depends_on")).join(unique, ["document", "ref"])
-    return rows.withColumn("key", key).join(deps, ["document", "ref"], "left")
+    return _documents(spark, path).mapInPandas(walk, SBOM).withColumn("key", key)
+
+
+STATES = {"exploitable": "affected", "in_triage": "under_investigation", "resolved": "fixed", "resolved_with_pedigree": "fixed", "not_affected": "not_affected", "false_positive": "not_affected"}  # fixed values
+CLAIM = "document string, n int, kind string, producer string, rule_id string, vulnerability_id string, subject_ids array<string>, status string, summary string, mapped boolean"
+
+
+def _openvex(doc: dict):
+    for s in _listed(doc.get("statements")):
+        products = s.get("products") if isinstance(s.get("products"), list) else []
+        ids = [p["@id"] for p in _listed(products) if _texts(p.get("@id"))]
+        status, why = s.get("status"), _texts(s.get("impact_statement")) or _texts(s.get("status_notes"))
+        name, reason = (s.get("vulnerability") or {}).get("name") if isinstance(s.get("vulnerability"), dict) else None, _texts(s.get("justification"))
+        mapped = bool(_texts(name)) and status in set(STATES.values()) and bool(ids) and len(ids) == len(products) and (status != "not_affected" or bool(why or reason))
+        yield "vex-statement", "OpenVEX document", None, _texts(name), ids, _texts(status), why or reason, mapped
+
+
+def _cyclonedx_vex(doc: dict):
+    for v in _listed(doc.get("vulnerabilities")):
+        analysis = v.get("analysis") if isinstance(v.get("analysis"), dict) else {}
+        ids, status = [a["ref"] for a in _listed(v.get("affects")) if _texts(a.get("ref"))], STATES.get(analysis.get("state"))
+        why = _texts(analysis.get("detail")) or _texts(analysis.get("justification"))
+        yield "vex-statement", "CycloneDX document", None, _texts(v.get("id")), ids, status, why, bool(_texts(v.get("id")) and status and ids and (status != "not_affected" or why))
+
+
+def _sarif(doc: dict):
+    for run in _listed(doc.get("runs")):
+        driver = (run.get("tool") or {}).get("driver") or {}
+        version = _texts(driver.get("semanticVersion")) or _texts(driver.get("version"))
+        producer = _texts(driver.get("name")) and (f"{driver['name']}@{version}" if version else driver["name"])
+        for r in _listed(run.get("results")):
+            places = [(x.get("physicalLocation") or {}).get("artifactLocation") or {} for x in _listed(r.get("locations"))]
+            uris = [p["uri"] for p in places if _texts(p.get("uri"))]
+            rule, text = _texts(r.get("ruleId")) or _texts((r.get("rule") or {}).get("id")), _texts((r.get("message") or {}).get("text"))
+            yield "scanner-result", producer, rule, None, uris, _texts(r.get("level")) or "warning", text, bool(producer and rule and uris)
 
 
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, document, vulnerability_id, subject_ids, status, mapped of OpenVEX files; claims are never trusted by themselves.
+    """record_id, document, kind, producer, rule_id, vulnerability_id, subject_ids, status, summary, mapped of OpenVEX, CycloneDX VEX and SARIF files.
 
-    A claim is mapped if its status is known, it has products and, for not_affected, a justification or a statement.
+    Claims are never trusted by themselves. A VEX statement is mapped if its status is known, all its products have ids and a
+    not_affected one has a reason; a SARIF result if its tool, rule and place are named. A file of another form is one row that isn't mapped.
     """
-    schema = "statements array<struct<vulnerability:struct<name:string>,products:array<struct<`@id`:string>>,status:string,justification:string,impact_statement:string>>"
-    s = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path).select(F.input_file_name().alias("document"), F.posexplode("statements").alias("n", "s"))
-    known = F.col("s.status").isin("not_affected", "affected", "fixed", "under_investigation")
-    why = (F.col("s.status") != "not_affected") | F.coalesce("s.justification", "s.impact_statement").isNotNull()
-    ids = F.array_compact(F.transform("s.products", lambda p: p["@id"]))
-    return s.select(F.concat_ws("#", "document", "n").alias("record_id"), "document", F.col("s.vulnerability.name").alias("vulnerability_id"), ids.alias("subject_ids"), F.col("s.status").alias("status"), F.coalesce(known & (F.size(ids) > 0) & why, F.lit(False)).alias("mapped"))
+
+    def walk(batches):
+        for batch in batches:
+            rows = []
+            for document, content in zip(batch["document"], batch["content"], strict=True):
+                try:
+                    doc = json.loads(content or "")
+                except ValueError:
+                    doc = None
+                doc = doc if isinstance(doc, dict) else {}
+                found = [*_openvex(doc), *_cyclonedx_vex(doc), *_sarif(doc)] or [("unreadable", None, None, None, [], None, None, False)]
+                rows += [(document, n, *x) for n, x in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["document", "n", "kind", "producer", "rule_id", "vulnerability_id", "subject_ids", "status", "summary", "mapped"])
+
+    return _documents(spark, path).mapInPandas(walk, CLAIM).select(F.concat_ws("#", "document", "n").alias("record_id"), "*").drop("n")
+
+
+def broken_lockfiles(corpus: DataFrame) -> DataFrame:
+    """path, problem of JSON lockfiles that don't parse; inventory_from_lockfiles has no rows of them."""
+    name = F.substring_index("path", "/", -1)
+    own = corpus.where(name.isin("package-lock.json", "Pipfile.lock", "composer.lock", "packages.lock.json"))
+    return own.where(F.try_parse_json("content").isNull()).select("path", F.lit("no JSON").alias("problem"))
