@@ -25,9 +25,14 @@ def _events(text: str) -> list[dict]:
     return json.loads(text)
 
 
+@lru_cache(maxsize=500_000)
+def _verdict(family: str | None, version: str, events: str | None) -> str:
+    return V.AFFECTED if events is None else V.range_verdict(family, version, _events(events))
+
+
 @F.pandas_udf(StringType())
 def range_verdict(family: pd.Series, version: pd.Series, events: pd.Series) -> pd.Series:
-    return pd.Series([V.range_verdict(f, v, _events(e)) for f, v, e in zip(family, version, events, strict=True)])
+    return pd.Series([_verdict(f, v, e) for f, v, e in zip(family, version, events, strict=True)])
 
 
 def base_ecosystem(col: Column) -> Column:
@@ -51,7 +56,7 @@ def queryable(deps: DataFrame) -> DataFrame:
 
 
 def with_verdict(rows: DataFrame, version: str) -> DataFrame:
-    """rows (family, events and a version column) with verdict. Events and version keys are parsed once per worker."""
+    """rows (family, events and a version column) with verdict. Equal inputs, which are many, are decided once per worker."""
     return rows.withColumn("verdict", range_verdict("family", F.col(version), "events"))
 
 
@@ -62,15 +67,18 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     ranges are skipped. An advisory that matches by several records gives one row, affected before undetermined.
     """
     own = queryable(deps).select(*TRIPLE).distinct().withColumn("pkg", V.normalize_package(F.col("ecosystem"), F.col("name"))).withColumn("base", base_ecosystem(F.col("ecosystem")))
-    adv = advisories.where(F.col("withdrawn").isNull()).select(F.col("id").alias("advisory_id"), F.col("ecosystem").alias("adv_ecosystem"), V.normalize_package(F.col("ecosystem"), F.col("package")).alias("pkg"), base_ecosystem(F.col("ecosystem")).alias("base"), "versions", "ranges")
+    # Ranges are written as texts once for each advisory, not for each package version that meets it.
+    texts = F.transform(F.filter("ranges", lambda r: r["type"] != "GIT"), lambda r: F.struct(r["type"].alias("type"), F.to_json(r["events"]).alias("events")))
+    adv = advisories.where(F.col("withdrawn").isNull()).select(F.col("id").alias("advisory_id"), F.col("ecosystem").alias("adv_ecosystem"), V.normalize_package(F.col("ecosystem"), F.col("package")).alias("pkg"), base_ecosystem(F.col("ecosystem")).alias("base"), "versions", texts.alias("ranges"))
     met = own.join(adv, ["pkg", "base"]).where(ecosystem_within(F.col("adv_ecosystem"), F.col("ecosystem")) | ecosystem_within(F.col("ecosystem"), F.col("adv_ecosystem")))
+    # A version that is listed is affected whatever the ranges say: it has one row without events.
     listed = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False))
-    named = met.where(listed).select(*TRIPLE, "advisory_id", F.lit(V.AFFECTED).alias("verdict"))
-    ranged = met.where(~listed).select(*TRIPLE, "advisory_id", F.explode("ranges").alias("range")).where(F.col("range.type") != "GIT")
+    sure = F.array(F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("events")))
+    ranged = met.select(*TRIPLE, "advisory_id", F.explode(F.when(listed, sure).otherwise(F.col("ranges"))).alias("range"))
     family = F.when(F.col("range.type") == "SEMVER", "semver").otherwise(V.ecosystem_family(F.col("ecosystem")))
-    ranged = ranged.select(*TRIPLE, "advisory_id", family.alias("family"), F.to_json("range.events").alias("events"))
-    ranged = with_verdict(ranged, "version").where(F.col("verdict") != V.NOT_AFFECTED).select(*TRIPLE, "advisory_id", "verdict")
-    return named.unionByName(ranged).groupBy(*TRIPLE, "advisory_id").agg(F.min("verdict").alias("verdict"))  # affected sorts first
+    ranged = ranged.select(*TRIPLE, "advisory_id", family.alias("family"), F.col("range.events").alias("events"))
+    ranged = with_verdict(ranged, "version").where(F.col("verdict") != V.NOT_AFFECTED)
+    return ranged.groupBy(*TRIPLE, "advisory_id").agg(F.min("verdict").alias("verdict"))  # affected sorts first
 
 
 def match_notes(matches: DataFrame, examples: int = 5) -> DataFrame:
@@ -192,15 +200,16 @@ def monitor(inventories: DataFrame, advisories: DataFrame, reported: DataFrame)
     """run_id, triple, advisory_id, verdict: matches of stored inventories whose id and aliases were all unreported for the run's component.
 
     reported: run_id, ecosystem, name, version, reported_id. advisories also has aliases. Matches are made once for each
-    distinct package version and meet the runs' components once; one join tells which of their ids were reported.
+    distinct package version; a run's component carries the ids that were reported for it, so each match is tested in its own row.
     """
+    none = F.array().cast("array<string>")
     matches = match_advisories(inventories, advisories)
-    aliases = advisories.select(F.col("id").alias("advisory_id"), F.explode("aliases").alias("alias"))
-    ids = aliases.groupBy("advisory_id").agg(F.collect_set("alias").alias("aliases"))
-    known_by = matches.join(ids, "advisory_id", "left").select(*TRIPLE, "advisory_id", "verdict", F.array_union(F.array("advisory_id"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("ids"))
-    met = inventories.select("run_id", *TRIPLE).distinct().join(known_by, TRIPLE).select("run_id", *TRIPLE, "advisory_id", "verdict", F.explode("ids").alias("reported_id"))
-    told = met.join(reported.select("run_id", *TRIPLE, "reported_id", F.lit(True).alias("_told")).distinct(), ["run_id", *TRIPLE, "reported_id"], "left")
-    return told.groupBy("run_id", *TRIPLE, "advisory_id", "verdict").agg(F.count("_told").alias("_told")).where(F.col("_told") == 0).drop("_told")
+    aliases = advisories.select(F.col("id").alias("advisory_id"), F.explode("aliases").alias("alias")).groupBy("advisory_id").agg(F.collect_set("alias").alias("aliases"))
+    known_by = matches.join(aliases, "advisory_id", "left").select(*TRIPLE, "advisory_id", "verdict", F.concat(F.array("advisory_id"), F.coalesce("aliases", none)).alias("ids"))
+    # In a union, so that the runs' components and what was reported of them meet in one shuffle.
+    told = reported.select("run_id", *TRIPLE, F.col("reported_id").alias("told")).where(F.col("told").isNotNull())
+    there = inventories.select("run_id", *TRIPLE).withColumn("told", F.lit(None).cast("string")).unionByName(told).groupBy("run_id", *TRIPLE).agg(F.collect_set("told").alias("told"), F.count_if(F.col("told").isNull()).alias("held")).where(F.col("held") > 0)
+    return there.join(known_by, TRIPLE).where(~F.arrays_overlap("ids", "told")).select("run_id", *TRIPLE, "advisory_id", "verdict")
 
 
 def monitor_runs(inventories: DataFrame, advisories: DataFrame, found: DataFrame) -> DataFrame:
