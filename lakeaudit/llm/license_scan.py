@@ -99,7 +99,7 @@ def document_frequency(low: DataFrame, terms: DataFrame, n_docs: int) -> DataFra
 
 
 def own_licenses(docs: DataFrame, min_cosine: float, gap: int = GAP) -> DataFrame:
-    """docs: rid, text. rid, license, cosine of the files that state one. Texts are read twice: for headers and for frequencies."""
+    """docs: rid, text. rid, license, cosine of the files that state one. Texts are read three times: for headers, for tags and for frequencies."""
     spark = docs.sparkSession
     low = docs.select("rid", F.translate("text", _UPPER, _LOWER).alias("low"))
     rows = [(i, name, t, text.count(t)) for i, (name, terms) in enumerate((n, _terms(x)) for n, x in TEMPLATES) for t in sorted(set(terms)) for text in [terms]]
