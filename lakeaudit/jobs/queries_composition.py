@@ -12,7 +12,7 @@ from lakeaudit.operators import advisories as D
 from lakeaudit.operators import composition as C
 
 RULES = {"deny": ["strong-copyleft", "proprietary"], "warn": ["weak-copyleft"], "unknown": "warn"}
-POLICY = C.Policy(RULES, "critical", "high", "warn", (1000, 1500), (2, 5))
+POLICY = C.Policy(RULES, "critical", "high", "warn", (1000, 1500), (2, 5), (900, None), "warn")
 NOW = "2023-06-01"
 
 _CATEGORY = "CASE license WHEN 'MIT' THEN 'permissive' WHEN 'Apache-2.0' THEN 'permissive' WHEN 'BSD-3-Clause' THEN 'permissive' WHEN 'GPL-3.0-only' THEN 'strong-copyleft' WHEN 'MIT OR GPL-3.0-only' THEN 'permissive' WHEN 'MPL-2.0' THEN 'weak-copyleft' WHEN 'MIT AND LGPL-3.0-only' THEN 'weak-copyleft' WHEN 'Proprietary' THEN 'proprietary' END"
@@ -26,18 +26,30 @@ A.view(
 A.view("occurrence_vulns", "SELECT project_id, ecosystem, name, version, advisory_id, lockfile = 'lock0' AS dismissed, severity FROM (SELECT DISTINCT project_id, ecosystem, name, version, lockfile FROM dependencies) JOIN matched USING (ecosystem, name, version) JOIN advisories ON id = advisory_id", "dependencies", "matched")
 _R = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
 A.view("vuln_components", f"SELECT project_id, ecosystem, name, version, count(*) FILTER (NOT dismissed) AS open, count(*) FILTER (dismissed) AS dismissed, max(rank) FILTER (NOT dismissed) AS worst_rank FROM (SELECT project_id, ecosystem, name, version, advisory_id, bool_and(dismissed) AS dismissed, max({_R}) AS rank FROM occurrence_vulns GROUP BY ALL) GROUP BY ALL", "occurrence_vulns")
-A.view("facts", "SELECT ecosystem, name, version, published_at, deprecated, majors_behind FROM released WHERE newest_at IS NOT NULL", "released")
-A.view("full_components", "SELECT c.*, v.open, v.worst_rank, f.published_at, f.deprecated, f.majors_behind FROM components c LEFT JOIN vuln_components v USING (project_id, ecosystem, name, version) LEFT JOIN facts f USING (ecosystem, name, version)", "components", "vuln_components", "facts")
-A.view("policy_entries", "SELECT s_suppkey AS position, CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem, CASE WHEN s_suppkey % 2 = 0 THEN 'lib-' || (s_suppkey * 4 % 200) ELSE 'LIB.' || ((s_suppkey * 4 + 1) % 200) END AS package, CASE WHEN s_suppkey % 3 = 0 THEN 'rejected' ELSE 'approved' END AS decision, CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2020-01-01' END AS expires_at FROM supplier")
-_DAYS = f"CASE WHEN TIMESTAMP '{NOW}' >= published_at THEN floor(epoch(TIMESTAMP '{NOW}' - published_at) / 86400) END"
+A.view("facts", "SELECT ecosystem, name, version, published_at, deprecated, majors_behind, newest_at, default_version FROM released WHERE newest_at IS NOT NULL", "released")
+A.view("full_components", "SELECT c.*, v.open, v.worst_rank, f.published_at, f.deprecated, f.majors_behind, f.newest_at, f.default_version FROM components c LEFT JOIN vuln_components v USING (project_id, ecosystem, name, version) LEFT JOIN facts f USING (ecosystem, name, version)", "components", "vuln_components", "facts")
+A.view("policy_entries", "SELECT s_suppkey AS position, CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem, CASE WHEN s_suppkey % 2 = 0 THEN 'lib-' || (s_suppkey * 4 % 200) ELSE 'LIB.' || ((s_suppkey * 4 + 1) % 200) END AS package, CASE WHEN s_suppkey % 3 = 0 THEN 'rejected' ELSE 'approved' END AS decision, CASE WHEN s_suppkey % 5 = 0 THEN TIMESTAMP '2020-01-01' END AS expires_at, CASE WHEN s_suppkey % 7 = 0 THEN '2.1.0' END AS version FROM supplier")
+_DAYS = lambda c: f"CASE WHEN TIMESTAMP '{NOW}' >= {c} THEN floor(epoch(TIMESTAMP '{NOW}' - {c}) / 86400) END"
+_PKG = "CASE WHEN {0}ecosystem = 'PyPI' THEN regexp_replace(lower({0}{1}), '[-_.]+', '-', 'g') ELSE {0}{1} END"
 A.view(
-    "violations",
-    f"""SELECT project_id, ecosystem, name, version, kind, action, waived FROM (SELECT c.*, l.decision, greatest(CASE WHEN deprecated THEN 1 ELSE 0 END, CASE WHEN {_DAYS} > 1500 THEN 2 WHEN {_DAYS} > 1000 THEN 1 ELSE 0 END, CASE WHEN majors_behind > 5 THEN 2 WHEN majors_behind > 2 THEN 1 ELSE 0 END) AS op FROM full_components c LEFT JOIN
-  (SELECT ecosystem, CASE WHEN ecosystem = 'PyPI' THEN regexp_replace(lower(package), '[-_.]+', '-', 'g') ELSE package END AS pkg, arg_max(decision, position) AS decision FROM policy_entries WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}' GROUP BY ALL) l ON l.ecosystem = c.ecosystem AND l.pkg = CASE WHEN c.ecosystem = 'PyPI' THEN regexp_replace(lower(c.name), '[-_.]+', '-', 'g') ELSE c.name END),
-  LATERAL (SELECT unnest(['rejected', 'license', 'vulnerability', 'operational']) AS kind, unnest([CASE WHEN decision = 'rejected' THEN 'deny' END, CASE WHEN license_action <> 'allow' THEN license_action END, CASE WHEN worst_rank >= 5 THEN 'deny' WHEN worst_rank >= 4 THEN 'warn' END, CASE op WHEN 2 THEN 'deny' WHEN 1 THEN 'warn' END]) AS action,
-  unnest([FALSE, coalesce(decision = 'approved', FALSE), FALSE, coalesce(decision = 'approved', FALSE)]) AS waived) WHERE action IS NOT NULL""",
+    "decided",
+    f"""SELECT c.*, arg_max(e.decision, e.position) AS decision FROM full_components c LEFT JOIN (FROM policy_entries WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') e
+  ON e.ecosystem = c.ecosystem AND {_PKG.format('e.', 'package')} = {_PKG.format('c.', 'name')} AND (e.version IS NULL OR e.version = c.version) GROUP BY ALL""",
     "full_components", "policy_entries",
 )
+A.view(
+    "violations",
+    f"""SELECT project_id, ecosystem, name, version, kind, rule, action, kind IN ('license', 'operational') AND coalesce(decision = 'approved', FALSE) AS waived FROM (
+  SELECT project_id, ecosystem, name, version, decision, 'rejected' AS kind, 'components.rejected' AS rule, CASE WHEN decision = 'rejected' THEN 'deny' END AS action FROM decided
+  UNION ALL SELECT project_id, ecosystem, name, version, decision, 'license', 'licenses', nullif(license_action, 'allow') FROM decided
+  UNION ALL SELECT project_id, ecosystem, name, version, decision, 'vulnerability', 'vulnerabilities', CASE WHEN worst_rank >= 5 THEN 'deny' WHEN worst_rank >= 4 THEN 'warn' END FROM decided
+  UNION ALL SELECT project_id, ecosystem, name, version, decision, 'operational', 'operational.unknown', CASE WHEN published_at IS NULL AND newest_at IS NULL AND default_version IS NULL AND deprecated IS NULL THEN 'warn' END FROM decided
+  UNION ALL SELECT project_id, ecosystem, name, version, decision, 'operational', 'operational.deprecated', CASE WHEN deprecated THEN 'warn' END FROM decided
+  UNION ALL SELECT project_id, ecosystem, name, version, decision, 'operational', 'operational.maxAgeDays', CASE WHEN {_DAYS('published_at')} >= 1500 THEN 'deny' WHEN {_DAYS('published_at')} >= 1000 THEN 'warn' END FROM decided
+  UNION ALL SELECT project_id, ecosystem, name, version, decision, 'operational', 'operational.maxMajorVersionsBehind', CASE WHEN majors_behind >= 5 THEN 'deny' WHEN majors_behind >= 2 THEN 'warn' END FROM decided
+  UNION ALL SELECT project_id, ecosystem, name, version, decision, 'operational', 'operational.staleAfterDays', CASE WHEN {_DAYS('newest_at')} >= 900 THEN 'warn' END FROM decided) WHERE action IS NOT NULL""",
+    "decided",
+)
 A.view("report", "SELECT c.*, CASE coalesce(w, 0) WHEN 2 THEN 'deny' WHEN 1 THEN 'warn' ELSE 'allow' END AS verdict, coalesce(w, 0) AS level FROM full_components c LEFT JOIN (SELECT project_id, ecosystem, name, version, max(CASE action WHEN 'deny' THEN 2 ELSE 1 END) AS w FROM violations WHERE NOT waived GROUP BY ALL) USING (project_id, ecosystem, name, version)", "violations")
 
 
@@ -53,13 +65,13 @@ def _components(spark, sf_dir) -> DataFrame:
 
 def _full(spark, sf_dir) -> DataFrame:
     deps = A.dependencies(spark, sf_dir)
-    facts = D.release_facts(deps, QA.releases(spark, sf_dir)).select(*D.TRIPLE, "published_at", "deprecated", "majors_behind", "newest_at").where(F.col("newest_at").isNotNull()).drop("newest_at")
+    facts = D.release_facts(deps, QA.releases(spark, sf_dir)).select(*D.TRIPLE, "published_at", "deprecated", "majors_behind", "newest_at", "default_version").where(F.col("newest_at").isNotNull())
     per = C.component_advisories(_vulns(spark, sf_dir)).select(*C.COMPONENT, "open", "worst_rank")
     return _components(spark, sf_dir).join(per, C.COMPONENT, "left").join(facts, D.TRIPLE, "left")
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    return A.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS position", "CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem", "CASE WHEN s_suppkey % 2 = 0 THEN concat('lib-', s_suppkey * 4 % 200) ELSE concat('LIB.', (s_suppkey * 4 + 1) % 200) END AS package", "CASE WHEN s_suppkey % 3 = 0 THEN 'rejected' ELSE 'approved' END AS decision", "CASE WHEN s_suppkey % 5 = 0 THEN timestamp '2020-01-01' END AS expires_at")
+    return A.table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS position", "CASE WHEN s_suppkey % 2 = 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem", "CASE WHEN s_suppkey % 2 = 0 THEN concat('lib-', s_suppkey * 4 % 200) ELSE concat('LIB.', (s_suppkey * 4 + 1) % 200) END AS package", "CASE WHEN s_suppkey % 3 = 0 THEN 'rejected' ELSE 'approved' END AS decision", "CASE WHEN s_suppkey % 5 = 0 THEN timestamp '2020-01-01' END AS expires_at", "CASE WHEN s_suppkey % 7 = 0 THEN '2.1.0' END AS version")
 
 
 def _judged(spark, sf_dir) -> DataFrame:
@@ -91,7 +103,7 @@ def evaluate_policy(spark, sf_dir) -> DataFrame:
     return C.evaluate_policy(_full(spark, sf_dir), POLICY, _entries(spark, sf_dir), F.lit(NOW).cast("timestamp"))
 
 
-@query("unknown_facts", A.oracle("SELECT project_id, ecosystem, name, version, fact FROM (SELECT *, unnest(['license', 'deprecated', 'age', 'majors']) AS fact, unnest([license IS NULL, deprecated IS NULL, published_at IS NULL, majors_behind IS NULL]) AS open FROM (SELECT * EXCLUDE (open) FROM full_components)) WHERE open", "full_components"))
+@query("unknown_facts", A.oracle("SELECT project_id, ecosystem, name, version, fact FROM (SELECT *, unnest(['license', 'deprecated', 'age', 'majors', 'stale']) AS fact, unnest([license IS NULL, deprecated IS NULL, published_at IS NULL, majors_behind IS NULL, newest_at IS NULL]) AS open FROM (SELECT * EXCLUDE (open) FROM full_components)) WHERE open", "full_components"))
 def unknown_facts(spark, sf_dir) -> DataFrame:
     return C.unknown_facts(_full(spark, sf_dir), POLICY)
 
@@ -117,12 +129,17 @@ def portfolio_summary(spark, sf_dir) -> DataFrame:
     return C.portfolio_summary(_judged(spark, sf_dir))
 
 
-@query("portfolio_components", A.oracle("""SELECT ecosystem, name, versions, projects, most_used, licenses, worst_level, worst_rank FROM (SELECT ecosystem, name, count(DISTINCT project_id) AS projects, coalesce(array_to_string(list(DISTINCT license ORDER BY license), ';'), '') AS licenses, max(level) AS worst_level, max(worst_rank) AS worst_rank FROM report GROUP BY ALL)
+@query("portfolio_components", A.oracle("""SELECT ecosystem, name, versions, projects, most_used, licenses, categories, worst_level, worst_rank FROM (SELECT ecosystem, name, count(DISTINCT project_id) AS projects, coalesce(array_to_string(list(DISTINCT license ORDER BY license), ';'), '') AS licenses, coalesce(array_to_string(list(DISTINCT category ORDER BY category), ';'), '') AS categories, max(level) AS worst_level, max(worst_rank) AS worst_rank FROM report GROUP BY ALL)
   JOIN (SELECT ecosystem, name, count(*) AS versions, arg_max(version, (n, version)) AS most_used FROM (SELECT ecosystem, name, version, count(DISTINCT project_id) AS n FROM report GROUP BY ALL) GROUP BY ALL) USING (ecosystem, name)""", "report"))
 def portfolio_components(spark, sf_dir) -> DataFrame:
     return C.portfolio_components(_judged(spark, sf_dir))
 
 
+@query("portfolio_versions", A.oracle("SELECT DISTINCT ecosystem, name, version, project_id FROM components", "components"))
+def portfolio_versions(spark, sf_dir) -> DataFrame:
+    return C.portfolio_versions(_components(spark, sf_dir))
+
+
 @query("portfolio_history", A.oracle("SELECT run_id, completed_at, coalesce(deny, 0) AS deny, coalesce(warn, 0) AS warn, coalesce(allow, 0) AS allow FROM (SELECT run_id, completed_at FROM runs WHERE status = 'completed' AND project_id = 7 ORDER BY completed_at DESC, run_id DESC LIMIT 100) LEFT JOIN (SELECT run_id, count(*) FILTER (a = 'deny') AS deny, count(*) FILTER (a = 'warn') AS warn, count(*) FILTER (a = 'allow') AS allow FROM (SELECT run_id, " + _ACTION + " AS a FROM dependencies) GROUP BY run_id) USING (run_id)", "runs", "dependencies"))
 def portfolio_history(spark, sf_dir) -> DataFrame:
     judged = C.assess_license(A.dependencies(spark, sf_dir), RULES).withColumnRenamed("license_action", "verdict")

@@ -21,8 +21,10 @@ class Policy:
     deny_severity: str | None = "critical"
     warn_severity: str | None = "high"
     deprecated: str | None = "warn"
-    max_age_days: tuple[int, int] | None = None  #: warn, deny
-    max_majors_behind: tuple[int, int] | None = None
+    max_age_days: tuple[int | None, int | None] | None = None  #: warn, deny: a value at a level or above it meets it
+    max_majors_behind: tuple[int | None, int | None] | None = None
+    stale_after_days: tuple[int | None, int | None] | None = None  #: since the package's newest release
+    unknown_release: str | None = None  #: where the index says nothing at all of a component
 
 
 def assess_license(df: DataFrame, rules: dict, col: str = "license") -> DataFrame:
@@ -61,32 +63,44 @@ def days_between(since: Column, now: Column) -> Column:
     return F.when(days >= 0, days)
 
 
-def _steps(value: Column, steps: tuple[int, int] | None) -> Column:
-    if steps is None:
-        return F.lit(None).cast("string")
-    return F.when(value > steps[1], "deny").when(value > steps[0], "warn")
+def _steps(value: Column, steps: tuple[int | None, int | None] | None) -> Column:
+    warn, deny = steps or (None, None)
+    at = lambda level: F.lit(False) if level is None else value >= level
+    return F.when(at(deny), "deny").when(at(warn), "warn")
+
+
+def _decisions(components: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """components with decision: of the unexpired entries of their package, for all versions or for theirs, the last."""
+    e = entries if "version" in entries.columns else entries.withColumn("version", F.lit(None).cast("string"))
+    live = e.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    last = live.groupBy(F.col("ecosystem").alias("_e"), same_package_key(F.col("ecosystem"), F.col("package")).alias("_p"), F.col("version").alias("_v")).agg(F.max(F.struct("position", "decision")).alias("_last"))
+    x = components.withColumn("_pkg", same_package_key(F.col("ecosystem"), F.col("name")))
+    for name, own in (("_all", last.where(F.col("_v").isNull())), ("_one", last.where(F.col("_v").isNotNull()))):
+        fits = (F.col("ecosystem") == F.col("_e")) & (F.col("_pkg") == F.col("_p")) & (F.lit(True) if name == "_all" else F.col("version") == F.col("_v"))
+        x = x.join(own.withColumnRenamed("_last", name), fits, "left").drop("_e", "_p", "_v")
+    return x.withColumn("decision", F.greatest("_all", "_one")["decision"]).drop("_all", "_one", "_pkg")
 
 
 def judge(components: DataFrame, policy: Policy, entries: DataFrame, now: Column) -> DataFrame:
-    """components with violations (an array of kind, action, waived) and verdict: the harshest action that isn't waived, else allow.
+    """components with violations (an array of kind, rule, action, waived) and verdict: the harshest action that isn't waived, else allow.
 
-    components also has license_action, worst_rank, deprecated, published_at, majors_behind. entries: position, ecosystem,
-    package, decision (approved or rejected), expires_at; the last unexpired one of a package holds. Approval waives licence
-    and operational violations. A component is judged in its own row, so reports and summaries read one pass.
+    components also has license_action, worst_rank, deprecated, published_at, majors_behind, newest_at (the package's last
+    release) and default_version. entries: position, ecosystem, package, decision (approved or rejected), expires_at, and
+    version where it holds for one; the last unexpired one of a component holds. Approval waives licence and operational
+    violations. An operational rule asks only what is known; a component of which nothing is known meets unknown_release. A
+    component is judged in its own row, so reports and summaries read one pass.
     """
-    live = entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > now)).select(F.col("ecosystem").alias("e_eco"), same_package_key(F.col("ecosystem"), F.col("package")).alias("e_pkg"), "position", "decision")
-    last = live.groupBy("e_eco", "e_pkg").agg(F.max_by("decision", "position").alias("decision"))
-    x = components.withColumn("_pkg", same_package_key(F.col("ecosystem"), F.col("name"))).join(last, (F.col("ecosystem") == F.col("e_eco")) & (F.col("_pkg") == F.col("e_pkg")), "left").drop("e_eco", "e_pkg", "_pkg")
+    x = _decisions(components, entries, now)
     at = lambda name: T.POLICY_RANK.get(name, 99)
     vulnerable = F.when(F.col("worst_rank") >= at(policy.deny_severity), "deny").when(F.col("worst_rank") >= at(policy.warn_severity), "warn")
-    operational = F.greatest(
-        _level(F.when(F.col("deprecated"), policy.deprecated) if policy.deprecated else F.lit(None)), _level(_steps(days_between(F.col("published_at"), now), policy.max_age_days)), _level(_steps(F.col("majors_behind"), policy.max_majors_behind)),
-    )
+    silent = F.coalesce("published_at", "newest_at").isNull() & F.col("default_version").isNull() & F.col("deprecated").isNull()
     approved = F.coalesce(F.col("decision") == "approved", F.lit(False))
-    row = lambda kind, action, waivable: F.struct(F.lit(kind).alias("kind"), action.alias("action"), (approved if waivable else F.lit(False)).alias("waived"))
+    row = lambda kind, rule, action, waivable: F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"), action.alias("action"), (approved if waivable else F.lit(False)).alias("waived"))
     found = F.array(
-        row("rejected", F.when(F.col("decision") == "rejected", "deny"), False), row("license", F.when(F.col("license_action") != "allow", F.col("license_action")), True),
-        row("vulnerability", vulnerable, False), row("operational", F.when(operational == 2, "deny").when(operational == 1, "warn"), True),
+        row("rejected", "components.rejected", F.when(F.col("decision") == "rejected", "deny"), False), row("license", "licenses", F.when(F.col("license_action") != "allow", F.col("license_action")), True), row("vulnerability", "vulnerabilities", vulnerable, False),
+        row("operational", "operational.unknown", F.when(silent, F.lit(policy.unknown_release)), True), row("operational", "operational.deprecated", F.when(F.col("deprecated"), F.lit(policy.deprecated)), True),
+        row("operational", "operational.maxAgeDays", _steps(days_between(F.col("published_at"), now), policy.max_age_days), True), row("operational", "operational.maxMajorVersionsBehind", _steps(F.col("majors_behind"), policy.max_majors_behind), True),
+        row("operational", "operational.staleAfterDays", _steps(days_between(F.col("newest_at"), now), policy.stale_after_days), True),
     )
     x = x.withColumn("violations", F.filter(found, lambda v: v["action"].isNotNull())).drop("decision")
     open_ = lambda action: F.exists("violations", lambda v: ~v["waived"] & (v["action"] == action))
@@ -94,16 +108,17 @@ def judge(components: DataFrame, policy: Policy, entries: DataFrame, now: Column
 
 
 def evaluate_policy(components: DataFrame, policy: Policy, entries: DataFrame, now: Column) -> DataFrame:
-    """component, kind, action, waived: violations by licence, vulnerability, operation and rejection."""
+    """component, kind, rule, action, waived: violations by licence, vulnerability, operation and rejection, each rule's own."""
     return judge(components, policy, entries, now).select(*COMPONENT, F.explode("violations").alias("v")).select(*COMPONENT, "v.*")
 
 
 def unknown_facts(components: DataFrame, policy: Policy) -> DataFrame:
-    """component, fact: what the policy asks about and the component has no answer to, which is no pass: license, deprecated, age, majors."""
+    """component, fact: what the policy asks about and the component has no answer to, which is no pass: license, deprecated, age, majors, stale."""
     asked = [F.when(F.col("license").isNull(), "license")]
     asked += [F.when(F.col("deprecated").isNull(), "deprecated")] if policy.deprecated else []
     asked += [F.when(F.col("published_at").isNull(), "age")] if policy.max_age_days else []
     asked += [F.when(F.col("majors_behind").isNull(), "majors")] if policy.max_majors_behind else []
+    asked += [F.when(F.col("newest_at").isNull(), "stale")] if policy.stale_after_days else []
     return components.select(*COMPONENT, F.explode(F.array_compact(F.array(*asked))).alias("fact"))
 
 
@@ -138,12 +153,17 @@ def portfolio_summary(report: DataFrame) -> DataFrame:
 
 
 def portfolio_components(report: DataFrame) -> DataFrame:
-    """Per (ecosystem, name): versions, projects (counts, not lists), licences, worst verdict and severity rank."""
-    report = cut(report.select(*COMPONENT, "license", "verdict", "worst_rank"))
+    """Per (ecosystem, name): versions, projects (counts; portfolio_versions has the rows), licences, their categories, worst verdict and severity rank."""
+    report = cut(report.select(*COMPONENT, "license", "category", "verdict", "worst_rank"))
     versions = report.groupBy("ecosystem", "name", "version").agg(F.countDistinct("project_id").alias("projects"))
     most = versions.groupBy("ecosystem", "name").agg(F.count("*").alias("versions"), F.max(F.struct("projects", "version")).alias("_m"))
-    per = report.groupBy("ecosystem", "name").agg(F.countDistinct("project_id").alias("projects"), F.array_join(F.array_sort(F.collect_set("license")), ";").alias("licenses"), F.max(_level(F.col("verdict"))).alias("worst_level"), F.max("worst_rank").alias("worst_rank"))
-    return per.join(most, ["ecosystem", "name"]).select("ecosystem", "name", "versions", "projects", F.col("_m.version").alias("most_used"), "licenses", "worst_level", "worst_rank")
+    per = report.groupBy("ecosystem", "name").agg(F.countDistinct("project_id").alias("projects"), F.array_join(F.array_sort(F.collect_set("license")), ";").alias("licenses"), F.array_join(F.array_sort(F.collect_set("category")), ";").alias("categories"), F.max(_level(F.col("verdict"))).alias("worst_level"), F.max("worst_rank").alias("worst_rank"))
+    return per.join(most, ["ecosystem", "name"]).select("ecosystem", "name", "versions", "projects", F.col("_m.version").alias("most_used"), "licenses", "categories", "worst_level", "worst_rank")
+
+
+def portfolio_versions(report: DataFrame) -> DataFrame:
+    """ecosystem, name, version, project_id: which projects use each version of a package, a row for each, so that a package that all use is no one row's list."""
+    return report.select("ecosystem", "name", "version", "project_id").distinct()
 
 
 def portfolio_history(report: DataFrame, runs: DataFrame, target, limit: int = 100) -> DataFrame:
