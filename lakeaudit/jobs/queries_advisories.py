@@ -174,6 +174,20 @@ def direct_usage(spark, sf_dir) -> DataFrame:
     return D.direct_usage(asked, D.usage_index(A.corpus(spark, sf_dir), _USAGE), ["npm", "PyPI"]).select("vuln_id", "ecosystem", "used")
 
 
+# A source of several languages for each part, and what it may import: each line is read as each language.
+_SOURCE = """concat('p', CAST(p_partkey % 50 AS STRING)) AS project_id, concat('f', CAST(p_partkey AS STRING)) AS path, p_size % 7 AS k,
+    concat('import x from "@Scope/lib-', CAST(p_size % 7 AS STRING), '/deep"; require("./own"); ', chr(10), 'from Lib', CAST(p_size % 5 AS STRING), '_X.sub import y', chr(10), 'use my_crate', CAST(p_size % 3 AS STRING), '::z; use crate::a;', chr(10), 'import "host.example/m', CAST(p_size % 2 AS STRING), '/v2"', chr(10)) AS content"""
+_IMPORTS = " UNION ALL ".join(
+    f"SELECT '{e}' AS ecosystem, 'p' || (p_partkey % 50) AS project_id, 'f' || p_partkey AS path, {n} AS name FROM part"
+    for e, n in (("npm", "'@scope/lib-' || (p_size % 7)"), ("PyPI", "'lib' || (p_size % 5) || '_x'"), ("crates.io", "'my_crate' || (p_size % 3)"), ("Go", "unnest(['host.example', 'host.example/m' || (p_size % 2), 'host.example/m' || (p_size % 2) || '/v2'])"), ("npm", "'host.example'"), ("PyPI", "'x'"))
+)
+
+
+@query("import_usage", f"SELECT ecosystem, project_id, name, count(DISTINCT path) AS files, min(path) AS first_path FROM ({_IMPORTS}) GROUP BY ALL")
+def import_usage(spark, sf_dir) -> DataFrame:
+    return D.usage_index(A.project(spark, sf_dir, "part", _SOURCE))
+
+
 @query("referenced_functions", A.oracle("SELECT DISTINCT project_id, fn AS function FROM corpus, (SELECT unnest(['thtion', 'ereaho', 'ndthing', 'zzzz']) AS fn) WHERE contains(content, fn)", "corpus"))
 def referenced_functions(spark, sf_dir) -> DataFrame:
     corpus = A.corpus(spark, sf_dir)
@@ -209,6 +223,21 @@ def new_advisories_vs_baseline(spark, sf_dir) -> DataFrame:
     return D.new_advisories_vs_baseline(m, m.where(F.substring("advisory_id", 5, 20).cast("long") % 3 == 0))
 
 
+@query("baseline_problems", A.oracle("SELECT * FROM (SELECT DISTINCT project_id AS baseline_id, CASE project_id % 5 WHEN 4 THEN 'not a complete report' WHEN 1 THEN 'counts disagree' WHEN 2 THEN 'counts disagree' WHEN 3 THEN 'query counts disagree' ELSE CASE WHEN project_id % 10 = 5 THEN 'advisory outside the inventory' END END AS problem FROM dependencies) WHERE problem IS NOT NULL", "dependencies"))
+def baseline_problems(spark, sf_dir) -> DataFrame:
+    """Each project's inventory as a baseline whose summary is off by one, in a way that its id tells."""
+    deps = A.dependencies(spark, sf_dir).withColumn("baseline_id", F.col("project_id"))
+    own = deps.select("baseline_id", *D.TRIPLE, "lockfile").distinct()
+    vulns = own.withColumn("version", F.when(F.col("baseline_id") % 10 == 5, "0").otherwise(F.col("version"))).withColumn("advisory_id", F.lit("ADV-1"))
+    off = lambda k: (F.col("baseline_id") % 5 == k).cast("long")
+    kept = (F.col("source") != "git") & ~F.col("local_workspace")
+    triple = F.struct(*D.TRIPLE)
+    counts = deps.groupBy("baseline_id").agg(F.count("*").alias("n"), F.countDistinct(F.when(kept, triple)).alias("q"), F.countDistinct(*D.TRIPLE, "lockfile").alias("v"))
+    coverage = F.when(F.col("baseline_id") % 5 == 4, "partial").otherwise("complete")
+    told = counts.select("baseline_id", F.lit(1).alias("schema_version"), F.lit("dependencies").alias("kind"), coverage.alias("advisory_coverage"), (F.col("n") + off(1)).alias("packages_found"), (F.col("q") + off(3)).alias("packages_queried"), (F.col("v") + off(2)).alias("vulnerabilities_found"))
+    return D.baseline_problems(told, deps, vulns)
+
+
 A.view("reported", "SELECT DISTINCT run_id, ecosystem, name, version, 'CVE-2024-' || (run_id % 300) AS reported_id FROM dependencies", "dependencies")
 
 

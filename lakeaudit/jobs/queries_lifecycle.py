@@ -51,6 +51,29 @@ def compare_runs(spark, sf_dir) -> DataFrame:
     return _diff(spark, sf_dir)[2].groupBy("run_id", "observation_run_id", "fingerprint", "diff_status").agg(F.count("*").alias("n"))
 
 
+# Packs that a run held, by its parts; the hashes of a tenth of them go by the line's status.
+_PACKS = "l_orderkey AS run_id, concat('pack', CAST(l_partkey % 7 % 3 AS STRING)) AS pack_id, CASE WHEN l_suppkey % 10 = 0 THEN l_linestatus ELSE 'same' END AS hash"
+A.view("packs", f"SELECT {_PACKS.replace('AS STRING', 'AS VARCHAR')} FROM lineitem")
+
+
+@query("compare_runs_packs", A.oracle("""WITH held AS (SELECT run_id, pack_id, list(DISTINCT hash ORDER BY hash) AS hashes FROM packs GROUP BY ALL), seen AS (SELECT d.run_id, d.observation_run_id, 'pack' || (CAST(substr(rule_id, 6) AS BIGINT) % 3) AS pack_id, diff_status FROM diff d)
+  SELECT s.run_id, s.observation_run_id, s.pack_id, CASE WHEN diff_status = 'resolved' AND NOT coalesce(a.hashes = b.hashes, FALSE) THEN 'notEvaluated' ELSE diff_status END AS diff_status, count(*) AS n FROM seen s LEFT JOIN held a ON a.run_id = s.run_id AND a.pack_id = s.pack_id LEFT JOIN held b ON b.run_id = s.observation_run_id AND b.pack_id = s.pack_id GROUP BY ALL""", "diff", "packs"))
+def compare_runs_packs(spark, sf_dir) -> DataFrame:
+    """As compare_runs, with rules that belong to packs."""
+    packed = A.findings(spark, sf_dir).withColumn("rule_id", F.concat(F.lit("pack"), F.substring("rule_id", 6, 20).cast("long") % 3, F.lit("/"), "rule_id"))
+    diff = L.compare_runs(L.latest_compatible_baseline(A.runs(spark, sf_dir)), packed, _coverage(spark, sf_dir), A.project(spark, sf_dir, "lineitem", _PACKS))
+    return diff.groupBy("run_id", "observation_run_id", F.split("rule_id", "/")[0].alias("pack_id"), "diff_status").agg(F.count("*").alias("n"))
+
+
+@query("refused_pairs", A.oracle("""SELECT * FROM (SELECT p.run_id, p.baseline_run_id, CASE WHEN c.run_id IS NULL OR b.run_id IS NULL THEN 'missing run' WHEN c.status <> 'completed' OR b.status <> 'completed' THEN 'not completed' WHEN c.project_id <> b.project_id THEN 'another project' WHEN NOT b.completed_at < c.started_at THEN 'baseline not prior' WHEN NOT list_has_any(c.families, b.families) THEN 'no family in common' END AS problem
+  FROM (SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey ELSE o_orderkey + 1 END AS baseline_run_id FROM orders UNION ALL SELECT run_id, baseline_run_id FROM pairs) p LEFT JOIN runs c ON c.run_id = p.run_id LEFT JOIN runs b ON b.run_id = p.baseline_run_id) WHERE problem IS NOT NULL""", "runs", "pairs"))
+def refused_pairs(spark, sf_dir) -> DataFrame:
+    """Each run asked against itself or the next one, and against its baseline."""
+    runs = A.runs(spark, sf_dir)
+    asked = A.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS run_id", "CASE WHEN o_custkey % 3 = 0 THEN o_orderkey ELSE o_orderkey + 1 END AS baseline_run_id")
+    return L.refused_pairs(asked.unionByName(L.latest_compatible_baseline(runs)), runs)
+
+
 @query("run_history", A.oracle("""SELECT run_id, project_id, baseline_run_id, CASE WHEN status = 'completed' THEN coalesce(total, 0) ELSE 0 END AS total, CASE WHEN status = 'completed' THEN coalesce(new, 0) ELSE 0 END AS new, CASE WHEN status = 'completed' THEN coalesce(resolved, 0) ELSE 0 END AS resolved,
   CASE WHEN status = 'completed' THEN coalesce(critical, 0) ELSE 0 END AS critical, CASE WHEN status = 'completed' THEN coalesce(high, 0) ELSE 0 END AS high FROM runs LEFT JOIN (SELECT run_id, count(*) FILTER (diff_status IN ('new', 'unchanged')) AS total, count(*) FILTER (diff_status = 'new') AS new, count(*) FILTER (diff_status = 'resolved') AS resolved,
   count(*) FILTER (diff_status IN ('new', 'unchanged') AND severity = 'critical') AS critical, count(*) FILTER (diff_status IN ('new', 'unchanged') AND severity = 'high') AS high FROM diff GROUP BY run_id) USING (run_id) LEFT JOIN pairs USING (run_id)""", "diff", "runs"))

@@ -86,6 +86,19 @@ def dependency_paths(spark, sf_dir) -> DataFrame:
     return Q.dependency_paths(edges, roots, A.cut, max_paths=1_000_000).select("project", "node", "depth", F.array_join(F.col("chain").cast("array<string>"), "/").alias("chain"))
 
 
+@query("path_status", A.oracle("""WITH first AS (SELECT project, min(parent) AS root FROM dep_edges GROUP BY ALL), walk AS (SELECT project, CAST(root AS BIGINT) AS node, 0 AS depth FROM first WHERE project % 7 <> 0 UNION ALL SELECT w.project, CAST(e.child AS BIGINT), w.depth + 1 FROM walk w JOIN dep_edges e ON e.project = w.project AND e.parent = w.node WHERE w.depth < 4),
+  have AS (SELECT project, node, count(*) AS paths FROM walk GROUP BY ALL), deep AS (SELECT DISTINCT w.project FROM walk w JOIN dep_edges e ON e.project = w.project AND e.parent = w.node WHERE w.depth = 4), nodes AS (SELECT project, parent AS node FROM dep_edges UNION SELECT project, child FROM dep_edges)
+  SELECT n.project, n.node, n.node = 3 AS own, coalesce(paths, 0) AS paths, CASE WHEN d.project IS NOT NULL THEN 'depth' END AS gap, CASE WHEN n.project % 7 = 0 THEN 'unavailable' WHEN paths > 0 AND d.project IS NOT NULL THEN 'partial' WHEN paths > 0 OR n.node = 3 THEN 'available' ELSE 'partial' END AS status
+  FROM nodes n LEFT JOIN have h ON h.project = n.project AND h.node = n.node LEFT JOIN deep d ON d.project = n.project""", "dep_edges").replace("WITH dep_edges", "WITH RECURSIVE dep_edges", 1))
+def path_status(spark, sf_dir) -> DataFrame:
+    """The graphs of dependency_paths to a depth of 4; one order in seven has no roots."""
+    edges = A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS project", "bigint(l_linenumber) AS parent", "l_linenumber + 1 + l_partkey % 2 AS child").distinct()
+    roots = edges.groupBy("project").agg(F.min("parent").alias("node")).where("project % 7 <> 0")
+    nodes = edges.select("project", F.col("parent").alias("node")).unionByName(edges.select("project", F.col("child").alias("node"))).distinct().withColumn("own", F.col("node") == 3)
+    paths = Q.dependency_paths(edges, roots, A.cut, max_depth=4, max_paths=1_000_000)
+    return Q.path_status(nodes, edges, roots, paths, max_depth=4, max_paths=1_000_000)
+
+
 TEMPLATES = [
     M.Template("has-article", (M.Matcher("word", ("<article>",)), M.Matcher("word", ('class="ad"',), negative=True)), "info"),
     M.Template("french-page", (M.Matcher("regex", (r'lang="fr"',)), M.Matcher("word", ("<h1>", "<nav>"), every=True), M.Matcher("size", (1,), negative=True, internal=True)), "low", every=True),

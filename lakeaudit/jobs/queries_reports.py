@@ -61,6 +61,16 @@ def code_quality(spark, sf_dir) -> DataFrame:
     return R.code_quality(A.findings(spark, sf_dir))
 
 
+@query("code_quality_advisories", A.oracle("SELECT sha256('advisory' || chr(0) || advisory_id || chr(0) || v.ecosystem || chr(0) || v.name || chr(0) || v.version || chr(0) || v.lockfile || chr(0)) AS fingerprint, CASE v.severity WHEN 'critical' THEN 'blocker' WHEN 'high' THEN 'critical' WHEN 'medium' THEN 'major' WHEN 'low' THEN 'minor' ELSE 'info' END AS severity, lockfile AS path, 1 AS line, advisory_id AS check_name FROM (SELECT DISTINCT d.ecosystem, d.name, d.version, lockfile, advisory_id, severity FROM dependencies d JOIN matched m USING (ecosystem, name, version) JOIN advisories ON id = advisory_id) v WHERE lockfile <> 'lock0'", "dependencies", "matched"))
+def code_quality_advisories(spark, sf_dir) -> DataFrame:
+    """The open advisories of each lockfile; those of the first lockfile are dismissed."""
+    sites = A.dependencies(spark, sf_dir).select("ecosystem", "name", "version", "lockfile").distinct()
+    severity = A.advisories(spark, sf_dir).select(F.col("id").alias("advisory_id"), "severity")
+    vulns = sites.join(QA._matches(spark, sf_dir), ["ecosystem", "name", "version"]).join(severity, "advisory_id")
+    return R.code_quality_advisories(vulns, F.col("lockfile") == "lock0")
+
+
+
 def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The rows that a stream gives until its input ends, by way of the shared folder: none pass through the driver."""
     spark, folder, batches = stream.sparkSession, f"{A.shared_folder(stream.sparkSession)}/drained-{uuid.uuid4().hex}", []

@@ -133,9 +133,58 @@ def enrich_cwe(findings: DataFrame, kev: DataFrame) -> DataFrame:
     return findings.join(per, "cwe", "left").withColumn("exploited_cves", F.coalesce("exploited_cves", F.lit(0))).withColumn("exploited", F.col("exploited_cves") > 0)
 
 
-def usage_index(corpus: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """ecosystem, project_id, name, files, first_path: packages whose imports a pattern (group 1 by ecosystem) finds."""
-    found = F.concat(*(F.transform(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(1))), _named(e)) for e, p in patterns.items()))
+#: The ecosystems whose imports name packages, and words of their languages that name none.
+MAPPED = ["npm", "PyPI", "crates.io", "Go", "RubyGems", "Packagist"]
+_NO_MODULE = ["stdlib", "toolchain"]  # of Go: imported by path, or not at all
+_NO_CRATE = ["crate", "self", "super"]
+
+
+def canonical_name(ecosystem: Column, name: Column) -> Column:
+    """A package's name as imports spell it; null where the ecosystem's imports name no packages."""
+    low = F.lower(name)
+    spelt = F.when(ecosystem == "npm", low).when(ecosystem.isin("PyPI", "crates.io", "RubyGems"), F.translate(low, "-", "_"))
+    return spelt.when(ecosystem == "Go", name).when(ecosystem == "Packagist", F.translate(low, "/", "\\"))
+
+
+def canonical_names(ecosystem: Column, name: Column) -> Column:
+    """The spellings by which a package can be imported, the full one first: ``vendor/vendor`` of Packagist owns the bare vendor, too."""
+    full = canonical_name(ecosystem, name)
+    parts = F.split(full, r"\\", 2)
+    twin = (ecosystem == "Packagist") & (F.size(parts) == 2) & (F.get(parts, F.lit(0)) == F.get(parts, F.lit(1)))
+    return F.when(full.isNotNull(), F.when(twin, F.array(full, F.get(parts, F.lit(0)))).otherwise(F.array(full)))
+
+
+def _found(content: Column, *patterns: str) -> Column:
+    return F.flatten(F.array(*(F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns)))
+
+
+def _leading(paths: Column, separator: str) -> Column:
+    """Every path and every part of it that ends before a separator: a module is imported as itself or by what is under it."""
+    parts = lambda p: F.split(p, "\\Q" + separator + "\\E")
+    return F.flatten(F.transform(paths, lambda p: F.transform(F.sequence(F.lit(1), F.size(parts(p))), lambda n: F.array_join(F.slice(parts(p), F.lit(1), n), separator))))
+
+
+def import_names(content: Column) -> dict[str, Column]:
+    """Per mapped ecosystem, the canonical names (an array) that a source's imports may mean. Relative imports name none."""
+    quoted = lambda words: rf"\b{words}[\"']([^\"']+)[\"']"
+    modules = F.filter(_found(content, quoted(r"(?:from|import|require)\s+"), quoted(r"(?:import|require)\s*\(\s*")), lambda m: ~m.rlike("^[./]"))
+    npm = F.transform(modules, lambda m: F.lower(F.regexp_extract(m, "^(@[^/]+/[^/]+|[^@/][^/]*)", 1)))
+    under = lambda names: F.transform(names, lambda n: F.translate(F.lower(n), "-", "_"))
+    blocks = F.transform(_found(content, r"(?s)\bimport\s*\(([^)]*)\)"), lambda b: F.regexp_extract_all(b, F.lit('"([^"]+)"'), F.lit(1)))
+    return {
+        "npm": npm, "PyPI": under(_found(content, r"(?m)^\s*import\s+(\w+)", r"(?m)^\s*from\s+(\w+)[\w.]*\s+import")), "crates.io": F.array_except(under(_found(content, r"(?m)^\s*(?:use|extern\s+crate)\s+([a-zA-Z_]\w*)")), F.array(*map(F.lit, _NO_CRATE))),
+        "Go": _leading(F.concat(_found(content, r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"]+)"'), F.flatten(blocks)), "/"), "RubyGems": under(F.transform(_found(content, quoted(r"(?:require|gem)\s+")), lambda g: F.split(g, "/")[0])),
+        "Packagist": _leading(F.transform(_found(content, r"\buse\s+\\?([A-Za-z_][\w\\]*)\s*;"), F.lower), "\\"),
+    }
+
+
+def usage_index(corpus: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """ecosystem, project_id, name, files, first_path: packages that sources import, by canonical name.
+
+    Imports are those of the mapped ecosystems' languages, or what patterns (group 1 by ecosystem) find.
+    """
+    names = import_names(F.col("content")) if patterns is None else {e: F.regexp_extract_all("content", F.lit(p), F.lit(1)) for e, p in patterns.items()}
+    found = F.concat(*(F.transform(F.array_distinct(F.filter(own, lambda n: n != "")), _named(e)) for e, own in names.items()))
     refs = corpus.select("project_id", "path", F.explode(found).alias("x")).select("project_id", "path", "x.*")
     return refs.groupBy("ecosystem", "project_id", "name").agg(F.countDistinct("path").alias("files"), F.min("path").alias("first_path"))
 
@@ -144,16 +193,23 @@ def _named(ecosystem: str):
     return lambda name: F.struct(F.lit(ecosystem).alias("ecosystem"), name.alias("name"))
 
 
-def direct_usage(vulns: DataFrame, usage: DataFrame, mapped: list[str], incomplete: DataFrame | None = None) -> DataFrame:
-    """vulns with used: true, false, or null where imports of the ecosystem aren't mapped or the project's index is incomplete."""
-    x = vulns.join(usage, ["ecosystem", "project_id", "name"], "left")
-    known = F.col("ecosystem").isin(*mapped)
+def direct_usage(vulns: DataFrame, usage: DataFrame, mapped: list[str] | None = None, incomplete: DataFrame | None = None) -> DataFrame:
+    """vulns with files, first_path and used: true, false, or null where it can't be told.
+
+    That is where imports of the ecosystem aren't mapped, for Go's standard library and toolchain, and where nothing is
+    found in a project whose index is incomplete. usage holds canonical names; a package's first spelling that has a use counts.
+    """
+    told = F.when(~((F.col("ecosystem") == "Go") & F.col("name").isin(*_NO_MODULE)), canonical_names(F.col("ecosystem"), F.col("name")))
+    x = vulns.withColumn("_names", told)
+    for i in (0, 1):
+        own = usage.select("ecosystem", "project_id", F.col("name").alias(f"_k{i}"), F.struct("files", "first_path").alias(f"_u{i}"))
+        x = x.withColumn(f"_k{i}", F.get("_names", F.lit(i))).join(own, ["ecosystem", "project_id", f"_k{i}"], "left")
+    x = x.withColumn("_u", F.coalesce("_u0", "_u1")).withColumns({"files": F.col("_u.files"), "first_path": F.col("_u.first_path")})
+    known = F.col("ecosystem").isin(*(mapped or MAPPED)) & F.col("_names").isNotNull()
     if incomplete is not None:
         x = x.join(incomplete.select("project_id", F.lit(True).alias("_part")).distinct(), "project_id", "left")
         known &= F.col("_part").isNull() | F.col("files").isNotNull()
-        x = x.withColumn("used", F.when(known, F.col("files").isNotNull())).drop("_part")
-        return x
-    return x.withColumn("used", F.when(known, F.col("files").isNotNull()))
+    return x.withColumn("used", F.when(known, F.col("files").isNotNull())).drop("_names", "_k0", "_k1", "_u0", "_u1", "_u", "_part")
 
 
 def referenced_functions(functions: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -190,8 +246,33 @@ def advisory_decision(vulns: DataFrame, entries: DataFrame, now: Column) -> Data
     return vulns.join(won, [*TRIPLE, "advisory_id"], "left")
 
 
+def baseline_problems(summaries: DataFrame, deps: DataFrame, vulns: DataFrame) -> DataFrame:
+    """baseline_id, problem: baselines that aren't whole, with the first reason.
+
+    summaries: baseline_id, schema_version, kind, advisory_coverage, packages_found, packages_queried, vulnerabilities_found.
+    deps and vulns: baseline_id, triple, lockfile, and advisory_id of vulns. Counts must agree with the rows, names be there,
+    and every advisory name a row of the inventory.
+    """
+    keys = [*TRIPLE, "lockfile"]
+    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    any_blank = lambda cols: F.greatest(*(blank(c).cast("int") for c in cols))
+    local = F.coalesce("local_workspace", F.lit(False)) & F.col("ecosystem").isin("Go", "npm")  # workspace members may have no version
+    per = deps.groupBy("baseline_id").agg(F.count("*").alias("n_deps"), F.max(F.greatest(any_blank(["ecosystem", "name", "lockfile"]), (blank("version") & ~local).cast("int"))).alias("unnamed"))
+    asked = queryable(deps).select("baseline_id", *TRIPLE).distinct().groupBy("baseline_id").agg(F.count("*").alias("n_asked"))
+    inventory = deps.select("baseline_id", *keys, F.lit(False).alias("_out")).distinct()
+    found = vulns.join(inventory, ["baseline_id", *keys], "left").groupBy("baseline_id").agg(F.count("*").alias("n_vulns"), F.max(F.greatest(any_blank([*keys, "advisory_id"]), F.coalesce("_out", F.lit(True)).cast("int"))).alias("outside"))
+    x = summaries.join(per, "baseline_id", "left").join(asked, "baseline_id", "left").join(found, "baseline_id", "left").fillna(0, ["n_deps", "unnamed", "n_asked", "n_vulns", "outside"])
+    whole = (F.col("schema_version") == 1) & (F.col("kind") == "dependencies") & (F.col("advisory_coverage") == "complete")
+    differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    tests = [
+        ("not a complete report", ~F.coalesce(whole, F.lit(False))), ("counts disagree", differs("packages_found", "n_deps") | differs("vulnerabilities_found", "n_vulns")), ("query counts disagree", differs("packages_queried", "n_asked")),
+        ("unnamed inventory row", F.col("unnamed") > 0), ("advisory outside the inventory", F.col("outside") > 0),
+    ]
+    return x.select("baseline_id", F.coalesce(*(F.when(test, name) for name, test in tests)).alias("problem")).where(F.col("problem").isNotNull())
+
+
 def new_advisories_vs_baseline(vulns: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Advisories of a package version that the baseline doesn't have, wherever it is locked."""
+    """Advisories of a package version that the baseline doesn't have, wherever it is locked. A baseline with baseline_problems is none."""
     keys = [*TRIPLE, "advisory_id"]
     return vulns.select(*keys).distinct().join(baseline.select(*keys), keys, "left_anti")
 

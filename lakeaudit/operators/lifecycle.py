@@ -39,12 +39,31 @@ def latest_compatible_baseline(runs: DataFrame) -> DataFrame:
     return met.groupBy("run_id").agg(F.max("last").alias("x")).select("run_id", F.col("x.run_id").alias("baseline_run_id"))
 
 
-def compare_runs(pairs: DataFrame, findings: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Each pair's (run_id, baseline_run_id) findings with diff_status.
+def refused_pairs(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """run_id, baseline_run_id, problem: pairs that may not be compared, with the first reason.
+
+    A side is missing, a side isn't completed, another project, another fingerprint version, a baseline that hadn't finished
+    before the run started, no scanner family in common.
+    """
+    side = lambda prefix, run: runs.select(F.col("run_id").alias(run), F.struct("project_id", "fingerprint_version", "started_at", "completed_at", "status", "families").alias(prefix))
+    x = pairs.select("run_id", "baseline_run_id").join(side("c", "run_id"), "run_id", "left").join(side("b", "baseline_run_id"), "baseline_run_id", "left")
+    open_ = lambda k: (F.col(f"{k}.status") != "completed") | F.col(f"{k}.completed_at").isNull()
+    tests = [
+        ("missing run", F.col("c").isNull() | F.col("b").isNull()), ("not completed", open_("c") | open_("b")), ("another project", ~F.col("c.project_id").eqNullSafe(F.col("b.project_id"))),
+        ("another fingerprint version", ~F.col("c.fingerprint_version").eqNullSafe(F.col("b.fingerprint_version"))), ("baseline not prior", ~F.coalesce(F.col("b.completed_at") < F.col("c.started_at"), F.lit(False))),
+        ("no family in common", ~F.coalesce(F.arrays_overlap("c.families", "b.families"), F.lit(False))),
+    ]
+    problem = F.coalesce(*(F.when(test, name) for name, test in tests))
+    return x.select("run_id", "baseline_run_id", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def compare_runs(pairs: DataFrame, findings: DataFrame, coverage: DataFrame, packs: DataFrame | None = None) -> DataFrame:
+    """Each pair's (run_id, baseline_run_id) findings with diff_status. Leave refused_pairs out of pairs.
 
     new: not in the baseline. unchanged: in both. A baseline finding that is gone is resolved where the run covered its
-    path and family, else notEvaluated. coverage: run_id, path, family. Rows: run_id, observation_run_id, key, rule_id,
-    severity, category, path, diff_status.
+    path and family, else notEvaluated. coverage: run_id, path, family. A rule id of a pack is ``pack/rule``: its finding is
+    resolved only if both runs held the pack with the same hashes. packs: run_id, pack_id, hash; without packs none is held.
+    Rows: run_id, observation_run_id, key, rule_id, severity, category, path, diff_status.
     """
     payload = ["rule_id", "severity", "category", "path"]
     own = findings.select("run_id", *KEY, *payload)
@@ -54,7 +73,13 @@ def compare_runs(pairs: DataFrame, findings: DataFrame, coverage: DataFrame) ->
     gone = pairs.join(own.withColumnRenamed("run_id", "baseline_run_id"), "baseline_run_id").join(findings.select("run_id", *KEY), ["run_id", *KEY], "left_anti")
     seen = coverage.select("run_id", "path", F.col("family").alias("category"), F.lit(True).alias("covered")).distinct()
     gone = gone.join(seen, ["run_id", "path", "category"], "left")
-    gone = gone.select("run_id", F.col("baseline_run_id").alias("observation_run_id"), *KEY, *payload, F.when(F.col("covered"), "resolved").otherwise("notEvaluated").alias("diff_status"))
+    in_pack, same = F.contains("rule_id", F.lit("/")), F.lit(False)
+    if packs is not None:
+        held = packs.groupBy("run_id", "pack_id").agg(F.array_sort(F.collect_set("hash")).alias("hashes"))
+        gone = gone.withColumn("pack_id", F.when(in_pack, F.split("rule_id", "/")[0])).join(held.withColumnRenamed("hashes", "_now"), ["run_id", "pack_id"], "left").join(held.select(F.col("run_id").alias("baseline_run_id"), "pack_id", F.col("hashes").alias("_then")), ["baseline_run_id", "pack_id"], "left")
+        same = F.coalesce((F.size("_now") > 0) & (F.col("_now") == F.col("_then")), F.lit(False))
+    resolved = F.coalesce("covered", F.lit(False)) & (~in_pack | same)
+    gone = gone.select("run_id", F.col("baseline_run_id").alias("observation_run_id"), *KEY, *payload, F.when(resolved, "resolved").otherwise("notEvaluated").alias("diff_status"))
     return current.unionByName(gone)
 
 

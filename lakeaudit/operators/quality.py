@@ -115,3 +115,26 @@ def dependency_paths(edges: DataFrame, roots: DataFrame, checkpoint, max_depth:
             found = checkpoint(found)
         frontier = step
     return found
+
+
+def path_status(nodes: DataFrame, edges: DataFrame, roots: DataFrame, paths: DataFrame, max_depth: int = 64, max_paths: int = 32) -> DataFrame:
+    """nodes with paths (their number), gap and status, from what dependency_paths found with the same limits.
+
+    unavailable: the project has no roots. partial: no root reaches the node, or something of its project was cut, as gap
+    says (cycle, depth or paths), so that more chains may exist. available: it has chains and nothing was cut, or it is the
+    project's own code (column own), which needs none.
+
+    Every chain found is extended once by its node's edges, so a project's cut ones are counted by one join.
+    """
+    reached = roots.select("project", "node").distinct()
+    further = paths.join(edges.select("project", F.col("parent").alias("node"), "child"), ["project", "node"])
+    back = F.array_contains("chain", F.col("child"))
+    cuts = further.groupBy("project").agg(F.bool_or(back).alias("cycle"), F.bool_or(~back & (F.col("depth") >= max_depth)).alias("deep"))
+    offered = further.where(~back & (F.col("depth") < max_depth)).select("project", F.col("child").alias("node")).unionByName(reached).groupBy("project", "node").agg(F.count("*").alias("n"))
+    many = offered.groupBy("project").agg((F.max("n") > max_paths).alias("many"))
+    gap = F.when(F.col("cycle"), "cycle").when(F.col("deep"), "depth").when(F.col("many"), "paths")
+    have = paths.groupBy("project", "node").agg(F.count("*").alias("paths"))
+    rooted = roots.select("project", F.lit(True).alias("rooted")).distinct()
+    x = nodes.join(have, ["project", "node"], "left").join(rooted, "project", "left").join(cuts, "project", "left").join(many, "project", "left").fillna(0, ["paths"])
+    status = F.when(F.col("rooted").isNull(), "unavailable").when(F.col("paths") > 0, F.when(gap.isNull(), "available").otherwise("partial")).when(F.col("own"), "available").otherwise("partial")
+    return x.select(*nodes.columns, "paths", gap.alias("gap"), status.alias("status"))

@@ -92,8 +92,24 @@ def write_ticket_csv(findings: DataFrame, kind: str, path: str) -> None:
         raise ValueError("a finding has no row")
 
 
-def code_quality(findings: DataFrame) -> DataFrame:
-    """fingerprint, severity, path, line, check_name of code-quality entries; the id hashes its parts, each ended by a zero byte."""
-    level = _map("severity", {"critical": "blocker", "high": "critical", "medium": "major", "low": "minor"}, "info")
-    parts = [F.concat(c.cast("string"), F.lit("\x00")) for c in (F.col("rule_id"), F.col("path"), F.col("line"), F.col("fingerprint"))]
-    return findings.select(F.sha2(F.concat(*parts), 256).alias("fingerprint"), level.alias("severity"), "path", F.greatest(F.lit(1), F.col("line")).cast("long").alias("line"), F.col("rule_id").alias("check_name"))
+#: Grades of code-quality reports by severity; others are info.
+_GRADES = {"critical": "blocker", "high": "critical", "medium": "major", "low": "minor"}
+
+
+def _quality_id(*parts: Column) -> Column:
+    """The hash of an entry's parts, each ended by a zero byte; a part that is null is empty."""
+    return F.sha2(F.concat(*(F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit("\x00")) for c in parts)), 256)
+
+
+def code_quality(findings: DataFrame, dismissed: Column | None = None) -> DataFrame:
+    """fingerprint, severity, path, line, check_name of code-quality entries. Dismissed findings are left out, as the format has no state for them."""
+    shown = findings if dismissed is None else findings.where(~F.coalesce(dismissed, F.lit(False)))
+    ident = _quality_id(F.col("rule_id"), F.col("path"), F.col("line"), F.col("fingerprint"))
+    return shown.select(ident.alias("fingerprint"), _map("severity", _GRADES, "info").alias("severity"), "path", F.greatest(F.lit(1), F.col("line")).cast("long").alias("line"), F.col("rule_id").alias("check_name"))
+
+
+def code_quality_advisories(vulns: DataFrame, dismissed: Column) -> DataFrame:
+    """The same entries for open advisories, on the first line of their lockfile. vulns: triple, lockfile, advisory_id, severity."""
+    ident = _quality_id(F.lit("advisory"), F.col("advisory_id"), F.col("ecosystem"), F.col("name"), F.col("version"), F.col("lockfile"))
+    shown = vulns.where(~F.coalesce(dismissed, F.lit(False)))
+    return shown.select(ident.alias("fingerprint"), _map("severity", _GRADES, "info").alias("severity"), F.col("lockfile").alias("path"), F.lit(1).cast("long").alias("line"), F.col("advisory_id").alias("check_name"))

@@ -70,6 +70,9 @@ def cve_ids(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_exploit_index(spark: SparkSession, path: str) -> DataFrame:
+    """The CVE ids of an index. One without a header is an error: no ids would read as no exploits."""
+    if not spark.read.option("header", "true").csv(path).columns:
+        raise ValueError(f"{path}: no header")
     return cve_ids(spark.read.text(path))
 
 

@@ -1,5 +1,6 @@
 """Rules that the registered queries' data doesn't reach: paths, entropies, licences, ranges, readers, writers, streams."""
 
+import datetime
 import hashlib
 import json
 import os
@@ -12,6 +13,7 @@ from lakeaudit.functions import licenses as N
 from lakeaudit.functions import text as T
 from lakeaudit.functions import versions as V
 from lakeaudit.operators import advisories as D
+from lakeaudit.operators import composition as C
 from lakeaudit.operators import lifecycle as L
 from lakeaudit.operators import quality as Q
 from lakeaudit.operators import scan as S
@@ -98,6 +100,63 @@ def test_compare_runs_needs_coverage(spark):
     assert {r.fingerprint: r.diff_status for r in L.compare_runs(pairs, f, cov).collect()} == {"a": "unchanged", "d": "new", "b": "resolved", "c": "notEvaluated"}
 
 
+def test_pack_findings_need_equal_hashes(spark):
+    f = spark.createDataFrame([(1, 1, x, f"{x}/r" if x != "plain" else "r", "low", "source", "x.py") for x in ("same", "changed", "lost", "plain")], "run_id long, fingerprint_version int, fingerprint string, rule_id string, severity string, category string, path string")
+    pairs, cov = spark.createDataFrame([(2, 1)], "run_id long, baseline_run_id long"), spark.createDataFrame([(2, "x.py", "source")], "run_id long, path string, family string")
+    packs = spark.createDataFrame([(1, "same", "h"), (2, "same", "h"), (1, "changed", "h"), (2, "changed", "i"), (1, "lost", "h")], "run_id long, pack_id string, hash string")
+    got = lambda *more: {r.fingerprint: r.diff_status for r in L.compare_runs(pairs, f, cov, *more).collect()}
+    assert got(packs) == {"same": "resolved", "changed": "notEvaluated", "lost": "notEvaluated", "plain": "resolved"}
+    assert {k for k, v in got().items() if v == "resolved"} == {"plain"}
+
+
+def test_policy_levels_and_entries(spark):
+    t = lambda days: datetime.datetime(2024, 1, 1) - datetime.timedelta(days=days)
+    rows = [("old", "1", t(100), t(10), "1"), ("young", "1", t(99), t(10), "1"), ("stale", "1", t(50), t(60), "1"), ("ahead", "1", t(-5), t(10), "1"), ("silent", "1", None, None, None), ("named", "1", None, None, "1"), ("named", "2", None, None, "1")]
+    c = spark.createDataFrame([("p", "npm", *r) for r in rows], "project_id string, ecosystem string, name string, version string, published_at timestamp, newest_at timestamp, default_version string")
+    c = c.select("*", F.lit("allow").alias("license_action"), F.lit(None).cast("int").alias("worst_rank"), F.lit(None).cast("boolean").alias("deprecated"), F.lit(None).cast("int").alias("majors_behind"))
+    entries = spark.createDataFrame([(1, "npm", "named", "rejected", None, "1"), (2, "npm", "named", "approved", None, "2"), (3, "npm", "old", "rejected", None, None), (4, "npm", "old", "approved", None, None)], "position long, ecosystem string, package string, decision string, expires_at timestamp, version string")
+    policy = C.Policy(max_age_days=(None, 100), stale_after_days=(60, None), unknown_release="warn")
+    got = {(r.name, r.version, r.rule, r.action, r.waived) for r in C.evaluate_policy(c, policy, entries, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert got == {("old", "1", "operational.maxAgeDays", "deny", True), ("stale", "1", "operational.staleAfterDays", "warn", False), ("silent", "1", "operational.unknown", "warn", False), ("named", "1", "components.rejected", "deny", False)}
+
+
+def test_imports_and_usage(spark):
+    sources = {
+        "a.js": 'import e from "express"; const l = require("Lodash/sub"); import("next"); import "@s/pad/x"; import r from "./local"', "b.py": "import requests_cache.x\nfrom django.conf import settings\nfrom . import own", "c.rs": "use tokio_util::codec;\nuse crate::x;\nextern crate serde;",
+        "d.go": 'import "net/http"\nimport (\n\tg "github.com/gin-gonic/gin/v2/binding"\n)', "e.rb": 'require "active_support/all"\ngem "rack-test"', "f.php": "use Illuminate\\Support\\Log;\nuse Monolog\\Logger;",
+    }
+    index = D.usage_index(spark.createDataFrame([("p", k, v) for k, v in sources.items()], "project_id string, path string, content string"))
+    want = {
+        ("npm", "express"): True, ("npm", "lodash"): True, ("npm", "next"): True, ("npm", "@s/pad"): True, ("npm", "local"): False, ("PyPI", "Requests-Cache"): True, ("PyPI", "django"): True, ("PyPI", "own"): False, ("crates.io", "tokio-util"): True, ("crates.io", "serde"): True, ("crates.io", "crate"): False,
+        ("Go", "github.com/gin-gonic/gin"): True, ("Go", "github.com/gin-gonic/gin/v2"): True, ("Go", "github.com/gin"): False, ("Go", "stdlib"): None, ("Go", "toolchain"): None, ("RubyGems", "active-support"): True, ("RubyGems", "rack_test"): True, ("Packagist", "illuminate/support"): True,
+        ("Packagist", "monolog/monolog"): True, ("Packagist", "illuminate/illuminate"): True, ("Packagist", "illuminate/http"): False, ("Maven", "a:b"): None, ("npm", None): None,
+    }
+    asked = spark.createDataFrame([(e, "p", n) for e, n in want], "ecosystem string, project_id string, name string")
+    assert {(r.ecosystem, r.name): r.used for r in D.direct_usage(asked, index).collect()} == want
+    part = spark.createDataFrame([("p",)], "project_id string")
+    assert {(r.ecosystem, r.name): r.used for r in D.direct_usage(asked, index, incomplete=part).collect()} == {k: v or None for k, v in want.items()}
+
+
+def test_path_status_says_what_was_cut(spark):
+    edges = [("cyc", "a", "b"), ("cyc", "b", "a"), ("ok", "a", "b"), ("none", "a", "b"), ("deep", "a", "b"), ("deep", "b", "c"), ("deep", "c", "d"), *(("many", x, y) for x, y in ("ab", "ac", "ad", "be", "ce", "de"))]
+    e = spark.createDataFrame(edges, "project string, parent string, child string")
+    roots = spark.createDataFrame([(p, "a") for p in ("cyc", "ok", "deep", "many")], "project string, node string")
+    nodes = spark.createDataFrame(sorted({(p, n, n == "x") for p, *two in edges for n in two} | {("ok", "x", True), ("ok", "y", False)}), "project string, node string, own boolean")
+    paths = Q.dependency_paths(e, roots, lambda d: d, max_depth=2, max_paths=2)
+    got = {(r.project, r.node): (r.status, r.gap) for r in Q.path_status(nodes, e, roots, paths, max_depth=2, max_paths=2).collect()}
+    assert got["ok", "b"] == ("available", None) and got["ok", "x"] == ("available", None) and got["ok", "y"] == ("partial", None) and got["none", "b"] == ("unavailable", None)
+    assert got["cyc", "b"] == ("partial", "cycle") and got["deep", "c"] == ("partial", "depth") and got["deep", "d"] == ("partial", "depth") and got["many", "e"] == ("partial", "paths")
+
+
+def test_dismissed_entries_are_left_out(spark):
+    f = spark.createDataFrame([("r", "x.py", 0, "high", "f1", True), ("r", "x.py", 5, "odd", "f2", False), ("r", "x.py", 5, "low", None, None)], "rule_id string, path string, line int, severity string, fingerprint string, gone boolean")
+    got = {(r.severity, r.line) for r in R.code_quality(f, F.col("gone")).collect()}
+    assert got == {("info", 5), ("minor", 5)} and R.code_quality(f).where("line = 1").count() == 1
+    v = spark.createDataFrame([("npm", "x", "1", "l.json", "A-1", "high", False), ("npm", "x", "1", "l.json", "A-2", "high", True)], "ecosystem string, name string, version string, lockfile string, advisory_id string, severity string, gone boolean")
+    got = R.code_quality_advisories(v, F.col("gone")).collect()
+    assert [(r.check_name, r.fingerprint) for r in got] == [("A-1", hashlib.sha256(b"".join(x.encode() + b"\0" for x in ("advisory", "A-1", "npm", "x", "1", "l.json"))).hexdigest())]
+
+
 def test_paths_stop_at_cycles(spark):
     e = spark.createDataFrame([("p", "a", "b"), ("p", "b", "a"), ("p", "b", "c"), ("p", "a", "c")], "project string, parent string, child string")
     got = {(r.node, "/".join(r.chain)) for r in Q.dependency_paths(e, spark.createDataFrame([("p", "a")], "project string, node string"), lambda d: d).collect()}
@@ -232,6 +291,9 @@ def test_readers(spark, tmp_path):
     assert [(r.cve, r.epss, r.epss_percentile) for r in readers.read_epss(spark, str(tmp_path / "epss.json")).collect()] == [("CVE-1", 0.5, 0.0)]
     (tmp_path / "x.csv").write_text("id,file,codes\n1,a,CVE-2021-1234;CVE-2021-99999\n2,cve-2021-1234,\n")
     assert {r.cve for r in readers.read_exploit_index(spark, str(tmp_path / "x.csv")).collect()} == {"CVE-2021-1234", "CVE-2021-99999"}
+    (tmp_path / "none.csv").write_text("")
+    with pytest.raises(ValueError):
+        readers.read_exploit_index(spark, str(tmp_path / "none.csv"))
 
 
 def test_lockfiles_and_packages(spark):
