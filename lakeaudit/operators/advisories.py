@@ -213,8 +213,13 @@ def direct_usage(vulns: DataFrame, usage: DataFrame, mapped: list[str] | None =
 
 
 def referenced_functions(functions: DataFrame, corpus: DataFrame) -> DataFrame:
-    """project_id, function: affected functions (project_id, function) that occur literally in the project's sources."""
-    return functions.join(corpus.select("project_id", "content"), "project_id").where(F.contains("content", F.col("function"))).select("project_id", "function").distinct()
+    """project_id, function: affected functions (project_id, function) that occur literally in the project's sources; blank ones don't.
+
+    A source meets its project's functions in one row, so contents aren't repeated for each function.
+    """
+    wanted = functions.withColumn("function", F.trim("function")).where(F.col("function") != "").groupBy("project_id").agg(F.collect_set("function").alias("wanted"))
+    met = corpus.select("project_id", "content").join(wanted, "project_id")
+    return met.select("project_id", F.explode(F.filter("wanted", lambda f: F.contains("content", f))).alias("function")).distinct()
 
 
 def vex_suggestions(claims: DataFrame, grants: DataFrame, vulns: DataFrame) -> DataFrame:

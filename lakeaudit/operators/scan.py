@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeaudit.functions import text as T
+from lakeaudit.functions.session import cut
 
 
 @dataclass(frozen=True)
@@ -253,12 +254,21 @@ def cap_per_file(hits: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 
 def apply_budget(blobs: DataFrame, project: str, order: list[str], size: str, max_blobs: int, max_bytes: int) -> DataFrame:
-    """blobs in order, as far as neither their number nor their bytes pass the budget; truncated tells whether some were left out."""
-    w = Window.partitionBy(project).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = blobs.withColumn("nth", F.count("*").over(w)).withColumn("bytes", F.sum(size).over(w))
-    inside = (F.col("nth") <= max_blobs) & (F.col("bytes") <= max_bytes)
-    x = x.withColumn("inside", inside).withColumn("truncated", F.max((~F.col("inside")).cast("int")).over(Window.partitionBy(project)) == 1)
-    return x.where("inside").drop("inside", "nth")
+    """blobs in order, as far as neither their number nor their bytes pass the budget; truncated tells whether some were left out.
+
+    Rows are dealt by ranges of (project, order) and written, so a large project lies in many tasks: each range's totals give
+    the next one its offset, and a window runs inside a range.
+    """
+    x = cut(blobs.repartitionByRange(project, *order).withColumn("_part", F.spark_partition_id()))
+    totals = x.groupBy(project, "_part").agg(F.count("*").alias("_n"), F.coalesce(F.sum(size), F.lit(0)).alias("_b"))
+    before = Window.partitionBy(project).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(project)
+    past = (F.sum("_n").over(whole) > max_blobs) | (F.sum("_b").over(whole) > max_bytes)
+    offsets = totals.select(F.col(project).alias("_project"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"), past.alias("truncated"))
+    w = Window.partitionBy(project, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_nth", F.count("*").over(w)).withColumn("bytes", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    x = x.join(offsets, F.col(project).eqNullSafe(F.col("_project")) & (F.col("_part") == F.col("_p"))).withColumn("bytes", F.col("bytes") + F.col("_b0"))
+    return x.where((F.col("_nth") + F.col("_n0") <= max_blobs) & (F.col("bytes") <= max_bytes)).select(*blobs.columns, "bytes", "truncated")
 
 
 def findings_of(corpus: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

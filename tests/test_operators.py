@@ -148,6 +148,26 @@ def test_path_status_says_what_was_cut(spark):
     assert got["cyc", "b"] == ("partial", "cycle") and got["deep", "c"] == ("partial", "depth") and got["deep", "d"] == ("partial", "depth") and got["many", "e"] == ("partial", "paths")
 
 
+def test_budget_of_a_large_project(spark):
+    rows = [("hot" if i % 3 else f"p{i % 9}", i, i * 37 % 11) for i in range(900)] + [(None, 1, 5), (None, 2, 50), ("zero", 1, None)]
+    got = {(r.project, r.n): (r.bytes, r.truncated) for r in S.apply_budget(spark.createDataFrame(rows, "project string, n int, size int"), "project", ["n"], "size", 250, 1_000).collect()}
+    want = {}
+    for p in {r[0] for r in rows}:
+        own, total, kept = sorted(r[1:] for r in rows if r[0] == p), 0, []
+        for k, (n, size) in enumerate(own):
+            total += size or 0
+            if k < 250 and total <= 1_000:
+                kept.append((n, total))
+        want |= {(p, n): (b, len(kept) < len(own)) for n, b in kept}
+    assert got == want
+
+
+def test_functions_in_sources(spark):
+    corpus = spark.createDataFrame([("p", "use a::b;"), ("p", "c::d()"), ("q", "a::b")], "project_id string, content string")
+    wanted = spark.createDataFrame([("p", "a::b"), ("p", " c::d "), ("p", "e::f"), ("p", " "), ("q", "c::d"), ("r", "a::b")], "project_id string, function string")
+    assert {tuple(r) for r in D.referenced_functions(wanted, corpus).collect()} == {("p", "a::b"), ("p", "c::d")}
+
+
 def test_dismissed_entries_are_left_out(spark):
     f = spark.createDataFrame([("r", "x.py", 0, "high", "f1", True), ("r", "x.py", 5, "odd", "f2", False), ("r", "x.py", 5, "low", None, None)], "rule_id string, path string, line int, severity string, fingerprint string, gone boolean")
     got = {(r.severity, r.line) for r in R.code_quality(f, F.col("gone")).collect()}
