@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeaudit.llm import html_cut, jaccard_join, language_id, license_scan, line_quality, max_score, mixing, packing, quality_classifier, secret_links
+from lakeaudit.llm import html_cut, jaccard_join, language_id, license_scan, line_quality, max_score, merkle_manifest, mixing, packing, quality_classifier, secret_links, sharding, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,19 @@ def queries() -> dict:
         "op8_max_score": max_score.op8_max_score,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+        "op13_kd_shards": sharding.op13_kd_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_links": secret_links.OP1_SQL, "op5_license_scan": license_scan.OP5_SQL, "op6_line_quality": line_quality.OP6_SQL, "op8_max_score": max_score.OP8_SQL, "op9_mix_sources": mixing.OP9_SQL}
+    return {
+        "op1_secret_links": secret_links.OP1_SQL,
+        "op5_license_scan": license_scan.OP5_SQL,
+        "op6_line_quality": line_quality.OP6_SQL,
+        "op8_max_score": max_score.OP8_SQL,
+        "op9_mix_sources": mixing.OP9_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_merkle_manifest": merkle_manifest.OP12_SQL,
+    }
