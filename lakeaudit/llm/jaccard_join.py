@@ -5,7 +5,7 @@ Documents with equal sets are one class; the search runs between classes, each s
 A document whose set has n shingles overlaps any partner in T = ceil(percent * n / 100) shingles at least. Its lists are
 divided: all but its n - T + need rarest shingles' lists are long and set aside, and a partner must occur at least
 ``need`` times in the short ones, since each of the T shared shingles that lies past them is one of the T - need
-set aside. Rarity is one global order, from counts over all documents: shingles counted more than ``common`` times come
+set aside; a pair that needs fewer shared shingles than that needs all of those. Rarity is one global order, from counts over all documents: shingles counted more than ``common`` times come
 last. Any order gives the same links; this one keeps short lists short.
 
 1. The short lists are merged in Spark: a sort-merge join by shingle and a count by pair.
@@ -21,7 +21,7 @@ hashes, sets by a 128-bit sum over them.
 
 Empty texts, null texts and texts without a word have no shingles and are linked with nothing. A null id is never a
 component's name unless the component has no other. Repeated rows and rows with equal ids are nodes each on their own.
-docs must give its rows in the same order when it is read again (files do).
+Rows are told apart by their place in their file, so it is no matter how the files are cut into partitions when they are read again.
 """
 
 from __future__ import annotations
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.llm import words as W
 from lakeaudit.llm.components import components
-from lakeaudit.llm.secret_links import numbered
-from lakeaudit.llm.spark import by_slice, cut, give_back, small_batches, table
+from lakeaudit.llm.spark import by_slice, cut, give_back, named, small_batches, table
 
 HINTS = 500_000  #: common shingles that are broadcast for the order, the most counted first
 BROADCAST_IDS = 1_000_000
@@ -247,7 +246,7 @@ def long_list_links(groups: DataFrame, sets: DataFrame, hub_links: DataFrame, pe
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, need: int = 3, common: int = 4, longest: int = 64) -> DataFrame:
     """rid, id, n_shingles, component_id (the smallest id that links reach), stays (one row of each component). A row per row of docs.
 
-    docs needs rid, an id that no two rows share (numbered()).
+    docs needs rid, an id that no two rows share and that a row keeps when it is read again (named()).
     """
     own = docs.select("rid", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     division = Division(percent, need)
@@ -268,7 +267,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     short = shared.where(F.col("m") <= longest).select("shingle", "rid", "n")
     x, y = (short.select("shingle", F.col("rid").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
     near = (F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    pairs = x.join(y, "shingle").where(near).groupBy("a", "b").count().where(F.col("count") >= need).select("a", "b")
+    overlap = F.ceil(percent * (F.col("n_a").cast("long") + F.col("n_b")) / (100 + percent))
+    pairs = x.join(y, "shingle").where(near).groupBy("a", "b", "n_a", "n_b").count().where(F.col("count") >= F.least(F.lit(need), overlap)).select("a", "b")
     groups = cut(shared.where(F.col("m") > longest).select("hub", "rid", "n").distinct())
     # A pair that shares both short and long lists may have too few short ones: it counts as a pair of the hub's group.
     stars = groups.where(F.col("rid") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rid").alias("b"))
@@ -289,12 +289,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, but of each component of near copies one: the row of its smallest id."""
-    own = docs.withColumn("_rid", F.monotonically_increasing_id())
+    own = named(docs, "_rid")
     gone = jaccard_join(own.select(F.col("_rid").alias("rid"), "doc_id", "text"), **how).where(~F.col("stays")).select(F.col("rid").alias("_rid"))
     return own.join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = named(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return jaccard_join(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

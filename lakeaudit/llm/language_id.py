@@ -9,8 +9,10 @@ code length names the language; the score is its share when 2 ** -length is made
 
 Training reads a bounded sample of labelled rows (docs_per_lang of each language, chosen by a hash of the id) and counts
 byte runs in Spark. What reaches the driver is the counts of the sample's distinct runs of four bytes; every one counts,
-and every context is kept. The counts (MOST_RUNS) and the costs that are broadcast (MOST_BYTES) are checked: a sample of
-so many languages that they don't fit is an error that asks for fewer docs_per_lang, never a model with parts left out.
+and every context is kept. A language holds only what it saw, as sorted arrays of (context, byte) with their bits and of
+contexts with the bits of their escape, so the model grows with the runs of each language, not with contexts times
+bytes times languages. A text's distinct runs are searched there, order by order, until one is found; the runs that the
+sample saw most often are kept resolved for all languages (CACHE_BYTES), which changes no length.
 
 A null text, or one without a letter, is ``und`` with score 0. Null labels teach nothing; a null id counts as the
 empty text where its remainder is taken. Repeated rows are predicted each on their own. Without any labelled row every
@@ -32,19 +34,31 @@ from lakeaudit.llm import words as W
 from lakeaudit.llm.spark import by_slice, table
 
 ORDER = 3
-MOST_RUNS = 8_000_000  #: distinct runs that the driver takes
-MOST_BYTES = 1 << 30  #: of the broadcast costs
+CACHE_BYTES = 1 << 25  #: of the costs that are kept resolved for all languages
+_SLOTS = 20  #: bits of a place in the cache
+_FLOOR = -np.log2(1e-30)  #: most bits of a byte
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PIECE = 1 << 20  #: bytes that are scored at once
 
 
+@dataclass
+class Language:
+    """By order: seen (context, byte) runs as sorted numbers and their bits; contexts and the bits of their escape."""
+
+    runs: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escape: list[np.ndarray]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  #: byte -> symbol; the last symbol stands for all bytes never seen
-    state: np.ndarray  #: three symbols -> longest context kept
-    cost: np.ndarray  #: (context, symbol) -> bits under each language, float32
+    parts: list[Language]
+    cached: np.ndarray  #: place -> the run that is resolved there
+    row: np.ndarray  #: place -> row of cost
+    cost: np.ndarray  #: bits under each language, float32
 
 
 def remainder(id_col: str, by: int) -> Column:
@@ -78,75 +92,103 @@ def byte_runs(labelled: DataFrame, lang_col: str, text_col: str) -> pd.DataFrame
                 yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(keys >> 32)), pa.array(keys & 0xFFFFFFFF), pa.array(n)], ["lang", "run", "n"])
 
     got = labelled.select(lang_col, text_col).mapInArrow(count, "lang string, run long, n long")
-    runs = got.groupBy("lang", "run").agg(F.sum("n").alias("n")).limit(MOST_RUNS + 1).toPandas()
-    if len(runs) > MOST_RUNS:
-        raise ValueError(f"the sample has more than {MOST_RUNS} byte runs: take fewer docs_per_lang")
-    return runs
+    return got.groupBy("lang", "run").agg(F.sum("n").alias("n")).toPandas()
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number is in sorted keys, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def learn(run: np.ndarray, n: np.ndarray) -> Language:
+    """The tree of a language from its runs of four bytes and their counts."""
+    out, below = Language([], [], [], []), None
+    for order in range(ORDER + 1):
+        keys, inverse = np.unique(run & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        count = np.bincount(inverse, n, len(keys))
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        total, kinds = np.bincount(of, count, len(contexts)), np.bincount(of, minlength=len(contexts))
+        chance = count / (total + kinds)[of]
+        # What the shorter context gives to the bytes that followed here is left out of an escape.
+        shorter = np.full(len(keys), 1 / 256) if below is None else below[1][_found(below[0], keys & ((1 << 8 * order) - 1))[0]]
+        free = np.maximum(1 - np.bincount(of, shorter, len(contexts)), 1e-9)
+        out.runs.append(keys.astype(np.uint32))
+        out.bits.append((-np.log2(chance)).astype(np.float32))
+        out.contexts.append(contexts.astype(np.uint32))
+        out.escape.append((-np.log2(kinds / (total + kinds) / free)).astype(np.float32))
+        below = keys, chance
+    return out
+
+
+def resolve(parts: list[Language], runs: np.ndarray) -> np.ndarray:
+    """Bits of each run's last byte after its first three, under each language."""
+    out = np.empty((len(runs), len(parts)), np.float32)
+    for k, own in enumerate(parts):
+        bits, todo = np.zeros(len(runs)), np.arange(len(runs))
+        for order in range(ORDER, -1, -1):
+            if not len(todo):
+                break
+            key = runs[todo] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, there = _found(own.runs[order], key)
+            bits[todo[there]] += own.bits[order][at[there]]
+            todo, key = todo[~there], key[~there]
+            at, there = _found(own.contexts[order], key >> np.uint32(8))
+            bits[todo[there]] += own.escape[order][at[there]]
+        bits[todo] += 8  # below order 0 all bytes are alike
+        out[:, k] = np.minimum(bits, _FLOOR)
+    return out
+
+
+def _place(runs: np.ndarray) -> np.ndarray:
+    return ((runs.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - _SLOTS)).astype(np.int64)
 
 
 def build(runs: pd.DataFrame) -> Model:
-    """The trees of all languages over one set of contexts, those of any language."""
-    langs = sorted(runs["lang"].unique())
-    code = runs["run"].to_numpy(np.int64)
-    parts = [(code >> s) & 255 for s in (24, 16, 8, 0)]
-    seen = np.unique(np.concatenate([*parts, [32]]))
-    size = len(seen) + 1
-    symbol = np.full(256, size - 1, np.int64)
-    symbol[seen] = np.arange(len(seen))
-    a, b, c, s = (symbol[p] for p in parts)
-    lang, n = runs["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), runs["n"].to_numpy(np.float64)
-    codes = [np.zeros(len(runs), np.int64), c, b * size + c, (a * size + b) * size + c]
-    kept = [np.unique(x) for x in codes]
-    if 4 * size * (len(langs) * sum(map(len, kept)) + size * size) > MOST_BYTES:
-        raise ValueError(f"the costs take more than {MOST_BYTES} bytes: take fewer docs_per_lang")
-    base = np.cumsum([0, *map(len, kept)])
-    cost = np.empty((base[-1], size, len(langs)), np.float32)
-    for k, _ in enumerate(langs):
-        below = np.full((1, size), 1 / 256)
-        for order, contexts in enumerate(kept):
-            mine = lang == k
-            at = np.searchsorted(contexts, codes[order][mine])
-            there = at < len(contexts)
-            there[there] = contexts[at[there]] == codes[order][mine][there]
-            counts = np.zeros((len(contexts), size))
-            np.add.at(counts, (at[there], s[mine][there]), n[mine][there])
-            suffix = np.searchsorted(kept[order - 1], contexts % size ** (order - 1)) if order else np.zeros(1, np.int64)
-            parent = below[suffix]
-            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            free = 1 - np.where(counts > 0, parent, 0).sum(1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mixed = np.where(counts > 0, counts / (total + kinds), kinds / (total + kinds) * parent / np.maximum(free, 1e-9))
-            below = np.where(total > 0, mixed, parent)
-            cost[base[order] : base[order + 1], :, k] = -np.log2(np.maximum(below, 1e-30))
-    state = np.zeros((size, size, size), np.int32)
-    state[:, :, kept[1]] = base[1] + np.arange(len(kept[1]))
-    state[:, kept[2] // size, kept[2] % size] = base[2] + np.arange(len(kept[2]))
-    state.reshape(-1)[kept[3]] = base[3] + np.arange(len(kept[3]))
-    return Model(langs, symbol.astype(np.int32), state.reshape(-1), cost.reshape(-1, len(langs)))
+    """The trees of all languages, and the runs that are looked up most, resolved."""
+    parts = {str(lang): learn(x["run"].to_numpy(np.int64), x["n"].to_numpy(np.float64)) for lang, x in sorted(runs.groupby("lang"))}
+    common = runs.groupby("run")["n"].sum().sort_values(ascending=False, kind="stable").index.to_numpy(np.uint32)
+    _, first = np.unique(_place(common), return_index=True)  # of runs that share a place, the commonest
+    first = np.sort(first)[: CACHE_BYTES // (4 * max(1, len(parts)))]
+    common = common[first]
+    place = _place(common)
+    cached, row = np.full(1 << _SLOTS, common[0]), np.zeros(1 << _SLOTS, np.int32)  # an empty place holds a run that belongs elsewhere
+    cached[place], row[place] = common, np.arange(len(common))
+    return Model(list(parts), list(parts.values()), cached, row, resolve(list(parts.values()), common))
+
+
+def costs(model: Model, runs: np.ndarray) -> np.ndarray:
+    """Bits of each run under each language."""
+    place = _place(runs)
+    out = model.cost[model.row[place]]
+    other = np.flatnonzero(model.cached[place] != runs)
+    if len(other):
+        rare, inverse = np.unique(runs[other], return_inverse=True)
+        out[other] = resolve(model.parts, rare)[inverse]
+    return out
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language."""
     n = len(offsets) - 1
-    size = round(len(model.state) ** (1 / 3))
     out = np.zeros((n, len(model.langs)))
     spaced, starts = _spaced(data, offsets)
     ends = starts + np.diff(offsets)
-    for lo in range(0, len(spaced), _PIECE):
-        hi = min(len(spaced), lo + _PIECE)
+    piece = max(1 << 12, _PIECE // max(1, len(model.langs) // 8))
+    for lo in range(0, len(spaced), piece):
+        hi = min(len(spaced), lo + piece)
         first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi)
         if first >= last:
             continue
-        s = model.symbol[spaced[max(0, lo - ORDER) : hi]]
-        a, b, c, x = s[:-3], s[1:-2], s[2:-1], s[3:]
-        at = model.state[(a * size + b) * size + c] * size + x
+        s = spaced[max(0, lo - ORDER) : hi].astype(np.uint32)
+        runs = s[:-3] << np.uint32(24) | s[1:-2] << np.uint32(16) | s[2:-1] << np.uint32(8) | s[3:]
         shift = max(0, lo - ORDER) + ORDER
         begin, end = np.maximum(starts[first:last], lo) - shift, np.minimum(ends[first:last], hi) - shift
         keep = end > begin
         bounds = np.ravel(np.column_stack([begin[keep], end[keep]]))
         if not len(bounds):
             continue
-        bits = np.vstack([model.cost[at], np.zeros((1, len(model.langs)), np.float32)])
+        bits = np.vstack([costs(model, runs), np.zeros((1, len(model.langs)), np.float32)])
         out[np.arange(first, last)[keep]] += np.add.reduceat(bits, bounds, axis=0, dtype=np.float64)[::2]
     return out
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeaudit.llm.spark import by_slice, cut, few, running, table
+from lakeaudit.llm.spark import by_slice, cut, few, named, running, table
 from lakeaudit.llm.words import count_words
 
 GOLDEN = 0.6180339887498949
@@ -80,7 +80,7 @@ def streams(sized: DataFrame, sources: DataFrame, n_sources: int, buckets: int)
     """sized with rank and at: the words of its source's stream before the document, in the shuffled order."""
     x = sized.join(few(sources, n_sources), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     x = x.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % buckets)
-    return _running(x, ["rank"], "bucket", ["key", "doc_id", "size"], "size", "at")
+    return _running(x, ["rank"], "bucket", ["key", "doc_id", "size", *(c for c in ("rid",) if c in sized.columns)], "size", "at")
 
 
 def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, n_slots: int, per: int = 100_000) -> DataFrame:
@@ -158,7 +158,7 @@ def first_words(text: str, n: int) -> str:
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as rows of docs, all columns: a row for each time that a document is taken, n_chars (where it is there) of what is taken."""
-    own = docs.withColumn("_rid", F.monotonically_increasing_id())
+    own = named(docs, "_rid")
     taken, _ = mix(own.select(F.col("_rid").alias("rid"), "doc_id", "source", "text"), **how)
     passes = taken.select(F.col("rid").alias("_rid"), F.col("size").alias("_size"), F.explode(F.array("first_pass", "second_pass")).alias("_words")).where(F.col("_words") > 0)
     each = own.join(passes, "_rid")

@@ -41,6 +41,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _of_files(docs: DataFrame) -> bool:
+    """Whether each row of docs is a row of a Parquet file that it reads, or what a projection or a filter makes of one."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or "_metadata" in docs.columns:
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
+def named(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """docs with a number (long) in column name that stands for a row in every job that reads docs.
+
+    It is the row's place in its file, so it doesn't follow the partitions, which another number of cores may cut
+    otherwise when the files are read again. Where docs isn't rows of Parquet files, rows are numbered once and written to
+    the checkpoint folder, as they are.
+    """
+    if not _of_files(docs):
+        return cut(docs.withColumn(name, F.monotonically_increasing_id()))
+    place = F.col("_metadata.row_index")
+    if len(docs.inputFiles()) == 1:
+        return docs.select("*", place.alias(name))
+    files = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # reads no column
+    own = docs.select("*", F.col("_metadata.file_path").alias("_named_file"), place.alias("_named_row"))
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "_named_number long, _named_path string")
+    both = own.join(few(numbers, len(files)), F.col("_named_file") == F.col("_named_path"), "left")
+    number = F.coalesce("_named_number", F.raise_error(F.concat(F.lit("a new file: "), F.col("_named_file"))).cast("long"))
+    return both.withColumn(name, F.shiftleft(number, 38).bitwiseOR(F.col("_named_row"))).drop("_named_file", "_named_row", "_named_number", "_named_path")
+
+
 BROADCAST_ROWS = 100_000
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lakeaudit.llm import html_cut, jaccard_join, license_scan, max_score, mixing, packing
 from lakeaudit.llm.components import components
 from lakeaudit.llm.secret_links import numbered
+from lakeaudit.llm.spark import named
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -270,6 +271,36 @@ def test_licenses_of_real_notices(spark):
     assert license_scan.license_scan(docs.limit(0)).count() == 0
 
 
+WHOLE = "/usr/share/common-licenses"
+#: The name that each text may be given; no other.
+WHOLE_NAMES = {
+    "Apache-2.0": "Apache-2.0", "Artistic": None, "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+@needs_tables
+@pytest.mark.skipif(not os.path.isdir(WHOLE), reason="no licence texts")
+def test_whole_licences_have_their_own_name_or_none(spark):
+    names = [n for n in WHOLE_NAMES if os.path.isfile(f"{WHOLE}/{n}")]
+    files = [(i, f"x{i}/COPYING", open(f"{WHOLE}/{n}", encoding="utf-8", errors="replace").read()) for i, n in enumerate(names)]
+    more = license_scan.document_paths(spark.read.parquet(f"{SF}/documents.parquet")).withColumn("doc_id", F.col("doc_id") + 1000)
+    got = {r.doc_id: r.own_license for r in license_scan.license_scan(spark.createDataFrame(files, more.schema).unionByName(more)).where("doc_id < 1000").collect()}
+    wrong = {n: got[i] for i, n in enumerate(names) if got[i] not in (None, WHOLE_NAMES[n])}
+    assert not wrong
+    assert sum(v is not None for v in got.values()) >= 6
+
+
+def test_spdx_tags(spark):
+    texts = {
+        "SPDX-License-Identifier: (GPL-2.0 OR MIT)": "GPL-2.0 OR MIT", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */": "GPL-2.0-only WITH Classpath-exception-2.0",
+        "SPDX-License-Identifier: MIT\nx\nSPDX-License-Identifier: Apache-2.0\nSPDX-License-Identifier: MIT": "Apache-2.0 AND MIT", "SPDX-License-Identifier: (MIT OR Zlib)\nSPDX-License-Identifier: ISC": "ISC AND (MIT OR Zlib)",
+        "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR (Apache-2.0 AND ISC)": "(MIT AND BSD-3-Clause) OR (Apache-2.0 AND ISC)", "SPDX-License-Identifier:": None, "// SPDX-License-Identifier: (MIT": "(MIT",
+    }
+    got = license_scan.license_scan(spark.createDataFrame([(i, f"d{i}/a", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")).collect()
+    assert {r.doc_id: r.own_license for r in got} == dict(enumerate(texts.values()))
+
+
 @needs_tables
 def test_licenses_equal_their_sql(spark):
     import duckdb
@@ -508,3 +539,74 @@ def test_clashing_columns(spark):
         assert out.columns == docs.columns and all(r[c] == c for r in out.collect() for c in names)
     assert packing.pack(docs).count() == 3 and mixing.mix(docs)[0].count() == 3
     assert max_score.top_k(docs.withColumn("embedding", F.array(F.lit(1.0))), F.col("doc_id") == 1, id_col="doc_id").count() == 2
+
+
+@pytest.fixture
+def files(spark, tmp_path):
+    """A table of many small files, which Spark packs into partitions by the number that minPartitionNum asks for."""
+    r, rows = random.Random(8), []
+    for i in range(400):
+        words = [f"w{r.randrange(4000)}" for _ in range(30)]
+        rows.append((i, " ".join(words), "en", f"s{i % 3}", 1))
+        if i % 4 == 0:
+            rows.append((1000 + i, " ".join(words[:-1] + ["x"]), "en", "s1", 1))
+    rows += [(2000 + i, "Licensed under the MIT license. " + f"q{i}", "en", "s1", 1) for i in range(9)]
+    r.shuffle(rows)
+    folder = str(tmp_path / "docs")
+    spark.createDataFrame(rows, DOCS).repartition(24).write.parquet(folder)
+    yield folder
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def moved(spark, monkeypatch, module, run):
+    """run() with its input cut otherwise into partitions after the first intermediate result."""
+    own = module.cut
+
+    def cut(df):
+        out = own(df)
+        spark.conf.set("spark.sql.files.minPartitionNum", "8")
+        return out
+
+    spark.conf.set("spark.sql.files.minPartitionNum", "3")
+    want = sorted(map(str, run().collect()))
+    with monkeypatch.context() as m:
+        m.setattr(module, "cut", cut)
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        got = sorted(map(str, run().collect()))
+    assert got == want and want
+
+
+def test_row_names_survive_other_partitions(spark, monkeypatch, files):
+    read = lambda: spark.read.parquet(files)
+    spark.conf.set("spark.sql.files.minPartitionNum", "3")
+    name = named(read())
+    first = {r.rid: r.doc_id for r in name.select("rid", "doc_id").collect()}
+    spark.conf.set("spark.sql.files.minPartitionNum", "20")
+    assert first == {r.rid: r.doc_id for r in name.select("rid", "doc_id").where("doc_id >= 0").collect()} and len(first) == read().count()
+    moved(spark, monkeypatch, jaccard_join, lambda: jaccard_join.jaccard_join(named(read())).drop("rid"))
+    moved(spark, monkeypatch, jaccard_join, lambda: jaccard_join.keep_one(read(), size=5, percent=80))
+    moved(spark, monkeypatch, mixing, lambda: mixing.mixed_documents(read()))
+    moved(spark, monkeypatch, license_scan, lambda: license_scan.license_scan(license_scan.document_paths(read())))
+
+
+def test_names_of_rows_that_are_no_files(spark, files):
+    read = spark.read.parquet(files)
+    assert "rid" in named(read.select("doc_id").where("doc_id > 5")).columns
+    twice = read.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))  # a row of a file is two rows here
+    for df in (twice, read.unionByName(read), read.groupBy("doc_id").count(), spark.range(9)):
+        rows = named(df).select("rid").collect()
+        assert len({r.rid for r in rows}) == len(rows) == df.count()
+    one = read.coalesce(1)
+    assert named(one).count() == one.count()
+
+
+@pytest.mark.parametrize("percent, pairs", [(50, [(1, 2), (2, 3), (2, 4), (3, 3)]), (66, [(2, 3)])])
+def test_small_sets_link_at_low_shares(spark, percent, pairs):
+    """Sets whose required overlap is one or two shingles, as single words."""
+    for m, n in pairs:
+        need = jaccard_join.required(m, n, percent)
+        a, b = [f"a{i}" for i in range(m - need)], [f"b{i}" for i in range(n - need)]
+        both = [f"c{i}" for i in range(need)]
+        docs = named(spark.createDataFrame([(1, " ".join(both + a)), (2, " ".join(both + b)), (3, "zz yy"), (4, "d e f g h")], "doc_id long, text string"))
+        got = {r.id: r.component_id for r in jaccard_join.jaccard_join(docs, size=1, percent=percent).collect()}
+        assert got == {1: 1, 2: 1, 3: 3, 4: 4}

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -184,18 +185,16 @@ def test_language_accuracy_and_folds(spark):
 def test_code_lengths_are_a_distribution(spark):
     docs = spark.createDataFrame(langs(60), DOCS)
     model = language_id.train(docs, "doc_id", "text", "lang", 100)
-    size = round(len(model.state) ** (1 / 3))
-    p = 2.0 ** -model.cost.astype(np.float64).reshape(-1, size, len(model.langs))
-    unseen = 256 - (size - 1)
-    assert np.allclose(p[:, :-1].sum(1) + unseen * p[:, -1], 1, atol=1e-4)
+    for context in (b"the", b"  a", b"zqx", bytes([200, 1, 32])):
+        runs = np.array([int.from_bytes(context, "big") << 8 | x for x in range(256)], np.uint32)
+        assert np.allclose((2.0 ** -language_id.costs(model, runs).astype(np.float64)).sum(0), 1, atol=1e-4)
     texts = pa.array(["the und", "", "eau " * 400_000])
     data, offsets = W.flat(texts)
     bits = language_id.code_lengths(model, data, offsets)
     for row, text in enumerate(texts.to_pylist()[:2]):
         own, total = b"   " + text.encode(), np.zeros(len(model.langs))
         for i in range(3, len(own)):
-            a, b, c, x = (model.symbol[k] for k in own[i - 3 : i + 1])
-            total += model.cost[model.state[(a * size + b) * size + c] * size + x]
+            total += language_id.costs(model, np.array([int.from_bytes(own[i - 3 : i + 1], "big")], np.uint32))[0]
         assert np.allclose(bits[row], total)
     assert bits[2].argmin() == model.langs.index("fr")
 
@@ -244,8 +243,7 @@ def test_every_run_counts_for_a_language(spark):
     """Costs by plain Python: recursive escapes with exclusion over the counts of every run, singletons with them."""
     docs = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("abcab abd", "p"), ("abce", "p"), ("bcabca!", "q"), ("xyz ab", "q")])]
     model = language_id.train(spark.createDataFrame(docs, DOCS), "doc_id", "text", "lang", 100)
-    size = round(len(model.state) ** (1 / 3))
-    symbols = [b for b in range(256) if model.symbol[b] < size - 1]
+    symbols = sorted({b for _, t, *_ in docs for b in t.encode()} | {32, 200})
 
     def table(lang):
         counts = {}
@@ -270,23 +268,40 @@ def test_every_run_counts_for_a_language(spark):
     for j, lang in enumerate(model.langs):
         counts = table(lang)
         for context in (b"abc", b"  a", b"zab", b"!!!", b"bca"):
-            a, b, c = (model.symbol[x] for x in context)
             for byte in (*symbols, 7):
-                got = model.cost[model.state[(a * size + b) * size + c] * size + model.symbol[byte], j]
+                got = language_id.costs(model, np.array([int.from_bytes(bytes([*context, byte]), "big")], np.uint32))[0, j]
                 assert abs(got + np.log2(chance(counts, context, byte))) < 1e-3
     texts = pa.array(["abc", "abc", "x" * 3_000_000])
     bits = language_id.code_lengths(model, *W.flat(texts))
     assert (bits[0] == bits[1]).all() and (bits[2] > 1e6).all()
 
 
-def test_too_many_languages_is_an_error(spark, monkeypatch):
-    docs = spark.createDataFrame(langs(30), DOCS)
-    monkeypatch.setattr(language_id, "MOST_BYTES", 1000)
-    with pytest.raises(ValueError, match="docs_per_lang"):
-        language_id.identify(docs)
-    monkeypatch.setattr(language_id, "MOST_RUNS", 10)
-    with pytest.raises(ValueError, match="docs_per_lang"):
-        language_id.identify(docs)
+def test_many_languages():
+    """Fifty languages of 60 000 contexts each stay under a gigabyte; cached and searched costs agree with plain escapes."""
+    r, runs = np.random.default_rng(3), []
+    for k in range(50):
+        raw = r.integers(0, 1 << 32, 60_000, np.int64) & 0x3F3F3F3F | (k % 7) << 22
+        runs.append(pd.DataFrame({"lang": f"l{k:02}", "run": np.unique(raw), "n": r.integers(1, 5, len(np.unique(raw)))}))
+    model = language_id.build(pd.concat(runs))
+    arrays = [a for part in model.parts for own in (part.runs, part.bits, part.contexts, part.escape) for a in own]
+    assert sum(a.nbytes for a in (*arrays, model.cached, model.row, model.cost)) < 200 << 20
+    asked = np.concatenate([runs[0]["run"].to_numpy()[:50], runs[9]["run"].to_numpy()[:20] ^ 3, r.integers(0, 1 << 32, 50, np.int64)]).astype(np.uint32)
+    got = language_id.costs(model, asked)
+    assert np.array_equal(got, language_id.resolve(model.parts, asked))
+    for k in (0, 9, 31):
+        counts = {}
+        for run, n in zip(runs[k]["run"], runs[k]["n"], strict=True):
+            raw = int(run).to_bytes(4, "big")
+            for order in range(4):
+                own = counts.setdefault(raw[3 - order : 3], Counter())
+                own[raw[3]] += int(n)
+        for run, bits in zip(asked.tolist(), got[:, k].tolist(), strict=True):
+            raw, below = run.to_bytes(4, "big"), dict.fromkeys(range(256), 1 / 256)
+            for order in range(4):
+                if seen := counts.get(raw[3 - order : 3]):
+                    total, kinds, free = sum(seen.values()), len(seen), 1 - sum(below[b] for b in seen)
+                    below = {b: seen[b] / (total + kinds) if b in seen else kinds / (total + kinds) * below[b] / max(free, 1e-9) for b in below}
+            assert abs(bits + np.log2(max(below[raw[3]], 1e-30))) < 1e-3
 
 
 def test_final_punctuation_of_any_script(spark):
