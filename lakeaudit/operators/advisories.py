@@ -12,9 +12,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, StringType, StructType
 
 from lakeaudit.functions import versions as V
+from lakeaudit.functions.session import cut
 
 TRIPLE = ["ecosystem", "name", "version"]
 CVE = r"^CVE-[0-9]{4}-[0-9]{4,}$"
@@ -55,9 +56,49 @@ def queryable(deps: DataFrame) -> DataFrame:
     return deps.where(named & F.col("ecosystem").isNotNull() & ~F.coalesce("local_workspace", F.lit(False)) & ~F.coalesce("source", F.lit("registry")).isin("git", "local", "url"))
 
 
-def with_verdict(rows: DataFrame, version: str) -> DataFrame:
-    """rows (family, events and a version column) with verdict. Equal inputs, which are many, are decided once per worker."""
-    return rows.withColumn("verdict", range_verdict("family", F.col(version), "events"))
+_SPANS = StructType().add("exact", BooleanType()).add("unplaced", StringType()).add("spans", ArrayType(StructType().add("lo", BinaryType()).add("hi", BinaryType()).add("verdict", StringType())))
+
+
+@lru_cache(maxsize=100_000)
+def _range_spans(family: str | None, events: str):
+    return V.range_spans(family, _events(events))
+
+
+@F.pandas_udf(_SPANS)
+def range_spans(family: pd.Series, events: pd.Series) -> pd.DataFrame:
+    """A range's spans of order keys, once for all versions (see versions.range_spans); not exact where there are none."""
+    found = [_range_spans(f, e) for f, e in zip(family, events, strict=True)]
+    spans = [[{"lo": lo, "hi": hi, "verdict": v} for lo, hi, v in x[1]] if x else [] for x in found]
+    return pd.DataFrame({"exact": [x is not None for x in found], "unplaced": [x[0] if x else None for x in found], "spans": spans}, columns=["exact", "unplaced", "spans"])
+
+
+def _scopes(ecosystem: Column, own: bool) -> Column:
+    """What an ecosystem is looked up by, so that an inventory's and an advisory's meet once if one is the other or its bare distribution.
+
+    A release meets itself and the bare name; a bare name meets itself and all of its releases.
+    """
+    base = base_ecosystem(ecosystem)
+    return F.when(ecosystem == base, F.array(base, F.concat(base, F.lit(":*"))) if own else F.array(base)).otherwise(F.array(ecosystem, base) if own else F.array(ecosystem, F.concat(base, F.lit(":*"))))
+
+
+def swept(versions: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
+    """spans (by, lo, hi, and payload) joined with the versions (by, key, and payload) whose key lies from lo to before hi.
+
+    Versions and boundaries of a group are put in one order, in which a boundary's place is the number of distinct keys
+    before it. A span is then a run of whole numbers, and each number in it joins the versions of that place: work goes
+    with versions, boundaries and matches, and no pair that doesn't match is made. Matches are dealt by group and place,
+    so a group with many isn't one task; a group's distinct keys and boundaries are sorted in one, and may spill.
+    """
+    payload = [c for c in spans.columns if c not in (*by, "lo", "hi")]
+    ends = spans.select(*by, F.explode(F.array("lo", "hi")).alias("key"), F.lit(0).alias("is_key"), F.struct("lo", "hi", *payload).alias("span"))
+    keys = versions.select(*by, "key").distinct().withColumns({"is_key": F.lit(1), "span": F.lit(None).cast(ends.schema["span"].dataType)})
+    # A boundary comes before the version with its key.
+    order = Window.partitionBy(*by).orderBy("key", "is_key").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keys.unionByName(ends).withColumn("place", F.sum("is_key").over(order))
+    runs = placed.where("is_key = 0").groupBy(*by, "span").agg(F.min("place").alias("a"), F.max("place").alias("b")).where(F.col("a") < F.col("b"))
+    hits = runs.select(*by, *(F.col(f"span.{c}").alias(c) for c in payload), F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("place"))
+    found = hits.join(placed.where("is_key = 1").select(*by, "place", "key"), [*by, "place"]).drop("place")
+    return found.join(versions, [*by, "key"])
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -65,20 +106,33 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 
     advisories: id, ecosystem, package, withdrawn, versions, ranges (type, events). Withdrawn ones never match and GIT
     ranges are skipped. An advisory that matches by several records gives one row, affected before undetermined.
+
+    A range becomes spans of order keys once, and versions meet spans by a sweep in that order (swept). Versions without
+    a place meet only ranges that leave them undetermined or affect every version. Versions and ranges whose order keys can't
+    say it all, some of Maven's, are compared one by one.
     """
-    own = queryable(deps).select(*TRIPLE).distinct().withColumn("pkg", V.normalize_package(F.col("ecosystem"), F.col("name"))).withColumn("base", base_ecosystem(F.col("ecosystem")))
-    # Ranges are written as texts once for each advisory, not for each package version that meets it.
-    texts = F.transform(F.filter("ranges", lambda r: r["type"] != "GIT"), lambda r: F.struct(r["type"].alias("type"), F.to_json(r["events"]).alias("events")))
-    adv = advisories.where(F.col("withdrawn").isNull()).select(F.col("id").alias("advisory_id"), F.col("ecosystem").alias("adv_ecosystem"), V.normalize_package(F.col("ecosystem"), F.col("package")).alias("pkg"), base_ecosystem(F.col("ecosystem")).alias("base"), "versions", texts.alias("ranges"))
-    met = own.join(adv, ["pkg", "base"]).where(ecosystem_within(F.col("adv_ecosystem"), F.col("ecosystem")) | ecosystem_within(F.col("ecosystem"), F.col("adv_ecosystem")))
-    # A version that is listed is affected whatever the ranges say: it has one row without events.
-    listed = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False))
-    sure = F.array(F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("events")))
-    ranged = met.select(*TRIPLE, "advisory_id", F.explode(F.when(listed, sure).otherwise(F.col("ranges"))).alias("range"))
-    family = F.when(F.col("range.type") == "SEMVER", "semver").otherwise(V.ecosystem_family(F.col("ecosystem")))
-    ranged = ranged.select(*TRIPLE, "advisory_id", family.alias("family"), F.col("range.events").alias("events"))
-    ranged = with_verdict(ranged, "version").where(F.col("verdict") != V.NOT_AFFECTED)
-    return ranged.groupBy(*TRIPLE, "advisory_id").agg(F.min("verdict").alias("verdict"))  # affected sorts first
+    by = ["pkg", "scope", "family"]
+    adv = advisories.where(F.col("withdrawn").isNull()).select(F.col("id").alias("advisory_id"), "ecosystem", V.normalize_package(F.col("ecosystem"), F.col("package")).alias("pkg"), "versions", "ranges")
+    adv = adv.withColumn("scope", F.explode(_scopes(F.col("ecosystem"), False)))
+    listed = adv.select("pkg", "scope", "advisory_id", F.explode("versions").alias("version"))
+    ranged = adv.select("pkg", "scope", "ecosystem", "advisory_id", F.explode(F.filter("ranges", lambda r: r["type"] != "GIT")).alias("range"))
+    family = F.when(F.col("range.type") == "SEMVER", "semver").otherwise(F.coalesce(V.ecosystem_family(F.col("ecosystem")), F.lit("")))
+    ranged = ranged.select("pkg", "scope", "advisory_id", family.alias("family"), F.to_json("range.events").alias("events")).distinct()
+    ranged = cut(ranged.withColumn("x", range_spans(F.nullif("family", F.lit("")), "events")))  # several joins read it
+    triples = queryable(deps).select(*TRIPLE).distinct().withColumn("pkg", V.normalize_package(F.col("ecosystem"), F.col("name"))).withColumn("scope", F.explode(_scopes(F.col("ecosystem"), True)))
+    # Versions of packages without a range need no key.
+    own = triples.withColumn("family", F.explode(F.array_distinct(F.array(F.lit("semver"), F.coalesce(V.ecosystem_family(F.col("ecosystem")), F.lit(""))))))
+    own = cut(own.join(ranged.select(*by).distinct(), by, "left_semi").withColumn("key", V.version_key("family", "version")))
+    exact, verdict = F.col("x.exact"), [*TRIPLE, "advisory_id", "verdict"]
+    spans = ranged.where(exact).select(*by, "advisory_id", F.explode("x.spans").alias("s")).select(*by, "advisory_id", "s.lo", "s.hi", "s.verdict")
+    found = swept(own.where(F.col("key").isNotNull()), spans, by).select(*verdict)
+    unkeyed = own.where(F.col("key").isNull()).withColumn("placed", F.when(F.col("family") == "", False).otherwise(V.orderable("family", "version")))
+    loose = unkeyed.where(~F.col("placed")).join(ranged.where(exact & F.col("x.unplaced").isNotNull()).select(*by, "advisory_id", F.col("x.unplaced").alias("verdict")), by).select(*verdict)
+    sure = triples.join(listed, ["pkg", "scope", "version"]).withColumn("verdict", F.lit(V.AFFECTED)).select(*verdict)
+    one = own.join(ranged.where(~exact).select(*by, "advisory_id", "events"), by).select(*TRIPLE, "advisory_id", "family", "events")
+    one = one.unionByName(unkeyed.where("placed").join(ranged.where(exact).select(*by, "advisory_id", "events"), by).select(*TRIPLE, "advisory_id", "family", "events"))
+    one = one.withColumn("verdict", range_verdict("family", "version", "events")).where(F.col("verdict") != V.NOT_AFFECTED).select(*verdict)
+    return found.unionByName(loose).unionByName(sure).unionByName(one).groupBy(*TRIPLE, "advisory_id").agg(F.min("verdict").alias("verdict"))  # affected sorts first
 
 
 def match_notes(matches: DataFrame, examples: int = 5) -> DataFrame:
@@ -309,16 +363,6 @@ def monitor_runs(inventories: DataFrame, advisories: DataFrame, found: DataFrame
     return per.join(counts, "run_id", "left").join(lacking, "run_id", "left").fillna(0, ["affected", "undetermined"])
 
 
-def _newer(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The installed versions of one package with the number of its releases above each; null where a version has no place."""
-    ranks = V.rank_versions(V.family_of("ECOSYSTEM", pdf["ecosystem"].iloc[0]), pdf["version"].tolist())
-    place = pdf["version"].map(ranks)
-    total = pdf[place.notna()].groupby(place[place.notna()])["releases"].sum().sort_index()
-    above = total.sum() - total.cumsum()
-    out = pdf[["ecosystem", "name", "version"]].assign(newer=place.map(above).astype("Int64"))
-    return out[pdf["installed"]]
-
-
 def release_facts(deps: DataFrame, releases: DataFrame) -> DataFrame:
     """Per distinct triple: its release's date and deprecation, the default version, the newest date, releases above it, majors behind.
 
@@ -326,13 +370,17 @@ def release_facts(deps: DataFrame, releases: DataFrame) -> DataFrame:
     family; newer is null where the installed one has no place there, majors_behind where it or the default has no leading
     major. Of several defaults the greatest text counts. Go's leading v doesn't matter for which release is the installed one.
 
-    The distinct versions of one package are ranked together, however many rows name them.
+    Each distinct version gets its order key once, and Spark ranks a package's versions by it in a window, which may spill.
     """
     go = lambda e, v: F.when(F.col(e) == "Go", F.regexp_replace(v, "^v+", "")).otherwise(F.col(v))
     own = deps.select(*TRIPLE).distinct()
     versions = own.withColumns({"installed": F.lit(True), "releases": F.lit(0).cast("long")}).unionByName(releases.groupBy(*TRIPLE).agg(F.count("*").alias("releases")).withColumn("installed", F.lit(False)))
     versions = versions.groupBy(*TRIPLE).agg(F.bool_or("installed").alias("installed"), F.sum("releases").alias("releases"))
-    ranked = versions.groupBy("ecosystem", "name").applyInPandas(_newer, "ecosystem string, name string, version string, newer long")
+    family = V.ecosystem_family(F.col("ecosystem"))
+    versions = versions.withColumn("key", F.when(family.isNotNull(), V.version_key(F.coalesce(family, F.lit("")), "version")))
+    above = Window.partitionBy("ecosystem", "name").orderBy(F.desc("key")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    beside = Window.partitionBy("ecosystem", "name", "key")
+    ranked = versions.withColumn("newer", F.when(F.col("key").isNotNull(), F.sum("releases").over(above) - F.sum("releases").over(beside))).where("installed").select(*TRIPLE, "newer")
     per = releases.groupBy("ecosystem", "name").agg(F.max("published_at").alias("newest_at"), F.max(F.when(F.col("is_default"), F.col("version"))).alias("default_version"))
     exact = releases.groupBy("ecosystem", "name", go("ecosystem", "version").alias("_v")).agg(F.min("published_at").alias("published_at"), F.max("deprecated").alias("deprecated"))
     out = ranked.withColumn("_v", go("ecosystem", "version")).join(exact, ["ecosystem", "name", "_v"], "left").join(per, ["ecosystem", "name"], "left")

@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import json
 import os
+import random
 import struct
 
 import pytest
@@ -373,3 +374,37 @@ def test_streams_drain_to_files(spark, name):
     files = out.inputFiles()
     assert files and all("/drained-" in f and f.endswith(".parquet") for f in files) and out.count() > 0
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("drained")]
+
+
+def test_matching_equals_verdicts_one_by_one(spark):
+    """Mixed families, releases of distributions, listed versions, versions without a place or an order key, against range_verdict."""
+    r = random.Random(3)
+    ecosystems = ["npm", "PyPI", "Maven", "Debian", "Debian:11", "Debian:12", "Nowhere"]
+    version = lambda: r.choice(["1", "1.0", "2.0.1", "1.0.alpha", "1-5", "3", "odd!", "1.0.1", "0.9", "10", "2.0-rc1", "1!0.1", "4:1"])
+    name = lambda: r.choice(["a", "b_c", "B-c", "a.b"])
+    deps = list({(r.choice(ecosystems), name(), version()) for _ in range(300)})
+    event = lambda: tuple((version() if r.random() < 0.8 else r.choice(["0", "*"])) if k == c else None for c in range(4)) if (k := r.choice([0, 0, 1, 2, 3])) is not None else None
+    advs = [(f"A{i // 2}", r.choice(ecosystems), name(), r.choice([None, None, None, "2024"]), [version()] if r.random() < 0.2 else [], [(r.choice(["SEMVER", "ECOSYSTEM", "GIT"]), [event() for _ in range(r.randrange(4))]) for _ in range(r.randrange(3))]) for i in range(120)]
+    e = "introduced string, fixed string, last_affected string, limit string"
+    schema = f"id string, ecosystem string, package string, withdrawn string, versions array<string>, ranges array<struct<type:string,events:array<struct<{e.replace(' string', ':string')}>>>>"
+    d = spark.createDataFrame(deps, "ecosystem string, name string, version string").withColumns({"source": F.lit(None).cast("string"), "local_workspace": F.lit(False)})
+    got = {tuple(x) for x in D.match_advisories(d, spark.createDataFrame(advs, schema)).collect()}
+    plain = lambda eco, n: n.lower().replace("_", "-").replace(".", "-") if eco.split(":")[0] == "PyPI" else n.lower() if eco == "npm" else n
+    want = {}
+    for eco, n, v in deps:
+        for i, other, package, withdrawn, listed, ranges in advs:
+            if withdrawn or plain(eco, n) != plain(other, package) or not (eco == other or (":" not in eco and other.startswith(eco + ":")) or (":" not in other and eco.startswith(other + ":"))):
+                continue
+            found = {V.AFFECTED} if v in listed else {V.range_verdict(V.family_of(kind, eco), v, [dict(zip(("introduced", "fixed", "last_affected", "limit"), x, strict=True)) for x in events]) for kind, events in ranges if kind != "GIT"}
+            for verdict in found - {V.NOT_AFFECTED}:
+                want[eco, n, v, i] = min(verdict, want.get((eco, n, v, i), verdict))
+    assert got == {(*k, v) for k, v in want.items()} and len({v for v in want.values()}) == 2
+
+
+def test_a_hot_package_is_swept_without_pairs(spark):
+    """One package with 3 000 versions and as many short ranges: rows of the plan go with matches, not with their product."""
+    deps = spark.range(3000).selectExpr("'npm' AS ecosystem", "'hot' AS name", "concat(id, '.0.0') AS version", "cast(null AS string) AS source", "false AS local_workspace")
+    ranges = "array(struct('SEMVER' AS type, array(struct(concat(id, '.0.0') AS introduced, cast(null AS string) AS fixed), struct(cast(null AS string) AS introduced, concat(id + 2, '.0.0') AS fixed)) AS events))"
+    advs = spark.range(3000).selectExpr("concat('A', id) AS id", "'npm' AS ecosystem", "'hot' AS package", "cast(null AS string) AS withdrawn", "cast(array() AS array<string>) AS versions", f"{ranges} AS ranges")
+    got = D.match_advisories(deps, advs)
+    assert got.count() == 2 * 3000 - 1 and got.where("verdict <> 'affected'").count() == 0
