@@ -13,14 +13,14 @@ from lakeaudit.operators import templates as M
 _SCORES = "round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1"
 
 
-@query("score_suite", f"""WITH e AS (SELECT DISTINCT o_orderkey % 500 AS target, 'rule-' || (o_custkey % 7) AS rule_id, 1 + o_custkey % 2 AS minimum FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_orderkey % 500, o_custkey % 7 ORDER BY o_custkey % 2) = 1), a AS (SELECT DISTINCT o_orderkey % 500 AS target, 'rule-' || (o_custkey % 7) AS rule_id FROM orders WHERE o_orderstatus = 'P' AND (o_orderkey % 500, 'rule-' || (o_custkey % 7)) NOT IN (SELECT (target, rule_id) FROM e)),
-  h AS (SELECT l_orderkey % 500 AS target, 'rule-' || (l_partkey % 9) AS rule_id, count(*) AS n FROM lineitem WHERE l_quantity > 48 GROUP BY ALL), x AS (SELECT coalesce(w.rule_id, h.rule_id) AS rule_id, wanted, minimum, coalesce(n, 0) AS n FROM (SELECT *, TRUE AS wanted FROM e UNION ALL SELECT *, NULL, FALSE FROM a) w FULL JOIN h ON w.target = h.target AND w.rule_id = h.rule_id)
+@query("score_suite", f"""WITH e AS (SELECT DISTINCT o_orderkey // 4 AS target, 'rule-' || (o_custkey % 7) AS rule_id, 1 + o_custkey % 2 AS minimum FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_orderkey // 4, o_custkey % 7 ORDER BY o_custkey % 2) = 1), a AS (SELECT DISTINCT o_orderkey // 4 AS target, 'rule-' || (o_custkey % 7) AS rule_id FROM orders WHERE o_orderstatus = 'P' AND (o_orderkey // 4, 'rule-' || (o_custkey % 7)) NOT IN (SELECT (target, rule_id) FROM e)),
+  h AS (SELECT l_orderkey // 4 AS target, 'rule-' || (l_partkey % 9) AS rule_id, count(*) AS n FROM lineitem GROUP BY ALL), x AS (SELECT coalesce(w.rule_id, h.rule_id) AS rule_id, wanted, minimum, coalesce(n, 0) AS n FROM (SELECT *, TRUE AS wanted FROM e UNION ALL SELECT *, NULL, FALSE FROM a) w FULL JOIN h ON w.target = h.target AND w.rule_id = h.rule_id)
   SELECT rule_id, tp, fn, fp + CASE WHEN covered > 0 THEN collateral ELSE 0 END AS fp, collateral, {_SCORES.replace('fp', '(fp + CASE WHEN covered > 0 THEN collateral ELSE 0 END)')} FROM (SELECT rule_id, count(*) FILTER (wanted AND n >= minimum) AS tp, count(*) FILTER (wanted AND n < minimum) AS fn, count(*) FILTER (NOT wanted AND n > 0) AS fp, coalesce(sum(n) FILTER (wanted IS NULL), 0) AS collateral, count(wanted) AS covered FROM x GROUP BY rule_id)""")
 def score_suite(spark, sf_dir) -> DataFrame:
-    o = A.table(spark, sf_dir, "orders").selectExpr("o_orderkey % 500 AS target", "concat('rule-', o_custkey % 7) AS rule_id", "cast(1 + o_custkey % 2 as int) AS minimum", "o_orderstatus AS s")
+    o = A.table(spark, sf_dir, "orders").selectExpr("o_orderkey div 4 AS target", "concat('rule-', o_custkey % 7) AS rule_id", "cast(1 + o_custkey % 2 as int) AS minimum", "o_orderstatus AS s")
     e = o.where("s = 'F'").groupBy("target", "rule_id").agg(F.min("minimum").alias("minimum"))
     a = o.where("s = 'P'").select("target", "rule_id").distinct().join(e, ["target", "rule_id"], "left_anti")
-    h = A.table(spark, sf_dir, "lineitem").where("l_quantity > 48").selectExpr("l_orderkey % 500 AS target", "concat('rule-', l_partkey % 9) AS rule_id")
+    h = A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey div 4 AS target", "concat('rule-', l_partkey % 9) AS rule_id")
     return Q.score_suite(e, a, h)
 
 
@@ -32,11 +32,11 @@ def score_labelled(spark, sf_dir) -> DataFrame:
     return Q.score_labelled(cases, docs.where(F.contains("text", F.lit("!!")) | F.contains("text", F.lit("***"))).select(F.col("doc_id").alias("case_id")))
 
 
-@query("judge_observations", """WITH e AS (SELECT o_custkey % 100 AS target, o_orderkey % 5 AS identity, count(*) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), a AS (SELECT l_suppkey % 100 AS target, CASE WHEN l_partkey % 8 = 7 THEN 0 ELSE l_partkey % 8 END AS identity, count(*) AS g FROM lineitem WHERE l_quantity > 40 GROUP BY ALL)
+@query("judge_observations", """WITH e AS (SELECT o_custkey AS target, o_orderkey % 5 AS identity, count(*) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), a AS (SELECT l_suppkey AS target, CASE WHEN l_partkey % 8 = 7 THEN 0 ELSE l_partkey % 8 END AS identity, count(*) AS g FROM lineitem GROUP BY ALL)
   SELECT target, sum(least(coalesce(c, 0), coalesce(g, 0))) AS tp, sum(greatest(0, coalesce(c, 0) - coalesce(g, 0))) AS fn, sum(greatest(0, coalesce(g, 0) - coalesce(c, 0))) AS fp FROM e FULL JOIN a USING (target, identity) GROUP BY target""")
 def judge_observations(spark, sf_dir) -> DataFrame:
-    e = A.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.expr("o_custkey % 100").alias("target"), F.expr("o_orderkey % 5").alias("identity")).agg(F.count("*").alias("count"))
-    a = A.table(spark, sf_dir, "lineitem").where("l_quantity > 40").selectExpr("l_suppkey % 100 AS target", "l_partkey % 8 AS identity")
+    e = A.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("target"), F.expr("o_orderkey % 5").alias("identity")).agg(F.count("*").alias("count"))
+    a = A.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS target", "l_partkey % 8 AS identity")
     v = a.select("target").distinct().selectExpr("target", "bigint(7) AS variant", "bigint(0) AS identity")
     return Q.judge_observations(e, a, v)
 
@@ -145,9 +145,9 @@ def dsl_functions(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("extract_strings", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[\\t -~]{4,}'), chr(10)) AS strings FROM documents WHERE lang = 'en'")
+@query("extract_strings", "SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), '[\\t -~]{4,}'), chr(10)) AS strings FROM documents")
 def extract_strings(spark, sf_dir) -> DataFrame:
-    docs = A.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
     return M.extract_strings(docs, "doc_id")
 
 
@@ -160,6 +160,23 @@ def detect_components(spark, sf_dir) -> DataFrame:
     return M.detect_components(A.corpus(spark, sf_dir).select("path", F.col("content").alias("strings")), _SIGNATURES)
 
 
+_BYTES = [M.BytePattern("tokenlib", "74 6f 6b 65 6e 20 3d 20 22 (?? ?? ?? ??)"), M.BytePattern("apache", "4c 69 63 65 6e 73 65 [1-4] 56 65 72 73 69 6f 6e 20 (3? 2e 3?)"), M.BytePattern("number", "(3? 3?) 2e 20 [0-6] 54 68")]
+
+
+@query("byte_versions", A.oracle("""SELECT DISTINCT path, product, trim(version) AS version FROM (SELECT path, 'tokenlib' AS product, unnest(regexp_extract_all(content, 'token = "([ -~]{4})', 1)) AS version FROM corpus UNION ALL SELECT path, 'apache', unnest(regexp_extract_all(content, '(?s)License[\\x00-\\x7f]{1,4}?Version ([0-?]\\.[0-?])', 1)) FROM corpus
+  UNION ALL SELECT path, 'number', unnest(regexp_extract_all(content, '(?s)([0-?][0-?])\\. [\\x00-\\x7f]{0,6}?Th', 1)) FROM corpus) WHERE trim(version) <> ''""", "corpus"))
+def byte_versions(spark, sf_dir) -> DataFrame:
+    return M.byte_versions(A.corpus(spark, sf_dir).select("path", F.encode("content", "utf-8").alias("content")), _BYTES)
+
+
+@query("detect_components_by_bytes", A.oracle("""WITH s AS (SELECT path, regexp_extract_all(content, 'Version ([0-9.]+[0-9])', 1) AS v, regexp_extract_all(content, 'token = "([ -~]{4})', 1) AS t, contains(content, 'Apache License') AS a, contains(content, 'token = ') AS k FROM corpus), x AS (SELECT path, 'apache' AS product, list_distinct(v) AS versions FROM s WHERE a UNION ALL SELECT path, 'tokenlib', list_filter(list_distinct(t), lambda x: x <> '24be') FROM s WHERE k)
+  SELECT path, product, unnest(CASE WHEN len(versions) > 0 THEN versions ELSE [NULL] END) AS version FROM x""", "corpus"))
+def detect_components_by_bytes(spark, sf_dir) -> DataFrame:
+    c = A.corpus(spark, sf_dir)
+    own = [(product, pattern, version if product == "apache" else "(?!)()", ignored) for product, pattern, version, ignored in _SIGNATURES]
+    return M.detect_components(c.select("path", F.col("content").alias("strings")), own, M.byte_versions(c.select("path", F.encode("content", "utf-8").alias("content")), _BYTES[:1]))
+
+
 @query("fold_components", "SELECT lower(p_brand) AS product, p_size AS version, count(DISTINCT p_name) AS paths, max(p_retailprice) AS confidence, arg_min(p_type, p_name || p_type) FILTER (p_partkey % 3 = 0) AS vendor FROM part GROUP BY 1, 2")
 def fold_components(spark, sf_dir) -> DataFrame:
     d = A.table(spark, sf_dir, "part").select(F.col("p_brand").alias("product"), F.col("p_size").alias("version"), F.col("p_name").alias("path"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise("").alias("vendor"), F.col("p_retailprice").alias("confidence"))
@@ -180,9 +197,9 @@ def attach_cves(spark, sf_dir) -> DataFrame:
     return out.groupBy("component", "cve").agg(F.max("severity_rank").alias("severity_rank"), F.count("*").alias("n"))
 
 
-@query("supersede_layers", """WITH d AS (SELECT DISTINCT l_partkey % 60 AS layer, l_linenumber % 2 AS root, l_suppkey % 3 AS kind FROM lineitem WHERE l_quantity > 45), s AS (SELECT DISTINCT o_custkey % 80 AS image, o_orderkey % 12 AS position, o_orderkey % 60 AS layer FROM orders)
+@query("supersede_layers", """WITH d AS (SELECT DISTINCT l_partkey AS layer, l_linenumber % 2 AS root, l_suppkey % 3 AS kind FROM lineitem), s AS (SELECT DISTINCT o_custkey AS image, o_orderkey % 12 AS position, o_orderkey // 8 AS layer FROM orders)
   SELECT layer, root, kind FROM d WHERE NOT EXISTS (SELECT 1 FROM (SELECT bool_and(EXISTS (SELECT 1 FROM s s2 JOIN d d2 ON d2.layer = s2.layer WHERE s2.image = s1.image AND d2.root = d.root AND d2.kind = d.kind AND s2.position > s1.position)) AS gone FROM s s1 WHERE s1.layer = d.layer) WHERE gone)""")
 def supersede_layers(spark, sf_dir) -> DataFrame:
-    d = A.table(spark, sf_dir, "lineitem").where("l_quantity > 45").selectExpr("l_partkey % 60 AS layer", "l_linenumber % 2 AS root", "l_suppkey % 3 AS kind").distinct()
-    s = A.table(spark, sf_dir, "orders").selectExpr("o_custkey % 80 AS image", "o_orderkey % 12 AS position", "o_orderkey % 60 AS layer").distinct()
+    d = A.table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS layer", "l_linenumber % 2 AS root", "l_suppkey % 3 AS kind").distinct()
+    s = A.table(spark, sf_dir, "orders").selectExpr("o_custkey AS image", "o_orderkey % 12 AS position", "o_orderkey div 8 AS layer").distinct()
     return M.supersede_layers(d, s).select("layer", "root", "kind")

@@ -9,6 +9,7 @@ from lakeaudit.functions import text as T
 from lakeaudit.jobs import adapters as A
 from lakeaudit.jobs.register import query
 from lakeaudit.operators import scan as S
+from lakeaudit.operators import scan_cache
 
 
 def _applies(r: S.Rule) -> str:
@@ -31,7 +32,8 @@ _HITS = " UNION ALL ".join(
 A.view("hits", _HITS, "corpus")
 _EXCLUDED = " OR ".join(f"(rule_id = '{r.rule_id}' AND regexp_matches(match_text, '{r.excluded}'))" for r in S.RULES if r.excluded)
 A.view("kept_hits", f"SELECT * FROM hits WHERE NOT ({_EXCLUDED})", "hits")
-_HELD = "list_aggregate(list_transform(list_distinct(string_split({0}, '')), lambda c: -len(list_filter(string_split({0}, ''), lambda x: x = c)) / length({0}) * log2(len(list_filter(string_split({0}, ''), lambda x: x = c)) / length({0}))), 'sum')"
+_BYTES = "len(list_filter(string_split({0}, ''), lambda x: x = c)) / strlen({0})"
+_HELD = f"coalesce(list_aggregate(list_transform(list_filter(list_distinct(string_split({{0}}, '')), lambda c: strlen(c) = 1), lambda c: -{_BYTES} * log2({_BYTES})), 'sum'), 0)"
 
 
 @query("applicable_rules", A.oracle(" UNION ALL ".join(f"SELECT project_id, '{r.rule_id}' AS rule_id, count(*) AS files FROM corpus WHERE {_applies(r)} GROUP BY ALL" for r in S.RULES), "corpus"))
@@ -118,6 +120,15 @@ def scan_distinct_content(spark, sf_dir) -> DataFrame:
     return S.scan_distinct_content(A.corpus(spark, sf_dir), lambda c: S.match_texts(c, rules)).groupBy("project_id", "path", "rule_id").agg(F.count("*").alias("n"))
 
 
+@query("scan_cached", A.oracle("SELECT project_id, path, rule_id, match_text, count(*) AS n FROM hits GROUP BY ALL", "hits"))
+def scan_cached(spark, sf_dir) -> DataFrame:
+    """The second of two runs: the first has seen the files of some languages, and files of the others with their contents."""
+    c, rules = A.corpus(spark, sf_dir), scan_cache.rules_hash(S.RULES)
+    seen = scan_cache.scan_cached(c.where("language IN ('python', 'java')"), S.match_texts, rules)[1]
+    hits, _ = scan_cache.scan_cached(c, S.match_texts, rules, seen)
+    return hits.groupBy("project_id", "path", "rule_id", "match_text").agg(F.count("*").alias("n"))
+
+
 @query("dedupe_revisions", A.oracle("SELECT project_id, rule_id, path, match_text, min(nth) AS nth FROM hits GROUP BY ALL", "hits"))
 def dedupe_revisions(spark, sf_dir) -> DataFrame:
     return S.dedupe_revisions(match_texts(spark, sf_dir).withColumnRenamed("nth", "k"), ["k"]).select("project_id", "rule_id", "path", "match_text", F.col("k").alias("nth"))

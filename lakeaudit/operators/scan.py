@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.functions import text as T
 from lakeaudit.functions.session import cut
+from lakeaudit.operators.scan_cache import scan_cached
 
 
 @dataclass(frozen=True)
@@ -232,12 +233,8 @@ def fingerprint(findings: DataFrame, run: list[str], order: list[str], version:
 
 
 def scan_distinct_content(corpus: DataFrame, scan) -> DataFrame:
-    """scan (DataFrame to DataFrame, by path) over one file of each content; its rows for every file that has it."""
-    hashed = corpus.withColumn("content_sha256", F.sha2("content", 256))
-    one = hashed.groupBy("content_sha256", "language").agg(F.min(F.struct("path", "project_id", "content")).alias("x"))
-    hits = scan(one.select("x.project_id", F.concat_ws("|", "content_sha256", "language").alias("path"), "language", "x.content")).withColumnRenamed("path", "key").drop("project_id", "language")
-    files = hashed.select("project_id", "path", "language", F.concat_ws("|", "content_sha256", "language").alias("key"))
-    return files.join(hits, "key").drop("key")
+    """scan (DataFrame to DataFrame, by path) over one file of each content; its rows for every file that has it. Contents aren't shuffled (see scan_cache)."""
+    return scan_cached(corpus, scan, "")[0].drop("language")
 
 
 def dedupe_revisions(findings: DataFrame, order: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,10 +126,92 @@ def extract_strings(binaries: DataFrame, id_col: str, content: str = "content",
     return binaries.select(id_col, F.array_join(F.concat(ascii_, wide), "\n").alias("strings"))
 
 
-def detect_components(files: DataFrame, signatures: list[tuple[str, str, str, tuple[str, ...]]]) -> DataFrame:
+@dataclass(frozen=True)
+class BytePattern:
+    """Bytes that carry a product's version: hex bytes, ``??`` for any one, ``3?`` or ``?3`` for a fixed half, ``[2-8]`` for a gap, brackets about the version.
+
+    The version is the captured bytes as text where all are printable, else their numbers with dots between.
+    """
+
+    product: str
+    pattern: str
+
+
+class ByteMatcher:
+    """Finds a BytePattern by its longest fixed run: only where that stands are the parts before and after it compared."""
+
+    TOKEN = re.compile(r"\s*(?:(\[)\s*(\d+)\s*-\s*(\d+)\s*\]|([()])|([0-9A-Fa-f?]{2}))")
+
+    def __init__(self, pattern: str):
+        parts: list[tuple[bytes, bytes | None, int]] = []  # regular expression, the byte if fixed, longest length
+        at = 0
+        while at < len(pattern.rstrip()):
+            m = self.TOKEN.match(pattern, at)
+            if not m:
+                raise ValueError(f"bad byte pattern: {pattern[at:]}")
+            at = m.end()
+            if m[1]:
+                if int(m[2]) > int(m[3]):
+                    raise ValueError(f"bad gap: {m[0]}")
+                parts.append((b".{%d,%d}?" % (int(m[2]), int(m[3])), None, int(m[3])))
+            elif m[4]:
+                parts.append((m[4].encode(), None, 0))
+            elif "?" not in m[5]:
+                raw = bytes.fromhex(m[5])
+                parts.append((re.escape(raw), raw, 1))
+            else:
+                held = bytes(x for x in range(256) if all(c in ("?", h) for c, h in zip(m[5].lower(), f"{x:02x}", strict=True)))
+                parts.append((b"." if len(held) == 256 else b"[" + b"".join(b"\\x%02x" % x for x in held) + b"]", None, 1))
+        runs, start = [], 0
+        for i, (_, raw, _) in enumerate([*parts, (b"", None, 0)]):
+            if raw is None:
+                runs.append((i - start, start))
+                start = i + 1
+        n, first = max(runs, key=lambda r: r[0])
+        if not n:
+            raise ValueError("a byte pattern needs a fixed byte")
+        join = lambda some: b"".join(p[0] for p in some)
+        if join(parts).count(b"(") != 1:
+            raise ValueError("a byte pattern needs one version in brackets")
+        self.anchor = b"".join(p[1] for p in parts[first : first + n])
+        self.reach = sum(p[2] for p in parts[:first])
+        self.whole = re.compile(join(parts), re.S)
+        self.exact = all(not p[0].endswith(b"}?") for p in parts[:first])
+
+    def versions(self, raw: bytes) -> list[str]:
+        out, at = [], raw.find(self.anchor)
+        while at >= 0:
+            for start in range(max(0, at - self.reach), at + 1) if not self.exact else [at - self.reach]:
+                m = self.whole.match(raw, start) if start >= 0 else None
+                if m:
+                    version = m[1].decode("ascii") if all(32 <= x < 127 for x in m[1]) else ".".join(map(str, m[1]))
+                    if version.strip() and version.strip() not in out:
+                        out.append(version.strip())
+            at = raw.find(self.anchor, at + 1)
+        return out
+
+
+def byte_versions(files: DataFrame, patterns: list[BytePattern], content: str = "content") -> DataFrame:
+    """path, product, version (each once) of what byte patterns find in a BINARY column. Null contents have none. One pass, no shuffle."""
+
+    def run(batches):
+        matchers = [(p.product, ByteMatcher(p.pattern)) for p in patterns]
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one content at a time
+                view = raw.as_py() or b""
+                rows += dict.fromkeys((path, product, v) for product, m in matchers if m.anchor in view for v in m.versions(view))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "product", "version"])
+
+    [ByteMatcher(p.pattern) for p in patterns]  # a bad one fails here, not in a task
+    return files.select("path", content).mapInArrow(run, "path string, product string, version string")
+
+
+def detect_components(files: DataFrame, signatures: list[tuple[str, str, str, tuple[str, ...]]], by_bytes: DataFrame | None = None) -> DataFrame:
     """path, product, version: files whose strings or name a signature finds; a row per distinct version, or a null one.
 
-    signatures: product, pattern of the content or name, version pattern (group 1), ignored versions.
+    signatures: product, pattern of the content or name, version pattern (group 1), ignored versions. by_bytes: versions that
+    byte_versions found; they count only for products that a signature found in the file, as bytes don't tell what it is.
     """
     found = []
     for product, pattern, version, ignored in signatures:
@@ -137,7 +220,15 @@ def detect_components(files: DataFrame, signatures: list[tuple[str, str, str, tu
         rows = F.transform(F.when(F.size(seen) > 0, seen).otherwise(F.array(F.lit(None).cast("string"))), _of(product))
         hit = F.col("strings").rlike(pattern) | F.substring_index("path", "/", -1).rlike(pattern)
         found.append(F.when(hit, rows).otherwise(F.array().cast("array<struct<product:string,version:string>>")))
-    return files.select("path", F.explode(F.concat(*found)).alias("x")).select("path", "x.*")
+    out = files.select("path", F.explode(F.concat(*found)).alias("x")).select("path", "x.*")
+    if by_bytes is None:
+        return out
+    ignored = F.lit(False)
+    for product, _, _, own in signatures:
+        ignored |= (F.col("product") == product) & F.col("version").isin(*own)
+    known = out.select("path", "product").distinct()
+    both = out.unionByName(by_bytes.where(~ignored).join(known, ["path", "product"], "left_semi")).groupBy("path", "product").agg(F.collect_set("version").alias("versions"))
+    return both.select("path", "product", F.explode(F.when(F.size("versions") > 0, F.array_sort("versions")).otherwise(F.array(F.lit(None).cast("string")))).alias("version"))
 
 
 def _of(product: str):

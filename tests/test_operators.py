@@ -3,8 +3,10 @@
 import datetime
 import hashlib
 import json
+import math
 import os
 import random
+import re
 import struct
 
 import pytest
@@ -18,6 +20,7 @@ from lakeaudit.operators import composition as C
 from lakeaudit.operators import lifecycle as L
 from lakeaudit.operators import quality as Q
 from lakeaudit.operators import scan as S
+from lakeaudit.operators import scan_cache
 from lakeaudit.operators import templates as M
 from lakeaudit.sinks import reports as R
 from lakeaudit.sources import readers
@@ -408,3 +411,64 @@ def test_a_hot_package_is_swept_without_pairs(spark):
     advs = spark.range(3000).selectExpr("concat('A', id) AS id", "'npm' AS ecosystem", "'hot' AS package", "cast(null AS string) AS withdrawn", "cast(array() AS array<string>) AS versions", f"{ranges} AS ranges")
     got = D.match_advisories(deps, advs)
     assert got.count() == 2 * 3000 - 1 and got.where("verdict <> 'affected'").count() == 0
+
+
+def test_byte_patterns(spark):
+    found = lambda pattern, raw: M.ByteMatcher(pattern).versions(raw)
+    assert found("00 01 (?? ??) ff", b"\x00\x01\x02\x03\xff..\x00\x01\x41\x42\xff\x00\x01\x02\x03\xff") == ["2.3", "AB"]
+    assert found("4? [0-2] aa bb (3?)", b"\x41\xaa\xbb7 \x4f\x00\x00\xaa\xbb8 \x51\xaa\xbb9 \x40...\xaa\xbb6") == ["7", "8"]
+    assert found("(??) 2e 2e 2e [1-3] ?a", b"1...x\x0a2....\x3a") == ["1", "2"] and found("0a (??)", b"\x0a") == [] and found("(0a) 0a", b"\x0a\x0a\x0a") == ["10"]
+    for bad in ("?? (??)", "0g", "00 [4-2] (??)", "00 01", "(00) (01)", "00 [1-"):
+        with pytest.raises(ValueError):
+            M.ByteMatcher(bad)
+    r = random.Random(1)
+    for _ in range(300):
+        raw = bytes(r.choice(b"abc\x00") for _ in range(60))
+        parts = [("61", b"a"), ("??", b"."), ("6?", b"[\x60-\x6f]"), ("[0-2]", b".{0,2}?"), ("00", b"\x00")]
+        chosen = [r.choice(parts) for _ in range(r.randrange(1, 4))] + [("62", b"b"), ("(??)", b"(.)")] + [r.choice(parts) for _ in range(r.randrange(2))]
+        whole = re.compile(b"".join(p for _, p in chosen), re.S)
+        want = {m[1] for i in range(len(raw)) if (m := whole.match(raw, i))}
+        assert set(found(" ".join(p for p, _ in chosen), raw)) == {v.decode().strip() if 32 <= v[0] < 127 else str(v[0]) for v in want}
+    files = spark.createDataFrame([("a", bytearray(b"\x01lib 7\x02\x05"), "lib 7"), ("b", bytearray(b"\x02\x09"), "other"), ("c", None, "lib"), ("d", bytearray(), "lib")], "path string, content binary, strings string")
+    by = M.byte_versions(files, [M.BytePattern("x", "02 (??)")])
+    assert {tuple(v) for v in by.collect()} == {("a", "x", "5"), ("b", "x", "9")}
+    assert {tuple(v) for v in M.detect_components(files, [("x", "lib", "lib ([0-9])", ("5",))], by).collect()} == {("a", "x", "7"), ("c", "x", None), ("d", "x", None)}
+
+
+def test_entropy_counts_bytes(spark):
+    texts = ["", "a", "aab", "é", "éa", "aé aé", "0123456789abcdef", "\x00\x00b"]
+    want = []
+    for t in texts:
+        raw = t.encode()
+        want.append(-sum(raw.count(b) / len(raw) * math.log2(raw.count(b) / len(raw)) for b in set(raw) if b < 128))
+    got = [r.e for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.shannon_entropy(F.col("t")).alias("e")).collect()]
+    assert got == pytest.approx(want)
+
+
+def test_second_run_scans_new_contents_alone(spark):
+    text = lambda i: f"mail{i % 40}@host{i % 40}.com" if i % 2 else f"nothing {i % 40}"
+    rows = [(f"p{i % 3}", f"d/{i}.{'py' if i % 5 else 'go'}", "python", text(i)) for i in range(400)] + [(None, "x.py", "python", None), ("p", None, None, text(1))]
+    schema = "project_id string, path string, language string, content string"
+    corpus, rules = spark.createDataFrame(rows, schema), scan_cache.rules_hash(S.RULES)
+    asked = spark.sparkContext.accumulator(0)
+
+    def scan(c):
+        def count(batches):
+            for b in batches:
+                asked.add(b.num_rows)
+                yield b
+
+        return S.scan_rules(c.mapInArrow(count, c.schema))
+
+    plain = lambda df: sorted(map(str, df.select("project_id", "path", "rule_id", "offset", "match_text", "context").collect()))
+    hits, first = scan_cache.scan_cached(corpus, scan, rules)
+    assert plain(hits) == plain(S.scan_rules(corpus)) and first.count() == asked.value < 100
+    more = corpus.unionByName(spark.createDataFrame([("q", "n.py", "python", "new@one.com"), ("q", "o.py", "python", text(1))], schema))
+    asked.value = 0
+    hits, fresh = scan_cache.scan_cached(more, scan, rules, first)
+    assert plain(hits) == plain(S.scan_rules(more)) and fresh.count() == 1 and asked.value <= 3
+    assert scan_cache.scan_cached(more, scan, "other rules", first)[1].count() == first.count() + 1
+    # A filter too small for its files lets all through, and changes nothing.
+    assert plain(scan_cache.scan_cached(more, scan, rules, first, bits=32)[0]) == plain(S.scan_rules(more))
+    assert scan_cache.scan_cached(corpus.limit(0), scan, rules)[1].count() == 0
+    assert scan_cache.rules_hash(S.RULES) == scan_cache.rules_hash(S.RULES[::-1]) != scan_cache.rules_hash(S.RULES[1:])
