@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeaudit.jobs import adapters as A
 from lakeaudit.jobs.register import query
 from lakeaudit.operators import lifecycle as L
+from lakeaudit.operators import pages
 
 A.view("coverage", "SELECT DISTINCT l_orderkey AS run_id, concat('src/f', CAST((l_partkey + l_linenumber) % 23 AS VARCHAR), '.py') AS path, CASE WHEN l_linestatus = 'O' THEN 'source' ELSE 'secrets' END AS family FROM lineitem")
 A.view("pairs", "SELECT c.run_id, arg_max(b.run_id, (b.completed_at, b.run_id)) AS baseline_run_id FROM runs c JOIN runs b ON c.project_id = b.project_id AND c.fingerprint_version = b.fingerprint_version AND b.status = 'completed' AND b.completed_at < c.started_at AND list_has_any(c.families, b.families) GROUP BY c.run_id", "runs")
@@ -166,6 +169,26 @@ def latest_covering_snapshot(spark, sf_dir) -> DataFrame:
     return L.latest_covering_snapshot(snapshots, ["secrets"], F.lit("1997-01-01").cast("timestamp")).select("project_id", F.col("snapshot_id").alias("run_id"))
 
 
+@query("latest_covering_snapshots", A.oracle("""WITH s AS (SELECT run_id, project_id % 40 AS project_id, completed_at, list_concat(families, ['k' || (run_id % 5), 'm' || (run_id % 7)]) AS keys FROM runs), q AS (SELECT o_orderkey AS request_id, o_custkey % 40 AS project_id, CASE o_orderkey % 4 WHEN 0 THEN ['secrets'] WHEN 1 THEN ['k' || (o_orderkey % 6), 'source'] WHEN 2 THEN ['k' || (o_orderkey % 5), 'm' || (o_orderkey % 7), 'secrets'] ELSE ['m' || (o_orderkey % 8), 'source', 'secrets'] END AS wanted, o_orderdate AS before FROM orders)
+  SELECT request_id, q.project_id, arg_max(run_id, (completed_at, run_id)) AS snapshot_id FROM q JOIN s ON q.project_id = s.project_id AND completed_at < before AND list_has_all(keys, wanted) GROUP BY ALL""", "runs"))
+def latest_covering_snapshots(spark, sf_dir) -> DataFrame:
+    """Orders as requests of several sets of keys against runs as snapshots."""
+    k = lambda letter, by, n: F.concat(F.lit(letter), (F.col(by) % n).cast("string"))
+    snapshots = A.runs(spark, sf_dir).select((F.col("project_id") % 40).alias("project_id"), F.col("run_id").alias("snapshot_id"), F.concat("families", F.array(k("k", "run_id", 5), k("m", "run_id", 7))).alias("keys"), F.col("completed_at").alias("taken_at"))
+    o, kind = A.table(spark, sf_dir, "orders"), F.col("o_orderkey") % 4
+    wanted = F.when(kind == 0, F.array(F.lit("secrets"))).when(kind == 1, F.array(k("k", "o_orderkey", 6), F.lit("source"))).when(kind == 2, F.array(k("k", "o_orderkey", 5), k("m", "o_orderkey", 7), F.lit("secrets"))).otherwise(F.array(k("m", "o_orderkey", 8), F.lit("source"), F.lit("secrets")))
+    return L.latest_covering_snapshots(snapshots, o.select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") % 40).alias("project_id"), wanted.alias("wanted"), F.col("o_orderdate").alias("before")))
+
+
+@query("ranked_page", A.oracle(f"SELECT run_id, number, severity, path, line, (SELECT count(*) FROM findings) AS total FROM findings ORDER BY {_RANKED} DESC, path, line, run_id, number LIMIT 50 OFFSET (SELECT count(*) * 9 // 10 FROM findings)", "findings"))
+def ranked_page(spark, sf_dir) -> DataFrame:
+    """A deep page, nine tenths down, of findings that are stored by rank."""
+    folder, order = f"{A.shared_folder(spark)}/ranked-{uuid.uuid4().hex}", L.page_order("severity")
+    pages.write_ranked(A.findings(spark, sf_dir).select("run_id", "number", "severity", "path", "line"), order, folder, 5_000)
+    ranked = pages.Ranked(spark, folder, order)
+    return ranked.page(ranked.total * 9 // 10, 50).withColumn("total", F.lit(ranked.total).cast("long"))
+
+
 @query("union_missing", A.oracle("SELECT fingerprint, rule_id, path, line FROM (SELECT DISTINCT fingerprint, rule_id, path, line FROM findings WHERE seen_at >= TIMESTAMP '1996-01-01') UNION ALL SELECT fingerprint, rule_id, path, line FROM (SELECT DISTINCT fingerprint, rule_id, path, line FROM findings WHERE seen_at < TIMESTAMP '1996-01-01') b WHERE NOT EXISTS (FROM findings c WHERE seen_at >= TIMESTAMP '1996-01-01' AND c.fingerprint = b.fingerprint AND c.line = b.line)", "findings"))
 def union_missing(spark, sf_dir) -> DataFrame:
     f, new = A.findings(spark, sf_dir), F.col("seen_at") >= F.lit("1996-01-01").cast("timestamp")

@@ -14,6 +14,8 @@ from lakeaudit.jobs.register import query
 from lakeaudit.operators import scan as S
 from lakeaudit.sinks import reports as R
 from lakeaudit.streaming import audit as U
+from lakeaudit.streaming.seen import SeenTable
+from lakeaudit.streaming.seen import stream_first_seen as stream_seen
 
 
 @query("export_sarif", A.oracle("SELECT run_id, count(*) AS results FROM findings GROUP BY run_id", "findings"))
@@ -102,6 +104,19 @@ def stream_new_findings(spark, sf_dir) -> DataFrame:
     return _drain(U.stream_new_findings(events, "ts", "3650 days")).agg(F.countDistinct("project_id", "fingerprint").alias("keys"), F.count("*").alias("rows"))
 
 
+@query("stream_first_seen", "SELECT user_id AS project_id, event_type AS fingerprint, min(CAST(ts AS TIMESTAMP)) AS first_seen FROM events GROUP BY ALL")
+def stream_first_seen(spark, sf_dir) -> DataFrame:
+    """The events as findings, twice by two queries over one table of seen keys: the second run finds nothing new."""
+    folder = f"{A.shared_folder(spark)}/seen-{uuid.uuid4().hex}"
+    events = lambda: _stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("project_id"), F.col("event_type").alias("fingerprint"))
+    table = SeenTable(spark, folder, ["project_id", "fingerprint"], "ts", "36500 days")
+    stream_seen(events(), table, f"{folder}/state0").awaitTermination()
+    # The next query goes on in the same table, after the first one's batches.
+    last = max(table._numbers("seen"))
+    events().writeStream.foreachBatch(lambda batch, n: table.take(batch, last + 1 + n)).option("checkpointLocation", f"{folder}/state1").trigger(availableNow=True).start().awaitTermination()
+    return table.new().select("project_id", "fingerprint", F.col("ts").alias("first_seen"))
+
+
 @query("stream_monitor", A.oracle("SELECT run_id, ecosystem, name, version, advisory_id FROM unreported", "unreported"))
 def stream_monitor(spark, sf_dir) -> DataFrame:
     """The advisories as a stream, whose matches are appended to what was reported; run twice, the second run adds nothing."""

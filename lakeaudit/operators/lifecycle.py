@@ -195,6 +195,22 @@ def latest_covering_snapshot(snapshots: DataFrame, wanted: list[str], before: Co
     return top_one(snapshots.where(covers & (F.col("taken_at") < before)), ["project_id"], [F.desc("taken_at"), F.desc("snapshot_id")])
 
 
+def latest_covering_snapshots(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each request (request_id, project_id, wanted, before): the newest snapshot of its project, taken before, whose keys hold all wanted ones.
+
+    A containment join by an inverted index: a request looks up the rarest of its wanted keys alone, by how many snapshots
+    of the project hold it, and only those snapshots are compared whole. A request that wants nothing, or a key that no
+    snapshot has, gets none, nor does one with a null among its keys. snapshots: project_id, snapshot_id, keys, taken_at.
+    """
+    index = snapshots.select("project_id", "snapshot_id", "taken_at", "keys", F.explode(F.array_distinct("keys")).alias("key"))
+    held = index.groupBy("project_id", "key").agg(F.count("*").alias("n"))
+    each = requests.select("request_id", "project_id", F.explode(F.array_distinct("wanted")).alias("key")).join(held, ["project_id", "key"], "left")
+    rarest = each.groupBy("request_id", "project_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("x")).where(F.col("x.n") > 0)
+    asked = requests.join(rarest.select("request_id", "project_id", F.col("x.key").alias("key")), ["request_id", "project_id"])
+    met = asked.join(index, ["project_id", "key"]).where((F.col("taken_at") < F.col("before")) & (F.size(F.array_except("wanted", "keys")) == 0))
+    return met.groupBy("request_id", "project_id").agg(F.max(F.struct("taken_at", "snapshot_id")).alias("x")).select("request_id", "project_id", "x.snapshot_id")
+
+
 def union_missing(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:
     """Current rows and the baseline's that have no current one."""
     return current.unionByName(baseline.join(current.select(*keys), keys, "left_anti"))

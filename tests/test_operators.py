@@ -18,12 +18,14 @@ from lakeaudit.functions import versions as V
 from lakeaudit.operators import advisories as D
 from lakeaudit.operators import composition as C
 from lakeaudit.operators import lifecycle as L
+from lakeaudit.operators import pages
 from lakeaudit.operators import quality as Q
 from lakeaudit.operators import scan as S
 from lakeaudit.operators import scan_cache
 from lakeaudit.operators import templates as M
 from lakeaudit.sinks import reports as R
 from lakeaudit.sources import readers
+from lakeaudit.streaming.seen import SeenTable, stream_first_seen
 from lakeaudit.streaming import audit as U
 
 PATHS = [
@@ -472,3 +474,58 @@ def test_second_run_scans_new_contents_alone(spark):
     assert plain(scan_cache.scan_cached(more, scan, rules, first, bits=32)[0]) == plain(S.scan_rules(more))
     assert scan_cache.scan_cached(corpus.limit(0), scan, rules)[1].count() == 0
     assert scan_cache.rules_hash(S.RULES) == scan_cache.rules_hash(S.RULES[::-1]) != scan_cache.rules_hash(S.RULES[1:])
+
+
+def test_first_seen_outlives_watermarks_and_restarts(spark, tmp_path):
+    t = lambda day: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=day)
+    schema, source = "project_id string, fingerprint string, seen timestamp", str(tmp_path / "in")
+    table = SeenTable(spark, str(tmp_path / "seen"), ["project_id", "fingerprint"], "seen", "30 days", fold_every=2)
+
+    def run(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        stream_first_seen(spark.readStream.schema(schema).parquet(source), table, str(tmp_path / "state")).awaitTermination()
+        return {(r.fingerprint, r.seen, r.batch) for r in table.new().collect()}
+
+    assert run(("p", "a", t(1)), ("p", "a", t(0)), ("p", None, t(0)), (None, "z", t(0)), ("p", "n", None)) == {("a", t(0), 0)}
+    assert run(("p", "a", t(20)), ("p", "b", t(2)), ("q", "a", t(3))) == {("a", t(0), 0), ("b", t(2), 1), ("a", t(3), 1)}
+    # Far later than any watermark would keep it, and earlier than what came before: not new. After the retention: new.
+    got = run(("p", "a", t(49)), ("p", "b", t(1)), ("q", "a", t(40)), ("p", "c", t(0)))
+    assert got - {("a", t(0), 0), ("b", t(2), 1), ("a", t(3), 1)} == {("a", t(40), 2), ("c", t(0), 2)}
+    before = table.new().count()
+    assert table._numbers("folded") == [1]
+    # A batch that runs again, and one after a restart, agree with the first time.
+    table.take(spark.createDataFrame([("p", "a", t(49)), ("p", "b", t(1)), ("q", "a", t(40)), ("p", "c", t(0))], schema), 2)
+    assert table.new().count() == before
+    again = SeenTable(spark, str(tmp_path / "seen"), ["project_id", "fingerprint"], "seen", "30 days", fold_every=2)
+    again.take(spark.createDataFrame([("p", "c", t(60)), ("p", "a", t(60)), ("p", "d", t(61))], schema), 3)
+    assert {(r.fingerprint, r.batch) for r in again.new().where("batch = 3").collect()} == {("c", 3), ("d", 3)} and again._numbers("folded") == [1, 3]
+
+
+def test_pages_by_rank_read_their_range(spark, tmp_path):
+    order = [F.desc("a"), F.asc("b")]
+    rows = [(i * 7 % 100, i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    pages.write_ranked(df, order, str(tmp_path), per=500)
+    ranked, want = pages.Ranked(spark, str(tmp_path), order), sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert ranked.total == 5000 and len(ranked.ranges) >= 8
+    for offset, limit in ((0, 10), (4950, 100), (2345, 700), (9999, 1), (499, 2), (17, 0)):
+        page = ranked.page(offset, limit)
+        assert [tuple(r) for r in page.collect()] == want[offset : offset + limit]
+        if limit <= 10:
+            assert len(ranked.holding(offset, limit)[0]) <= 2
+            assert offset > 5000 or not limit or re.search(r"PartitionFilters: \[[^\]]*_range", page._jdf.queryExecution().executedPlan().toString())
+    pages.write_ranked(df.limit(0), order, str(tmp_path / "none"))
+    assert pages.Ranked(spark, str(tmp_path / "none"), order).page(0, 5).count() == 0
+
+
+def test_covering_snapshots_of_many_sets(spark):
+    r = random.Random(2)
+    snaps = [(f"p{i % 3}", i, r.sample(["a", "b", "c", "d", "rare"], r.randrange(5)), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=r.randrange(50))) for i in range(200)]
+    asks = [(i, f"p{i % 4}", r.sample(["a", "b", "c", "d", "rare", "none"], r.randrange(4)), datetime.datetime(2024, 1, 1) + datetime.timedelta(days=r.randrange(60))) for i in range(150)]
+    got = L.latest_covering_snapshots(spark.createDataFrame(snaps, "project_id string, snapshot_id int, keys array<string>, taken_at timestamp"), spark.createDataFrame(asks, "request_id int, project_id string, wanted array<string>, before timestamp"))
+    want = {}
+    for i, p, wanted, before in asks:
+        met = [(at, s) for project, s, keys, at in snaps if project == p and at < before and wanted and set(wanted) <= set(keys)]
+        if met:
+            want[i] = max(met)[1]
+    assert {x.request_id: x.snapshot_id for x in got.collect()} == want and len(want) > 50
