@@ -39,6 +39,7 @@ HINTS = 500_000  #: common shingles that are broadcast for the order, the most c
 BROADCAST_IDS = 1_000_000
 BLOCK_SHINGLES = 1 << 18
 BLOCK_ROWS = 2048
+STRIPE = 256
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -206,7 +207,8 @@ def block_links(asks: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent
         a, b = np.searchsorted(token, [lo, lo + width])
         lists[:] = 0
         lists[row[a:b], token[a:b] - lo] = 1
-        overlap += lists[own] @ lists.T
+        for at in range(0, len(own), STRIPE):  # the product of a stripe alone is held beside the counts
+            overlap[at : at + STRIPE] += lists[own[at : at + STRIPE]] @ lists.T
     label, found = np.arange(len(sizes)), []
     for k, i in enumerate(own.tolist()):
         near = np.flatnonzero(overlap[k] * (100 + percent) >= percent * (sizes[i] + sizes))

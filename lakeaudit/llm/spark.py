@@ -104,8 +104,13 @@ def small_batches(spark: SparkSession, most: str = "8m") -> None:
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a worker lives on after its task, beside those of the next stages."""
+    """Return freed memory to the system: a worker lives on after its task, beside those of the next stages.
+
+    Arrow's memory comes from the system's allocator from then on, so that what it frees can be trimmed, too.
+    """
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())
+    pa.set_cpu_count(1)  # a task has one core; each of more threads would keep an arena
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
