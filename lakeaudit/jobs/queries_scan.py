@@ -10,6 +10,7 @@ from lakeaudit.jobs import adapters as A
 from lakeaudit.jobs.register import query
 from lakeaudit.operators import scan as S
 from lakeaudit.operators import scan_cache
+from lakeaudit.operators.rules import SOURCE_RULES, TABLE
 
 
 def _applies(r: S.Rule) -> str:
@@ -120,6 +121,19 @@ def scan_distinct_content(spark, sf_dir) -> DataFrame:
     return S.scan_distinct_content(A.corpus(spark, sf_dir), lambda c: S.match_texts(c, rules)).groupBy("project_id", "path", "rule_id").agg(F.count("*").alias("n"))
 
 
+_PLANTED = ", ".join(f"({2 * i + k}, $p${text}$p$, '{(t[1] or ('text',))[0]}')" for i, t in enumerate(TABLE) for k, text in enumerate(t[6:8]))
+A.view("planted", f"SELECT doc_id, v.language, coalesce(text, '') || chr(10) || v.line || chr(10) AS content FROM documents JOIN (VALUES {_PLANTED}) v(n, line, language) ON doc_id % {2 * len(TABLE)} = v.n")
+
+
+@query("scan_source_rules", A.oracle(" UNION ALL ".join(f"SELECT doc_id, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(content, $p${r.pattern}$p$)) AS m FROM planted WHERE {_applies(r)}) GROUP BY ALL" for r in SOURCE_RULES), "planted"))
+def scan_source_rules(spark, sf_dir) -> DataFrame:
+    """The documents as files of many languages, each with a line that a rule finds or nearly finds."""
+    lines = F.array(*(F.struct(F.lit(text).alias("line"), F.lit((t[1] or ("text",))[0]).alias("language")) for t in TABLE for text in t[6:8]))
+    docs = A.table(spark, sf_dir, "documents").withColumn("x", F.element_at(lines, (F.col("doc_id") % (2 * len(TABLE)) + 1).cast("int")))
+    files = docs.select(F.col("doc_id").alias("project_id"), F.col("doc_id").cast("string").alias("path"), "x.language", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.col("x.line"), F.lit("\n")).alias("content"))
+    return S.scan_rules(files, SOURCE_RULES).groupBy(F.col("project_id").alias("doc_id"), "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 @query("scan_cached", A.oracle("SELECT project_id, path, rule_id, match_text, count(*) AS n FROM hits GROUP BY ALL", "hits"))
 def scan_cached(spark, sf_dir) -> DataFrame:
     """The second of two runs: the first has seen the files of some languages, and files of the others with their contents."""

@@ -1,6 +1,7 @@
 """Rule scans over text: which rules apply, their matches and places, filters over hits, redaction, fingerprints.
 
-Rules are a small table, kept as a list on the driver and compiled once per task; files are never joined with rules. A
+Rules are a small table, kept as a list on the driver and compiled once per task, with one automaton over the literals of
+a language's rules; files are never joined with rules. A
 match is its group 1 where that took part, else the whole. Offsets and columns are bytes, lines and columns from 1.
 """
 
@@ -13,6 +14,10 @@ from functools import reduce
 from itertools import accumulate
 from operator import or_
 
+try:
+    import ahocorasick
+except ImportError:  # then every literal is looked for on its own
+    ahocorasick = None
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,26 +150,76 @@ class Places:
         return "\n".join(f"{i:>5} │ {self.content[self.starts[i - 1] : end(i)]}" for i in range(lo, hi + 1))
 
 
+class RuleSet:
+    """The rules of one language, compiled, and one automaton over all of their literals: a content is read once for them.
+
+    A rule without literals always runs; literals of one or two characters, which nearly every content holds, are looked
+    for one by one. A rule whose pattern begins with its literal runs from the first place of it on.
+    """
+
+    def __init__(self, rules: tuple[Rule, ...], language: str | None):
+        own = [r for r in rules if not r.languages or language in r.languages]
+        self.rules = [(r, re.compile(r.pattern, re.A), tuple(e.lower() for e in r.extensions)) for r in own]
+        self.always = [i for i, r in enumerate(own) if not r.literals]
+        self.short = [(x, i) for i, r in enumerate(own) for x in r.literals if len(x) < 3 or ahocorasick is None]
+        self.leads = [bool(r.literals) and all(re.sub(r"\\(.)", r"\1", r.pattern.removeprefix(r"\b")).startswith(x) for x in r.literals) for r in own]
+        of: dict[str, list[int]] = {}
+        for i, r in enumerate(own):
+            for x in r.literals:
+                if len(x) > 2:
+                    of.setdefault(x, []).append(i)
+        self.automaton = None
+        if of and ahocorasick is not None:
+            self.automaton = ahocorasick.Automaton()
+            for x, found in of.items():
+                self.automaton.add_word(x, (len(x), tuple(found)))
+            self.automaton.make_automaton()
+
+    def started(self, content: str) -> dict[int, int]:
+        """The rules to run, and where from."""
+        out = dict.fromkeys(self.always, 0)
+        for x, i in self.short:
+            at = content.find(x)
+            if at >= 0:
+                out[i] = min(at if self.leads[i] else 0, out.get(i, at))
+        if self.automaton is not None:
+            for end, (n, found) in self.automaton.iter(content):
+                for i in found:
+                    if i not in out:
+                        out[i] = end + 1 - n if self.leads[i] else 0
+        return dict(sorted(out.items()))
+
+    def hits(self, content: str, path: str | None):
+        """(rule, match, group) of every match, by rule."""
+        for i, start in self.started(content).items():
+            rule, pattern, endings = self.rules[i]
+            if not endings or (path or "").lower().endswith(endings):
+                for m in pattern.finditer(content, start):
+                    yield rule, m, 1 if pattern.groups and m[1] is not None else 0
+
+
 def scan_rules(corpus: DataFrame, rules: tuple[Rule, ...] = RULES, context: int = 2) -> DataFrame:
     """Hits with places: project_id, path, language, category, rule_id, severity, cwe, offset, line, col, match_text, context."""
     names = ["project_id", "path", "language", "category", "rule_id", "severity", "cwe", "offset", "line", "col", "match_text", "context"]
     kinds = {c: t for c, t in corpus.dtypes if c in ("project_id", "path", "language")}
 
     def run(batches):
-        compiled = [(r, re.compile(r.pattern, re.A), tuple(e.lower() for e in r.extensions)) for r in rules]
+        sets: dict[str | None, RuleSet] = {}
         for batch in batches:
             cols: list[list] = [[] for _ in names]
-            for project, path, language, content in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for row in range(batch.num_rows):  # one content at a time
+                content = batch.column(3)[row].as_py()
+                if not content:
+                    continue
+                project, path, language = (batch.column(i)[row].as_py() for i in range(3))
+                if language not in sets:
+                    sets[language] = RuleSet(rules, language)
                 places = None
-                for r, pattern, endings in compiled:
-                    if not content or r.languages and language not in r.languages or endings and not (path or "").lower().endswith(endings) or r.literals and not any(x in content for x in r.literals):
-                        continue
-                    for m in pattern.finditer(content):
-                        k = 1 if pattern.groups and m[1] is not None else 0
-                        places = places or Places(content)
-                        offset, line, col = places.at(m.start(k))
-                        for c, v in zip(cols, (project, path, language, r.category, r.rule_id, r.severity, r.cwe, offset, line, col, m[k], places.around(line, context)), strict=True):
-                            c.append(v)
+                for r, m, k in sets[language].hits(content, path):
+                    places = places or Places(content)
+                    offset, line, col = places.at(m.start(k))
+                    for c, v in zip(cols, (project, path, language, r.category, r.rule_id, r.severity, r.cwe, offset, line, col, m[k], places.around(line, context)), strict=True):
+                        c.append(v)
             types = [batch.column(0).type, *[pa.string()] * 6, *[pa.int64()] * 3, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 

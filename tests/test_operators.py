@@ -23,6 +23,7 @@ from lakeaudit.operators import quality as Q
 from lakeaudit.operators import scan as S
 from lakeaudit.operators import scan_cache
 from lakeaudit.operators import templates as M
+from lakeaudit.operators.rules import SOURCE_RULES, TABLE
 from lakeaudit.sinks import reports as R
 from lakeaudit.sources import readers
 from lakeaudit.streaming.seen import SeenTable, stream_first_seen
@@ -529,3 +530,33 @@ def test_covering_snapshots_of_many_sets(spark):
         if met:
             want[i] = max(met)[1]
     assert {x.request_id: x.snapshot_id for x in got.collect()} == want and len(want) > 50
+
+
+def test_source_rules_have_fixtures(spark):
+    assert len(SOURCE_RULES) > 90 and len({r.rule_id for r in SOURCE_RULES}) == len(SOURCE_RULES) and not S.validate_rules(S.rule_table(spark, SOURCE_RULES)).count()
+    rows = [("p", f"{t[0]}__{kind}", (t[1] or ("text",))[0], f"é x\n{text}\n") for t in TABLE for kind, text in zip(("positive", "negative"), t[6:8], strict=True)]
+    corpus = spark.createDataFrame(rows, "project_id string, path string, language string, content string")
+    for hits in (S.scan_rules(corpus, SOURCE_RULES), S.match_texts(corpus, SOURCE_RULES)):
+        found = {(r.path, r.rule_id) for r in hits.select("path", "rule_id").collect()}
+        for t in TABLE:
+            assert (f"{t[0]}__positive", t[0]) in found and (f"{t[0]}__negative", t[0]) not in found, t[0]
+
+
+@pytest.mark.parametrize("automaton", [True, False])
+def test_one_automaton_finds_what_rules_find_alone(monkeypatch, automaton):
+    """Random texts of pieces of rules and fixtures: the same matches as every rule run over the whole of each."""
+    if not automaton:
+        monkeypatch.setattr(S, "ahocorasick", None)
+    rules = S.RULES + SOURCE_RULES
+    pieces = [x for r in rules for x in r.literals] + [x for t in TABLE for x in t[6:8]] + [x for both in FIXTURES.values() for x in both] + ["\n", " ", "x", '"', "= ", "(", "é"]
+    r = random.Random(6)
+    sets = {k: S.RuleSet(rules, k) for k in ("python", "java", None)}
+    for _ in range(400):
+        text, language = "".join(r.choice(pieces) for _ in range(r.randrange(30))), r.choice([*sets])
+        got = [(rule.rule_id, m.start(k), m[k]) for rule, m, k in sets[language].hits(text, "a.py")]
+        want = []
+        for rule in rules:
+            if (not rule.languages or language in rule.languages) and (not rule.extensions or ".py" in rule.extensions):
+                pattern = re.compile(rule.pattern, re.A)
+                want += [(rule.rule_id, m.start(k), m[k]) for m in pattern.finditer(text) for k in [1 if pattern.groups and m[1] is not None else 0]]
+        assert got == want
