@@ -73,7 +73,10 @@ def drop_superseded(spark, sf_dir) -> DataFrame:
     return S.drop_superseded(S.drop_excluded(S.scan_rules(A.corpus(spark, sf_dir)))).groupBy("project_id", "rule_id").agg(F.count("*").alias("n"))
 
 
-@query("scan_secrets", A.oracle(f"SELECT * FROM (SELECT project_id, path, rule_id, match_text, round({_HELD.format('match_text')}, 6) AS entropy FROM kept_hits WHERE category = 'secrets') WHERE (rule_id <> 'hardcoded-token' OR entropy >= 2.5) AND NOT regexp_matches(match_text, '{T.PLACEHOLDER}')", "kept_hits"))
+_FLOORS = " AND ".join(f"(rule_id <> '{r.rule_id}' OR entropy >= {r.min_entropy})" for r in S.SECRET_RULES if r.min_entropy is not None)
+
+
+@query("scan_secrets", A.oracle(f"SELECT * FROM (SELECT project_id, path, rule_id, match_text, round({_HELD.format('match_text')}, 6) AS entropy FROM kept_hits WHERE category = 'secrets') WHERE ({_FLOORS}) AND NOT regexp_matches(match_text, '{T.PLACEHOLDER}')", "kept_hits"))
 def scan_secrets(spark, sf_dir) -> DataFrame:
     return S.secret_values(S.drop_excluded(S.match_texts(A.corpus(spark, sf_dir), S.SECRET_RULES))).select("project_id", "path", "rule_id", "match_text", "entropy")
 

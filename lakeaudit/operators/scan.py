@@ -72,6 +72,24 @@ RULES = (
     Rule("telegram-token", r"(?:^|[^0-9])([0-9]{8,10}:AA[A-Za-z0-9_-]{33})", literals=(":AA",), **_SECRET),
     Rule("web-token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", literals=("eyJ",), **(_SECRET | {"severity": "high"})),
     Rule("storage-account-key", r"AccountKey=([A-Za-z0-9+/]{86}==)", literals=("AccountKey=",), **_SECRET),
+    Rule("openai-key", r"sk-(?:proj-)?[A-Za-z0-9]{40,}", literals=("sk-",), min_entropy=3.0, **_SECRET),
+    Rule("anthropic-key", r"sk-ant-[a-z0-9]{3,8}-[A-Za-z0-9_-]{40,}", literals=("sk-ant-",), min_entropy=3.0, **_SECRET),
+    Rule("docker-token", r"dckr_pat_[A-Za-z0-9_-]{27}", literals=("dckr_pat_",), **_SECRET),
+    Rule("databricks-token", r"dapi[0-9a-f]{32}", literals=("dapi",), min_entropy=2.5, **_SECRET),
+    Rule("vault-token", r"hv[sb]\.[A-Za-z0-9_-]{24,}", literals=("hvs.", "hvb."), **_SECRET),
+    Rule("terraform-token", r"[A-Za-z0-9]{14}\.atlasv1\.[A-Za-z0-9_-]{60,}", literals=(".atlasv1.",), **_SECRET),
+    Rule("airtable-token", r"pat[A-Za-z0-9]{14}\.[0-9a-f]{64}", literals=("pat",), min_entropy=3.0, **_SECRET),
+    Rule("asana-token", r"[0-9]/[0-9]{16}:[0-9a-f]{32}", literals=(":",), min_entropy=2.5, **_SECRET),
+    Rule("atlassian-token", r"ATATT3[A-Za-z0-9_=-]{60,}", literals=("ATATT3",), **_SECRET),
+    Rule("discord-webhook", r"https://discord(?:app)?\.com/api/webhooks/[0-9]{17,20}/[A-Za-z0-9_-]{60,}", literals=("/api/webhooks/",), **_SECRET),
+    Rule("slack-webhook", r"https://hooks\.slack\.com/services/T[A-Z0-9]{8,}/B[A-Z0-9]{8,}/[A-Za-z0-9]{20,}", literals=("hooks.slack.com",), **_SECRET),
+    Rule("dropbox-token", r"sl\.[A-Za-z0-9_-]{130,}", literals=("sl.",), min_entropy=3.0, **_SECRET),
+    Rule("mailgun-key", r"key-[0-9a-f]{32}", literals=("key-",), min_entropy=2.5, **_SECRET),
+    Rule("mailchimp-key", r"[0-9a-f]{32}-us[0-9]{1,2}", literals=("-us",), min_entropy=2.5, **_SECRET),
+    Rule("twilio-key", r"SK[0-9a-f]{32}", literals=("SK",), min_entropy=2.5, **_SECRET),
+    Rule("rubygems-key", r"rubygems_[0-9a-f]{48}", literals=("rubygems_",), **_SECRET),
+    Rule("sentry-token", r"sntrys_[A-Za-z0-9+/=_-]{40,}", literals=("sntrys_",), **_SECRET),
+    Rule("age-secret-key", r"AGE-SECRET-KEY-1[0-9A-Z]{58}", literals=("AGE-SECRET-KEY-1",), **_SECRET),
     Rule("url-password", r"[a-z][a-z0-9+.-]*://[^\s:/@]{1,64}:([^\s:/@]{4,64})@", literals=("://",), **(_SECRET | {"severity": "high"})),
 )
 SECRET_RULES = tuple(r for r in RULES if r.category == "secrets")

@@ -198,6 +198,11 @@ FIXTURES = {
     "google-api-key": ("AIza" + _A[:35], "AIza" + _A[:34]), "stripe-key": ("sk_live_" + _A[:24], "sk_test_" + _A[:24]), "npm-token": ("npm_" + _A[:36], "npm_" + _A[:30]), "pypi-token": ("pypi-AgEIcHlwaS5vcmc" + _A[:50], "pypi-AgEIcHlwaS5vcmc" + _A[:20]), "sendgrid-key": (f"SG.{_A[:22]}.{_A[:43]}", f"SG.{_A[:22]}.{_A[:40]}"),
     "huggingface-token": ("hf_" + "aB" * 17, "hf_" + "a1" * 17), "figma-token": ("figd_" + _A[:40], "figd_" + _A[:39]), "grafana-token": (f"glsa_{_A[:32]}_0123abcd", f"glsa_{_A[:32]}_0123"), "linear-key": ("lin_api_" + _A[:40], "lin_api_" + _A[:10]), "newrelic-key": ("NRAK-" + "Q7Z" * 9, "NRAK-" + "Q7z" * 9),
     "postman-key": (f"PMAK-{'0a' * 12}-{'1b' * 17}", f"PMAK-{'0a' * 12}"), "square-token": ("sq0atp-" + _A[:22], "sq0xyz-" + _A[:22]), "shopify-token": ("shpat_" + "0aF1" * 8, "shpat_" + "0aG1" * 8), "digitalocean-token": ("dop_v1_" + "0a" * 32, "dop_v1_" + "0a" * 20), "telegram-token": ("bot 123456789:AA" + _A[:33], "bot 1234:AA" + _A[:33]),
+    "openai-key": ("sk-proj-" + _A[:40], "sk-proj-" + _A[:30]), "anthropic-key": ("sk-ant-api03-" + _A[:40], "sk-ant-api03-" + _A[:30]), "docker-token": ("dckr_pat_" + _A[:27], "dckr_pat_" + _A[:20]), "databricks-token": ("dapi" + "0a1b" * 8, "dapi" + "0a1b" * 7), "vault-token": ("hvs." + _A[:24], "hvs." + _A[:20]),
+    "terraform-token": (f"{_A[:14]}.atlasv1.{_A[:60]}", f"{_A[:14]}.atlasv1.{_A[:50]}"), "airtable-token": (f"pat{_A[:14]}.{'0a' * 32}", f"pat{_A[:14]}.{'0a' * 30}"), "asana-token": ("1/1234567890123456:" + "0a1b" * 8, "1/1234567890123456:" + "0a1b" * 7), "atlassian-token": ("ATATT3" + _A[:60], "ATATT3" + _A[:50]),
+    "discord-webhook": ("https://discord.com/api/webhooks/123456789012345678/" + _A[:60], "https://discord.com/api/webhooks/1234/" + _A[:60]), "slack-webhook": ("https://hooks.slack.com/services/T12345678/B12345678/" + _A[:20], "https://hooks.slack.com/services/T1/B1/" + _A[:20]), "dropbox-token": ("sl." + (_A + _A)[:130], "sl." + _A[:100]),
+    "mailgun-key": ("key-" + "0a1b" * 8, "key-" + "0a1g" * 8), "mailchimp-key": ("0a1b" * 8 + "-us12", "0a1b" * 8 + "-eu12"), "twilio-key": ("SK" + "0a1b" * 8, "SK" + "0a1b" * 7), "rubygems-key": ("rubygems_" + "0a1b" * 12, "rubygems_" + "0a1b" * 10), "sentry-token": ("sntrys_" + _A[:40], "sntrys_" + _A[:30]),
+    "age-secret-key": ("AGE-SECRET-KEY-1" + "Q7" * 29, "AGE-SECRET-KEY-1" + "q7" * 29),
     "web-token": (f"eyJ{_A[:12]}.eyJ{_A[:12]}.{_A[:12]}", f"eyJ{_A[:12]}.{_A[:12]}"), "storage-account-key": ("AccountKey=" + _A[:86] + "==", "AccountKey=" + _A[:80] + "=="), "url-password": ("db://ann:s3cret@host/x", "db://host:5432/x"),
 }
 
