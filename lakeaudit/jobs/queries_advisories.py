@@ -188,11 +188,11 @@ def import_usage(spark, sf_dir) -> DataFrame:
     return D.usage_index(A.project(spark, sf_dir, "part", _SOURCE))
 
 
-@query("referenced_functions", A.oracle("SELECT DISTINCT project_id, fn AS function FROM corpus, (SELECT unnest(['thtion', 'ereaho', 'ndthing', 'zzzz']) AS fn) WHERE contains(content, fn)", "corpus"))
+@query("referenced_functions", A.oracle("""WITH w AS (SELECT DISTINCT 'src' || (doc_id % 20) AS project_id, regexp_extract(text, '[a-z]{7,}') AS fn FROM documents) SELECT DISTINCT w.project_id, fn AS function FROM w JOIN corpus c ON c.project_id = w.project_id AND contains(content, fn) WHERE fn <> ''""", "corpus"))
 def referenced_functions(spark, sf_dir) -> DataFrame:
-    corpus = A.corpus(spark, sf_dir)
-    wanted = corpus.select("project_id").distinct().withColumn("function", F.explode(F.array(*map(F.lit, ["thtion", "ereaho", "ndthing", "zzzz"]))))
-    return D.referenced_functions(wanted, corpus)
+    """The first long word of every document as a function that some project is asked for."""
+    wanted = A.table(spark, sf_dir, "documents").select(F.concat(F.lit("src"), (F.col("doc_id") % 20).cast("string")).alias("project_id"), F.regexp_extract("text", "[a-z]{7,}", 0).alias("function"))
+    return D.referenced_functions(wanted, A.corpus(spark, sf_dir))
 
 
 _CLAIMS = "o_orderkey AS record_id, concat('doc', CAST(o_custkey % 10 AS STRING)) AS document, concat('ADV-', CAST(o_orderkey % 2000 + 1 AS STRING)) AS vulnerability_id, CASE WHEN o_orderstatus = 'F' THEN 'affected' ELSE 'not_affected' END AS status, concat('npm:LIB-', CAST(o_orderkey % 200 AS STRING), '@', CAST(o_custkey % 7 + 1 AS STRING), '.', CAST(o_custkey % 10 AS STRING), '.0') AS subject"

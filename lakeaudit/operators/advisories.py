@@ -9,7 +9,12 @@ from __future__ import annotations
 import json
 from functools import lru_cache
 
+try:
+    import ahocorasick
+except ImportError:  # then every name is looked for on its own
+    ahocorasick = None
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, StringType, StructType
@@ -266,14 +271,48 @@ def direct_usage(vulns: DataFrame, usage: DataFrame, mapped: list[str] | None =
     return x.withColumn("used", F.when(known, F.col("files").isNotNull())).drop("_names", "_k0", "_k1", "_u0", "_u1", "_u", "_part")
 
 
-def referenced_functions(functions: DataFrame, corpus: DataFrame) -> DataFrame:
+def referenced_functions(functions: DataFrame, corpus: DataFrame, most: int = 200_000) -> DataFrame:
     """project_id, function: affected functions (project_id, function) that occur literally in the project's sources; blank ones don't.
 
-    A source meets its project's functions in one row, so contents aren't repeated for each function.
+    Every task builds one automaton over the distinct names and reads its contents once, where they lie; what it finds, a
+    few names a content, is joined with the projects that asked. More than ``most`` names are looked for in several passes.
     """
-    wanted = functions.withColumn("function", F.trim("function")).where(F.col("function") != "").groupBy("project_id").agg(F.collect_set("function").alias("wanted"))
-    met = corpus.select("project_id", "content").join(wanted, "project_id")
-    return met.select("project_id", F.explode(F.filter("wanted", lambda f: F.contains("content", f))).alias("function")).distinct()
+    wanted = functions.select("project_id", F.trim("function").alias("function")).where(F.col("function") != "").distinct()
+    names = cut(wanted.select("function").distinct())
+    passes = max(1, -(-names.count() // most))
+    kind = corpus.schema["project_id"].dataType.simpleString()
+    sources, found = corpus.select("project_id", "content"), None
+    for k in range(passes):
+        own = tuple(r[0] for r in names.where(F.pmod(F.xxhash64("function"), F.lit(passes)) == k).collect())  # about most names, never all of many
+        hits = sources.mapInArrow(_finder(own), f"project_id {kind}, function string")
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct().join(wanted, ["project_id", "function"], "left_semi")
+
+
+def _finder(names: tuple[str, ...]):
+    """For mapInArrow: the names that occur in each content, each once a batch and project."""
+
+    def run(batches):
+        find = _all_of(names)
+        for batch in batches:
+            pairs = {}
+            for project, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = content.as_py()
+                if text:
+                    pairs |= dict.fromkeys((project, name) for name in find(text))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in pairs], batch.column(0).type), pa.array([n for _, n in pairs], pa.string())], ["project_id", "function"])
+
+    return run
+
+
+def _all_of(names: tuple[str, ...]):
+    if not names or ahocorasick is None:
+        return lambda text: {n for n in names if n in text}
+    automaton = ahocorasick.Automaton()
+    for n in names:
+        automaton.add_word(n, n)
+    automaton.make_automaton()
+    return lambda text: {n for _, n in automaton.iter(text)}
 
 
 def vex_suggestions(claims: DataFrame, grants: DataFrame, vulns: DataFrame) -> DataFrame:

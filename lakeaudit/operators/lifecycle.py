@@ -66,11 +66,13 @@ def compare_runs(pairs: DataFrame, findings: DataFrame, coverage: DataFrame, pac
     Rows: run_id, observation_run_id, key, rule_id, severity, category, path, diff_status.
     """
     payload = ["rule_id", "severity", "category", "path"]
-    own = findings.select("run_id", *KEY, *payload)
-    base_keys = pairs.join(findings.select(F.col("run_id").alias("baseline_run_id"), *KEY), "baseline_run_id").select("run_id", *KEY, F.lit(True).alias("before")).distinct()
-    current = pairs.join(own, "run_id").join(base_keys, ["run_id", *KEY], "left")
-    current = current.select("run_id", F.col("run_id").alias("observation_run_id"), *KEY, *payload, F.when(F.col("before"), "unchanged").otherwise("new").alias("diff_status"))
-    gone = pairs.join(own.withColumnRenamed("run_id", "baseline_run_id"), "baseline_run_id").join(findings.select("run_id", *KEY), ["run_id", *KEY], "left_anti")
+    # A finding takes part as its own run's and as the baseline's of others; one shuffle by run and key brings both sides together.
+    roles = pairs.select("run_id", "baseline_run_id", F.explode(F.array(F.struct(F.col("run_id").alias("observation_run_id"), F.lit(True).alias("now")), F.struct(F.col("baseline_run_id").alias("observation_run_id"), F.lit(False).alias("now")))).alias("role")).select("run_id", "baseline_run_id", "role.*")
+    both = findings.select(F.col("run_id").alias("observation_run_id"), *KEY, *payload).join(roles, "observation_run_id")
+    there = Window.partitionBy("run_id", *KEY)
+    both = both.withColumn("held", F.max("now").over(there)).withColumn("before", ~F.min("now").over(there))
+    current = both.where("now").select("run_id", "observation_run_id", *KEY, *payload, F.when(F.col("before"), "unchanged").otherwise("new").alias("diff_status"))
+    gone = both.where(~F.col("held")).select("run_id", "baseline_run_id", *KEY, *payload)
     seen = coverage.select("run_id", "path", F.col("family").alias("category"), F.lit(True).alias("covered")).distinct()
     gone = gone.join(seen, ["run_id", "path", "category"], "left")
     in_pack, same = F.contains("rule_id", F.lit("/")), F.lit(False)
