@@ -3,6 +3,8 @@
 A page's text falls into blocks between the starts and ends of block elements. A logistic classifier gives each block the
 log odds of content: from its words, sentence ends and links, whether it is a heading, and bounded evidence of the
 elements around it (semantic tags, class and id names, the page's article, the element that holds most of its prose).
+Names that authors also give to parts of an article (discussion, thread, ad-free) count against content only where the text
+under them isn't mostly prose; like neighbours that each hold a short line, then prose, are comments whatever their names.
 Its costs are the capacities to the two terminals. Neighbouring blocks, and next blocks under the same parent, are joined
 by smoothness edges, stronger the nearer they stand in the element tree and of the order of one paragraph's evidence.
 The minimum cut of that graph is the cheapest labelling: it pulls a short line between paragraphs into the text, and a
@@ -22,6 +24,7 @@ import html
 import math
 import re
 from collections import Counter, deque
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +48,11 @@ STRONG = frozenset(
     "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist commentary consent cookie cookies discussion disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter outbrain pager pagination popup promo reply replies respond responses sidebar signup sponsor sponsored subscribe taboola thread toolbar topbar".split()
 )
 WEAK = frozenset("alert banner disclaimer feedback header notice notices related search share sharing skip social tagcloud tags widget widgets".split())
+#: Strong words that authors use for parts of an article as well: they speak against content only where the text agrees.
+DOUBTFUL = frozenset("ad ads adv discussion reply replies respond responses sponsor sponsored thread".split())
 GOOD = frozenset("article body content entry main post story text".split())
-#: Parts of names that say something of a whole page, as in has-sidebar.
-ABOUT = frozenset("has with no without is open enabled closed disabled".split())
+#: Parts of names that say something of a whole page, as in has-sidebar, or take a word back, as in ad-free.
+ABOUT = frozenset("has with no without is open enabled closed disabled free".split())
 #: First words of headings that open a part after the article.
 AFTER = frozenset("comment comments kommentare commentaires comentarios responses replies antworten related newsletter advertisement anzeige".split())
 LEGAL = re.compile(r"©|\(c\) *[12][0-9]{3}|copyright|all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados", re.I)
@@ -55,18 +60,19 @@ LEGAL = re.compile(r"©|\(c\) *[12][0-9]{3}|copyright|all rights reserved|alle r
 #: The classifier: log odds of content.
 BIAS, BY_WORDS, MOST_WORDS, BY_STOPS, BY_LINKS, AS_HEADING, AS_TITLE = -1.0, 0.9, 4.0, 0.8, -4.0, 0.8, 2.0
 IN_HIDDEN, IN_NO_TAG, STRONG_NAME, WEAK_NAME, GOOD_NAME, AFTER_CUE, IN_NESTED, LEGAL_LINE = -12.0, -8.0, -7.0, -2.5, 1.0, -2.5, -3.0, -2.5
+IN_THREAD = -7.0
 IN_ARTICLE, OUT_OF_ARTICLE, IN_CORE, OUT_OF_CORE = 1.5, -2.5, 1.0, -2.0
 SMOOTH = 2.0  #: of an edge between siblings
 CORE = 0.6  #: share of the prose that the core element holds
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "at", "first", "end", "hidden", "no", "header", "strong", "weak", "good", "article")
+    __slots__ = ("tag", "parent", "depth", "at", "first", "end", "hidden", "no", "header", "strong", "doubt", "weak", "good", "article")
 
     def __init__(self, tag: str, parent: Node | None, at: int, first: int, attributes: list[tuple[str, str]]):
         self.tag, self.parent, self.at, self.first, self.end = tag, parent, at, first, -1
         self.depth = parent.depth + 1 if parent else 0
-        for flag in ("hidden", "no", "header", "strong", "weak", "good"):
+        for flag in ("hidden", "no", "header", "strong", "doubt", "weak", "good"):
             setattr(self, flag, parent is not None and getattr(parent, flag))
         self.hidden |= tag in HIDDEN_TAGS
         self.no |= tag in NO_TAGS
@@ -79,7 +85,8 @@ class Node:
                 for token in value.split():
                     names = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower()))
                     if not names & ABOUT:
-                        self.strong |= bool(names & STRONG)
+                        self.strong |= bool(names & STRONG - DOUBTFUL)
+                        self.doubt |= bool(names & DOUBTFUL)
                         self.weak |= bool(names & WEAK) and not names & GOOD
                         self.good |= bool(names & GOOD)
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s{0,9}:\s{0,9}none", value, re.I)):
@@ -207,8 +214,46 @@ def after_cues(found: list[Block]) -> list[bool]:
     return out
 
 
+def is_prose(b: Block) -> bool:
+    return b.links < 0.3 and b.words >= 8 and b.stops > 0
+
+
+def settle_doubts(nodes: list[Node], found: list[Block]) -> None:
+    """Doubtful names become strong where the text under them agrees: unless it is mostly prose, with few short lines (names, dates, links) between."""
+    doubtful = {n.at for n in nodes if n.doubt}
+    for n in nodes[1:]:
+        if n.at in doubtful and n.parent.at not in doubtful:
+            own = found[n.first : n.end]
+            prose = [b for b in own if is_prose(b)]
+            short = sum(not is_prose(b) and b.node.tag not in HEADING for b in own)
+            agrees = 2 * short >= len(prose) or 5 * sum(b.words for b in prose) < 4 * sum(b.words for b in own)
+            n.strong |= agrees
+            n.weak |= not agrees
+        elif n.at in doubtful:  # as the element that has the name
+            n.strong |= n.parent.strong
+            n.weak |= n.parent.weak
+
+
+def in_threads(nodes: list[Node], found: list[Block]) -> list[bool]:
+    """Whether a block lies in one of three or more like neighbours that each hold a short line, then prose: comments, whatever their names."""
+    out = [0] * (len(found) + 1)
+    like: dict[tuple[int, str], list[Node]] = {}
+    for n in nodes[1:]:
+        own = found[n.first : min(n.end, n.first + 8)]
+        if n.tag in ("div", "li", "section", "article") and len(own) > 1 and own[0].words <= 4 and not own[0].stops and own[0].node.tag not in (*HEADING, "dt", "td", "th") and any(map(is_prose, own[1:3])):
+            like.setdefault((n.parent.at, n.tag), []).append(n)
+    for units in like.values():
+        if len(units) >= 3:
+            for n in units:
+                out[n.first] += 1
+                out[n.end] -= 1
+    return [depth > 0 for depth in accumulate(out[:-1])]
+
+
 def log_odds(nodes: list[Node], found: list[Block]) -> list[float]:
     """Of content against boilerplate for each block, by the classifier."""
+    settle_doubts(nodes, found)
+    threads = in_threads(nodes, found)
     plain, named = [0.0] * len(nodes), [0.0] * len(nodes)
     after = after_cues(found)
     for i, b in enumerate(found):
@@ -222,15 +267,17 @@ def log_odds(nodes: list[Node], found: list[Block]) -> list[float]:
     articles = [n for n in nodes if n.article and mass[n.at] >= CORE * most > 0]
     main = max(articles, key=lambda n: (n.depth, mass[n.at]), default=None)
     core_range = range(core.first, core.end) if core.parent and (main is None or (main.tag == "main" and main.first <= core.first < core.end <= main.end)) else None
-    inside = [False] * len(found)
-    nested = [False] * len(found)
+    inside, nested = [0] * (len(found) + 1), [0] * (len(found) + 1)
     for n in nodes:
         if main and n.article and (n is main or (n.tag == "article" == main.tag and mass[n.at] >= 0.25 * mass[main.at] and (n.end <= main.first or n.first >= main.end))):
-            inside[n.first : n.end] = [True] * (n.end - n.first)
+            inside[n.first] += 1
+            inside[n.end] -= 1
     if main and main.tag == "article":
         for n in nodes:
             if n.tag == "article" and n is not main and main.first <= n.first and n.end <= main.end and n.depth > main.depth:
-                nested[n.first : n.end] = [True] * (n.end - n.first)
+                nested[n.first] += 1
+                nested[n.end] -= 1
+    inside, nested = ([depth > 0 for depth in accumulate(x[:-1])] for x in (inside, nested))  # ranges may nest as deep as the page
     out = []
     for i, b in enumerate(found):
         n = b.node
@@ -245,7 +292,7 @@ def log_odds(nodes: list[Node], found: list[Block]) -> list[float]:
             z += OUT_OF_ARTICLE if not inside[i] else IN_NESTED if nested[i] else 0 if no or strong else IN_ARTICLE
         if core_range is not None:
             z += OUT_OF_CORE if not in_core else 0 if no or strong else IN_CORE
-        out.append(z + AFTER_CUE * after[i] + LEGAL_LINE * bool(b.words <= 40 and LEGAL.search(b.text)))
+        out.append(z + IN_THREAD * threads[i] + AFTER_CUE * after[i] + LEGAL_LINE * bool(b.words <= 40 and LEGAL.search(b.text)))
     return out
 
 

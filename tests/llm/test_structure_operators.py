@@ -75,6 +75,26 @@ def test_main_text_of_varied_pages(page):
     assert html_cut.main_text(page)[0] == WANT
 
 
+LONG = f"{PROSE} {MORE}"
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        (f"<section class=discussion><h2>Discussion</h2><p>{LONG}</p><p>{PROSE}</p></section>", f"Discussion {LONG} {PROSE}"), (f"<div class=thread-content><p>{LONG}</p><p>{PROSE}</p></div>", f"{LONG} {PROSE}"), (f"<p class=wp-ad-free>{LONG}</p>", LONG), (f"<p class='sponsored reply'>{LONG}</p><p>{PROSE}</p>", f"{LONG} {PROSE}"),
+        (f"<div class=zq>{COMMENTS}</div>", ""), (f"<div class=discussion>{COMMENTS}</div>", ""), ("<div class=ad-slot><a href=x>Buy it now</a> <a href=y>Or later</a></div>", ""), ("<div class=thread><p>Ann</p><p>I liked it. Thanks a lot for it.</p><p>Bob</p><p>I did not like it. Sorry about that.</p></div>", ""),
+    ],
+)
+def test_names_count_where_the_text_agrees(inside, kept):
+    page = f"{MENU}<article><h1>My title here</h1><p>{PROSE}</p><p>{MORE}</p>{inside}</article>"
+    assert html_cut.main_text(page)[0] == f"My title here {PROSE} {MORE} {kept}".strip()
+
+
+def test_nested_articles_are_linear():
+    text, n, _ = html_cut.main_text("<article><p>Some words here.</p>" * 30_000)
+    assert n == 30_000
+
+
 def test_smoothness_decides():
     page = f"{MENU}<div class=zz>{ARTICLE}</div>"
     nodes, found = html_cut.blocks(page)
