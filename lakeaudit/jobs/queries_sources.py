@@ -27,10 +27,24 @@ def inventory_from_os_packages(spark, sf_dir) -> DataFrame:
     return S.inventory_from_os_packages(_files(spark, sf_dir, "/var/lib/dpkg/status", entry, "\n\n"))
 
 
-@query("inventory_from_lockfiles", "SELECT 'img' || p_size || '/requirements.txt' AS path, 'PyPI' AS ecosystem, 'pkg' || p_partkey AS name, '1.' || p_size AS version, 'registry' AS source FROM part WHERE p_partkey % 4 <> 0")
+#: Kind of file: name, ecosystem, name of a package, an entry, what is put between entries, before and after them.
+_LOCKS = (
+    ("package-lock.json", "npm", "pkg", """concat('"node_modules/pkg', p_partkey, '":{"version":"1.', p_size, '"}')""", ",", '{"packages":{"":{"version":"0"},', "}}"), ("Pipfile.lock", "PyPI", "pkg", """concat('"pkg', p_partkey, '":{"version":"==1.', p_size, '"}')""", ",", '{"default":{', '},"develop":{}}'),
+    ("composer.lock", "Packagist", "v/pkg", """concat('{"name":"v/pkg', p_partkey, '","version":"1.', p_size, '"}')""", ",", '{"packages":[', "]}"), ("packages.lock.json", "NuGet", "pkg", """concat('"pkg', p_partkey, '":{"type":"Direct","resolved":"1.', p_size, '"}')""", ",", '{"dependencies":{"net8":{"own":{"type":"Project"},', "}}}"),
+    ("Cargo.lock", "crates.io", "pkg", """concat('[[package]]\nname = "pkg', p_partkey, '"\nversion = "1.', p_size, '"\nsource = "registry+x"\n')""", "\n", "version = 3\n\n", ""), ("requirements.txt", "PyPI", "pkg", "concat('pkg', p_partkey, ' == 1.', p_size, '  # via x')", "\n", "# top\n", ""),
+    ("gradle.lockfile", "Maven", "g:pkg", "concat('g:pkg', p_partkey, ':1.', p_size, '=compile')", "\n", "# top\n", "\nempty="), ("old/package-lock.json", "npm", "pkg", """concat('"pkg', p_partkey, '":{"version":"1.', p_size, '","dependencies":{}}')""", ",", '{"lockfileVersion":1,"dependencies":{', "}}"),
+)
+
+
+@query("inventory_from_lockfiles", " UNION ALL ".join(f"SELECT 'img' || p_size || '/{name}' AS path, '{eco}' AS ecosystem, '{own}' || p_partkey AS name, '1.' || p_size AS version, 'registry' AS source FROM part WHERE p_partkey % 8 = {i}" for i, (name, eco, own, *_) in enumerate(_LOCKS)))
 def inventory_from_lockfiles(spark, sf_dir) -> DataFrame:
-    entry = "concat(if(p_partkey % 4 = 0, '# ', ''), 'pkg', p_partkey, ' == 1.', p_size, '  # via x')"
-    return S.inventory_from_lockfiles(_files(spark, sf_dir, "/requirements.txt", entry, "\n"))
+    """A lockfile of each kind for each size of parts."""
+    pick = lambda k: F.element_at(F.array(*(F.lit(lock[k]) for lock in _LOCKS)), F.col("kind") + 1)
+    entry = F.coalesce(*(F.when(F.col("kind") == i, F.expr(lock[3].replace("\n", "\\n"))) for i, lock in enumerate(_LOCKS)))
+    lines = A.table(spark, sf_dir, "part").withColumn("kind", (F.col("p_partkey") % 8).cast("int")).select("p_size", "kind", F.struct("p_partkey", entry.alias("e")).alias("x"))
+    files = lines.groupBy("p_size", "kind").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("entries"))
+    text = F.coalesce(*(F.when(F.col("kind") == i, F.concat(F.lit(lock[5]), F.array_join("entries", lock[4]), F.lit(lock[6]))) for i, lock in enumerate(_LOCKS)))
+    return S.inventory_from_lockfiles(files.select(F.concat(F.lit("img"), F.col("p_size").cast("string"), F.lit("/"), pick(0)).alias("path"), text.alias("content")))
 
 
 @query("exploit_index", "SELECT DISTINCT 'CVE-2024-' || (p_partkey % 400 + 1000) AS cve FROM part UNION SELECT DISTINCT 'CVE-2023-' || (p_size + 20000) FROM part")

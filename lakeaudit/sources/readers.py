@@ -11,6 +11,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 # Languages by file name and by extension.
 BY_NAME = {"dockerfile": "dockerfile", "makefile": "make", "gemfile": "ruby", "rakefile": "ruby", "jenkinsfile": "groovy"}
@@ -93,57 +94,99 @@ def inventory_from_os_packages(corpus: DataFrame) -> DataFrame:
     return deb.unionByName(apk).where(F.col("name").isNotNull() & F.col("version").isNotNull())
 
 
+_ENTRIES = "array<struct<ecosystem:string,name:string,version:string,source:string>>"
+_REQUIREMENT = r"^\s*([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*===?\s*([^\s;#\\]+)"
+_GRADLE = r"^([^#:=\s]+:[^:=\s]+):([^=\s]+)="
+
+
+def _entry(ecosystem: str, name: Column, version: Column, source: Column | None = None) -> Column:
+    return F.struct(F.lit(ecosystem).alias("ecosystem"), name.alias("name"), version.alias("version"), (F.lit("registry") if source is None else source).alias("source"))
+
+
+def _npm(content: Column) -> Column:
+    """The packages of the newer form."""
+    j = F.from_json(content, "packages map<string,struct<version:string,link:boolean,resolved:string>>")
+    placed = F.filter(F.map_entries(j["packages"]), lambda e: F.contains(e["key"], F.lit("node_modules/")) & ~F.coalesce(e["value"]["link"], F.lit(False)))
+    return F.transform(placed, lambda e: _entry("npm", F.regexp_extract(e["key"], r"node_modules/((?:@[^/]+/)?[^/]+)$", 1), e["value"]["version"], F.when(e["value"]["resolved"].rlike("^git"), "git").otherwise("registry")))
+
+
+def _pipfile(content: Column) -> Column:
+    j = F.from_json(content, "default map<string,struct<version:string,git:string>>, develop map<string,struct<version:string,git:string>>")
+    both = F.concat(*(F.coalesce(F.map_entries(j[x]), F.array().cast("array<struct<key:string,value:struct<version:string,git:string>>>")) for x in ("default", "develop")))
+    return F.transform(both, lambda e: _entry("PyPI", e["key"], F.regexp_replace(e["value"]["version"], "^==", ""), F.when(e["value"]["git"].isNotNull(), "git").otherwise("registry")))
+
+
+def _composer(content: Column) -> Column:
+    kind = "array<struct<name:string,version:string>>"
+    j = F.from_json(content, f"packages {kind}, `packages-dev` {kind}")
+    both = F.concat(*(F.coalesce(j[x], F.array().cast(kind)) for x in ("packages", "packages-dev")))
+    return F.transform(both, lambda e: _entry("Packagist", e["name"], e["version"]))
+
+
+def _nuget(content: Column) -> Column:
+    j = F.from_json(content, "dependencies map<string,map<string,struct<type:string,resolved:string>>>")
+    each = F.flatten(F.transform(F.map_values(j["dependencies"]), lambda d: F.map_entries(d)))
+    return F.transform(F.filter(each, lambda e: F.coalesce(e["value"]["type"], F.lit("")) != "Project"), lambda e: _entry("NuGet", e["key"], e["value"]["resolved"]))
+
+
+def _cargo(content: Column) -> Column:
+    def one(block: Column) -> Column:
+        key = lambda k: F.nullif(F.regexp_extract(block, rf'(?m)^{k} = "([^"]*)"', 1), F.lit(""))
+        return _entry("crates.io", key("name"), key("version"), F.when(key("source").isNull(), "local").when(F.startswith(key("source"), F.lit("git+")), "git").otherwise("registry"))
+
+    return F.transform(F.split(content, r"\[\[package\]\]"), one)
+
+
+def _by_line(ecosystem: str, pattern: str):
+    return lambda content: F.transform(F.split(content, r"\r?\n"), lambda row: _entry(ecosystem, F.nullif(F.regexp_extract(row, pattern, 1), F.lit("")), F.regexp_extract(row, pattern, 2)))
+
+
+#: File names, as patterns, and what reads their contents.
+LOCKFILES = (
+    (r"^package-lock\.json$", _npm), (r"^Pipfile\.lock$", _pipfile), (r"^composer\.lock$", _composer), (r"^packages\.lock\.json$", _nuget), (r"^Cargo\.lock$", _cargo), (r"^requirements.*\.txt$", _by_line("PyPI", _REQUIREMENT)), (r"^gradle\.lockfile$", _by_line("Maven", _GRADLE)),
+)
+
+
 def inventory_from_lockfiles(corpus: DataFrame) -> DataFrame:
-    """path, ecosystem, name, version, source of the lockfiles that a corpus holds, by file name. A broken one has no rows (broken_lockfiles)."""
-    corpus = corpus.where(F.substring_index("path", "/", -1).rlike(r"^(?:package-lock\.json|Pipfile\.lock|composer\.lock|packages\.lock\.json|Cargo\.lock|requirements.*\.txt|gradle\.lockfile)$"))
+    """path, ecosystem, name, version, source of the lockfiles that a corpus holds, by file name, each once a file. A broken one has no rows (broken_lockfiles).
+
+    The corpus is read once: a file's name chooses what reads its content, in its own row, and nothing is shuffled. Only
+    old npm files, nested to any depth, go to Python.
+    """
     name = F.substring_index("path", "/", -1)
-    pick = lambda n: corpus.where(name.rlike(n))
-    entry = lambda df, eco, key, value, ver, src=None: df.select("path", F.lit(eco).alias("ecosystem"), key.alias("name"), ver.alias("version"), (src if src is not None else F.lit("registry")).alias("source"))
-    parsed = lambda df, schema: df.select("path", F.from_json("content", schema).alias("j"))
-
-    npm = parsed(pick("^package-lock.json$"), "packages map<string,struct<version:string,link:boolean,resolved:string>>").select("path", F.explode("j.packages").alias("k", "v")).where(F.contains("k", F.lit("node_modules/")) & ~F.coalesce("v.link", F.lit(False)))
-    git = F.when(F.col("v.resolved").rlike("^git"), "git").otherwise("registry")
-    out = entry(npm, "npm", F.regexp_extract("k", r"node_modules/((?:@[^/]+/)?[^/]+)$", 1), None, F.col("v.version"), git)
-    out = out.unionByName(_npm_v1(pick("^package-lock.json$")))
-    for section in ("default", "develop"):
-        pip = parsed(pick("^Pipfile.lock$"), f"{section} map<string,struct<version:string,git:string>>").select("path", F.explode(f"j.{section}").alias("k", "v"))
-        out = out.unionByName(entry(pip, "PyPI", F.col("k"), None, F.regexp_replace("v.version", "^==", ""), F.when(F.col("v.git").isNotNull(), "git").otherwise("registry")))
-    for section in ("packages", "packages-dev"):
-        php = parsed(pick("^composer.lock$"), f"`{section}` array<struct<name:string,version:string>>").select("path", F.explode(F.col("j").getField(section)).alias("v"))
-        out = out.unionByName(entry(php, "Packagist", F.col("v.name"), None, F.col("v.version")))
-    net = parsed(pick("^packages.lock.json$"), "dependencies map<string,map<string,struct<type:string,resolved:string>>>").select("path", F.explode("j.dependencies").alias("framework", "d")).select("path", F.explode("d").alias("k", "v")).where(F.coalesce("v.type", F.lit("")) != "Project")
-    out = out.unionByName(entry(net, "NuGet", F.col("k"), None, F.col("v.resolved")))
-    block = pick("^Cargo.lock$").select("path", F.explode(F.split("content", r"\[\[package\]\]")).alias("b"))
-    key = lambda k: F.nullif(F.regexp_extract("b", rf'(?m)^{k} = "([^"]*)"', 1), F.lit(""))
-    crate = F.when(key("source").isNull(), "local").when(F.startswith(key("source"), F.lit("git+")), "git").otherwise("registry")
-    out = out.unionByName(entry(block, "crates.io", key("name"), None, key("version"), crate))
-    line = pick(r"^requirements.*\.txt$").select("path", F.explode(F.split("content", r"\r?\n")).alias("l"))
-    out = out.unionByName(entry(line, "PyPI", F.nullif(F.regexp_extract("l", r"^\s*([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*===?\s*([^\s;#\\]+)", 1), F.lit("")), None, F.regexp_extract("l", r"^\s*([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*===?\s*([^\s;#\\]+)", 2)))
-    gradle = pick(r"^gradle\.lockfile$").select("path", F.explode(F.split("content", r"\r?\n")).alias("l"))
-    out = out.unionByName(entry(gradle, "Maven", F.nullif(F.regexp_extract("l", r"^([^#:=\s]+:[^:=\s]+):([^=\s]+)=", 1), F.lit("")), None, F.regexp_extract("l", r"^([^#:=\s]+:[^:=\s]+):([^=\s]+)=", 2)))
-    return out.where(F.col("name").isNotNull() & (F.col("name") != "") & F.col("version").isNotNull()).distinct()
-
-
-def _npm_v1(files: DataFrame) -> DataFrame:
+    files = corpus.select("path", "content", name.alias("_name")).where(F.col("_name").rlike("|".join(pattern for pattern, _ in LOCKFILES)))
+    npm = F.col("_name").rlike(LOCKFILES[0][0])
+    # An old one has no packages, which a look at the text settles for nearly all.
+    files = files.withColumn("_old", _npm_v1(F.when(npm & F.contains("content", F.lit('"dependencies"')), F.col("content"))))
+    read = F.lit(None).cast(_ENTRIES)
+    for pattern, entries in LOCKFILES:
+        read = F.when(F.col("_name").rlike(pattern), entries(F.col("content")).cast(_ENTRIES)).otherwise(read)
+    none = F.array().cast(_ENTRIES)
+    every = F.array_distinct(F.concat(F.coalesce(read, none), F.coalesce("_old", none)))
+    out = files.select("path", F.explode(every).alias("x")).select("path", "x.*")
+    return out.where(F.col("name").isNotNull() & (F.col("name") != "") & F.col("version").isNotNull())
+
+
+@F.pandas_udf(ArrayType(StructType().add("ecosystem", "string").add("name", "string").add("version", "string").add("source", "string")))
+def _npm_v1(contents: pd.Series) -> pd.Series:
     """The old form nests dependencies to any depth, which a fixed schema can't hold."""
+    return pd.Series([_old_npm(c) for c in contents], dtype=object)
 
-    def walk(batches):
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    doc = json.loads(content or "{}")
-                except ValueError:
-                    continue  # broken_lockfiles tells of it
-                stack = [] if not isinstance(doc, dict) or "packages" in doc else [doc.get("dependencies") or {}]
-                while stack:
-                    for name, d in stack.pop().items():
-                        version = str(d.get("version") or "")
-                        rows.append((path, "npm", name, version, "git" if version.startswith(("git", "github:")) else "registry"))
-                        stack.append(d.get("dependencies") or {})
-            yield pd.DataFrame(rows, columns=["path", "ecosystem", "name", "version", "source"])
-
-    return files.select("path", "content").mapInPandas(walk, "path string, ecosystem string, name string, version string, source string")
+
+def _old_npm(content: str | None) -> list[dict] | None:
+    try:
+        doc = json.loads(content) if content else None
+    except ValueError:
+        return None  # broken_lockfiles tells of it
+    if not isinstance(doc, dict) or "packages" in doc:
+        return None
+    rows, stack = [], [doc.get("dependencies") or {}]
+    while stack:
+        for name, d in stack.pop().items():
+            version = str(d.get("version") or "")
+            rows.append({"ecosystem": "npm", "name": name, "version": version, "source": "git" if version.startswith(("git", "github:")) else "registry"})
+            stack.append(d.get("dependencies") or {})
+    return rows
 
 
 def _texts(value) -> str | None:
