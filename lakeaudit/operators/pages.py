@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 def write_ranked(findings: DataFrame, order: list[Column], folder: str, per: int = 100_000) -> None:
     """Store findings in ranges of about per rows, and the ranges' counts. order must tell all rows apart, or pages may part equal ones anew."""
-    ranges = max(1, -(-findings.count() // per))
+    n = findings.count()
+    ranges = max(1, -(-n // per))
     dealt = findings.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
-    dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{folder}/rows")
+    writer = dealt.write.mode("overwrite")
+    (writer.partitionBy("_range") if n else writer).parquet(f"{folder}/rows")  # an empty table has no folder for a range
     stored = findings.sparkSession.read.parquet(f"{folder}/rows")
     stored.groupBy("_range").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/counts")
 
