@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +131,17 @@ def portfolio_summary(spark, sf_dir) -> DataFrame:
     return C.portfolio_summary(_judged(spark, sf_dir))
 
 
+@query("sketched_portfolio", A.oracle("SELECT ecosystem, count(*) AS rows, count(DISTINCT (name, version)) AS components, count(DISTINCT name) AS packages, TRUE AS near FROM dependencies GROUP BY ecosystem", "dependencies"))
+def sketched_portfolio(spark, sf_dir) -> DataFrame:
+    """Exact counts by ecosystem, and whether those from the projects' stored sketches lie within 2 % of them."""
+    deps, folder = A.dependencies(spark, sf_dir), f"{A.shared_folder(spark)}/sketches-{uuid.uuid4().hex}"
+    C.count_sketches(deps, ["project_id", "ecosystem"]).write.parquet(folder)
+    about = C.sketched_counts(spark.read.parquet(folder), ["ecosystem"]).select("ecosystem", F.col("rows").alias("_rows"), F.col("components").alias("_c"), F.col("packages").alias("_p"))
+    exact = deps.groupBy("ecosystem").agg(F.count("*").alias("rows"), F.countDistinct("name", "version").alias("components"), F.countDistinct("name").alias("packages"))
+    within = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.02 * F.col(b)
+    return exact.join(about, "ecosystem").select("ecosystem", "rows", "components", "packages", (within("_c", "components") & within("_p", "packages") & (F.col("_rows") == F.col("rows"))).alias("near"))
+
+
 @query("portfolio_components", A.oracle("""SELECT ecosystem, name, versions, projects, most_used, licenses, categories, worst_level, worst_rank FROM (SELECT ecosystem, name, count(DISTINCT project_id) AS projects, coalesce(array_to_string(list(DISTINCT license ORDER BY license), ';'), '') AS licenses, coalesce(array_to_string(list(DISTINCT category ORDER BY category), ';'), '') AS categories, max(level) AS worst_level, max(worst_rank) AS worst_rank FROM report GROUP BY ALL)
   JOIN (SELECT ecosystem, name, count(*) AS versions, arg_max(version, (n, version)) AS most_used FROM (SELECT ecosystem, name, version, count(DISTINCT project_id) AS n FROM report GROUP BY ALL) GROUP BY ALL) USING (ecosystem, name)""", "report"))
 def portfolio_components(spark, sf_dir) -> DataFrame:

@@ -566,3 +566,14 @@ def test_one_automaton_finds_what_rules_find_alone(monkeypatch, automaton):
                 pattern = re.compile(rule.pattern, re.A)
                 want += [(rule.rule_id, m.start(k), m[k]) for m in pattern.finditer(text) for k in [1 if pattern.groups and m[1] is not None else 0]]
         assert got == want
+
+
+def test_sketches_of_parts_add_up(spark):
+    """Totals from sketches of overlapping parts, within 2 % of the exact count; nulls are names of their own."""
+    deps = spark.range(60_000).selectExpr("id % 7 AS project_id", "if(id % 1000 = 0, null, 'npm') AS ecosystem", "concat('n', id % 9000) AS name", "cast(id % 20000 AS string) AS version")
+    parts = C.count_sketches(deps.unionByName(deps), ["project_id"])
+    got, one = C.sketched_counts(parts, []).first(), C.sketched_counts(parts.where("project_id < 3"), []).first()
+    exact = lambda df, *c: df.select(*c).distinct().count()
+    assert got.rows == 120_000
+    for row, df in ((got, deps), (one, deps.where("project_id < 3"))):
+        assert abs(row.components / exact(df, "ecosystem", "name", "version") - 1) < 0.02 and abs(row.packages / exact(df, "ecosystem", "name") - 1) < 0.02
