@@ -16,6 +16,7 @@ open element is found by a count, and markup that never closes ends the page.
 
 The whole html is read. Null or empty html, and pages without content blocks, give an empty text. Repeated rows, rows with
 equal or null ids and null urls are pages of their own. Columns that aren't to be kept are not read.
+An empty table gives no rows; a very long page is a slice of its own, read in time linear in its length.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ A document is kept if the base rules pass and the lines that stay hold at least
 Final punctuation counts in any script, stock phrases in English, French, German and Spanish. A null text is an empty one:
 no words, so base_failed. Repeated rows are judged each on their own. Columns besides
 id and text are not read.
+An empty table gives no rows; a very long text is judged whole, as a slice of its own.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ long, so one of the best that doesn't fit is an error. Vectors null or holding a
 without an id, take no part. A shorter vector counts as 0 where it ends, so an empty one scores 0. Rows with the query's
 own id are no candidates of it; other repeated rows are candidates each on their own, and a repeated query row is a query
 of its own.
+An empty table, or one without queries, gives no rows; labels and other columns aren't read.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ join, and encodes each distinct string once per Python worker. The store of enco
 
 Null text: an empty document, whose one id is the end id. Repeated rows, and rows with equal or null ids, are packed each
 on their own. Other columns are not read.
+An empty table gives no rows. A very long text is encoded whole, string by string, and its ids are cut into as many
+pieces as they need.
 """
 
 from __future__ import annotations

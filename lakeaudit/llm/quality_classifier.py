@@ -12,6 +12,7 @@ number of sums.
 Null text: an empty text, all statistics 0. Null labels or ids teach nothing; several labels of a document count each.
 A null id counts as the empty text where its remainder is taken. Repeated rows are scored each on their own. With labels
 of one class alone, or none, every score is the share of label 1, or 0.5.
+An empty table gives no rows; a very long text is measured whole, as a slice of its own. Other columns aren't read.
 """
 
 from __future__ import annotations

@@ -17,6 +17,8 @@ not its pairs.
 
 Offsets are code points, ends exclusive. Null text: an empty one, with no spans and the hash of the empty string.
 Repeated rows, and rows with equal or null ids, are scanned each on their own.
+An empty table gives no rows. A very long text is read whole, as a slice of its own, in one pass by each pattern;
+other columns aren't read.
 """
 
 from __future__ import annotations
