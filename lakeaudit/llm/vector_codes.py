@@ -36,7 +36,7 @@ from lakeaudit.llm.spark import cut, few, give_back, table
 #: Whole numbers up to this are exact as float64.
 EXACT = 2**52
 DIGIT = 31
-RUN, LEAF = 4096, 16
+RUN, LEAF = 4096, 64
 
 
 class Tree:
@@ -76,7 +76,7 @@ class Tree:
         entries = entries.astype(self.points.dtype)
         square = (entries * entries).sum(1)
         sums, counts = np.zeros_like(entries), np.zeros(len(entries), np.int64)
-        found = np.zeros(len(self.points), np.int64)
+        found, single = np.zeros(len(self.points), np.int64), np.zeros(len(self.points), bool)
         stack = [(0, np.arange(len(entries)))]
         while stack:
             node, left = stack.pop()
@@ -99,9 +99,15 @@ class Tree:
             else:
                 own = self.points[begin:end]
                 nearest = left[np.argmin(square[left] - 2 * (own @ entries[left].T), axis=1)]
-                np.add.at(sums, nearest, own)
-                counts += np.bincount(nearest, minlength=len(entries))
-                found[begin:end] = nearest
+                found[begin:end], single[begin:end] = nearest, True
+        # The points of leaves are added up together, in order of their entries.
+        at = np.flatnonzero(single)
+        at = at[np.argsort(found[at], kind="stable")]
+        if len(at):
+            first = np.flatnonzero(np.append(True, np.diff(found[at]) > 0))
+            own = found[at[first]]
+            sums[own] += np.add.reduceat(self.points[at], first, axis=0)
+            counts += np.bincount(found[at], minlength=len(entries))
         return sums, counts, found
 
     def codes(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
