@@ -200,17 +200,26 @@ def latest_covering_snapshot(snapshots: DataFrame, wanted: list[str], before: Co
 def latest_covering_snapshots(snapshots: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (request_id, project_id, wanted, before): the newest snapshot of its project, taken before, whose keys hold all wanted ones.
 
-    A containment join by an inverted index: a request looks up the rarest of its wanted keys alone, by how many snapshots
-    of the project hold it, and only those snapshots are compared whole. A request that wants nothing, or a key that no
-    snapshot has, gets none, nor does one with a null among its keys. snapshots: project_id, snapshot_id, keys, taken_at.
+    Sets meet sets: each distinct set that a project's requests want looks up the distinct sets of its snapshots by the
+    rarest of its keys alone, by how many of those hold it, and only these are compared whole. A snapshot is then an offer to the
+    wanted sets that it covers, and requests and offers of a set are put in order of time, where each request takes the
+    last offer before it: a sort, not pairs of requests and snapshots. A request that wants nothing, or a key that no snapshot
+    has, gets none, nor does one with a null among its keys. snapshots: project_id, snapshot_id, keys, taken_at.
     """
-    index = snapshots.select("project_id", "snapshot_id", "taken_at", "keys", F.explode(F.array_distinct("keys")).alias("key"))
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    taken = snapshots.where(F.col("taken_at").isNotNull()).select("project_id", as_set("keys").alias("keys"), F.struct("taken_at", "snapshot_id").alias("offer"))
+    asked = requests.where((F.size("wanted") > 0) & ~F.exists("wanted", lambda k: k.isNull())).select("request_id", "project_id", as_set("wanted").alias("wanted"), "before")
+    index = taken.select("project_id", "keys").distinct().withColumn("key", F.explode("keys"))
     held = index.groupBy("project_id", "key").agg(F.count("*").alias("n"))
-    each = requests.select("request_id", "project_id", F.explode(F.array_distinct("wanted")).alias("key")).join(held, ["project_id", "key"], "left")
-    rarest = each.groupBy("request_id", "project_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("x")).where(F.col("x.n") > 0)
-    asked = requests.join(rarest.select("request_id", "project_id", F.col("x.key").alias("key")), ["request_id", "project_id"])
-    met = asked.join(index, ["project_id", "key"]).where((F.col("taken_at") < F.col("before")) & (F.size(F.array_except("wanted", "keys")) == 0))
-    return met.groupBy("request_id", "project_id").agg(F.max(F.struct("taken_at", "snapshot_id")).alias("x")).select("request_id", "project_id", "x.snapshot_id")
+    each = asked.select("project_id", "wanted").distinct().withColumn("key", F.explode("wanted")).join(held, ["project_id", "key"], "left")
+    rarest = each.groupBy("project_id", "wanted").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("x")).where(F.col("x.n") > 0)
+    covers = rarest.select("project_id", "wanted", F.col("x.key").alias("key")).join(index, ["project_id", "key"]).where(F.size(F.array_except("wanted", "keys")) == 0).select("project_id", "wanted", "keys")
+    offers = taken.join(covers, ["project_id", "keys"]).select("project_id", "wanted", F.col("offer.taken_at").alias("at"), F.lit(1).alias("kind"), "offer")
+    starts = asked.select("project_id", "wanted", F.col("before").alias("at"), F.lit(0).alias("kind"), "request_id")
+    # A request comes before an offer of the same time, as a snapshot must be earlier.
+    so_far = Window.partitionBy("project_id", "wanted").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(offers, allowMissingColumns=True).withColumn("last", F.max("offer").over(so_far)).where((F.col("kind") == 0) & F.col("last").isNotNull())
+    return met.groupBy("request_id", "project_id").agg(F.max("last").alias("x")).select("request_id", "project_id", "x.snapshot_id")
 
 
 def union_missing(current: DataFrame, baseline: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,11 +1,19 @@
 """What must hold at any size: plans that pass no table through the driver, work that goes with the input, documents of any depth."""
 
+import json
 import os
+import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakeaudit.jobs.registry import QUERIES
+from lakeaudit.operators import advisories as D
+from lakeaudit.operators import lifecycle as L
+from lakeaudit.operators import pages
+from lakeaudit.sources import readers
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -23,3 +31,13 @@ def test_advisories_are_not_broadcast(spark, name):
     few = {"document", "base", "ecosystem"}  # trusted documents and ecosystems
     keys = [set(re.findall(r"(\w+)#", k)) for k in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", found)]
     assert "SortMergeJoin" in found and all(k <= few for k in keys), found
+
+
+def test_covering_snapshots_pair_no_requests(spark):
+    """Requests of one project and set, and as many snapshots that cover it: they meet by a sort."""
+    at = "timestamp_seconds(id * 10 + {})"
+    snaps = spark.range(20_000).selectExpr("'p' AS project_id", "id AS snapshot_id", "array('a', 'b') AS keys", at.format(0) + " AS taken_at")
+    asks = spark.range(20_000).selectExpr("id AS request_id", "'p' AS project_id", "array('a') AS wanted", at.format(0) + " AS before")
+    got = L.latest_covering_snapshots(snaps, asks)
+    assert not re.search(r"Join \[[^\]]*request_id", plan(got))
+    assert got.count() == 19_999 and got.where("snapshot_id <> request_id - 1").count() == 0
