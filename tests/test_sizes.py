@@ -41,3 +41,10 @@ def test_covering_snapshots_pair_no_requests(spark):
     got = L.latest_covering_snapshots(snaps, asks)
     assert not re.search(r"Join \[[^\]]*request_id", plan(got))
     assert got.count() == 19_999 and got.where("snapshot_id <> request_id - 1").count() == 0
+
+
+def test_usage_holds_no_pairs_of_names_and_paths(spark):
+    corpus = spark.createDataFrame([("p", "a.py", "import x\nimport y"), ("p", "a.py", "import x"), ("p", "b.py", "import x"), ("p", "c.py", "")], "project_id string, path string, content string")
+    got = D.usage_index(corpus)
+    assert {(r.name, r.files, r.first_path) for r in got.where("ecosystem = 'PyPI'").collect()} == {("x", 2, "a.py"), ("y", 1, "a.py")}
+    assert not re.search(r"keys=\[ecosystem#\d+, project_id#\d+, name#\d+, path#", plan(got))
