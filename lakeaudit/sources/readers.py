@@ -6,9 +6,12 @@ Schemas are declared; nothing is inferred. A feed that is malformed fails rather
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
+from itertools import chain, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -189,6 +192,61 @@ def _old_npm(content: str | None) -> list[dict] | None:
     return rows
 
 
+_blank = re.compile(r"[ \t\n\r]*").match
+
+
+def _json(text: str):
+    """json.loads for documents of any depth: it recurses, so those too deep for it are read with a stack. A ValueError tells of no JSON."""
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _deep_json(text)
+
+
+def _deep_json(text: str):
+    scalar, after = json.JSONDecoder().raw_decode, lambda i: _blank(text, i).end()
+    around, i = [], after(0)  # the open containers, each with the key under which its current item goes
+
+    def key(i):
+        name, i = scalar(text, i) if text[i : i + 1] == '"' else (None, i)
+        i = after(i)
+        if name is None or text[i : i + 1] != ":":
+            raise ValueError(f"no key at {i}")
+        return name, after(i + 1)
+
+    while True:
+        c = text[i : i + 1]
+        if c and c in "[{":
+            value, i = [] if c == "[" else {}, after(i + 1)
+            if text[i : i + 1] != ("]" if c == "[" else "}"):
+                name, i = key(i) if c == "{" else (None, i)
+                around.append((value, name))
+                continue
+            i += 1
+        else:
+            value, i = scalar(text, i)
+        while True:  # a value is whole: it goes into what is around it, which may be whole then, too
+            i = after(i)
+            if not around:
+                if i < len(text):
+                    raise ValueError(f"more text at {i}")
+                return value
+            held, name = around.pop()
+            if isinstance(held, list):
+                held.append(value)
+            else:
+                held[name] = value
+            c = text[i : i + 1]
+            if c == ",":
+                i = after(i + 1)
+                name, i = key(i) if isinstance(held, dict) else (None, i)
+                around.append((held, name))
+                break
+            if c != ("]" if isinstance(held, list) else "}"):
+                raise ValueError(f"no end at {i}")
+            value, i = held, i + 1
+
+
 def _texts(value) -> str | None:
     return value if isinstance(value, str) and value.strip() else None
 
@@ -230,6 +288,20 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("content"))
 
 
+def _sliced(walk, schema: pa.Schema, rows: int = 10_000):
+    """For mapInArrow: what walk gives of (document, content) pairs, in slices, so that a worker holds one document and one slice beside its batch."""
+
+    def run(batches):
+        pairs = ((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()) for batch in batches for k in range(batch.num_rows))
+        found = walk(pairs)
+        while part := list(islice(found, rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+_SBOM = pa.schema([(c, pa.string()) for c in ("document", "format", "ref", "name", "version", "purl")] + [("depends_on", pa.list_(pa.string())), ("error", pa.string())])
+_CLAIM = pa.schema([("document", pa.string()), ("n", pa.int32()), *((c, pa.string()) for c in ("kind", "producer", "rule_id", "vulnerability_id")), ("subject_ids", pa.list_(pa.string())), ("status", pa.string()), ("summary", pa.string()), ("mapped", pa.bool_())])
 SBOM = "document string, format string, ref string, name string, version string, purl string, depends_on array<string>, error string"
 
 
@@ -240,25 +312,23 @@ def read_sbom(spark: SparkSession, path: str) -> DataFrame:
     it has none. A file of another form, or that is no JSON, is a row with an error and nothing else; the others are read.
     """
 
-    def walk(batches):
-        for batch in batches:
-            rows = []
-            for document, content in zip(batch["document"], batch["content"], strict=True):
-                try:
-                    doc = json.loads(content or "")
-                except ValueError:
-                    doc = None
-                kind = "cyclonedx" if isinstance(doc, dict) and ("components" in doc or doc.get("bomFormat") == "CycloneDX") else "spdx" if isinstance(doc, dict) and isinstance(doc.get("packages"), list) else None
-                if kind is None:
-                    rows.append((document, None, None, None, None, None, None, "no JSON" if doc is None else "neither CycloneDX nor SPDX"))
-                    continue
-                found = list(_cyclonedx(doc) if kind == "cyclonedx" else _spdx(doc))
-                times = Counter(x[0] for x in found)
-                rows += [(document, kind, ref, name, version, purl, sorted(d) if d and times[ref] == 1 else None, None if name else "no name") for ref, name, version, purl, d in found]
-            yield pd.DataFrame(rows, columns=["document", "format", "ref", "name", "version", "purl", "depends_on", "error"])
+    def walk(documents):
+        for document, content in documents:
+            try:
+                doc = _json(content or "")
+            except ValueError:
+                doc = None
+            kind = "cyclonedx" if isinstance(doc, dict) and ("components" in doc or doc.get("bomFormat") == "CycloneDX") else "spdx" if isinstance(doc, dict) and isinstance(doc.get("packages"), list) else None
+            if kind is None:
+                yield document, None, None, None, None, None, None, "no JSON" if doc is None else "neither CycloneDX nor SPDX"
+                continue
+            walked = _cyclonedx if kind == "cyclonedx" else _spdx
+            times = Counter(x[0] for x in walked(doc))
+            for ref, name, version, purl, d in walked(doc):
+                yield document, kind, ref, name, version, purl, sorted(d) if d and times[ref] == 1 else None, None if name else "no name"
 
     key = F.coalesce("purl", F.concat(F.lower("name"), F.lit("\x00"), F.lower(F.coalesce("version", F.lit("")))))
-    return _documents(spark, path).mapInPandas(walk, SBOM).withColumn("key", key)
+    return _documents(spark, path).mapInArrow(_sliced(walk, _SBOM), SBOM).withColumn("key", key)
 
 
 STATES = {"exploitable": "affected", "in_triage": "under_investigation", "resolved": "fixed", "resolved_with_pedigree": "fixed", "not_affected": "not_affected", "false_positive": "not_affected"}  # fixed values
@@ -302,20 +372,19 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
     not_affected one has a reason; a SARIF result if its tool, rule and place are named. A file of another form is one row that isn't mapped.
     """
 
-    def walk(batches):
-        for batch in batches:
-            rows = []
-            for document, content in zip(batch["document"], batch["content"], strict=True):
-                try:
-                    doc = json.loads(content or "")
-                except ValueError:
-                    doc = None
-                doc = doc if isinstance(doc, dict) else {}
-                found = [*_openvex(doc), *_cyclonedx_vex(doc), *_sarif(doc)] or [("unreadable", None, None, None, [], None, None, False)]
-                rows += [(document, n, *x) for n, x in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["document", "n", "kind", "producer", "rule_id", "vulnerability_id", "subject_ids", "status", "summary", "mapped"])
-
-    return _documents(spark, path).mapInPandas(walk, CLAIM).select(F.concat_ws("#", "document", "n").alias("record_id"), "*").drop("n")
+    def walk(documents):
+        for document, content in documents:
+            try:
+                doc = _json(content or "")
+            except ValueError:
+                doc = None
+            doc, n = doc if isinstance(doc, dict) else {}, -1
+            for n, claim in enumerate(chain(_openvex(doc), _cyclonedx_vex(doc), _sarif(doc))):
+                yield document, n, *claim
+            if n < 0:
+                yield document, 0, "unreadable", None, None, None, [], None, None, False
+
+    return _documents(spark, path).mapInArrow(_sliced(walk, _CLAIM), CLAIM).select(F.concat_ws("#", "document", "n").alias("record_id"), "*").drop("n")
 
 
 def broken_lockfiles(corpus: DataFrame) -> DataFrame:

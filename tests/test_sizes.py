@@ -33,6 +33,33 @@ def test_advisories_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in found and all(k <= few for k in keys), found
 
 
+def test_sboms_of_any_depth(spark, tmp_path):
+    n = 30_000
+    nested = "".join(f'{{"bom-ref":"r{i}","name":"n{i}","version":"1","components":[' for i in range(n)) + "]}" * n
+    (tmp_path / "deep.json").write_text(f'{{"bomFormat":"CycloneDX","components":[{nested}],"dependencies":[{{"ref":"r1","dependsOn":["r0"]}}]}}')
+    (tmp_path / "open.json").write_text("[" * n)
+    got = readers.read_sbom(spark, str(tmp_path))
+    assert got.where("error IS NULL").select("ref").distinct().count() == n and got.where("error = 'no JSON'").count() == 1
+    assert [r.depends_on for r in got.where("ref = 'r1'").collect()] == [["r0"]]
+
+
+def test_json_by_a_stack_is_json():
+    r = random.Random(5)
+    make = lambda d: r.choice([1, -2.5e3, True, None, "é\\n\"x", ""]) if d == 0 else [make(r.randrange(d)) for _ in range(r.randrange(4))] if r.random() < 0.5 else {r.choice("abc"): make(r.randrange(d)) for _ in range(r.randrange(4))}
+    for _ in range(500):
+        text = json.dumps(make(5), indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5)
+        assert readers._deep_json(text) == json.loads(text)
+        k = r.randrange(len(text))
+        for bad in (text[:k], text[:k] + r.choice("{}[],:x") + text[k:]):
+            try:
+                want = json.loads(bad)
+            except ValueError:
+                with pytest.raises(ValueError):
+                    readers._deep_json(bad)
+            else:
+                assert readers._deep_json(bad) == want
+
+
 def test_covering_snapshots_pair_no_requests(spark):
     """Requests of one project and set, and as many snapshots that cover it: they meet by a sort."""
     at = "timestamp_seconds(id * 10 + {})"
