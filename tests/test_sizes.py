@@ -33,6 +33,13 @@ def test_advisories_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in found and all(k <= few for k in keys), found
 
 
+@tables
+def test_a_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda folder: sorted(map(tuple, QUERIES["stream_scan"](spark, folder).collect()))
+    assert rows(str(tmp_path)) == rows(SF) != []
+
+
 def test_sboms_of_any_depth(spark, tmp_path):
     n = 30_000
     nested = "".join(f'{{"bom-ref":"r{i}","name":"n{i}","version":"1","components":[' for i in range(n)) + "]}" * n
