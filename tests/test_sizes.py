@@ -67,6 +67,20 @@ def test_json_by_a_stack_is_json():
                 assert readers._deep_json(bad) == want
 
 
+def test_claims_leave_a_worker_in_slices():
+    taken = []
+
+    def walk(documents):
+        for document, _ in documents:
+            for n in range(5):
+                taken.append(n)
+                yield document, n, "vex-statement", None, None, f"CVE-{n}", ["a"], None, None, True
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["d", "e"]), pa.array(["", ""])], ["document", "content"])
+    parts = readers._sliced(walk, readers._CLAIM, 2)(iter([batch]))
+    assert next(parts).num_rows == 2 and len(taken) == 2 and [p.num_rows for p in parts] == [2, 2, 2, 2]
+
+
 def test_covering_snapshots_pair_no_requests(spark):
     """Requests of one project and set, and as many snapshots that cover it: they meet by a sort."""
     at = "timestamp_seconds(id * 10 + {})"
