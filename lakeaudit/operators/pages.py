@@ -14,11 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_PARTS = 400  #: tasks that sort, while they have no more than MOST_ROWS rows each
+MOST_ROWS = 5_000_000
+
+
 def write_ranked(findings: DataFrame, order: list[Column], folder: str, per: int = 100_000) -> None:
     """Store findings in ranges of about per rows, and the ranges' counts. order must tell all rows apart, or pages may part equal ones anew."""
     n = findings.count()
-    ranges = max(1, -(-n // per))
-    dealt = findings.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    # Tasks are bounded, as each adds a sample of the rows to what the driver sees; a task cuts its sorted rows into ranges.
+    parts = max(1, min(-(-n // per), max(MOST_PARTS, n // MOST_ROWS)))
+    place = F.monotonically_increasing_id()  # the partition, and in the lower 33 bits the row's place in it
+    cut = F.shiftright(place, 33) * (-(-n // per) + 1) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / per)
+    dealt = findings.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_range", cut)
     writer = dealt.write.mode("overwrite")
     (writer.partitionBy("_range") if n else writer).parquet(f"{folder}/rows")  # an empty table has no folder for a range
     stored = findings.sparkSession.read.parquet(f"{folder}/rows")
@@ -29,7 +36,7 @@ class Ranked:
     """A stored table of write_ranked. Its counts, one number a range, are held by the driver."""
 
     def __init__(self, spark: SparkSession, folder: str, order: list[Column]):
-        self.rows, self.order = spark.read.parquet(f"{folder}/rows"), order
+        self.spark, self.folder, self.order = spark, f"{folder}/rows", order
         counts = sorted((r["_range"], r["n"]) for r in spark.read.parquet(f"{folder}/counts").collect())
         self.ranges, self.ends = [r for r, _ in counts], list(accumulate(n for _, n in counts))
 
@@ -45,4 +52,6 @@ class Ranked:
     def page(self, offset: int, limit: int) -> DataFrame:
         """Rows offset to offset + limit - 1 in the order; none beyond the end."""
         wanted, before = self.holding(offset, limit)
-        return self.rows.where(F.col("_range").isin(wanted) if wanted else F.lit(False)).drop("_range").orderBy(*self.order).offset(offset - before).limit(limit)
+        # Only the page's ranges are listed; the first one gives an empty page its columns.
+        own = self.spark.read.option("basePath", self.folder).parquet(*(f"{self.folder}/_range={k}" for k in wanted or self.ranges[:1])) if self.ranges else self.spark.read.parquet(self.folder)
+        return own.where(F.col("_range").isin(wanted) if wanted else F.lit(False)).drop("_range").orderBy(*self.order).offset(offset - before).limit(limit)

@@ -91,6 +91,17 @@ def test_covering_snapshots_pair_no_requests(spark):
     assert got.count() == 19_999 and got.where("snapshot_id <> request_id - 1").count() == 0
 
 
+def test_ranges_are_many_and_tasks_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_PARTS", 3)
+    order, rows = [F.asc("a")], list(range(5_000))
+    pages.write_ranked(spark.createDataFrame([(i,) for i in rows], "a int").repartition(5), order, str(tmp_path), per=100)
+    ranked = pages.Ranked(spark, str(tmp_path), order)
+    assert ranked.total == 5_000 and 50 <= len(ranked.ranges) <= 53 and len(os.listdir(tmp_path / "rows" / f"_range={ranked.ranges[0]}")) <= 2
+    for offset in (0, 99, 1_666, 3_333, 4_990):
+        assert [r.a for r in ranked.page(offset, 30).collect()] == rows[offset : offset + 30]
+        assert len(ranked.page(offset, 30).inputFiles()) <= 2
+
+
 def test_usage_holds_no_pairs_of_names_and_paths(spark):
     corpus = spark.createDataFrame([("p", "a.py", "import x\nimport y"), ("p", "a.py", "import x"), ("p", "b.py", "import x"), ("p", "c.py", "")], "project_id string, path string, content string")
     got = D.usage_index(corpus)
