@@ -107,3 +107,11 @@ def test_usage_holds_no_pairs_of_names_and_paths(spark):
     got = D.usage_index(corpus)
     assert {(r.name, r.files, r.first_path) for r in got.where("ecosystem = 'PyPI'").collect()} == {("x", 2, "a.py"), ("y", 1, "a.py")}
     assert not re.search(r"keys=\[ecosystem#\d+, project_id#\d+, name#\d+, path#", plan(got))
+
+
+def test_totals_of_views_are_a_cube_without_its_shuffle(spark):
+    r = random.Random(4)
+    rows = [(r.choice([1, 2, 3, None]), r.choice(["open", "closed", None]), r.choice(["new", "resolved", None])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "run_id int, view string, diff_status string")
+    got, want = L.view_diff_counts(df), df.cube("run_id", "view", "diff_status").agg(F.count("*").alias("n")).where("run_id IS NOT NULL")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and "Expand" not in plan(got)
