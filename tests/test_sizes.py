@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeaudit.jobs.registry import QUERIES
 from lakeaudit.operators import advisories as D
+from lakeaudit.operators import composition as C
 from lakeaudit.operators import lifecycle as L
 from lakeaudit.operators import pages
 from lakeaudit.sources import readers
@@ -115,3 +116,21 @@ def test_totals_of_views_are_a_cube_without_its_shuffle(spark):
     df = spark.createDataFrame(rows, "run_id int, view string, diff_status string")
     got, want = L.view_diff_counts(df), df.cube("run_id", "view", "diff_status").agg(F.count("*").alias("n")).where("run_id IS NOT NULL")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and "Expand" not in plan(got)
+
+
+def test_sites_and_advisories_are_not_paired(spark):
+    """One version at many sites with many advisories: counts as component_advisories has them, from rows that go with sites and advisories."""
+    r = random.Random(3)
+    sites = [(p, "npm", f"n{r.randrange(4)}", "1", r.choice([True, False, None])) for p in range(30) for _ in range(3)]
+    vulns = [("npm", f"n{r.randrange(3)}", "1", f"A{r.randrange(9)}", r.choice(["low", "critical", None])) for _ in range(40)]
+    s = spark.createDataFrame(sites, "project_id int, ecosystem string, name string, version string, dismissed boolean")
+    v = spark.createDataFrame(vulns, "ecosystem string, name string, version string, advisory_id string, severity string")
+    got, want = C.site_advisories(s, v), C.component_advisories(s.join(v, ["ecosystem", "name", "version"]))
+    assert got.schema.simpleString() == want.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
+
+
+@tables
+@pytest.mark.parametrize("name", ["component_advisories", "rank_components", "composition_report", "composition_summary", "portfolio_components"])
+def test_advisories_of_components_are_counted_by_version(spark, name):
+    found = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^\]]*project_id#[^\]]*advisory_id#", found), found
