@@ -77,11 +77,16 @@ def compliance_summary(spark, sf_dir) -> DataFrame:
 A.view("dep_edges", "SELECT DISTINCT l_orderkey AS project, l_linenumber AS parent, l_linenumber + 1 + l_partkey % 2 AS child FROM lineitem")
 
 
+def _dep_edges(spark, sf_dir) -> DataFrame:
+    """The edges, made once: roots, nodes, chains and gaps all read them."""
+    return A.cut(A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS project", "bigint(l_linenumber) AS parent", "l_linenumber + 1 + l_partkey % 2 AS child").distinct())
+
+
 @query("dependency_paths", A.oracle("""WITH RECURSIVE walk AS (SELECT project, CAST(min(parent) AS BIGINT) AS node, 0 AS depth, [CAST(min(parent) AS BIGINT)] AS chain FROM dep_edges GROUP BY project UNION ALL SELECT w.project, CAST(e.child AS BIGINT), w.depth + 1, list_append(w.chain, CAST(e.child AS BIGINT)) FROM walk w JOIN dep_edges e ON e.project = w.project AND e.parent = w.node WHERE NOT list_contains(w.chain, e.child))
   SELECT project, node, depth, array_to_string(chain, '/') AS chain FROM walk""", "dep_edges").replace("WITH dep_edges", "WITH RECURSIVE dep_edges", 1).replace(", RECURSIVE walk", ", walk"))
 def dependency_paths(spark, sf_dir) -> DataFrame:
     """Every line item is an edge of its order's graph, from its line to one of the next two; the order's first line is the root."""
-    edges = A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS project", "bigint(l_linenumber) AS parent", "l_linenumber + 1 + l_partkey % 2 AS child").distinct()
+    edges = _dep_edges(spark, sf_dir)
     roots = edges.groupBy("project").agg(F.min("parent").alias("node"))
     return Q.dependency_paths(edges, roots, A.cut, max_paths=1_000_000).select("project", "node", "depth", F.array_join(F.col("chain").cast("array<string>"), "/").alias("chain"))
 
@@ -92,7 +97,7 @@ def dependency_paths(spark, sf_dir) -> DataFrame:
   FROM nodes n LEFT JOIN have h ON h.project = n.project AND h.node = n.node LEFT JOIN deep d ON d.project = n.project""", "dep_edges").replace("WITH dep_edges", "WITH RECURSIVE dep_edges", 1))
 def path_status(spark, sf_dir) -> DataFrame:
     """The graphs of dependency_paths to a depth of 4; one order in seven has no roots."""
-    edges = A.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS project", "bigint(l_linenumber) AS parent", "l_linenumber + 1 + l_partkey % 2 AS child").distinct()
+    edges = _dep_edges(spark, sf_dir)
     roots = edges.groupBy("project").agg(F.min("parent").alias("node")).where("project % 7 <> 0")
     nodes = edges.select("project", F.col("parent").alias("node")).unionByName(edges.select("project", F.col("child").alias("node"))).distinct().withColumn("own", F.col("node") == 3)
     paths = Q.dependency_paths(edges, roots, A.cut, max_depth=4, max_paths=1_000_000)

@@ -96,17 +96,25 @@ def compliance_summary(assessed: DataFrame) -> DataFrame:
 def dependency_paths(edges: DataFrame, roots: DataFrame, checkpoint, max_depth: int = 64, max_paths: int = 32, cut_every: int = 4) -> DataFrame:
     """project, node, depth, chain: from every root, the shortest chains to each node, max_paths of them, without cycles.
 
-    edges: project, parent, child. roots: project, node. A level joins the frontier with the edges; a node that has its
-    paths takes no longer ones. checkpoint cuts the lineage every few levels.
+    edges: project, parent, child. roots: project, node. A level joins the frontier with the edges, which are written once
+    for all levels; a node that has its paths takes no longer ones. checkpoint cuts the lineage every few levels.
+
+    A node has at most as many chains of a length as edges lead to it times the most chains of a node one shorter. While
+    these sum up to no more than max_paths, no node can have too many, and none are counted.
     """
     frontier = roots.select("project", "node", F.lit(0).alias("depth"), F.array("node").alias("chain")).distinct()
-    found, out = frontier, edges.select("project", F.col("parent").alias("node"), "child")
+    found, out = frontier, checkpoint(edges.select("project", F.col("parent").alias("node"), "child"))
+    into = out.groupBy("project", "child").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # one row
+    longest = most = 1
     for depth in range(1, max_depth + 1):
+        longest *= into
+        most += longest
         step = frontier.join(out, ["project", "node"]).where(~F.array_contains("chain", F.col("child")))
         step = step.select("project", F.col("child").alias("node"), F.lit(depth).alias("depth"), F.concat("chain", F.array("child")).alias("chain"))
-        held = found.groupBy("project", "node").agg(F.count("*").alias("held"))
-        w = Window.partitionBy("project", "node").orderBy(F.array_join("chain", "/"))
-        step = step.join(held, ["project", "node"], "left").withColumn("n", F.row_number().over(w)).where(F.col("n") + F.coalesce("held", F.lit(0)) <= max_paths).drop("n", "held")
+        if most > max_paths:
+            held = found.groupBy("project", "node").agg(F.count("*").alias("held"))
+            w = Window.partitionBy("project", "node").orderBy(F.array_join("chain", "/"))
+            step = step.join(held, ["project", "node"], "left").withColumn("n", F.row_number().over(w)).where(F.col("n") + F.coalesce("held", F.lit(0)) <= max_paths).drop("n", "held")
         step = checkpoint(step)
         if step.isEmpty():
             break
