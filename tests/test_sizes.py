@@ -134,3 +134,76 @@ def test_sites_and_advisories_are_not_paired(spark):
 def test_advisories_of_components_are_counted_by_version(spark, name):
     found = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[[^\]]*project_id#[^\]]*advisory_id#", found), found
+
+
+def _inventory(spark):
+    """Runs whose components have aliases, some of them reported, and advisories without a place."""
+    r = random.Random(8)
+    deps = [(run, "npm", f"n{r.randrange(3)}", f"{r.randrange(4)}.0.0", None, False) for run in range(12) for _ in range(4)]
+    adv = [(f"A{i}", "npm", f"n{i % 3}", None, [f"C{i % 4}", f"D{i % 5}"], [], [("SEMVER", [("0", None, None, None), (None, r.choice(["2.0.0", "3.0.0", "soon"]), None, None)])]) for i in range(20)]
+    told = [(run, e, n, v, r.choice(["A1", "C2", "C3", "D1", None])) for run, e, n, v, *_ in deps for _ in range(r.randrange(3))]
+    event = "struct<introduced:string,fixed:string,last_affected:string,limit:string>"
+    return (
+        spark.createDataFrame(deps, "run_id int, ecosystem string, name string, version string, source string, local_workspace boolean"),
+        spark.createDataFrame(adv, f"id string, ecosystem string, package string, withdrawn string, aliases array<string>, versions array<string>, ranges array<struct<type:string,events:array<{event}>>>"),
+        spark.createDataFrame(told, "run_id int, ecosystem string, name string, version string, reported_id string"),
+    )
+
+
+def test_runs_are_counted_without_their_matches(spark):
+    deps, adv, told = _inventory(spark)
+    found, counts = D.monitor(deps, adv, told), D.monitor_counts(deps, adv, told)
+    got, want = (sorted(map(tuple, D.monitor_runs(deps, adv, x).collect())) for x in (counts, found))
+    assert got == want and any(r[2] for r in got) and any(r[3] for r in got)
+    # No join of runs' components has a row for each match: the run is only joined with counts.
+    assert not re.search(r"Project \[[^\]]*run_id#[^\]]*advisory_id#", counts._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_equal_ranges_are_held_once(spark):
+    deps, adv, _ = _inventory(spark)
+    met, own = D.match_advisories(deps, adv).withColumn("lockfile", F.lit("l")), adv.select(F.col("id").alias("advisory_id"), "ranges")
+    got, want = D.upgrade_groups(met, own), D.upgrade_groups(met.join(own, "advisory_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != [] and any(r.candidate for r in got.collect())
+    event = "struct<introduced:string,fixed:string,last_affected:string,limit:string>"
+    ranges = [("ECOSYSTEM", [("0", None, None, None), (None, "2.0.0", None, None)])]
+    many = spark.createDataFrame([("npm", "n", "1.0.0", "l", f"A{i}", ranges) for i in range(50)], f"ecosystem string, name string, version string, lockfile string, advisory_id string, ranges array<struct<type:string,events:array<{event}>>>")
+    x = D.upgrade_groups(many)
+    assert [(r.advisories, r.candidate) for r in x.collect()] == [(50, "2.0.0")]
+    assert re.search(r"Aggregate \[[^\]]*_range#", x._jdf.queryExecution().optimizedPlan().toString())
+
+
+@tables
+def test_advisory_lists_are_not_shuffled(spark):
+    """No aggregate above the join that brings the lists."""
+    found = QUERIES["advisory_policy_inputs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in found[: found.index("Join LeftOuter")]
+
+
+def test_paths_are_counted_only_where_there_may_be_too_many(spark):
+    from lakeaudit.operators import quality as Q
+
+    r, cuts = random.Random(2), []
+    edges = sorted({(p, a, b) for p in range(5) for _ in range(14) for a, b in [(r.randrange(6), r.randrange(6))] if a != b})
+    e, roots = spark.createDataFrame(edges, "project int, parent int, child int"), spark.createDataFrame([(p, 0) for p in range(5)], "project int, node int")
+
+    def walk(most):
+        level, have, out = [(p, 0, (0,)) for p in range(5)], {}, []
+        while level:
+            kept = []
+            for p, n, c in sorted(level, key=lambda x: (x[0], x[1], "/".join(map(str, x[2])))):
+                if have.get((p, n), 0) < most:
+                    have[p, n] = have.get((p, n), 0) + 1
+                    kept.append((p, n, c))
+            out += kept
+            level = [(p, b, (*c, b)) for p, n, c in kept for q, a, b in edges if (q, a) == (p, n) and b not in c]
+        return sorted(out)
+
+    def cut(df):
+        cuts.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df.localCheckpoint()
+
+    for most in (1, 3, 32, 10**9):
+        cuts.clear()
+        got = sorted((x.project, x.node, tuple(x.chain)) for x in Q.dependency_paths(e, roots, cut, max_paths=most).collect())
+        assert got == walk(most)
+    assert not any("Window" in c for c in cuts)  # of 10**9
