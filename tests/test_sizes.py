@@ -207,3 +207,38 @@ def test_paths_are_counted_only_where_there_may_be_too_many(spark):
         got = sorted((x.project, x.node, tuple(x.chain)) for x in Q.dependency_paths(e, roots, cut, max_paths=most).collect())
         assert got == walk(most)
     assert not any("Window" in c for c in cuts)  # of 10**9
+
+
+@tables
+@pytest.mark.parametrize("name, scans", [("compare_runs", 3), ("compare_runs_packs", 4)])
+def test_run_diffs_are_made_once(spark, name, scans):
+    """Each table is read once, and after findings, coverage and packs meet by run nothing is shuffled."""
+    found = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above = found[: found.index("Exchange hashpartitioning")]
+    assert found.count("FileScan") == scans and "Window" in above and "Join" not in above and "Union" in found, found
+
+
+def test_run_diffs_equal_brute_force(spark):
+    r = random.Random(11)
+    pick = lambda *x: r.choice(x)
+    pairs = [(run, run + 1) for run in range(12)] + [(20, 3), (21, 99)]
+    f = [(pick(*range(14), 20, 21), pick(1, 2), pick("a", "b", "c", None), pick("q/r", "p/r", "r", None), "low", pick("source", "secrets", None), pick("x", "y", None)) for _ in range(300)]
+    cover = [(pick(*range(14), 20, None), pick("x", "y", None), pick("source", "secrets", None)) for _ in range(300)]
+    held = [(pick(*range(14)), pick("q", "p", None), pick("h1", "h2", None)) for _ in range(50)]
+    kinds = "run_id int, fingerprint_version int, fingerprint string, rule_id string, severity string, category string, path string"
+    findings, p = spark.createDataFrame(f, kinds), spark.createDataFrame(pairs, "run_id int, baseline_run_id int")
+    coverage, packs = spark.createDataFrame(cover, "run_id int, path string, family string"), spark.createDataFrame(held, "run_id int, pack_id string, hash string")
+    hashes = lambda run, rule: {h for a, k, h in held if a == run and k == rule.split("/")[0] and h} if (run, rule.split("/")[0]) in {x[:2] for x in held} else None
+    for use in (False, True):
+        want = []
+        for run, base in pairs:
+            now, then = ({x[1:3] for x in f if x[0] == side} for side in (run, base))
+            want += [(run, *x, "unchanged" if x[1:3] in then else "new") for x in f if x[0] == run]
+            for x in f:
+                if x[0] == base and x[1:3] not in now:
+                    rule, ok = x[3], x[6] is not None and x[5] is not None and (run, x[6], x[5]) in cover
+                    same = rule is not None and ("/" not in rule or (use and bool(hashes(run, rule)) and hashes(run, rule) == hashes(base, rule)))
+                    want.append((run, *x, "resolved" if ok and same else "notEvaluated"))
+        got = L.compare_runs(p, findings, coverage, *([packs] if use else []))
+        assert got.columns == ["run_id", "observation_run_id", "fingerprint_version", "fingerprint", "rule_id", "severity", "category", "path", "diff_status"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and {x[-1] for x in want} == {"new", "unchanged", "resolved", "notEvaluated"}
