@@ -204,8 +204,16 @@ def _json(text: str):
 
 
 def _deep_json(text: str):
+    value, i = _deep_value(text, _blank(text, 0).end())
+    if i < len(text):
+        raise ValueError(f"more text at {i}")
+    return value
+
+
+def _deep_value(text: str, i: int):
+    """The value at i, and where the next text is."""
     scalar, after = json.JSONDecoder().raw_decode, lambda i: _blank(text, i).end()
-    around, i = [], after(0)  # the open containers, each with the key under which its current item goes
+    around = []  # the open containers, each with the key under which its current item goes
 
     def key(i):
         name, i = scalar(text, i) if text[i : i + 1] == '"' else (None, i)
@@ -228,9 +236,7 @@ def _deep_json(text: str):
         while True:  # a value is whole: it goes into what is around it, which may be whole then, too
             i = after(i)
             if not around:
-                if i < len(text):
-                    raise ValueError(f"more text at {i}")
-                return value
+                return value, i
             held, name = around.pop()
             if isinstance(held, list):
                 held.append(value)
@@ -247,11 +253,92 @@ def _deep_json(text: str):
             value, i = held, i + 1
 
 
+_decode = json.JSONDecoder().raw_decode
+
+
+def _value(text: str, i: int):
+    try:
+        return _decode(text, i)
+    except RecursionError:
+        return _deep_value(text, i)
+
+
+class _Held:
+    """An array that stays in its text: every time it is gone through, its items are read one by one.
+
+    kept: None, or the keys of an item's arrays that are read with it while its other ones stay in the text.
+    """
+
+    def __init__(self, text: str, start: int, kept: tuple[str, ...] | None = None):
+        self.text, self.start, self.kept, self.end = text, start, kept, None
+
+    def __iter__(self):
+        text, i = self.text, _blank(self.text, self.start + 1).end()
+        more = text[i : i + 1] != "]"
+        while more:
+            value, i = _value(text, i) if self.kept is None else _open(text, i, {}, self.kept)
+            yield value
+            i = _blank(text, i).end()
+            more = text[i : i + 1] == ","
+            if more:
+                i = _blank(text, i + 1).end()
+            elif text[i : i + 1] != "]":
+                raise ValueError(f"no end at {i}")
+        self.end = i + 1
+
+
+def _open(text: str, i: int, inside: dict[str, tuple[str, ...]], kept: tuple[str, ...] = ()):
+    """The value at i and its end. An array stays in the text (_Held), as do those of an object but for the kept ones; a ValueError tells of no JSON.
+
+    inside: by key, what is kept of the items of an array, whose other arrays stay in the text, too.
+    """
+
+    def held(name):
+        value = _Held(text, i, inside.get(name))
+        for _ in value:  # to its end: only then is it known to be JSON
+            pass
+        return value, value.end
+
+    after = lambda i: _blank(text, i).end()
+    if text[i : i + 1] == "[":
+        return held(None)
+    if text[i : i + 1] != "{":
+        return _value(text, i)
+    found, i = {}, after(i + 1)
+    more = text[i : i + 1] != "}"
+    while more:
+        if text[i : i + 1] != '"':
+            raise ValueError(f"no key at {i}")
+        name, i = _decode(text, i)
+        i = after(i)
+        if text[i : i + 1] != ":":
+            raise ValueError(f"no key at {i}")
+        i = after(i + 1)
+        found[name], i = held(name) if text[i : i + 1] == "[" and name not in kept else _value(text, i)
+        i = after(i)
+        more = text[i : i + 1] == ","
+        if more:
+            i = after(i + 1)
+        elif text[i : i + 1] != "}":
+            raise ValueError(f"no end at {i}")
+    return found, i + 1
+
+
+def _open_json(text: str, inside: dict[str, tuple[str, ...]]):
+    """_json of a document whose arrays stay in the text, so that one item of them is in memory at a time."""
+    value, i = _open(text, _blank(text, 0).end(), inside)
+    if _blank(text, i).end() < len(text):
+        raise ValueError(f"more text at {i}")
+    return value
+
+
 def _texts(value) -> str | None:
     return value if isinstance(value, str) and value.strip() else None
 
 
-def _listed(value) -> list:
+def _listed(value):
+    if isinstance(value, _Held):
+        return (x for x in value if isinstance(x, dict))
     return [x for x in value if isinstance(x, dict)] if isinstance(value, list) else []
 
 
@@ -370,12 +457,13 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
 
     Claims are never trusted by themselves. A VEX statement is mapped if its status is known, all its products have ids and a
     not_affected one has a reason; a SARIF result if its tool, rule and place are named. A file of another form is one row that isn't mapped.
+    A worker holds a document as its text, and its claims one at a time.
     """
 
     def walk(documents):
         for document, content in documents:
             try:
-                doc = _json(content or "")
+                doc = _open_json(content or "", {"runs": ("tool",)})
             except ValueError:
                 doc = None
             doc, n = doc if isinstance(doc, dict) else {}, -1

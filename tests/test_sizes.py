@@ -242,3 +242,43 @@ def test_run_diffs_equal_brute_force(spark):
         got = L.compare_runs(p, findings, coverage, *([packs] if use else []))
         assert got.columns == ["run_id", "observation_run_id", "fingerprint_version", "fingerprint", "rule_id", "severity", "category", "path", "diff_status"]
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and {x[-1] for x in want} == {"new", "unchanged", "resolved", "notEvaluated"}
+
+
+def _opened(value):
+    """What an open document holds, read whole."""
+    if isinstance(value, readers._Held):
+        value = list(value)
+    return [_opened(x) for x in value] if isinstance(value, list) else {k: _opened(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+def test_claims_are_read_one_at_a_time_from_the_text(monkeypatch):
+    r = random.Random(6)
+    make = lambda d: r.choice([1, -2.5e3, True, None, "é\\n\"x", ""]) if d == 0 else [make(r.randrange(d)) for _ in range(r.randrange(4))] if r.random() < 0.5 else {r.choice(["runs", "results", "tool", "a"]): make(r.randrange(d)) for _ in range(r.randrange(4))}
+    for _ in range(500):
+        text = json.dumps(make(5), indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5)
+        k = r.randrange(len(text))
+        for own in (text, text[:k], text[:k] + r.choice("{}[],:x") + text[k:]):
+            try:
+                want = json.loads(own)
+            except ValueError:
+                with pytest.raises(ValueError):
+                    readers._open_json(own, {"runs": ("tool",)})
+            else:
+                assert _opened(readers._open_json(own, {"runs": ("tool",)})) == want
+    # The longest text that is read at once is a claim, not a document of many; deep ones are read, too.
+    longest, decode = [0], readers._decode
+
+    def measured(text, i):
+        value, end = decode(text, i)
+        longest[0] = max(longest[0], end - i)
+        return value, end
+
+    monkeypatch.setattr(readers, "_decode", measured)
+    result = {"ruleId": "R", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a.py"}}}]}
+    docs = [{"statements": [{"vulnerability": {"name": f"CVE-{i}"}, "status": "fixed", "products": [{"@id": "p"}]} for i in range(1_000)]}, {"runs": [{"results": [result] * 1_000, "tool": {"driver": {"name": "T"}}}] * 2}]
+    for doc, walk in zip(docs, (readers._openvex, readers._sarif), strict=True):
+        want = list(walk(doc))
+        assert list(walk(readers._open_json(json.dumps(doc), {"runs": ("tool",)}))) == want and len(want) >= 1_000 and all(x[-1] for x in want)
+    assert 0 < longest[0] < 200
+    deep = '{"statements": [' + "[" * 30_000 + "]" * 30_000 + ', {"status": "fixed"}]}'
+    assert [x[5] for x in readers._openvex(readers._open_json(deep, {}))] == ["fixed"]
