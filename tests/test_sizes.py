@@ -282,3 +282,10 @@ def test_claims_are_read_one_at_a_time_from_the_text(monkeypatch):
     assert 0 < longest[0] < 200
     deep = '{"statements": [' + "[" * 30_000 + "]" * 30_000 + ', {"status": "fixed"}]}'
     assert [x[5] for x in readers._openvex(readers._open_json(deep, {}))] == ["fixed"]
+
+
+@tables
+def test_notes_broadcast_no_packages(spark):
+    """Packages of an inventory may be many; what is broadcast is one row."""
+    found = plan(QUERIES["match_notes"](spark, SF))
+    assert "BroadcastHashJoin" not in found and "SortMergeJoin" in found, found
