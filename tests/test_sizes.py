@@ -289,3 +289,20 @@ def test_notes_broadcast_no_packages(spark):
     """Packages of an inventory may be many; what is broadcast is one row."""
     found = plan(QUERIES["match_notes"](spark, SF))
     assert "BroadcastHashJoin" not in found and "SortMergeJoin" in found, found
+
+
+def test_only_ids_that_can_strike_out_are_tested(spark):
+    """Of what was reported, only ids that a package's advisories bear reach the matches; the rows are those of a test of every pair."""
+    deps, adv, told = _inventory(spark)
+    other = deps.select("run_id", "ecosystem", "name", "version", F.concat(F.lit("X"), F.col("run_id").cast("string")).alias("reported_id"))
+    other = other.unionByName(other.withColumn("reported_id", F.concat(F.lit("A"), F.substring("name", 2, 1).cast("int") + 1)))  # of another package's advisory
+    got = D.monitor(deps, adv, told.unionByName(other))
+    plain = D.match_advisories(deps, adv).join(adv.select(F.col("id").alias("advisory_id"), "aliases"), "advisory_id")
+    held = {tuple(r) for r in told.unionByName(other).where("reported_id IS NOT NULL").collect()}
+    keys = {(r.run_id, r.ecosystem, r.name, r.version) for r in deps.collect()}
+    want = [(*k, m.advisory_id, m.verdict) for m in plain.collect() for k in keys if k[1:] == (m.ecosystem, m.name, m.version) and not any((*k, i) in held for i in [m.advisory_id, *m.aliases])]
+    assert sorted(map(tuple, got.collect())) == sorted(want) != []
+    borne = {(a.package, i) for a in adv.collect() for i in [a.id, *a.aliases]}
+    every = sorted((tuple(r) for r in told.unionByName(other).collect() if (r.name, r.reported_id) in borne), key=str)
+    assert sorted(map(tuple, D._borne(told.unionByName(other), adv).collect()), key=str) == every and len(every) < told.count()
+    assert "isnull(told" in got._jdf.queryExecution().optimizedPlan().toString()
