@@ -81,6 +81,27 @@ def test_licenses(text, category, complete, verdict):
     assert N.verdict(tree, {"deny": ["strong-copyleft", "gpl-2.0-only"], "warn": ["weak-copyleft"], "unknown": "warn"}) == verdict
 
 
+@pytest.mark.parametrize(
+    ("text", "category", "complete"),
+    [
+        ("The Apache Software License, Version 2.0", "permissive", True), ("BSD", "permissive", True), ("GNU GPL", "strong-copyleft", True), ("CECILL-2.1", "strong-copyleft", True), ("Ruby", "permissive", True), ("GPL-1.0+", "strong-copyleft", True), ("MIT / GPL-3.0", "permissive", True), ("all rights reserved", "proprietary", True),
+        ("GPL-2.0-only WITH Bison-exception-2.2", "weak-copyleft", True), ("AGPL-3.0 WITH Bison-exception-2.2", "network-copyleft", True), ("MIT/Foo", "unknown", False), ("MIT-AND-X", "unknown", False), (" ", None, False), ("(" * 5000 + "MIT" + ")" * 5000, "permissive", True), (" OR ".join(["X"] * 5000 + ["MPL-2.0"]), "weak-copyleft", False),
+    ],
+)
+def test_licence_texts_of_the_whole_catalogue(text, category, complete):
+    tree = N.parse(text)
+    assert N.category(tree) == category and N.complete(tree) == complete
+
+
+def test_summary_counts_every_category(spark):
+    rows = [("p", "MIT", True), ("p", "MIT", None), ("p", "GNU GPL", None), ("p", "Nonesuch", None), ("p", " ", None), ("p", None, None), ("q", "CC0", None)]
+    c = spark.createDataFrame([(p, "npm", f"n{i}", "1", x, d) for i, (p, x, d) in enumerate(rows)], "project_id string, ecosystem string, name string, version string, license string, deprecated boolean")
+    c = C.assess_license(c, {}).selectExpr("*", "false AS direct", "if(name = 'n0', 2, 0) AS open", "if(name = 'n0', 4, null) AS worst_rank", "cast(null AS timestamp) AS published_at", "cast(null AS timestamp) AS newest_at", "cast(null AS string) AS default_version", "cast(array() AS array<struct<waived:boolean,action:string>>) AS violations")
+    got = {r.project_id: r for r in C.composition_summary(c).collect()}
+    assert got["p"].categories == {"permissive": 2, "strong-copyleft": 1, "unknown": 3} and got["q"].categories == {"public-domain": 1}
+    assert (got["p"].undeclared, got["p"].worst_rank, got["p"].with_facts, got["q"].worst_rank, got["q"].with_facts) == (2, 4, 1, None, 0)
+
+
 def test_match_advisories_keeps_undetermined(spark):
     deps = spark.createDataFrame([("Debian:12", "x", "1.0-1", "registry", False), ("npm", "Y", "odd!", "registry", False), ("npm", "y", "1.5.0", "git", False), ("PyPI", "A_b", "1.0", None, None)], "ecosystem string, name string, version string, source string, local_workspace boolean")
     e = [("0", None, None, None), (None, "2.0", None, None)]
