@@ -306,3 +306,14 @@ def test_only_ids_that_can_strike_out_are_tested(spark):
     every = sorted((tuple(r) for r in told.unionByName(other).collect() if (r.name, r.reported_id) in borne), key=str)
     assert sorted(map(tuple, D._borne(told.unionByName(other), adv).collect()), key=str) == every and len(every) < told.count()
     assert "isnull(told" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@tables
+def test_every_component_is_ranked(spark):
+    from lakeaudit.jobs import queries_composition as QC
+
+    x = QUERIES["rank_components"](spark, SF)
+    rows, every = x.collect(), QC._per_component(spark, SF).select(*x.columns)
+    assert sorted(rows) == sorted(every.collect()) and len(rows) > 200
+    assert [tuple(r) for r in rows] == sorted(map(tuple, rows), key=lambda r: (r[5] is None, -(r[5] or 0), -r[4], *r[:4]))
+    assert "rangepartitioning" in x._jdf.queryExecution().executedPlan().toString()
