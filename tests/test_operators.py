@@ -102,6 +102,20 @@ def test_summary_counts_every_category(spark):
     assert (got["p"].undeclared, got["p"].worst_rank, got["p"].with_facts, got["q"].worst_rank, got["q"].with_facts) == (2, 4, 1, None, 0)
 
 
+def test_claims_by_purl_and_alias(spark):
+    vulns = spark.createDataFrame([("npm", "Left", "1.0", "ADV-1", ["CVE-1"]), ("npm", "left", "2.0", "ADV-1", ["CVE-1"]), ("Debian:12", "x/y", "3", "ADV-2", None)], "ecosystem string, name string, version string, advisory_id string, aliases array<string>")
+    rows = [
+        ("t", 1, "cve-1 ", "not_affected", [" PKG:npm/left@1.0", "pkg:npm/left@2.0"]), ("t", 2, "ADV-1", "not_affected", ["npm:LEFT@1.0"]), ("t", 3, "adv-2", "not_affected", ["pkg:debian:12/x/y@3"]), ("t", 4, "ADV-1", "affected", ["npm:left@1.0"]), ("t", 5, "ADV-1", "affected", ["left"]),
+        ("t", 6, "ADV-1", "not_affected", []), ("t", 7, None, "not_affected", ["npm:left@1.0"]), ("t", 8, "CVE-1", "fixed", None), ("u", 1, "CVE-1", "fixed", ["npm:left@1.0"]), ("u", 5, "CVE-1", "not_affected", ["npm:left@1.0"]), ("t", 9, "ADV-2", "not_affected", ["pkg:debian/x/y@3"]),
+    ]
+    claims = spark.createDataFrame(rows, "document string, record_id int, vulnerability_id string, status string, subject_ids array<string>")
+    got = D.vex_suggestions(claims, spark.createDataFrame([("t",)], "document string"), vulns)
+    found = {(r.document, r.record_id, r.outcome, r.reason, r.advisory_id, r.version) for r in got.collect()}
+    suggested = {("t", 1, "suggested", None, "ADV-1", "1.0"), ("t", 1, "suggested", None, "ADV-1", "2.0"), ("t", 2, "suggested", None, "ADV-1", "1.0"), ("t", 3, "suggested", None, "ADV-2", "3")}
+    unmapped = {("t", k, "unmapped", why, None, None) for k, why in ((5, D.NO_MATCH), (6, D.NO_SUBJECT), (7, D.NO_MATCH), (8, D.NO_SUBJECT), (9, D.NO_MATCH))}
+    assert found == suggested | unmapped | {("u", k, "untrusted", None, None, None) for k in (1, 5)} and got.count() == len(found)
+
+
 def test_match_advisories_keeps_undetermined(spark):
     deps = spark.createDataFrame([("Debian:12", "x", "1.0-1", "registry", False), ("npm", "Y", "odd!", "registry", False), ("npm", "y", "1.5.0", "git", False), ("PyPI", "A_b", "1.0", None, None)], "ecosystem string, name string, version string, source string, local_workspace boolean")
     e = [("0", None, None, None), (None, "2.0", None, None)]
