@@ -317,3 +317,13 @@ def test_every_component_is_ranked(spark):
     assert sorted(rows) == sorted(every.collect()) and len(rows) > 200
     assert [tuple(r) for r in rows] == sorted(map(tuple, rows), key=lambda r: (r[5] is None, -(r[5] or 0), -r[4], *r[:4]))
     assert "rangepartitioning" in x._jdf.queryExecution().executedPlan().toString()
+
+
+@tables
+def test_occurrences_are_dealt_out_once(spark):
+    """Line items are shuffled once for their counts and their lists: between the join and their table lies one exchange."""
+    found = QUERIES["advisory_policy_inputs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = found[: found.index("== Initial Plan ==")].splitlines() if "== Initial Plan ==" in found else found.splitlines()
+    left = lines[next(i for i, x in enumerate(lines) if "SortMergeJoin" in x and "LeftOuter" in x) + 1 :]
+    left = left[: next(i for i, x in enumerate(left) if "FileScan" in x)]
+    assert sum("Exchange" in x for x in left) == 1 and any("Aggregate" in x for x in left), found
