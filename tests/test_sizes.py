@@ -327,3 +327,25 @@ def test_occurrences_are_dealt_out_once(spark):
     left = lines[next(i for i, x in enumerate(lines) if "SortMergeJoin" in x and "LeftOuter" in x) + 1 :]
     left = left[: next(i for i, x in enumerate(left) if "FileScan" in x)]
     assert sum("Exchange" in x for x in left) == 1 and any("Aggregate" in x for x in left), found
+
+
+@tables
+def test_a_stream_reports_for_components_that_are_alike_once(spark, monkeypatch):
+    """What the stream writes is far less than the runs' rows, and its second run adds nothing."""
+    from lakeaudit.jobs import queries_reports as QR
+
+    wrote, run = [], QR.U.stream_monitor
+
+    def counted(advisories, inventory, reported, write, checkpoint):
+        def counting(d):
+            before = reported().count()
+            write(d)
+            wrote.append(reported().count() - before)
+
+        return run(advisories, inventory, reported, counting, checkpoint)
+
+    monkeypatch.setattr(QR.U, "stream_monitor", counted)
+    folder = SF.replace("sf0.001", "sf0.01")
+    rows, want = QR.stream_monitor(spark, folder), QUERIES["monitor"](spark, folder).drop("verdict")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.select(*rows.columns).collect())) != []
+    assert len(wrote) == 2 and wrote[1] == 0 and 0 < 2 * wrote[0] < rows.count()
